@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing
+from . import minhash, mixing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +16,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights).drop("text_md5")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(_table(spark, sf_dir, "documents"), length=35).drop("kept_text")
+
+
 def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
 
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
 }
 
