@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, substrings
+from . import chat, minhash, mixing, substrings
+from .runtime import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights).drop("text_md5")
 
 
+def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(chat.PLANTED_ID).cast("long"), "id", role, F.lit(chat.PLANTED_TEXT))
+    nodes = stored(chat.as_chain(rows.union(planted)), "nodes")
+    return chat.digests(chat.formatted(chat.chosen_paths(nodes)))
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents"), length=35).drop("kept_text")
 
@@ -26,10 +36,12 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_chat_reply_trees": op4_chat_reply_trees,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
 }
 
 ORACLES = {
+    "op4_chat_reply_trees": chat.ORACLE,
     "op1_mix_sources": mixing.ORACLE,
 }
