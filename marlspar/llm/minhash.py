@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,12 @@ CHUNKS, WIDTH, ERRORS = 11, 7, 1
 POSITIONS = CHUNKS * WIDTH
 #: Candidates whose signatures differ in more positions are dropped: for a pair at 0.8, 5 standard deviations above the mean.
 FAR = int(0.2 * POSITIONS + 5 * (0.16 * POSITIONS) ** 0.5) + 1
-#: Nodes in a block of the comparison within a key.
-BLOCK = 512
+#: Nodes, and shingles in all, of a block of the comparison within a key.
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+
+#: The choices of positions left out of a chunk, and by the mask of positions that differ the first choice that covers them (-1: none).
+CHOICES = list(combinations(range(WIDTH), ERRORS))
+FIRST_CHOICE = np.array([next((i for i, c in enumerate(CHOICES) if not m & ~sum(1 << p for p in c)), -1) for m in range(1 << WIDTH)])
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SALTS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
@@ -120,7 +123,7 @@ def _features(k: int):
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk and choice of positions left out; the key is the choice and the bytes kept."""
-    kept = [[c * WIDTH + p for p in range(WIDTH) if p not in out] for c in range(CHUNKS) for out in combinations(range(WIDTH), ERRORS)]
+    kept = [[c * WIDTH + p for p in range(WIDTH) if p not in out] for c in range(CHUNKS) for out in CHOICES]
     for batch in batches:
         for begin in range(0, batch.num_rows, 2000):
             part = batch.slice(begin, 2000)
@@ -176,34 +179,79 @@ def _confirmed(percent: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of equal (key, one, two) in rows sorted by them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        ids = [rows.column(c).to_numpy() for c in ("key", "one", "two")]
+        cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+        edges = [0, *cuts.tolist()]
+        for begin, end in zip(edges, edges[1:]):
+            yield rows.slice(begin, end - begin)
+        rest = rows.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _candidates(rows: pa.Table) -> np.ndarray:
+    """(positions that differ, i, j) of the pairs between two blocks of a key that this key has to settle.
+
+    Left out are pairs within a component, pairs whose signatures are too far
+    apart, and pairs that share an earlier key, which settles them.
+    """
+    signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    part, roots, nodes, key, one, two = (rows.column(c).to_numpy() for c in ("part", "root", "node", "key", "one", "two"))
+    index = int(key[0]) >> (8 * (WIDTH - ERRORS))
+    first, second = np.flatnonzero(part == one[0]), np.flatnonzero(part == two[0])
+    found = [np.zeros((3, 0), np.int64)]
+    for begin in range(0, len(first), 64):
+        some = first[begin : begin + 64]
+        wanted = roots[some][:, None] != roots[second]
+        if one[0] == two[0]:
+            wanted &= nodes[some][:, None] < nodes[second]
+        i, j = np.nonzero(wanted)
+        i, j = some[i], second[j]
+        apart = signs[i] != signs[j]
+        total = apart.sum(axis=1)
+        near = total <= FAR
+        i, j, total, apart = i[near], j[near], total[near], apart[near]
+        choice = FIRST_CHOICE[apart.reshape(-1, CHUNKS, WIDTH) @ (1 << np.arange(WIDTH))]
+        chunk = (choice >= 0).argmax(axis=1)
+        own = chunk * len(CHOICES) + choice[np.arange(len(i)), chunk] == index
+        found.append(np.stack([total[own], i[own], j[own]]))
+    return np.concatenate(found, axis=1)
+
+
+def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of two blocks of a key that are in some pair to be settled there."""
+    for rows in _groups(batches):
+        found = _candidates(rows)
+        if found.shape[1]:
+            yield from rows.take(pa.array(np.union1d(found[1], found[2]))).select(["key", "one", "two", "part", "node", "root"]).combine_chunks().to_batches()
+
+
 def _between_blocks(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links that join components among the nodes of two blocks (or one) of a key."""
-        rows = rows.drop_duplicates("node").reset_index(drop=True)
-        signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(-1, POSITIONS)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
-        sizes = np.array([len(s) for s in sets])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        one, two = rows["part"].to_numpy() == rows["one"].to_numpy(), rows["part"].to_numpy() == rows["two"].to_numpy()
-        roots, nodes, links = rows["root"].tolist(), rows["node"].tolist(), []
-        found = []
-        for i in np.flatnonzero(one):
-            apart = (signs != signs[i]).sum(axis=1)
-            fit = two & (apart <= FAR) & (rows["root"].to_numpy() != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            js = np.flatnonzero(fit)
-            found.append(np.stack([apart[js], np.full(len(js), i), js]))
-        for _, i, j in np.concatenate(found, axis=1).T[np.argsort(np.concatenate(found, axis=1)[0], kind="stable")].tolist() if found else []:
-            a, b = find(roots[i]), find(roots[j])
-            if a != b and _similar(sets[i], sets[j], percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((nodes[i], nodes[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that join components, nearest signatures first."""
+        for rows in _groups(batches):
+            found = _candidates(rows)
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+            roots, nodes, links = rows.column("root").to_pylist(), rows.column("node").to_pylist(), []
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while parent.get(x, x) != x:
+                    parent[x] = x = parent.get(parent[x], parent[x])
+                return x
+
+            for _, i, j in found.T[np.argsort(found[0], kind="stable")].tolist():
+                a, b = find(roots[i]), find(roots[j])
+                if a != b and _similar(sets[i], sets[j], percent):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((nodes[i], nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -223,15 +271,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = (
         of_all.filter("n_shingles > 0")
         .groupBy("node", "low")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     )
-    classes = stored(classes.select("node", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "signature"), "classes")
+    classes = stored(classes.select("node", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "signature", "size"), "classes")
 
     keys = classes.select("node", "signature").mapInArrow(_key_rows, "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
     hits = stored(keys.join(shared, "key"), "hits")
 
-    signs = classes.select("node", "signature")
+    signs = classes.select("node", "signature", "size")
     pairs = hits.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sign_a")), "a").join(
         signs.select(F.col("node").alias("b"), F.col("signature").alias("sign_b")), "b"
@@ -266,20 +314,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _across(hits: DataFrame, roots: DataFrame, signs: DataFrame, sets: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between components that share a key, beyond those with the key's smallest node."""
-    rest = hits.filter("node != pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rest = hits.filter("node != pivot").join(roots, "node", "left").join(signs, "node").select("key", "node", F.coalesce("root", "node").alias("root"), "signature", "size")
     mixed = (
         rest.groupBy("key")
-        .agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1000000007).alias("s"))
+        .agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
         .filter("lowest != highest")
-        .groupBy("n", "x", "s")
-        .agg(F.min("key").alias("of"))
-        .select("of", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select(F.col("key").alias("of"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
-    rest = rest.join(mixed, F.col("key") == F.col("of")).select("key", "node", "root", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("part"))
-    rest = stored(rest, "mixed")
-    sets = sets_of(rest.select("node").distinct().join(sets.select("node"), "node", "left_anti")).union(sets.join(rest.select("node"), "node", "left_semi"))
-    full = rest.join(signs, "node").join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    full = full.select("key", "node", "root", "part", "signature", "members", other)
-    full = full.select("*", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    return full.groupBy("key", "one", "two").applyInPandas(_between_blocks(percent), "a long, b long")
+    rest = rest.join(mixed, F.col("key") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    laid = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    laid = laid.select("key", "node", "root", "part", "signature", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    schema = "key long, one int, two int, part int, node long, root long"
+    block = ("key", "one", "two")
+    open_ = stored(laid.repartition(*block).sortWithinPartitions(*block).mapInArrow(_with_candidates, schema), "open")
+    sets = sets_of(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti")).union(sets.join(open_.select("node"), "node", "left_semi"))
+    full = open_.join(signs.select("node", "signature"), "node").join(sets, "node")
+    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_between_blocks(percent), "a long, b long")

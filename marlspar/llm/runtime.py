@@ -50,7 +50,9 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Python workers."""
+    """Send this package to the executors once per application, for the Python workers, and bound what they are handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
