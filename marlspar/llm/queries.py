@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, substrings
+import public_tokenizers
+
+from . import chat, langid, minhash, mixing, quality, substrings, tokencount
 from .runtime import stored
 
 
@@ -18,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights).drop("text_md5")
 
 
+def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -26,6 +32,14 @@ def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.chosen_paths(nodes)))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents"), length=35).drop("kept_text")
 
@@ -36,7 +50,10 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_distribution_quality": op2_distribution_quality,
     "op4_chat_reply_trees": op4_chat_reply_trees,
+    "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
 }
