@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, langid, minhash, mixing, quality, substrings, tokencount
+from . import chat, langid, minhash, mixing, quality, substrings, tokencount, warc
 from .runtime import stored
 
 
@@ -32,6 +32,10 @@ def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.chosen_paths(nodes)))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_distribution_quality": op2_distribution_quality,
     "op4_chat_reply_trees": op4_chat_reply_trees,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_repeated_passages": op8_repeated_passages,
@@ -60,5 +65,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_reply_trees": chat.ORACLE,
+    "op5_warc_round_trip": warc.ORACLE,
     "op1_mix_sources": mixing.ORACLE,
 }
