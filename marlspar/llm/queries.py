@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, langid, minhash, mixing, quality, substrings, tokencount, warc
+from . import chat, decontaminate, langid, minhash, mixing, quality, substrings, tokencount, warc
 from .runtime import stored
 
 
@@ -52,6 +52,10 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_distribution_quality": op2_distribution_quality,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES = {

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space, other control characters and ASCII punctuation.
+BETWEEN = np.array([b <= 0x20 or b == 0x7F or (b < 0x7F and not chr(b).isalnum()) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,12 +77,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Words:
     buf, offsets = text_bytes(texts)
     if lower:
         buf = LOWER[buf]
     n = len(buf)
-    inside = ~SPACE[buf]
+    inside = ~between[buf]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[offsets[:-1][offsets[:-1] < n]] = False

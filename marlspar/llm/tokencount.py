@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -279,7 +279,7 @@ def _rows(path: str, limit: int):
             for part in pieces(batch):
                 texts = part.column("text").to_pylist()
                 tokens = count(texts)
-                sizes = pa.compute.fill_null(pa.compute.binary_length(part.column("text")).cast(pa.int64()), 0)
+                sizes = pc.fill_null(pc.binary_length(part.column("text")).cast(pa.int64()), 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), sizes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 )
