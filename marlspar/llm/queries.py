@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontaminate, langid, minhash, mixing, quality, substrings, tokencount, warc
+from . import chat, decontaminate, langid, linededup, minhash, mixing, quality, substrings, tokencount, warc
 from .runtime import stored
 
 
@@ -24,6 +24,10 @@ def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeated_lines(_table(spark, sf_dir, "documents")).drop("text_hash", "kept_text")
+
+
 def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -59,6 +63,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_distribution_quality": op2_distribution_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_chat_reply_trees": op4_chat_reply_trees,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_language_id": op6_language_id,
