@@ -183,3 +183,25 @@ def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.mapInArrow(
         _predictions(sent), f"doc_id {id_type}, text_hash long, held_out boolean, lang_pred string, score double, ambiguous boolean"
     )
+
+
+def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents, all columns, whose language can be told.
+
+    Rejected are texts without a letter, and ambiguous ones of which the best codeword has less than half.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang"), sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for part in pieces(batch):
+                stays = np.array([bool(t) and LETTER.search(t) is not None for t in part.column("text").to_pylist()], bool)
+                if model is not None and stays.any():
+                    _, share, near = decode(model, features(part.column("text")))
+                    stays &= ~(near & (share < 0.5))
+                yield part.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -293,16 +293,12 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_lines, n_exact and n_near (lines removed as copies and near copies), kept_sha256, kept_text.
-
-    docs: doc_id, text. edits: 0 to 15. least: characters of lines that near copies are looked for of, more than edits.
-    """
+def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """Of documents (doc_id, text, text_hash): doc_id as ``of``, text_hash as ``hash``, and the first lines, with whether they are near copies."""
     if not 0 <= edits <= 15 or least <= edits:
         raise ValueError("0 to 15 edits, and lines with more characters than that")
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     lines = docs.mapInArrow(_line_rows, f"doc_id {id_type}, text_hash long, line int, node long, low long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
@@ -314,13 +310,10 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     pairs = candidates.filter("kind = 0").select("a", "b").distinct()
     hot = candidates.filter("kind > 0").select(F.col("b").alias("entry"), F.col("a").alias("node"), "kind")
 
-    def same(hash_: str, of: str) -> Column:
-        return (F.col("text_hash") == F.col(hash_)) & F.col("doc_id").eqNullSafe(F.col(of))
-
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(hot.select("node")).distinct()
     wanted = wanted.join(firsts, F.col("n") == F.col("node")).groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
     wanted = wanted.agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
-    found = docs.join(wanted, same("hash", "of")).select("doc_id", "text_hash", "text", "wanted")
+    found = docs.join(wanted, _same()).select("doc_id", "text_hash", "text", "wanted")
     first_type = f"struct<none:boolean,doc_id:{id_type},text_hash:bigint,line:int>"
     texts = found.mapInArrow(_texts_of_lines, f"node long, first {first_type}, line_text string").dropDuplicates(["node"])
     texts = stored(texts, "texts")
@@ -331,14 +324,57 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     near = near.union(_near_of_hot(hot, texts, edits)).distinct()
 
     marked = firsts.join(near.select(F.col("node").alias("n"), F.lit(True).alias("near")), F.col("node") == F.col("n"), "left")
-    kept = (
+    return (
         marked.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
         .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.coalesce("near", F.lit(False)).alias("near"))).alias("firsts"))
     )
-    out = docs.join(kept, same("hash", "of"), "left").select("doc_id", "text_hash", "text", "firsts")
+
+
+def _same() -> Column:
+    return (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of"))
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_lines, n_exact and n_near (lines removed as copies and near copies), kept_sha256, kept_text.
+
+    docs: doc_id, text. edits: 0 to 15. least: characters of lines that near copies are looked for of, more than edits.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    out = docs.join(kept_lines(docs, edits, least), _same(), "left").select("doc_id", "text_hash", "text", "firsts")
     return out.mapInArrow(_kept_rows, f"doc_id {id_type}, text_hash long, n_lines long, n_exact long, n_near long, kept_sha256 string, kept_text string")
 
 
+def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """The documents with all their columns, without the removed lines; those that lost every line with a word go.
+
+    A whole-number column n_chars follows the text.
+    """
+    names = docs.columns
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    kept = kept_lines(hashed, edits, least)
+    whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("text_hash"))
+    joined = whole.join(kept, _same(), "left").select("row", "text", "firsts")
+    counted = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = [], []
+            for text, firsts in zip(batch.column("text").to_pylist(), batch.column("firsts").to_pylist()):
+                lines = (text or "").split("\n")
+                full = [bool(_WORD.search(x)) for x in lines]
+                stays = {x["line"] for x in firsts or () if not x["near"]}
+                texts.append(None if text is None else "\n".join(x for i, x in enumerate(lines) if not full[i] or i in stays))
+                stay.append(bool(stays) or not any(full))
+            columns = dict(zip(names, batch.column("row").flatten()))
+            columns["text"] = pa.array(texts, pa.string())
+            if counted:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(stay, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def _near_of_hot(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     lines = hot.groupBy("entry", "node").agg(F.bit_or("kind").alias("kind"))
     blocks = lines.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("entry", "of")

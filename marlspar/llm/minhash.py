@@ -330,3 +330,13 @@ def _across(hits: DataFrame, roots: DataFrame, signs: DataFrame, sets: DataFrame
     sets = sets_of(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti")).union(sets.join(open_.select("node"), "node", "left_semi"))
     full = open_.join(signs.select("node", "signature"), "node").join(sets, "node")
     return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_between_blocks(percent), "a long, b long")
+
+
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, of which one of each component stays: that of the smallest doc_id; of rows with equal ids and texts one."""
+    kept = near_duplicates(docs, k, percent).filter("kept").groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("copies"))
+    kept = stored(kept, "kept")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"))
+    joined = whole.join(kept, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    single = joined.filter("copies = 1").select("row.*")
+    return single.union(joined.filter("copies > 1").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
