@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import ship, stored
-from .texts import mix, pieces, sequence_hash, sequence_sums
+from .texts import mix, pieces, runs, sequence_hash, sequence_sums
 
 EDITS = 2
 LEAST_CHARS = 48
@@ -225,6 +225,14 @@ def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
             distance += np.where(j < n, step, 0)
             up = (minus | ~((zero >> 1) | plus)) & full
             down = (zero >> 1) & plus
+            if j % 8 == 7:
+                # Along a diagonal the distance never falls, and diagonals side by side differ by 1 at most.
+                lost = diagonal & (distance > 2 * edits - (m - n))
+                if 4 * lost.sum() > len(lost):
+                    stay = ~lost
+                    some, m, n, rows, columns, up, down, distance = (x[stay] for x in (some, m, n, rows, columns, up, down, distance))
+                    if not len(some):
+                        break
         out[some] = distance <= edits
     return out
 
@@ -243,33 +251,46 @@ def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(first, place), pa.array(texts, pa.string())], names=["node", "first", "line_text"])
 
 
+def histogram(text: str) -> np.ndarray:
+    """Counts of a line's characters, by code modulo 64. An edit moves at most one count down and one up."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+
+
 def _verified(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array(within(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), edits))
-            yield pa.RecordBatch.from_arrays([batch.column("later").filter(good)], names=["node"])
+            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            near = np.array([int(np.abs(histogram(x) - histogram(y)).sum()) <= 2 * edits for x, y in zip(left, right)], bool)
+            some = np.flatnonzero(near)
+            near[some] = within([left[i] for i in some.tolist()], [right[i] for i in some.tolist()], edits)
+            yield pa.RecordBatch.from_arrays([batch.column("later").filter(pa.array(near))], names=["node"])
 
     return run
 
 
 def _later_in_blocks(edits: int):
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of two blocks of an entry that have an earlier line within the edits among those of the blocks."""
-        one, two, part, held = (group.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "part", "held"))
-        texts, nodes = group.column("line_text").to_pylist(), group.column("node").to_numpy()
-        firsts = [(f["none"], f["doc_id"] if f["doc_id"] is not None else 0, f["text_hash"], f["line"]) for f in group.column("first").to_pylist()]
-        rank = np.empty(len(firsts), np.int64)
-        rank[sorted(range(len(firsts)), key=firsts.__getitem__)] = np.arange(len(firsts))
-        lengths = np.array([len(t) for t in texts])
-        gone: set[int] = set()
-        second = np.flatnonzero(part == two[0])
-        for i in np.flatnonzero(part == one[0]).tolist():
-            fit = second[(held[second] | held[i]) & (nodes[second] != nodes[i]) & (np.abs(lengths[second] - lengths[i]) <= edits)]
-            later = np.where(rank[fit] > rank[i], fit, i)
-            fit = fit[[n not in gone for n in later.tolist()]]
-            for j in fit[within([texts[i]] * len(fit), [texts[j] for j in fit.tolist()], edits)].tolist():
-                gone.add(j if rank[j] > rank[i] else i)
-        return pa.table({"node": pa.array(nodes[sorted(gone)], pa.int64())})
+        for group in runs(batches, ("entry", "one", "two")):
+            one, two, part = (group.column(c).to_numpy() for c in ("one", "two", "part"))
+            held, nodes = np.array(group.column("held").to_pylist(), bool), group.column("node").to_numpy()
+            texts = group.column("line_text").to_pylist()
+            firsts = [(f["none"], 0 if f["doc_id"] is None else f["doc_id"], f["text_hash"], f["line"]) for f in group.column("first").to_pylist()]
+            rank = np.empty(len(firsts), np.int64)
+            rank[sorted(range(len(firsts)), key=firsts.__getitem__)] = np.arange(len(firsts))
+            counts = np.array([histogram(t) for t in texts], np.int32)
+            gone = np.zeros(len(texts), bool)
+            second = np.flatnonzero(part == two[0])
+            todo = np.flatnonzero(part == one[0])
+            for begin in range(0, len(todo), 16):
+                some = todo[begin : begin + 16]
+                apart = np.abs(counts[some][:, None] - counts[second]).sum(axis=2)
+                later = np.where(rank[second] > rank[some][:, None], second, some[:, None])
+                fit = (apart <= 2 * edits) & (held[some][:, None] | held[second]) & (nodes[some][:, None] != nodes[second]) & ~gone[later]
+                i, j = np.nonzero(fit)
+                good = within([texts[x] for x in some[i].tolist()], [texts[x] for x in second[j].tolist()], edits)
+                gone[later[i[good], j[good]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[gone], pa.int64())], names=["node"])
 
     return run
 
@@ -382,4 +403,6 @@ def _near_of_hot(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     lines = lines.select("entry", "node", (F.col("kind").bitwiseAND(INDEX) > 0).alias("held"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lines = lines.select("entry", "node", "held", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    return lines.join(texts, "node").groupBy("entry", "one", "two").applyInArrow(_later_in_blocks(edits), "node long")
+    block = ("entry", "one", "two")
+    rows = lines.join(texts, "node").repartition(*block).sortWithinPartitions(*block)
+    return rows.mapInArrow(_later_in_blocks(edits), "node long")

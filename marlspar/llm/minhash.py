@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import ship, stored
-from .texts import mix, pieces, split_words
+from .texts import mix, pieces, runs, split_words
 
 CHUNKS, WIDTH, ERRORS = 11, 7, 1
 POSITIONS = CHUNKS * WIDTH
@@ -179,22 +179,6 @@ def _confirmed(percent: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The runs of equal (key, one, two) in rows sorted by them."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
-        ids = [rows.column(c).to_numpy() for c in ("key", "one", "two")]
-        cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
-        edges = [0, *cuts.tolist()]
-        for begin, end in zip(edges, edges[1:]):
-            yield rows.slice(begin, end - begin)
-        rest = rows.slice(edges[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _candidates(rows: pa.Table) -> np.ndarray:
     """(positions that differ, i, j) of the pairs between two blocks of a key that this key has to settle.
 
@@ -226,7 +210,7 @@ def _candidates(rows: pa.Table) -> np.ndarray:
 
 def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The nodes of two blocks of a key that are in some pair to be settled there."""
-    for rows in _groups(batches):
+    for rows in runs(batches, ("key", "one", "two")):
         found = _candidates(rows)
         if found.shape[1]:
             yield from rows.take(pa.array(np.union1d(found[1], found[2]))).select(["key", "one", "two", "part", "node", "root"]).combine_chunks().to_batches()
@@ -235,7 +219,7 @@ def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _between_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links that join components, nearest signatures first."""
-        for rows in _groups(batches):
+        for rows in runs(batches, ("key", "one", "two")):
             found = _candidates(rows)
             sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
             roots, nodes, links = rows.column("root").to_pylist(), rows.column("node").to_pylist(), []

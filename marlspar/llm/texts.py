@@ -108,7 +108,7 @@ def sequence_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: n
     return mix((total[end] - total[start]) * down[start] + length * np.uint64(0xA0761D6478BD642F))
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text stands alone."""
     if not batch.num_rows:
         return
@@ -121,3 +121,24 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
             total, begin = 0, i
         total += size
     yield batch.slice(begin)
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of equal whole-number columns in rows that are sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            key = tuple(x[begin] for x in ids)
+            if rest and key != last:
+                yield pa.Table.from_batches(rest).combine_chunks()
+                rest = []
+            rest.append(batch.slice(begin, end - begin))
+            last = key
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
