@@ -46,16 +46,27 @@ DEFAULT_LO, DEFAULT_HI = 0.0, 60.0
 
 
 def bounds(c: Column, family: Sequence[Rule] = CAPPED) -> Column:
-    """struct(lo, hi) of the first rule that matches anywhere in the text; null if none does."""
+    """struct(lo, hi) of the first rule that matches anywhere in the text; null if none does.
+
+    The rules stand inside a lambda, so that plans which use the bounds several
+    times do not generate their code several times.
+    """
+
+    def bound(x: Column, rule: Rule, b: int | float) -> Column:
+        return F.lit(b) if isinstance(b, float) else F.regexp_extract(x, rule.pattern, b).try_cast("double")
+
+    def decide(x: Column) -> Column:
+        out = F
+        for rule in family:
+            out = out.when(x.rlike(rule.pattern), F.struct(bound(x, rule, rule.lo).alias("lo"), bound(x, rule, rule.hi).alias("hi")))
+        return out
+
+    return F.get(F.transform(F.array(c), decide), F.lit(0))
 
-    def bound(rule: Rule, b: int | float) -> Column:
-        return F.lit(b) if isinstance(b, float) else F.regexp_extract(c, rule.pattern, b).try_cast("double")
 
-    first, *rest = family
-    out = F.when(c.rlike(first.pattern), F.struct(bound(first, first.lo).alias("lo"), bound(first, first.hi).alias("hi")))
-    for rule in rest:
-        out = out.when(c.rlike(rule.pattern), F.struct(bound(rule, rule.lo).alias("lo"), bound(rule, rule.hi).alias("hi")))
-    return out
+def bounds_or_default(c: Column, family: Sequence[Rule] = CAPPED) -> Column:
+    """``bounds``, or 0 to 60 where no rule matches."""
+    return F.coalesce(bounds(c, family), F.struct(F.lit(DEFAULT_LO).alias("lo"), F.lit(DEFAULT_HI).alias("hi")))
 
 
 def with_default(yoe: Column) -> Column:

@@ -306,8 +306,7 @@ _JOBS = f"""jobs AS (SELECT p_partkey AS vec_id, coalesce({_A[0]}, 0) AS lo, coa
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yoe = _experience(spark, sf_dir).select(F.col("p_partkey").alias("vec_id"), experience.bounds(F.col("exp_text")).alias("found"))
-    yoe = yoe.select("vec_id", experience.with_default(F.col("found")).alias("yoe"))
+    yoe = _experience(spark, sf_dir).select(F.col("p_partkey").alias("vec_id"), experience.bounds_or_default(F.col("exp_text")).alias("yoe"))
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(yoe, "vec_id")
 
 
