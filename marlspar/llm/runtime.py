@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Scratch folders by application, where the session names none.
+_own: dict[str, str] = {}
 _folders: list[str] = []
 
 
@@ -18,8 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (single machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="marlspar-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="marlspar-")
+        _own[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
