@@ -134,7 +134,7 @@ def between_markers(lines: Column) -> Column:
     lines: an array of strings. Start lines hold both ``Job Description`` and
     ``Mandate Skills``, or ``Ideal Candidate``, and are left out.
     """
-    trimmed = F.transform(lines, F.trim)
+    trimmed = F.transform(lines, lambda x: F.trim(x))
     state = F.struct(F.lit(0).alias("phase"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, line: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def column_counts(df: DataFrame) -> DataFrame:
     """One row with the number of values that are neither null nor NaN, by column."""
     floats = {n for n, t in df.dtypes if t in ("float", "double")}
-    return df.agg(*[F.count(F.when(~F.isnan(c), 1) if c in floats else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.agg(*[F.count(F.when(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")), 1) if c in floats else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def counts_by(df: DataFrame, key: str) -> DataFrame:

@@ -55,7 +55,7 @@ def fallback_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as text: UTF-8 (a byte order mark is dropped) where it is valid, else Latin-1; columns file, text, encoding."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return raw.select("file", F.regexp_replace(text, r"^\uFEFF", "").alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
