@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspar.session import ship
+
 #: The fields of a structured posting.
 FIELDS = ("Job Title", "Job Link", "Company Name", "Experience", "Salary", "Location", "Job Description", "Skills", "Job Type")
 
@@ -29,6 +31,7 @@ def repaired(answer: str) -> dict:
 
 def structured(df: DataFrame, key: str, column: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]], fields: Sequence[str] = FIELDS, size: int = 5) -> DataFrame:
     """key, the fields (text; lists are joined by commas) and error; prompts go to the model in lots of ``size``."""
+    ship(df.sparkSession)
     key_type = dict(df.dtypes)[key]
     schema = f"`{key}` {key_type}, " + ", ".join(f"`{f}` string" for f in fields) + ", error string"
 

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspar.session import ship
+
 _HIDDEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -77,6 +79,9 @@ def elements(html: str | None, tag: str | None = None, name: str | None = None)
 def text_of_class(name: str, missing: str = "Not available"):
     """A pandas UDF: the text of the first element of a class, else a sentinel."""
 
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
         def first(page):
@@ -90,6 +95,7 @@ def text_of_class(name: str, missing: str = "Not available"):
 
 def cards(df: DataFrame, column: str, keys: list[str], tag: str | None = None, name: str | None = None) -> DataFrame:
     """A row for each element of a tag or class: the key columns, its position, text and link. Elements without text are skipped."""
+    ship(df.sparkSession)
     types = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["position int", "text string", "href string"])
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspar.session import ship
+
 #: Bytes of query vectors that go to the executors at once; more are handled in turns.
 MOST_SENT = 64 << 20
 
@@ -38,6 +40,7 @@ def nearest_to_each(
     after the other. A task multiplies each batch of items with the block and
     keeps its k best of each query; only these are shuffled, to be merged.
     """
+    ship(items.sparkSession)
     id_type, query_type = dict(items.dtypes)[id_column], dict(queries.dtypes)[query_id]
     schema = f"{query_id} {query_type}, {id_column} {id_type}, d2 double"
     dims = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("d")).first()
