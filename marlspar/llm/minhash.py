@@ -213,7 +213,7 @@ def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for rows in runs(batches, ("key", "one", "two")):
         found = _candidates(rows)
         if found.shape[1]:
-            yield from rows.take(pa.array(np.union1d(found[1], found[2]))).select(["key", "one", "two", "part", "node", "root"]).combine_chunks().to_batches()
+            yield from rows.take(pa.array(np.union1d(found[1], found[2]))).select(["key", "one", "two", "part", "node", "root", "signature"]).combine_chunks().to_batches()
 
 
 def _between_blocks(percent: int):
@@ -298,21 +298,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _across(hits: DataFrame, roots: DataFrame, signs: DataFrame, sets: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between components that share a key, beyond those with the key's smallest node."""
-    rest = hits.filter("node != pivot").join(roots, "node", "left").join(signs, "node").select("key", "node", F.coalesce("root", "node").alias("root"), "signature", "size")
-    mixed = (
-        rest.groupBy("key")
-        .agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
-        .filter("lowest != highest")
-        .select(F.col("key").alias("of"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    )
-    rest = rest.join(mixed, F.col("key") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    rest = hits.filter("node != pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rest.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest != highest").select(F.col("key").alias("of"))
+    rest = stored(rest.join(mixed, F.col("key") == F.col("of")).drop("of").join(signs, "node"), "mixed")
+    sizes = rest.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    rest = rest.join(sizes.select("of", blocks), F.col("key") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     laid = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     laid = laid.select("key", "node", "root", "part", "signature", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    schema = "key long, one int, two int, part int, node long, root long"
+    schema = "key long, one int, two int, part int, node long, root long, signature binary"
     block = ("key", "one", "two")
     open_ = stored(laid.repartition(*block).sortWithinPartitions(*block).mapInArrow(_with_candidates, schema), "open")
     sets = sets_of(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti")).union(sets.join(open_.select("node"), "node", "left_semi"))
-    full = open_.join(signs.select("node", "signature"), "node").join(sets, "node")
+    full = open_.join(sets, "node")
     return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_between_blocks(percent), "a long, b long")
 
 
