@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from marlspar import session
+
 #: Scratch folders by application, where the session names none.
 _own: dict[str, str] = {}
 _folders: list[str] = []
@@ -55,13 +53,4 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for the Python workers, and bound what they are handed at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="marlspar-code-")), "marlspar_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+    session.ship(spark)
