@@ -4,15 +4,16 @@ A document has two histograms, of character classes and of common words. Each
 language's reference is the sum of its documents' histograms, over all those
 that pass the base rules and are long enough. A document is dropped if its
 Jensen-Shannon distance from its language's reference is above a threshold in
-either histogram. Short documents, whose histograms say little, are kept.
+either histogram; the threshold is higher the shorter the text, for the
+histograms of short texts scatter more, and very short ones are not compared.
 
 Everything is a built-in expression. Texts are read once; the histograms, a few
 numbers a document, are written to the shared folder, and the references are
 sums of them with one row a language.
 
 Defined cases: a null or empty text has no words, fails the base rules and is
-dropped; a null language counts as the one whose common words the text has most
-of; a language without a reference keeps its documents; rows with equal ids and
+dropped; the language whose common words the text has most of stands in for a
+null one, and is compared with beside any other; a language without a reference keeps its documents; rows with equal ids and
 texts are separate rows; an empty table gives an empty result. Extra columns
 are not looked at.
 """
@@ -37,9 +38,11 @@ WORDS = sorted({w for words in COMMON.values() for w in words})
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Guards and thresholds of the divergence rule.
-LEAST_COMPARED = 100
-MOST_CHAR_DISTANCE = 0.25
-MOST_WORD_DISTANCE = 0.6
+LEAST_COMPARED = 50
+MOST_CHAR_DISTANCE = 0.22
+MOST_WORD_DISTANCE = 0.24
+#: What a short text may be farther off, over the square root of its number of words: its histogram scatters that much more.
+SHORT_ALLOWANCE = 0.6
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -48,17 +51,22 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _repeated_words(words: str) -> Column:
-    """Words in 3-word windows that the text has twice or more."""
-    windows = F.transform(
+def _window_hashes(words: str) -> Column:
+    """A hash of each 3-word window, in order."""
+    return F.transform(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)).alias("h"), i.alias("i")),
+        lambda w, i: F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)),
     )
-    return F.when(F.size(words) >= 3, F.sort_array(windows))
+
+
+def _in_hash_order(hashes: str) -> Column:
+    """(h, i) of all windows by hash, if any hash comes twice; else null."""
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang_key, the base counts, base_failed and the two histograms."""
+    """doc_id, lang_key, lang_seen, the base counts, base_failed and the two histograms."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", "lang", text.alias("text")).withColumn("words", F.array_remove(F.split("text", SEPARATORS), ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
@@ -66,10 +74,11 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "text", "words",
         F.array_join("words", "").alias("joined"),
         F.filter("words", lambda w: w.isin(WORDS)).alias("common"),
-        _repeated_words("words").alias("windows"),
+        _window_hashes("words").alias("hashes"),
         lines.alias("lines"),
     )
-    size = F.size("windows")
+    # Few characters are left without lower-case letters, so the other classes are counted there.
+    rows = rows.withColumn("windows", _in_hash_order("hashes")).withColumn("rare", F.regexp_replace("joined", "[a-z]+", ""))
 
     def again(x: Column, i: Column) -> Column:
         """Whether a window's hash stands beside it in hash order."""
@@ -83,8 +92,8 @@ def measured(docs: DataFrame) -> DataFrame:
         "twice", start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")), lambda acc: acc["n"]
     )
     hits = {w: F.size("common") - F.size(F.array_remove("common", w)) for w in WORDS}
-    vowels, upper, digits, marks = (_without(F.col("joined"), p) for p in ("[aeiou]+", "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+"))
-    symbols = _without(F.col("text"), r"[#*$%&|<>]+")
+    vowels = _without(F.col("joined"), "[aeiou]+")
+    upper, digits, marks, symbols = (_without(F.col("rare"), p) for p in ("[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", r"[#*$%&|<>]+"))
     rows = rows.select(
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
@@ -101,7 +110,7 @@ def measured(docs: DataFrame) -> DataFrame:
     most = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("k")) for k, n in own.items()]))["k"]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return rows.select(
-        "doc_id", F.coalesce("lang", most).alias("lang_key"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", F.coalesce("lang", most).alias("lang_key"), most.alias("lang_seen"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         F.concat(F.transform("classes", lambda x: x.cast("long")), F.array(F.greatest(rest_chars, F.lit(0).cast("long")))).alias("classes"),
         F.concat(F.transform("counts", lambda x: x.cast("long")), F.array(rest_words)).alias("counts"),
@@ -135,9 +144,13 @@ def judged(docs: DataFrame) -> DataFrame:
         F.array(*[f"c{i}" for i in range(7)]).alias("ref_classes"),
         F.array(*[f"w{i}" for i in range(len(WORDS) + 1)]).alias("ref_counts"),
     )
-    both = rows.join(references, F.col("lang_key") == F.col("of"), "left")
-    both = both.withColumn("char_distance", distance(F.col("classes"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("counts"), F.col("ref_counts")))
-    near = (F.col("char_distance") <= MOST_CHAR_DISTANCE) & (F.col("word_distance") <= MOST_WORD_DISTANCE)
+    # A language may be wrong, so that of the text's common words counts as well: the nearer reference decides.
+    seen = references.select(F.col("of").alias("also"), F.col("ref_classes").alias("seen_classes"), F.col("ref_counts").alias("seen_counts"))
+    both = rows.join(references, F.col("lang_key") == F.col("of"), "left").join(seen, F.col("lang_seen") == F.col("also"), "left")
+    both = both.withColumn("char_distance", F.least(distance(F.col("classes"), F.col("ref_classes")), distance(F.col("classes"), F.col("seen_classes"))))
+    both = both.withColumn("word_distance", F.least(distance(F.col("counts"), F.col("ref_counts")), distance(F.col("counts"), F.col("seen_counts"))))
+    allowance = SHORT_ALLOWANCE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    near = (F.col("char_distance") <= MOST_CHAR_DISTANCE + allowance) & (F.col("word_distance") <= MOST_WORD_DISTANCE + allowance)
     kept = ~F.col("base_failed") & ((F.col("n_words") < LEAST_COMPARED) | F.coalesce(near, F.lit(True)))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance"
