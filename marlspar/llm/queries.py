@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontaminate, langid, linededup, minhash, mixing, quality, substrings, tokencount, warc
+from . import chat, decontaminate, langid, linededup, minhash, mixing, oracles, quality, substrings, tokencount, warc
 from .runtime import stored
 
 
@@ -21,7 +21,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_table(spark, sf_dir, "documents"))
+    rows = quality.judged(_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_distribution_quality": oracles.OP2,
     "op4_chat_reply_trees": chat.ORACLE,
     "op5_warc_round_trip": warc.ORACLE,
+    "op8_repeated_passages": oracles.OP8,
+    "op9_minhash_near_duplicates": oracles.OP9,
     "op1_mix_sources": mixing.ORACLE,
 }
