@@ -31,3 +31,8 @@ def unregistered(requests: DataFrame, users: DataFrame, key: str) -> DataFrame:
 
 def is_pdf(name: str, mime: str) -> Column:
     return (F.col(mime) == "application/pdf") | (F.col(mime).isNull() & F.lower(F.col(name)).endswith(".pdf"))
+
+
+def lookup(df: DataFrame, key: str, value, order: list[Column]) -> DataFrame:
+    """The first row with that key, in the given order; none if there is none."""
+    return df.filter(F.col(key) == F.lit(value)).orderBy(*order).limit(1)

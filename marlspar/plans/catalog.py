@@ -505,6 +505,50 @@ def stream_dedup(spark, sf_dir):
     return spark.table("stream_dedup")
 
 
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts, event_id LIMIT 1")
+def point_lookup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    first = events.agg(F.min("event_type")).first()[0]
+    return users.lookup(events, "event_type", first, [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("SELECT c_custkey AS chat_id, min(o_orderkey) AS job_indx FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+def nested_lookup(spark, sf_dir):
+    """A recommendation found inside a user's array of documents."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderkey").alias("job_indx"), "o_orderstatus", F.col("o_orderkey").alias("rank"))
+    docs = recommend.as_documents(rows.withColumn("page_content", F.col("o_orderstatus")), "page_content", ["job_indx", "o_orderstatus"])
+    hits = F.filter("job_recommendation", lambda d: d["metadata"]["o_orderstatus"] == "F")
+    found = docs.select("chat_id", F.get(hits, F.lit(0))["metadata"]["job_indx"].alias("job_indx"))
+    return found.filter("job_indx IS NOT NULL").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id")), "chat_id", "left_semi")
+
+
+@query("SELECT p_partkey, CAST(floor(p_partkey / 10) AS BIGINT) AS batch FROM part")
+def batch_slice(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", extract.batch_number(F.col("p_partkey")).cast("long").alias("batch"))
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 20")
+def first_n(spark, sf_dir):
+    """The first rows in a stated order, as a source's cap takes them."""
+    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy("page_id").limit(20)
+
+
+@query("SELECT doc_id, sha256(text) AS vector_id FROM documents")
+def content_ids(spark, sf_dir):
+    from marlspar.sources import sinks
+
+    return sinks.content_id(table(spark, sf_dir, "documents")).select("doc_id", "vector_id")
+
+
+@query("SELECT p_partkey, concat('https://x', '/job/', p_partkey) AS link, CASE WHEN p_size % 3 = 0 THEN 'Not specified' ELSE p_type END AS job_type, CASE WHEN trim(p_name, ' ') <> '' AND p_size % 2 = 0 THEN p_name ELSE p_brand END AS title FROM part")
+def field_defaults(spark, sf_dir):
+    """Missing parts of a card: a sentinel, a fallback, a link with its base."""
+    p = table(spark, sf_dir, "part")
+    kind = text.default(F.when(F.col("p_size") % 3 != 0, F.col("p_type")))
+    title = text.first_present(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(" "), F.col("p_brand"))
+    return p.select("p_partkey", text.prefixed("https://x", F.concat(F.lit("/job/"), F.col("p_partkey"))).alias("link"), kind.alias("job_type"), title.alias("title"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest postings of every user, the experience band, the first page."""
     return recommend.page(_recommended(spark, sf_dir), 0)

@@ -45,3 +45,13 @@ def mail(requests: DataFrame, recommended: DataFrame, users: DataFrame, kind: st
     rows = recommend.mail_context(requests, recommended, users)
     job = F.struct(*[c for c in ("job_title", "company_name", "experience", "location", "skills", "job_description") if c in rows.columns])
     return rows.select("chat_id", "job_indx", mail_prompt(kind, F.col("resume_json"), job).alias("prompt"))
+
+
+def register(requests: DataFrame, path: str) -> DataFrame:
+    """Append the valid registrations to the user table; the others come back."""
+    from marlspar.operators import users
+    from marlspar.sources import sinks
+
+    checked = users.validated(requests)
+    sinks.append(checked.filter("is_valid").drop("is_valid"), path)
+    return checked.filter("NOT is_valid").drop("is_valid")

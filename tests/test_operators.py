@@ -119,3 +119,13 @@ def test_profile(spark):
     df = spark.createDataFrame([(1.0, "12"), (float("nan"), "x3"), (None, None)], "a double, p string")
     assert tuple(profile.column_counts(df).first()) == (1, 2)
     assert profile.largest_number(df, "p").first().max_page == 12
+
+
+def test_registration(spark, tmp_path):
+    asked = spark.createDataFrame([("1", "a@b.co", "2.5"), ("x", "a@b.co", "1")], "chat_id string, email string, years_of_experience string")
+    left = flows.register(asked, str(tmp_path / "users"))
+    assert rows(left.select("email", "years_of_experience")) == [("a@b.co", 1.0)]
+    stored = spark.read.parquet(str(tmp_path / "users"))
+    assert rows(stored.select("chat_id")) == [(1,)]
+    assert users.lookup(stored, "chat_id", 1, [F.col("email")]).count() == 1
+    assert users.lookup(stored, "chat_id", 2, [F.col("email")]).count() == 0
