@@ -184,8 +184,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     verdicts = classes.join(parts, ["anchor", "stretch"], "left").select(
         "anchor", "stretch", F.when(F.col("places") > 1, F.lit(-1)).otherwise(F.coalesce("some", F.lit(0))).cast("long").alias("repeats")
     )
+    verdicts = stored(verdicts.filter("repeats != 0"), "verdicts")  # so that the next join reads plain shuffles, which may be split where a stretch is common
     found = (
-        seeds.join(verdicts.filter("repeats != 0"), ["anchor", "stretch"])
+        seeds.join(verdicts, ["anchor", "stretch"])
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list(F.struct("first", "windows", "repeats")).alias("found"))
         .select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "found")
