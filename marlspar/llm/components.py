@@ -2,7 +2,7 @@
 
 Each round joins the links with the smallest neighbour of every node; a node
 with very many links only adds a row to a partial minimum and rows to a join
-that may be split. Rounds grow with the logarithm of the longest path, and each
+of two plain shuffles, which may be split. Rounds grow with the logarithm of the longest path, and each
 is written to the shared folder.
 """
 
@@ -18,7 +18,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: a > b. Large: what lies above a node joins its smallest neighbour; small: what lies below does."""
     down = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     seen = down.union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else down
-    least = seen.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("w"), F.least("u", "v").alias("m"))
+    least = stored(seen.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("w"), F.least("u", "v").alias("m")), "least")
     joined = seen.join(least, F.col("u") == F.col("w"))
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))

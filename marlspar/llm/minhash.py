@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     keys = classes.select("node", "signature").mapInArrow(_key_rows, "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
+    shared = stored(shared, "shared")  # a join of two plain shuffles, which may be split where a key is common
     hits = stored(keys.join(shared, "key"), "hits")
 
     signs = classes.select("node", "signature", "size")
