@@ -59,6 +59,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM measured
 """
 
+OP3 = r"""
+WITH lines AS (
+  SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS text, regexp_matches(string_split(text, chr(10))[i], '[^\x20\x09-\x0D]') AS full_
+  FROM documents, unnest(range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1)) AS t(i)),
+firsts AS (
+  SELECT text, length(text) AS n, min((doc_id, line)) AS place FROM lines WHERE full_ GROUP BY text),
+near AS (
+  SELECT DISTINCT CASE WHEN a.place > b.place THEN a.text ELSE b.text END AS text
+  FROM firsts a JOIN firsts b ON a.n BETWEEN b.n - 2 AND b.n AND a.text <> b.text AND a.n >= 48 AND levenshtein(a.text, b.text) <= 2),
+judged AS (
+  SELECT l.*, (l.doc_id, l.line) = f.place AS first, m.text IS NOT NULL AS near
+  FROM lines l LEFT JOIN firsts f ON l.full_ AND l.text = f.text LEFT JOIN near m ON l.full_ AND l.text = m.text)
+SELECT d.doc_id, count(j.line) FILTER (full_) AS n_lines, count(j.line) FILTER (full_ AND NOT first) AS n_exact, count(j.line) FILTER (full_ AND first AND near) AS n_near,
+       sha256(coalesce(string_agg(j.text, chr(10) ORDER BY line) FILTER (NOT full_ OR first AND NOT near), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP8 = r"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,

@@ -76,6 +76,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_distribution_quality": oracles.OP2,
+    "op3_line_dedup": oracles.OP3,
     "op4_chat_reply_trees": chat.ORACLE,
     "op5_warc_round_trip": warc.ORACLE,
     "op8_repeated_passages": oracles.OP8,
