@@ -158,6 +158,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     runs = docs.mapInArrow(_run_rows(length, seed), f"doc_id {id_type}, text_hash long, first int, windows int, anchor long, stretch long")
     twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    twice = stored(twice, "twice")  # a join of two plain shuffles, which may be split where an anchor is common
     seeds = stored(runs.join(twice, "anchor"), "seeds")
 
     place = F.struct("doc_id", "text_hash", "first", "windows")
