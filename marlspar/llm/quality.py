@@ -117,26 +117,24 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts; null if either has no count."""
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+def distance(p: Column, n: Column, q: Column, m: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts with their totals; null if either total is 0 or null."""
 
     def plogp(x: Column) -> Column:
         return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
 
-    n, m = total(p), total(q)
-    shares = F.arrays_zip(F.transform(p, lambda x: x / n).alias("x"), F.transform(q, lambda y: y / m).alias("y"))
-    sum_ = F.aggregate(
-        shares, F.lit(0.0), lambda s, z: s + (plogp(z["x"]) + plogp(z["y"])) / 2 - plogp((z["x"] + z["y"]) / 2)
-    )
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(sum_, F.lit(0.0))))
+    # Totals are columns of their own: inside the lambda they would be summed up again for each element.
+    parts = F.zip_with(p, q, lambda x, y: (plogp(x / n) + plogp(y / m)) / 2 - plogp((x / n + y / m) / 2))
+    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total(parts), F.lit(0.0))))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, char_distance, word_distance; docs: doc_id, text, lang."""
-    rows = stored(measured(docs.select("doc_id", "text", "lang")), "measured")
+    rows = stored(measured(docs.select("doc_id", "text", "lang")).withColumn("all_chars", total(F.col("classes"))), "measured")
     sound = rows.filter(~F.col("base_failed") & (F.col("n_words") >= LEAST_COMPARED))
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("counts")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     references = sound.groupBy("lang_key").agg(*sums).select(
@@ -144,11 +142,17 @@ def judged(docs: DataFrame) -> DataFrame:
         F.array(*[f"c{i}" for i in range(7)]).alias("ref_classes"),
         F.array(*[f"w{i}" for i in range(len(WORDS) + 1)]).alias("ref_counts"),
     )
+    references = stored(references.withColumns({"ref_chars": total(F.col("ref_classes")), "ref_words": total(F.col("ref_counts"))}), "references")
     # A language may be wrong, so that of the text's common words counts as well: the nearer reference decides.
-    seen = references.select(F.col("of").alias("also"), F.col("ref_classes").alias("seen_classes"), F.col("ref_counts").alias("seen_counts"))
+    seen = references.select(F.col("of").alias("also"), F.col("ref_classes").alias("seen_classes"), F.col("ref_counts").alias("seen_counts"), F.col("ref_chars").alias("seen_chars"), F.col("ref_words").alias("seen_words"))
     both = rows.join(references, F.col("lang_key") == F.col("of"), "left").join(seen, F.col("lang_seen") == F.col("also"), "left")
-    both = both.withColumn("char_distance", F.least(distance(F.col("classes"), F.col("ref_classes")), distance(F.col("classes"), F.col("seen_classes"))))
-    both = both.withColumn("word_distance", F.least(distance(F.col("counts"), F.col("ref_counts")), distance(F.col("counts"), F.col("seen_counts"))))
+    chars, words = F.col("all_chars"), F.col("n_words").cast("double")
+    both = both.withColumns(
+        {
+            "char_distance": F.least(*[distance(F.col("classes"), chars, F.col(f"{r}_classes"), F.col(f"{r}_chars")) for r in ("ref", "seen")]),
+            "word_distance": F.least(*[distance(F.col("counts"), words, F.col(f"{r}_counts"), F.col(f"{r}_words")) for r in ("ref", "seen")]),
+        }
+    )
     allowance = SHORT_ALLOWANCE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     near = (F.col("char_distance") <= MOST_CHAR_DISTANCE + allowance) & (F.col("word_distance") <= MOST_WORD_DISTANCE + allowance)
     kept = ~F.col("base_failed") & ((F.col("n_words") < LEAST_COMPARED) | F.coalesce(near, F.lit(True)))

@@ -86,7 +86,7 @@ def test_quality_finds_text_unlike_its_language(spark):
     got = {r.doc_id: r for r in quality.judged(docs).collect()}
     assert got[30].char_distance > max(got[i].char_distance for i in range(30)) and not got[30].kept
     p, q = [3.0, 1.0, 0.0], [1.0, 1.0, 2.0]
-    d = spark.range(1).select(quality.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
+    d = spark.range(1).select(quality.distance(F.array(*map(F.lit, p)), F.lit(sum(p)), F.array(*map(F.lit, q)), F.lit(sum(q)))).first()[0]
     from itertools import starmap
 
     x, y = [v / sum(p) for v in p], [v / sum(q) for v in q]
