@@ -104,6 +104,7 @@ def write_pages(pages: DataFrame, folder: str | None = None, least: int = LEAST_
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
     twice = pages.filter(F.col("bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).filter("n > 1")
+    twice = stored(twice, "twice")  # a join of two plain shuffles, which may be split where a payload is common
     rows = pages.join(twice.select(F.col("digest").alias("shared"), "largest"), (F.col("digest") == F.col("shared")) & (F.col("bytes") >= least), "left")
     revisit = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     rows = rows.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("largest")).alias("refers_to"))
