@@ -12,6 +12,13 @@ its own and the e shorter lengths with the substrings that may match (shifts
 limited from both ends). Pairs that share an entry are verified by a banded
 bit-parallel edit distance, many pairs in step.
 
+With ``percent`` the edits grow with the longer line of a pair, which then has
+LEAST_CHARS characters or more. Segments at all shifts would be too many, but
+the longest unchanged stretch of such a pair is known, and both lines choose the
+same q-gram of it by winnowing: their entries are these q-grams, with the lines'
+length and the q-gram's place, and lines that share one are paired if length and
+place fit the edits. So no pair within its edits is missed here either.
+
 Entries are pairs of hashes and sorted by entry within a task, which reads each
 as a stream. An entry with more than MOST_PAIRS pairs is not paired up: its
 lines are dealt to blocks, blocks are compared with each other in separate
@@ -39,7 +46,11 @@ from .runtime import ship, stored
 from .texts import mix, pieces, runs, sequence_hash, sequence_sums
 
 EDITS = 2
+#: Edits a hundred characters of the longer line, for ``rewritten``.
+PERCENT = 5
 LEAST_CHARS = 48
+#: From this length on lines choose longer q-grams, as their unchanged stretch is longer.
+WIDE = 180
 MOST_PAIRS = 4096
 BLOCK = 2048
 #: Lines whose entries a task remembers having sent, so that common lines are not sent again and again.
@@ -108,7 +119,62 @@ def entries(start: np.ndarray, length: np.ndarray, sums, edits: int, least: int)
                 yield some[fit], mix(sequence_hash(sums, where, where + size[fit]) ^ tag).view(np.int64), kind
 
 
-def _entry_rows(edits: int, least: int):
+def allowed(longer, edits: int, percent: int):
+    """Edits allowed to a pair by the length of its longer line."""
+    return np.maximum(edits, np.asarray(longer, np.int64) * percent // 100)
+
+
+def stretch(low: int, high: int, edits: int, percent: int) -> int:
+    """A length of which some stretch stays unchanged if the longer line has low .. high - 1 characters."""
+    n = np.arange(low, high)
+    k = allowed(n, edits, percent)
+    return int((-(-(n - k) // (k + 1))).min())
+
+
+def winnowed(value: np.ndarray, width: int) -> np.ndarray:
+    """Places of the first least value of each window of ``width`` values."""
+    windows = np.lib.stride_tricks.sliding_window_view(value, width)
+    return np.arange(len(windows)) + windows.argmin(axis=1)
+
+
+def slack(edits: int, percent: int, least: int) -> tuple[int, int]:
+    """How far the lengths and the places that ``gram_entries`` packs may be apart within the edits."""
+    share = max(edits / least, percent / 100)
+    return int(np.ceil(-1000 * np.log1p(-share))) + 1, int(np.ceil(256 * share / (1 - share)))
+
+
+def gram_entries(start: np.ndarray, length: np.ndarray, sums, edits: int, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which strings, their entries, 1000 * log of the length and the first and last place in 256ths, packed) for the chosen q-grams."""
+    edge = max(WIDE, least)
+    for number, (low, high) in enumerate(((least, edge), (edge, 16 * edge))):
+        if low == high:
+            continue
+        same = stretch(low, high, edits, percent)
+        size = same // 2 + 1
+        some = np.flatnonzero((length >= low - int(allowed(low, edits, percent))) & (length < high if number == 0 else length > 0))
+        if not len(some):
+            continue
+        counts = length[some] - size + 1
+        owner = np.repeat(np.arange(len(some)), counts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        where = start[some][owner] + place
+        value = mix(sequence_hash(sums, where, where + size) ^ mix(np.uint64([number + 1])))
+        window = same - size + 1
+        picked = np.zeros(len(value), bool)
+        first = winnowed(value, window) if len(value) >= window else np.zeros(0, np.int64)
+        inside = owner[: len(first)] == owner[window - 1 :]  # no window reaches over the end of its line
+        picked[first[inside]] = True
+        chosen = np.flatnonzero(picked)
+        order = chosen[np.lexsort((place[chosen], value[chosen], owner[chosen]))]
+        new = np.flatnonzero(np.r_[True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+        last = np.r_[new[1:], len(order)] - 1
+        which = owner[order][new]
+        n = length[some][which]
+        packed = (np.floor(1000 * np.log(n)).astype(np.int64) << 16) | (place[order][new] * 256 // n << 8) | (place[order][last] * 256 // n)
+        yield some[which], value[order][new].view(np.int64), packed.astype(np.int32)
+
+
+def _entry_rows(edits: int, least: int, percent: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -120,6 +186,10 @@ def _entry_rows(edits: int, least: int):
                 new = np.array([n not in sent for n in nodes.tolist()], bool)
                 sent.update(nodes[new].tolist())
                 chosen = first[new]
+                if percent:
+                    for which, entry, kind in gram_entries(lines.start[chosen], lines.length[chosen], lines.sums, edits, percent, least):
+                        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(lines.high[chosen][which]), pa.array(kind)], names=["entry", "node", "kind"])
+                    continue
                 for which, entry, kind in entries(lines.start[chosen], lines.length[chosen], lines.sums, edits, least):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(entry), pa.array(lines.high[chosen][which]), pa.array(np.full(len(which), kind, np.int32))], names=["entry", "node", "kind"]
@@ -128,7 +198,51 @@ def _entry_rows(edits: int, least: int):
     return run
 
 
-def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fitting(entry: np.ndarray, packed: np.ndarray, apart: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of the same entry whose lengths and places fit; rows are sorted by entry and packed place."""
+    group = np.cumsum(np.r_[True, entry[1:] != entry[:-1]]).astype(np.int64)
+    size, low, high = packed >> 16, (packed >> 8) & 255, packed & 255
+    key = (group << 16) + size
+    end = np.searchsorted(key, key + apart[0], side="right")
+    n = end - np.arange(len(key)) - 1
+    total = np.cumsum(n)
+    begin = 0
+    while begin < len(key):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (1 << 20), side="right")))
+        i = np.repeat(np.arange(begin, stop), n[begin:stop])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:stop] - n[begin:stop] - (total[begin - 1] if begin else 0), n[begin:stop])
+        fit = (low[i] - apart[1] <= high[j]) & (low[j] - apart[1] <= high[i])
+        yield i[fit], j[fit]
+        begin = stop
+
+
+def _gram_candidates(apart: tuple[int, int]):
+    """From rows sorted by entry and packed place: what ``_candidate_rows`` gives."""
+
+    def settle(entry, node, kind, out):
+        packed = kind.astype(np.int64)
+        a, b = [], []
+        for i, j in fitting(entry, packed, apart):
+            differ = node[i] != node[j]
+            a.append(i[differ])
+            b.append(j[differ])
+        i, j = np.concatenate(a), np.concatenate(b)
+        begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(entry)]))
+        many = np.bincount(group[i], minlength=len(begin)) > np.maximum(MOST_PAIRS, 4 * np.bincount(group))
+        if many.any():
+            hot = many[group]
+            yield out(node[hot], entry[hot], kind[hot])
+            stay = ~many[group[i]]
+            i, j = i[stay], j[stay]
+        left, right = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        both = np.unique(np.stack([left, right], axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
+        yield out(both[:, 0], both[:, 1], np.zeros(len(both)))
+
+    return lambda batches: _candidate_rows(batches, settle)
+
+
+def _candidate_rows(batches: Iterator[pa.RecordBatch], settle_with=None) -> Iterator[pa.RecordBatch]:
     """From rows sorted by entry: pairs of lines (a, b), or, for entries with too many, (a, entry as b, kind)."""
 
     def out(a, b, kind) -> pa.RecordBatch:
@@ -138,6 +252,9 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     hot: int | None = None
 
     def settle(entry, node, kind) -> Iterator[pa.RecordBatch]:
+        if settle_with:
+            yield from settle_with(entry, node, kind, out)
+            return
         begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
         several = np.minimum.reduceat(node, begin) != np.maximum.reduceat(node, begin)
         ends = np.r_[begin[1:], len(entry)]
@@ -237,6 +354,45 @@ def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return out
 
 
+def far_within(a: str, b: str, edits: int) -> bool:
+    """Whether two strings are within ``edits`` edits, by whole bit-parallel columns, for more edits than ``within`` takes."""
+    if not a or abs(len(a) - len(b)) > edits:
+        return not a and len(b) <= edits
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    equal = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    up, down, distance = full, 0, len(a)
+    for j, c in enumerate(b):
+        eq = equal.get(c, 0)
+        vertical = eq | down
+        flat = (((eq & up) + up) ^ up) | eq
+        plus, minus = (down | ~(flat | up)) & full, up & flat
+        distance += bool(plus & top) - bool(minus & top)
+        if distance - (len(b) - 1 - j) > edits:
+            return False
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical
+    return distance <= edits
+
+
+def near_pairs(left: list[str], right: list[str], edits: int, percent: int, least: int) -> np.ndarray:
+    """Whether each pair is within the edits allowed to it."""
+    if not percent:
+        return within(left, right, edits)
+    longer = np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64)
+    most = allowed(longer, edits, percent)
+    out = np.zeros(len(left), bool)
+    for k in np.unique(most).tolist():
+        some = np.flatnonzero((most == k) & (longer >= least)).tolist()
+        if k <= 30 and len(some) >= 64:  # few pairs are done faster one by one
+            out[some] = within([left[i] for i in some], [right[i] for i in some], k)
+        else:
+            out[some] = [far_within(left[i], right[i], k) for i in some]
+    return out
+
+
 def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, first, texts = [], [], []
@@ -256,19 +412,20 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
 
 
-def _verified(edits: int):
+def _verified(edits: int, percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            near = np.array([int(np.abs(histogram(x) - histogram(y)).sum()) <= 2 * edits for x, y in zip(left, right)], bool)
+            most = allowed([max(len(x), len(y)) for x, y in zip(left, right)], edits, percent).tolist()
+            near = np.array([int(np.abs(histogram(x) - histogram(y)).sum()) <= 2 * k for x, y, k in zip(left, right, most)], bool)
             some = np.flatnonzero(near)
-            near[some] = within([left[i] for i in some.tolist()], [right[i] for i in some.tolist()], edits)
+            near[some] = near_pairs([left[i] for i in some.tolist()], [right[i] for i in some.tolist()], edits, percent, least)
             yield pa.RecordBatch.from_arrays([batch.column("later").filter(pa.array(near))], names=["node"])
 
     return run
 
 
-def _later_in_blocks(edits: int):
+def _later_in_blocks(edits: int, percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of two blocks of an entry that have an earlier line within the edits among those of the blocks."""
         for group in runs(batches, ("entry", "one", "two")):
@@ -282,6 +439,9 @@ def _later_in_blocks(edits: int):
             gone = np.zeros(len(texts), bool)
             second = np.flatnonzero(part == two[0])
             todo = np.flatnonzero(part == one[0])
+            if percent:
+                _mark_later(texts, nodes, counts, rank, gone, todo, second, edits, percent, least)
+                todo = todo[:0]
             for begin in range(0, len(todo), 16):
                 some = todo[begin : begin + 16]
                 apart = np.abs(counts[some][:, None] - counts[second]).sum(axis=2)
@@ -295,6 +455,22 @@ def _later_in_blocks(edits: int):
     return run
 
 
+def _mark_later(texts, nodes, counts, rank, gone, one, two, edits: int, percent: int, least: int) -> None:
+    """Marks lines with an earlier one within their edits, one of each block; the earliest lines come first, and marked ones are not compared as later ones again."""
+    lengths = np.array(list(map(len, texts)), np.int64)
+    for first, other in ((one, two), (two, one)):
+        first, left = first[np.argsort(rank[first])], other
+        for x in first.tolist():
+            left = left[~gone[left]]
+            near = left[(rank[left] > rank[x]) & (nodes[left] != nodes[x])]
+            longer = np.maximum(lengths[near], lengths[x])
+            most = allowed(longer, edits, percent)
+            near, most = (v[(np.abs(lengths[near] - lengths[x]) <= most) & (longer >= least)] for v in (near, most))
+            near = near[np.abs(counts[near] - counts[x]).sum(axis=1) <= 2 * most]
+            if len(near):
+                gone[near[near_pairs([texts[x]] * len(near), [texts[y] for y in near.tolist()], edits, percent, least)]] = True
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
@@ -314,10 +490,12 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = 0) -> DataFrame:
     """Of documents (doc_id, text, text_hash): doc_id as ``of``, text_hash as ``hash``, and the first lines, with whether they are near copies."""
     if not 0 <= edits <= 15 or least <= edits:
         raise ValueError("0 to 15 edits, and lines with more characters than that")
+    if percent and (not 0 < percent <= 10 or stretch(least, 16 * max(WIDE, least), edits, percent) < 4):
+        raise ValueError("0 to 10 edits a hundred characters, and lines long enough for a stretch of 4 without one")
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -325,8 +503,9 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
     firsts = stored(lines.groupBy("node", "low").agg(F.min(place).alias("first")), "firsts")
 
-    rows = docs.select("text").mapInArrow(_entry_rows(edits, least), "entry long, node long, kind int")
-    candidates = rows.repartition("entry").sortWithinPartitions("entry").mapInArrow(_candidate_rows, "a long, b long, kind int")
+    rows = docs.select("text").mapInArrow(_entry_rows(edits, least, percent), "entry long, node long, kind int")
+    order, pairing = (("entry", "kind"), _gram_candidates(slack(edits, percent, least))) if percent else (("entry",), _candidate_rows)
+    candidates = rows.repartition("entry").sortWithinPartitions(*order).mapInArrow(pairing, "a long, b long, kind int")
     candidates = stored(candidates, "candidates")
     pairs = candidates.filter("kind = 0").select("a", "b").distinct()
     hot = candidates.filter("kind > 0").select(F.col("b").alias("entry"), F.col("a").alias("node"), "kind")
@@ -341,8 +520,8 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
 
     sides = [texts.select(F.col("node").alias(x), F.col("first").alias(f"first_{x}"), F.col("line_text").alias(f"text_{x}")) for x in "ab"]
     later = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("later")
-    near = pairs.join(sides[0], "a").join(sides[1], "b").select("text_a", "text_b", later).mapInArrow(_verified(edits), "node long")
-    near = near.union(_near_of_hot(hot, texts, edits)).distinct()
+    near = pairs.join(sides[0], "a").join(sides[1], "b").select("text_a", "text_b", later).mapInArrow(_verified(edits, percent, least), "node long")
+    near = near.union(_near_of_hot(hot, texts, edits, percent, least)).distinct()
 
     marked = firsts.join(near.select(F.col("node").alias("n"), F.lit(True).alias("near")), F.col("node") == F.col("n"), "left")
     return (
@@ -355,25 +534,26 @@ def _same() -> Column:
     return (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = 0) -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines, n_exact and n_near (lines removed as copies and near copies), kept_sha256, kept_text.
 
     docs: doc_id, text. edits: 0 to 15. least: characters of lines that near copies are looked for of, more than edits.
+    percent: if not 0, that many edits a hundred characters of the longer line, but ``edits`` at least.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    out = docs.join(kept_lines(docs, edits, least), _same(), "left").select("doc_id", "text_hash", "text", "firsts")
+    out = docs.join(kept_lines(docs, edits, least, percent), _same(), "left").select("doc_id", "text_hash", "text", "firsts")
     return out.mapInArrow(_kept_rows, f"doc_id {id_type}, text_hash long, n_lines long, n_exact long, n_near long, kept_sha256 string, kept_text string")
 
 
-def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, without the removed lines; those that lost every line with a word go.
 
     A whole-number column n_chars follows the text.
     """
     names = docs.columns
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    kept = kept_lines(hashed, edits, least)
+    kept = kept_lines(hashed, edits, least, percent)
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("text_hash"))
     joined = whole.join(kept, _same(), "left").select("row", "text", "firsts")
     counted = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
@@ -396,13 +576,13 @@ def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     return joined.mapInArrow(run, docs.schema)
 
 
-def _near_of_hot(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _near_of_hot(hot: DataFrame, texts: DataFrame, edits: int, percent: int, least: int) -> DataFrame:
     lines = hot.groupBy("entry", "node").agg(F.bit_or("kind").alias("kind"))
     blocks = lines.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("entry", "of")
     lines = lines.join(blocks, F.col("entry") == F.col("of"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    lines = lines.select("entry", "node", (F.col("kind").bitwiseAND(INDEX) > 0).alias("held"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lines = lines.select("entry", "node", (F.lit(True) if percent else F.col("kind").bitwiseAND(INDEX) > 0).alias("held"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lines = lines.select("entry", "node", "held", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
     block = ("entry", "one", "two")
     rows = lines.join(texts, "node").repartition(*block).sortWithinPartitions(*block)
-    return rows.mapInArrow(_later_in_blocks(edits), "node long")
+    return rows.mapInArrow(_later_in_blocks(edits, percent, least), "node long")

@@ -144,6 +144,52 @@ def test_line_dedup_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.kept_text) for r in linededup.without_repeated_lines(docs, 2, 12).collect()} == expected
 
 
+def test_line_dedup_by_percent(spark, monkeypatch):
+    """Long lines with a few words exchanged are near copies, of lines beyond 600 characters as well; by blocks and by pairs."""
+    import random
+
+    rng = random.Random(3)
+    letters = "abcdefghij klmnop qrst"
+    rows = []
+    family = {}
+    for n in (47, 60, 79, 120, 171, 180, 240, 660):
+        base = "".join(rng.choice(letters) for _ in range(n))
+        rows.append(base)
+        family[base] = n
+        for k in {0, 1, 2, n // 50, n // 25, n // 20, n // 20 + 1, n // 12}:
+            for _ in range(2):
+                x = list(base)
+                at = [n * (i + 1) // (k + 1) for i in range(k)] if rng.random() < 0.5 else rng.sample(range(n), k)
+                for i in at:
+                    i = min(i, len(x) - 1)
+                    x[i : i + 1] = rng.choice(([], ["X"], [x[i], "Y"]))
+                rows.append("".join(x))
+                family[rows[-1]] = n
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+    def distance(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    near = set()
+    for j, b in enumerate(rows):
+        for a in rows[:j]:
+            longer = max(len(a), len(b))
+            if b not in near and family[a] == family[b] and abs(len(a) - len(b)) <= longer // 20 and longer >= 48 and a != b and distance(a, b) <= longer // 20:
+                near.add(b)
+    expected = {x for x in rows if x not in near}
+    assert {r.text for r in linededup.rewritten(docs).collect()} == expected
+    monkeypatch.setattr(linededup, "MOST_PAIRS", 8)
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    short = docs.filter("length(text) < 130")
+    assert {r.text for r in linededup.rewritten(short).collect()} == {x for x in expected if len(x) < 130}
+
+
 def test_rewritten_keeps_columns(edge_docs):
     out = linededup.rewritten(edge_docs)
     assert out.schema == edge_docs.schema
