@@ -6,9 +6,10 @@ codeword with the least loss, each bit's logistic loss weighted by how reliable
 that bit was in training, so some wrong bits do no harm. A text whose two best
 codewords are nearly as good is flagged as ambiguous.
 
-The classifiers are fitted on a sample of at most SAMPLE labelled documents, in
-even shares of the MOST_LANGUAGES most frequent languages; prediction reads
-every whole text. The model that goes to the executors has a fixed size.
+The classifiers are fitted on a sample of at most SAMPLE labelled documents (or
+one a language, if there are more languages), in even shares of all languages;
+prediction reads every whole text. The model that goes to the executors grows
+with the languages only: by a codeword each, and in bits by their logarithm.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 null languages are not learned from; without any labelled document all texts
@@ -26,14 +27,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import ship
 from .texts import LOWER, pieces, text_bytes
 
 SAMPLE = 2000
-MOST_LANGUAGES = 64
 BUCKETS = 4096
 GRAMS = (1, 2, 3)
 ROUNDS = 150
@@ -110,7 +110,8 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best class, its share in 0..1, and whether the two best are close."""
     margins = x @ model.weights + model.offsets
-    loss = np.logaddexp(0, -margins[:, None, :] * model.code[None]) @ model.trust
+    plus, minus = (np.logaddexp(0, -sign * margins) * model.trust @ (sign * model.code.T > 0) for sign in (1, -1))
+    loss = plus + minus
     share = np.exp(-loss * min(model.code.shape[1], 8))
     share /= share.sum(axis=1, keepdims=True)
     best = share.argmax(axis=1)
@@ -154,18 +155,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def most_rank(share: int, count: int) -> int:
+    """A rank of 64 bits below which ``share`` of ``count`` documents are found but for a chance of less than 1e-15."""
+    return int(min(1.0, (2 * share + 80) / count) * (2**64 - 2**12)) - 2**63
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    labelled = labelled.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("rank").alias("least")).collect()
     if not counts:
         return None
-    share = -(-sample // len(counts))
-    rank = F.xxhash64("doc_id", "text")
-    scale = 1 << 20
-    chosen = F.lit(False)
-    for c in counts:
-        chosen = chosen | ((F.col("lang") == c["lang"]) & (F.pmod(rank, F.lit(scale)) < int(min(1.0, share / c["count"]) * scale)))
-    some = labelled.filter(chosen).orderBy(F.xxhash64("text", "doc_id"), "text").limit(2 * sample).select("lang", "text")
+    share = max(1, sample // len(counts))
+    bounds = [(c["lang"], max(c["least"], most_rank(share, c["n"]))) for c in counts]
+    bounds = docs.sparkSession.createDataFrame(bounds, "of string, most long")
+    few = labelled.join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (F.col("rank") <= F.col("most")))
+    order = [F.col(c) for c in ("rank", "doc_id", "text")]
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= share)
+    some = few.orderBy("lang", "nth").select("lang", "text")
     rows = some.mapInArrow(_feature_rows, "lang string, x binary").collect()
     x = np.ones((len(rows), BUCKETS + 1), np.float32)
     for i, r in enumerate(rows):

@@ -317,6 +317,21 @@ def test_language_id(spark, sf_dir, edge_docs, edge_rows, no_docs):
     assert kept.schema == docs.schema and kept.count() >= 0.99 * docs.count()
 
 
+def test_language_id_learns_every_language(spark):
+    """Of 80 languages of unequal sizes none is left out, nor is one of many documents."""
+    rows = []
+    for i in range(80):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(6)]
+        for n in range(12 if i < 70 else 6):
+            rows.append((len(rows), " ".join("".join(letters[(n + j + k) % 6] for k in range(3)) for j in range(30)), f"l{i:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identified(docs).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+    assert set(got.values()) == {lang for _, _, lang in rows}
+    for count in (10**9, 10**13):
+        assert 25 <= (langid.most_rank(25, count) + 2**63) / 2**64 * count <= 200
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 9, 30):
         code = langid.codewords(n)
