@@ -40,9 +40,28 @@ from .texts import Words, pieces, sequence_hash, sequence_sums, split_words
 LENGTH = 35
 SEED = 8
 
+#: Windows whose anchors are looked for at once; places are packed in _PLACE_BITS relative to the first of them.
+STRETCH = 1 << 22
 _PLACE_BITS = np.uint64(24)
 
 
+def anchors(grams: np.ndarray, spread: int) -> np.ndarray:
+    """The place of the smallest of each ``spread`` hashes (by its high bits), the last one on a tie."""
+    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    out = np.empty(len(grams) - spread + 1, np.int64)
+    for begin in range(0, len(out), STRETCH):
+        some = grams[begin : begin + STRETCH + spread - 1]
+        best = (some & ~low) | (low - np.arange(len(some), dtype=np.uint64))
+        width = 1
+        while width * 2 <= spread:
+            best = np.minimum(best[:-width], best[width:])
+            width *= 2
+        if width < spread:
+            best = np.minimum(best[: len(some) - spread + 1], best[spread - width :])
+        out[begin : begin + STRETCH] = begin + (low - (best & low)).astype(np.int64)
+    return out
+
+
 def _runs(w: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: text, first window, number of windows, anchor and stretch hashes."""
     sums = sequence_sums(w.hashes())
@@ -54,15 +73,7 @@ def _runs(w: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none, sums
     at = np.arange(n - seed + 1)
     grams = sequence_hash(sums, at, at + seed)
-    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-    packed = (grams & ~low) | (low - at.astype(np.uint64))
-    width, best = 1, packed
-    while width * 2 <= spread:
-        best = np.minimum(best[:-width], best[width:])
-        width *= 2
-    if width < spread:
-        best = np.minimum(best[: n - length + 1], best[spread - width :])
-    anchor = (low - (best & low)).astype(np.int64)
+    anchor = anchors(grams, spread)
     text = np.repeat(np.arange(len(sizes)), sizes)[: n - length + 1]
     window = np.arange(n - length + 1)
     inside = window + length <= w.first[text + 1]
