@@ -20,7 +20,10 @@ payload holds very many rows.
 Defined cases: a null payload is empty; a null url leaves out the target; rows
 of equal page_id and payload that has the largest page_id are all responses;
 an empty table gives no file and an empty result; damaged members are skipped.
-Extra columns are not looked at.
+Of foreign records, a missing or malformed Content-Length means all that the
+member holds, a revisit without a readable SHA-1 digest has a null one, and one
+without the payload's length in its HTTP head has a null length. Extra columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ from .runtime import scratch, ship, stored
 
 LEAST_REVISITED = 1000
 SPLIT_BYTES = 16 << 20
+MOST_TASKS = 50_000
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -174,6 +178,20 @@ def _id(value: str | None) -> str | None:
     return value[1:-1] if value else None
 
 
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
+def _sha1(value: str | None) -> str | None:
+    """The hex form of a labelled SHA-1 digest in base 32 or hex."""
+    label, _, digest = (value or "").partition(":")
+    if label.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", digest):
+        return digest.lower()
+    return base64.b32decode(digest.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", digest) else None
+
+
 def _read(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +203,13 @@ def _read(payloads: bool):
                     kind = fields.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
-                    block = rest[: int(fields["content-length"])]
+                    length = _number(fields.get("content-length"))
+                    block = rest.removesuffix(b"\r\n\r\n") if length is None else rest[:length]
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if kind == "response":
                         digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                     else:
-                        digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
-                        size = int(_fields(http).get("content-length", 0))
+                        digest, size = _sha1(fields.get("warc-payload-digest")), _number(_fields(http).get("content-length"))
                     row = {
                         "record_id": _id(fields.get("warc-record-id")), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
                         "payload_digest": digest, "payload_bytes": size, "refers_to": _id(fields.get("warc-refers-to")),
@@ -217,13 +235,16 @@ def _schema(payloads: bool) -> pa.Schema:
 def read_archives(files: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The response and revisit records of archives: record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, payload.
 
-    files: (path, size). Each byte range is a row, so ranges go to tasks as rows do.
+    files: (path, size). Each byte range is a row, and ranges are dealt out to as
+    many tasks, up to MOST_TASKS.
     """
     ship(files.sparkSession)
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin")
     splits = files.select("path", begin).withColumn("end", F.col("begin") + split_bytes)
     types = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string"
-    return splits.repartition("path", "begin").mapInArrow(_read(payloads), types + ", payload binary" * payloads)
+    # The number is given, for a shuffle of so few bytes would otherwise end in one task.
+    ranges = files.agg(F.sum(F.ceil(F.greatest(F.col("size"), F.lit(1)) / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(ranges), MOST_TASKS)).mapInArrow(_read(payloads), types + ", payload binary" * payloads)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

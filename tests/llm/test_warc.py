@@ -38,7 +38,8 @@ def test_round_trip(pages):
 
 
 @pytest.mark.parametrize("split", [1 << 30, 5000, 997, 64])
-def test_every_split_size_reads_each_record_once(spark, pages, tmp_path, split):
+def test_every_split_size_reads_each_record_once(spark, pages, tmp_path, split, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 16)
     files = warc.write_pages(pages.coalesce(2), f"file://{tmp_path}/w")
     got = warc.read_archives(files, split_bytes=split)
     assert Counter(r.record_id for r in got.collect()) == Counter(f"{warc.ID_PREFIX}{r.page_id}" for r in pages.collect())
@@ -66,3 +67,35 @@ def test_only_named_files_count(spark, pages, tmp_path):
     files = warc.write_pages(pages, f"file://{tmp_path}/w")
     (tmp_path / "w" / "left-behind.warc.gz").write_bytes(warc.page_record(77, "u", "x", "response", None))
     assert warc.read_archives(files).filter(F.col("record_id").endswith(":77")).count() == 0
+
+
+def test_ranges_go_to_as_many_tasks(spark, pages, tmp_path):
+    rows = pages.filter("page_id = 8").select(F.explode(F.sequence(F.lit(1), F.lit(40))).alias("page_id"), "url", F.concat("html", F.rand(3).cast("string")).alias("html"))
+    files = warc.write_pages(rows.coalesce(2), f"file://{tmp_path}/w")
+    split = files.agg(F.sum("size")).first()[0] // 12
+    read = warc.read_archives(files, payloads=False, split_bytes=split)
+    assert read.rdd.getNumPartitions() >= 12
+    assert read.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 6
+    assert read.count() == 40
+
+
+def test_foreign_headers(spark, tmp_path):
+    """Records without lengths or digests, or with other forms of them, are read all the same."""
+
+    def member(*lines, block=b""):
+        return gzip.compress("\r\n".join(("WARC/1.0", *lines)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http, body = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n", b"hello"
+    sha = hashlib.sha1(body)
+    records = [
+        member("WARC-Type: response", "WARC-Record-ID: <a>", block=http + body),
+        member("WARC-Type: response", "WARC-Record-ID: <b>", "Content-Length: many", block=http + body),
+        member("WARC-Type: revisit", "WARC-Record-ID: <c>", f"Content-Length: {len(http)}", block=http),
+        member("WARC-Type: revisit", "WARC-Record-ID: <d>", "WARC-Payload-Digest: sha1:" + sha.hexdigest().upper(), "Content-Length: 0"),
+        member("WARC-Type: revisit", "WARC-Payload-Digest: sha256:abc", "Content-Length: 2", block=b"xx"),
+    ]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(records))
+    files = spark.createDataFrame([(f"file://{path}", os.path.getsize(path))], "path string, size long")
+    got = {(r.record_id, r.record_type, r.payload_digest, r.payload_bytes) for r in warc.read_archives(files).collect()}
+    assert got == {("a", "response", sha.hexdigest(), 5), ("b", "response", sha.hexdigest(), 5), ("c", "revisit", None, 5), ("d", "revisit", sha.hexdigest(), None), (None, "revisit", None, None)}
