@@ -12,10 +12,12 @@ and kept up to a bound.
 
 The symbols of many texts are one stream, cut into chunks that are read in step
 with each other. Reading a chunk is a map from the state before it to the state
-and the count after it. A chunk in which a word ends has a constant map for
-what follows that end, so a prefix scan over the maps comes down to the nearest
-such chunk before; chunks within one long word are applied one after the other
-to the one state that reaches them.
+after it. A chunk in which a word ends has a constant map. Of a chunk within one
+long word the map is tabulated for the states that may stand before it: first
+that which the chunk before would lead to from a word's start (nearly always the
+right one, as encodings fall into step), then those that the tables lead to and
+lack. The maps of all chunks compose through a parallel prefix scan, by doubling,
+which gives the state before each chunk; chunks are then read from it in step.
 
 Texts with characters above U+024F are normalised and split by the tokenizer
 library itself, so its Unicode tables hold; the rest is split here. Either way
@@ -183,6 +185,49 @@ class Transducer:
             out = self.table.ravel()[at]
         return out
 
+    def _run(self, grid: np.ndarray, chunks: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The states after the chunks, from states before them."""
+        some = np.ascontiguousarray(grid[chunks].T)
+        for i in range(CHUNK):
+            states = self.step(states, some[i]) >> 6
+        return states
+
+    def _scan(self, grid: np.ndarray, open_: np.ndarray, exits: np.ndarray, before: np.ndarray) -> None:
+        """Set the states before open chunks (those without a word's end) and the chunks behind them.
+
+        exits: the states after all other chunks. A table row is a chunk, a state before it and the state after it.
+        """
+        chunks = np.flatnonzero(open_)
+        first = ~open_[chunks - 1]
+        guess = np.zeros(len(open_), np.int64)
+        guess[chunks] = self._run(grid, chunks, np.zeros(len(chunks), np.int64))
+        new = (chunks << 32) | np.where(first, exits[chunks - 1], guess[chunks - 1])
+        starts = new[first]
+        keys, after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for round_ in range(len(chunks) + 1):
+            results = self._run(grid, new >> 32, new & 0xFFFFFFFF)
+            order = np.argsort(np.r_[keys, new])
+            keys, after = np.r_[keys, new][order], np.r_[after, results][order]
+            inside = open_[np.minimum((keys >> 32) + 1, len(open_) - 1)] & ((keys >> 32) + 1 < len(open_))
+            wanted = (((keys >> 32) + 1) << 32) | after
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            there = inside & (keys[place] == wanted)
+            # Doubling: after k steps all rows are reached that lie within 2 ** k chunks behind a word's first open chunk.
+            jump, reached = np.where(there, place, -1), np.isin(keys, starts)
+            for _ in range(len(chunks).bit_length()):
+                ahead = jump[reached]
+                reached[ahead[ahead >= 0]] = True
+                jump = np.where(jump >= 0, jump[jump], -1)
+            lacking = inside & ~there
+            # Tables are filled for all states at first, then only along the words' own paths, so that the work stays in proportion.
+            new = np.unique(wanted[lacking] if round_ < 3 else wanted[lacking & reached])
+            if not (lacking & reached).any():
+                break
+        at = keys[reached] >> 32
+        before[at] = keys[reached] & 0xFFFFFFFF
+        behind = at + 1 < len(open_)
+        before[at[behind] + 1] = after[reached][behind]
+
     def changes(self, stream: np.ndarray) -> np.ndarray:
         """The change in the number of tokens at each symbol of a stream that begins and ends with whole words."""
         n = len(stream)
@@ -204,20 +249,15 @@ class Transducer:
             to = self.step(states, body[i])
             out[i] = (to & 63) - 32
             states = to >> 6
-        # The state before a chunk is the state after the one before it; chunks without a word's end wait for theirs.
-        exits, waiting = states, np.flatnonzero(head > 0)
-        while len(waiting):
-            ready = waiting[known[waiting - 1]]
-            states = exits[ready - 1]
-            for i in range(int(head[ready].max())):
-                to = self.step(states, np.where(i < head[ready], grid[ready, i], 0))
-                out[i, ready] += (to & 63) - 32
-                states = to >> 6
-            open_ = head[ready] == CHUNK
-            within = ready[open_ & ~known[ready]]
-            exits[within] = states[open_ & ~known[ready]]
-            known[ready] = True
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
+        before = np.r_[0, states[:-1]]
+        if not known.all():
+            self._scan(grid, ~known, states, before)
+        late = np.flatnonzero(head > 0)
+        states = before[late]
+        for i in range(int(head.max())):
+            to = self.step(states, np.where(i < head[late], grid[late, i], 0))
+            out[i, late] += (to & 63) - 32
+            states = to >> 6
         return out.T.ravel()[:n]
 
 
