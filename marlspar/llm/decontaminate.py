@@ -15,15 +15,17 @@ nothing above the threshold is lost.
 A hit is confirmed by overlap in word pairs with the passage, of the question
 and of the answer both. Items of one text have their last third as the answer.
 
-The index is sent to the executors in shards of at most SHARD_SEGMENTS segments;
-more items make more shards, each a pass over the documents, with document
-frequencies and lengths taken over all items.
-
-Defined cases: words are lower-cased and split at white space and ASCII
-punctuation; null and empty texts and items match nothing; items of one word
-match nothing (they have no word pair); rows with equal ids and texts give equal
-hits; without items nothing is contaminated; an empty table gives an empty
-result. Columns other than doc_id and text are passed on untouched.
+Items with the same words are indexed once. The index is sent to the executors
+in shards of at most SHARD_SEGMENTS segments, SHARDS of them with each pass over
+the documents, with document frequencies and lengths taken over all items.
+
+Defined cases: words are lower-cased, character by character and by the same
+function on both sides, and split at white space and ASCII punctuation; null and
+empty texts and items match nothing; an item of two words needs the pair; items
+of one word match nothing (they have no word pair); rows with equal ids and
+texts give equal hits; without items nothing is contaminated; an empty table
+gives an empty result. Columns other than doc_id and text are passed on
+untouched.
 """
 
 from __future__ import annotations
@@ -37,12 +39,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import ship, stored
 from .texts import BETWEEN, mix, pieces, split_words
 
 SEGMENT = 64
 BLOCK = 8
-SHARD_SEGMENTS = 4096
+SHARD_SEGMENTS, SHARDS = 4096, 8
 THRESHOLD = 0.5
 #: Least shares of the question's and the answer's word pairs in the passage.
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
@@ -50,7 +52,6 @@ K1, B = 1.2, 0.75
 
 _PAIR = np.uint64(0xD1342543DE82EF95)
 _EXPANDED = 2_000_000
-_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_pairs(hashes: np.ndarray) -> np.ndarray:
@@ -66,13 +67,13 @@ class Index(NamedTuple):
     segment_at: np.ndarray
     segments: np.ndarray
     impacts: np.ndarray
-    items: list  # of each segment
+    items: list[int]  # of each segment
     questions: list[np.ndarray]  # word pairs of each segment
     answers: list[np.ndarray]
 
 
-def build(segments: list[tuple[object, list[str], int]], frequency: dict[str, int], items: int, mean_words: float) -> Index:
-    """segments: (item_id, words, number of words in the question); frequency: items with the word."""
+def build(segments: list[tuple[int, list[str], int]], frequency: dict[str, int], items: int, mean_words: float) -> Index:
+    """segments: (item, words, number of words in the question); frequency: items with the word."""
     vocabulary = sorted({w for _, words, _ in segments for w in words})
     hashed = split_words(pa.array(vocabulary, pa.string()), between=BETWEEN).hashes()
     order = np.argsort(hashed)
@@ -142,58 +143,86 @@ def retrieve(index: Index, passages: np.ndarray, terms: np.ndarray, threshold: f
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def matches(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> dict[tuple[int, object], tuple[float, float, float]]:
-    """(row, item_id) to the score and the overlaps of the best passage that is confirmed."""
+def matches(shards: list[Index], texts: pa.Array, threshold: float = THRESHOLD) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item) to the score and the overlaps of the best passage that is confirmed."""
     w = split_words(pc.utf8_lower(texts), between=BETWEEN)
     hashes = w.hashes()
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(hashes):
-        return {}
+        return best
     sizes = np.diff(w.first)
     count = np.where(sizes > 0, np.maximum(1, -(-sizes // SEGMENT) - 1), 0)  # passages of each text
     base = np.cumsum(count) - count
-    place = np.searchsorted(index.terms, hashes)
-    known = np.flatnonzero(index.terms[np.minimum(place, len(index.terms) - 1)] == hashes)
-    text = np.repeat(np.arange(len(sizes)), sizes)[known]
-    step = (known - w.first[text]) // SEGMENT
-    late = base[text] + np.minimum(step, count[text] - 1)
-    early = base[text] + np.clip(step - 1, 0, count[text] - 1)
-    vocabulary = len(index.terms)
-    pairs = np.unique(np.r_[late, early] * vocabulary + np.r_[place[known], place[known]])
-    found = retrieve(index, pairs // vocabulary, pairs % vocabulary, threshold)
-    best: dict[tuple[int, object], tuple[float, float, float]] = {}
     owner = np.repeat(np.arange(len(sizes)), count)
-    for passage, segment, score in zip(*(x.tolist() for x in found)):
-        row = int(owner[passage])
-        begin = int(w.first[row]) + (passage - int(base[row])) * SEGMENT
-        seen = word_pairs(hashes[begin : min(begin + 2 * SEGMENT, int(w.first[row + 1]))])
-        shares = [float(np.isin(part, seen).mean()) if len(part) else 0.0 for part in (index.questions[segment], index.answers[segment])]
-        if shares[0] >= QUESTION_OVERLAP and shares[1] >= ANSWER_OVERLAP:
-            key = (row, index.items[segment])
-            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
+    for index in shards:
+        place = np.searchsorted(index.terms, hashes)
+        known = np.flatnonzero(index.terms[np.minimum(place, len(index.terms) - 1)] == hashes)
+        text = np.repeat(np.arange(len(sizes)), sizes)[known]
+        step = (known - w.first[text]) // SEGMENT
+        late = base[text] + np.minimum(step, count[text] - 1)
+        early = base[text] + np.clip(step - 1, 0, count[text] - 1)
+        vocabulary = len(index.terms)
+        pairs = np.unique(np.r_[late, early] * vocabulary + np.r_[place[known], place[known]])
+        found = retrieve(index, pairs // vocabulary, pairs % vocabulary, threshold)
+        for passage, segment, score in zip(*(x.tolist() for x in found)):
+            row = int(owner[passage])
+            begin = int(w.first[row]) + (passage - int(base[row])) * SEGMENT
+            seen = word_pairs(hashes[begin : min(begin + 2 * SEGMENT, int(w.first[row + 1]))])
+            # A question of one word has no pair of its own; the answer's first pair begins with it.
+            shares = [float(np.isin(part, seen).mean()) if len(part) else 1.0 for part in (index.questions[segment], index.answers[segment])]
+            if shares[0] >= QUESTION_OVERLAP and shares[1] >= ANSWER_OVERLAP:
+                key = (row, index.items[segment])
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
     return best
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """The shards of the index of items (item_id, text)."""
-    split = items.select("item_id", F.array_remove(F.split(F.lower("text"), _SPLIT), "").alias("words")).filter(F.size("words") > 1)
-    split = split.withColumn("item", F.monotonically_increasing_id())
-    totals = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.ceil(F.size("words") / SEGMENT)).alias("segments")).first()
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of items, lower-cased and split as those of documents."""
+    for batch in batches:
+        for part in pieces(batch):
+            w = split_words(pc.utf8_lower(part.column("text")), between=BETWEEN)
+            data = w.buf.tobytes()
+            words = [[data[a:b].decode() for a, b in zip(w.starts[i:j].tolist(), w.ends[i:j].tolist())] for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(words, pa.list_(pa.string()))], names=["item_id", "words"])
+
+
+def numbered(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of items (item_id, text): (item_id, item) with one item number for equal words, and (item, words, copies); items of one word are left out."""
+    id_type = items.schema["item_id"].dataType.simpleString()
+    split = stored(items.select("item_id", "text").mapInArrow(_item_words, f"item_id {id_type}, words array<string>").filter(F.size("words") > 1), "items")
+    texts = split.groupBy("words").agg(F.count("*").alias("copies")).withColumn("item", F.monotonically_increasing_id())
+    texts = stored(texts, "item_texts")
+    return split.join(texts, "words").select("item_id", "item").distinct(), texts
+
+
+def indexes(texts: DataFrame) -> Iterator[list[Index]]:
+    """The shards of the index of (item, words, copies), as many at a time as go with one pass."""
+    totals = texts.agg(
+        F.sum("copies").alias("n"), F.sum(F.size("words") * F.col("copies")).alias("words"), F.sum(F.ceil(F.size("words") / SEGMENT)).alias("segments")
+    ).first()
     if not totals["n"]:
         return
+    mean = totals["words"] / totals["n"]
     shards = -(-int(totals["segments"]) // SHARD_SEGMENTS)
-    frequency = split.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
+    frequency = texts.select("copies", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("copies").alias("count"))
+    some: list[Index] = []
     for shard in range(shards):
-        part = split.filter(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard)
+        part = texts.filter(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard)
         own = part.select(F.explode("words").alias("word")).distinct().join(frequency, "word")
         counts = {r["word"]: r["count"] for r in own.collect()}
         segments = []
-        for r in part.select("item_id", "words").orderBy("item_id", "words").collect():
+        for r in part.select("item", "words").orderBy("words").collect():
             n = -(-len(r["words"]) // SEGMENT)
             edges = [len(r["words"]) * i // n for i in range(n + 1)]
             for a, b in zip(edges, edges[1:]):
-                segments.append((r["item_id"], r["words"][a:b], b - a - max(1, (b - a) // 3)))
+                segments.append((r["item"], r["words"][a:b], b - a - max(1, (b - a) // 3)))
         if segments:
-            yield build(segments, counts, totals["n"], totals["mean"])
+            some.append(build(segments, counts, totals["n"], mean))
+        if len(some) == SHARDS:
+            yield some
+            some = []
+    if some:
+        yield some
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,32 +231,34 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ship(spark)
     docs = docs.select("doc_id", "text")
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double"
+    measures = "score double, question_overlap double, answer_overlap double"
+    ids, texts = numbered(items)
     out = None
-    for index in indexes(items.select("item_id", "text")):
-        sent = spark.sparkContext.broadcast(index)
+    for shards in indexes(texts):
+        sent = spark.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch):
-                    found = sorted(matches(sent.value, part.column("text"), threshold).items(), key=lambda x: x[0][0])
-                    ids = part.column("doc_id").take(pa.array([k[0] for k, _ in found], pa.int64()))
+                    found = sorted(matches(sent.value, part.column("text"), threshold).items())
+                    of = part.column("doc_id").take(pa.array([k[0] for k, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([k[1] for k, _ in found]).cast(pa.int64()) if item_type == "bigint" else pa.array([k[1] for k, _ in found])]
-                        + [pa.array([v[i] for _, v in found], pa.float64()) for i in range(3)],
-                        names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                        [of, pa.array([k[1] for k, _ in found], pa.int64())] + [pa.array([v[i] for _, v in found], pa.float64()) for i in range(3)],
+                        names=["doc_id", "item", "score", "question_overlap", "answer_overlap"],
                     )
 
-        rows = docs.mapInArrow(run, schema)
+        rows = docs.mapInArrow(run, f"doc_id {id_type}, item long, {measures}")
         out = rows if out is None else out.union(rows)
-    return out if out is not None else spark.createDataFrame([], schema)
+    if out is None:
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, {measures}")
+    return out.join(ids, "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that contain no item."""
     ship(docs.sparkSession)
-    for index in indexes(items.select("item_id", "text")):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for shards in indexes(numbered(items)[1]):
+        sent = docs.sparkSession.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
