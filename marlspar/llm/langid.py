@@ -124,7 +124,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in pieces(batch):
             x = features(part.column("text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("rank"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "rank", "x"])
 
 
 def _predictions(sent):
@@ -162,7 +162,7 @@ def most_rank(share: int, count: int) -> int:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    labelled = labelled.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("rank").alias("least")).collect()
     if not counts:
         return None
@@ -170,10 +170,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     bounds = [(c["lang"], max(c["least"], most_rank(share, c["n"]))) for c in counts]
     bounds = docs.sparkSession.createDataFrame(bounds, "of string, most long")
     few = labelled.join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (F.col("rank") <= F.col("most")))
-    order = [F.col(c) for c in ("rank", "doc_id", "text")]
-    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= share)
-    some = few.orderBy("lang", "nth").select("lang", "text")
-    rows = some.mapInArrow(_feature_rows, "lang string, x binary").collect()
+    # Texts are read where they are; only features, of one size, are sorted and sent.
+    found = few.select("lang", "rank", "text").mapInArrow(_feature_rows, "lang string, rank long, x binary")
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "x"))).filter(F.col("nth") <= share)
+    rows = found.orderBy("lang", "nth").select("lang", "x").collect()
     x = np.ones((len(rows), BUCKETS + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, :-1] = np.frombuffer(r["x"], np.float16)
