@@ -79,13 +79,18 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     mean score, then length (longer first), then leaf.
     """
     found = paths(nodes)
-    alike = F.col("p.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("p.node") == F.col("n.node"))
-    full = found.alias("p").join(nodes.alias("n"), alike).select("p.conv_id", "p.leaf", "p.steps", "n.role", "n.text", F.coalesce("n.score", F.lit(0.0)).alias("score"))
-    branches = full.groupBy("conv_id", "leaf").agg(F.avg("score").alias("score"), F.max("steps").alias("deepest"))
+
+    def of_node(rows: DataFrame, *columns: str) -> DataFrame:
+        own = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), *columns)
+        return rows.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).drop("c", "n")
+
+    branches = of_node(found, "score").groupBy("conv_id", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("steps").alias("deepest"))
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("deepest"), "leaf")
     ranked = branches.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= best)
     alike = F.col("f.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("f.leaf") == F.col("r.leaf"))
-    return full.alias("f").join(ranked.alias("r"), alike).select("f.conv_id", "r.place", "f.leaf", (F.col("r.deepest") - F.col("f.steps")).alias("depth"), "f.role", "f.text")
+    chosen = found.alias("f").join(ranked.alias("r"), alike).select("f.conv_id", "r.place", "f.leaf", "f.node", (F.col("r.deepest") - F.col("f.steps")).alias("depth"))
+    # Texts are joined to the chosen branches alone.
+    return of_node(chosen, "role", "text").drop("node")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
