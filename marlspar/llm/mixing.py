@@ -119,11 +119,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0, cycle:
 def mixed(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """The documents of the mix with all their columns, and size, source_size, target, taken and copies (how often each is taken).
 
-    Columns of these names in docs are replaced. Rows with equal ids and texts share the largest count among them.
+    Columns of these names in docs are replaced, whatever their case. Rows with equal ids and texts share the largest count among them.
     """
     found = mix(docs, weights, seed).filter("taken > 0").groupBy(F.col("doc_id").alias("of"), F.col("text_md5").alias("hash"))
     found = found.agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "copies")]
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"], F.md5(docs["text"]).alias("text_md5"))
     joined = whole.join(found, (F.col("text_md5") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
     return joined.select("row.*", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).cast("long").alias("copies"))
