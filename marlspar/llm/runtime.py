@@ -15,8 +15,10 @@ _folders: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (single machine)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset, on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="marlspar-")
         _own[spark.sparkContext.applicationId] = root
@@ -50,7 +52,12 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Python workers, and bound what they are handed at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Send this package to the executors once per application, for the Python workers, and bound what they are handed at once.
+
+    Bounds that the session has itself are left as they are.
+    """
+    own = spark.conf.getAll
+    for key, bound in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        if f"spark.sql.execution.arrow.{key}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
     session.ship(spark)
