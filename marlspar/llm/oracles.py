@@ -54,7 +54,8 @@ measured AS (
   FROM keyed k LEFT JOIN reference r ON k.lang_key = r.lang_key LEFT JOIN reference s ON k.lang_seen = s.lang_key)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND (n_words < 50 OR coalesce(char_distance <= 0.22 + 0.6 / sqrt(greatest(n_words, 1)) AND word_distance <= 0.24 + 0.6 / sqrt(greatest(n_words, 1)), true)) AS kept,
+       NOT base_failed AND coalesce(word_chars < 300 OR char_distance <= 0.22 + 0.6 / sqrt(greatest(n_words, 1)), true)
+         AND coalesce(n_words < 80 OR word_distance <= 0.24 + 0.6 / sqrt(greatest(n_words, 1)), true) AS kept,
        round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
 FROM measured
 """

@@ -2,10 +2,12 @@
 
 A document has two histograms, of character classes and of common words. Each
 language's reference is the sum of its documents' histograms, over all those
-that pass the base rules and are long enough. A document is dropped if its
-Jensen-Shannon distance from its language's reference is above a threshold in
-either histogram; the threshold is higher the shorter the text, for the
-histograms of short texts scatter more, and very short ones are not compared.
+that pass the base rules. A document is dropped if its Jensen-Shannon distance
+from its language's reference is above a threshold in either histogram. The
+threshold is higher the shorter the text, for the histograms of short texts
+scatter more, and a histogram of fewer than COMPARED_CHARS characters or
+COMPARED_WORDS words is not compared at all: such a text is judged by the other
+histogram, or by the base rules alone.
 
 Everything is a built-in expression. Texts are read once; the histograms, a few
 numbers a document, are written to the shared folder, and the references are
@@ -37,8 +39,9 @@ WORDS = sorted({w for words in COMMON.values() for w in words})
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: Guards and thresholds of the divergence rule.
-LEAST_COMPARED = 50
+#: Guards of the divergence rule: least characters in words for the one histogram, least words for the other.
+COMPARED_CHARS, COMPARED_WORDS = 300, 80
+#: Thresholds of the divergence rule.
 MOST_CHAR_DISTANCE = 0.22
 MOST_WORD_DISTANCE = 0.24
 #: What a short text may be farther off, over the square root of its number of words: its histogram scatters that much more.
@@ -135,7 +138,7 @@ def distance(p: Column, n: Column, q: Column, m: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, char_distance, word_distance; docs: doc_id, text, lang."""
     rows = stored(measured(docs.select("doc_id", "text", "lang")).withColumn("all_chars", total(F.col("classes"))), "measured")
-    sound = rows.filter(~F.col("base_failed") & (F.col("n_words") >= LEAST_COMPARED))
+    sound = rows.filter(~F.col("base_failed"))
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("counts")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     references = sound.groupBy("lang_key").agg(*sums).select(
         F.col("lang_key").alias("of"),
@@ -154,8 +157,9 @@ def judged(docs: DataFrame) -> DataFrame:
         }
     )
     allowance = SHORT_ALLOWANCE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    near = (F.col("char_distance") <= MOST_CHAR_DISTANCE + allowance) & (F.col("word_distance") <= MOST_WORD_DISTANCE + allowance)
-    kept = ~F.col("base_failed") & ((F.col("n_words") < LEAST_COMPARED) | F.coalesce(near, F.lit(True)))
+    near_chars = (F.col("word_chars") < COMPARED_CHARS) | (F.col("char_distance") <= MOST_CHAR_DISTANCE + allowance)
+    near_words = (F.col("n_words") < COMPARED_WORDS) | (F.col("word_distance") <= MOST_WORD_DISTANCE + allowance)
+    kept = ~F.col("base_failed") & F.coalesce(near_chars, F.lit(True)) & F.coalesce(near_words, F.lit(True))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance"
     )
