@@ -14,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marlspar.schema import RESUME
 from marlspar.session import ship
 
 #: The fields of a structured posting.
@@ -29,11 +31,13 @@ def repaired(answer: str) -> dict:
     return json.loads(flat[flat.index("{") : flat.rindex("}") + 1])
 
 
-def structured(df: DataFrame, key: str, column: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]], fields: Sequence[str] = FIELDS, size: int = 5) -> DataFrame:
-    """key, the fields (text; lists are joined by commas) and error; prompts go to the model in lots of ``size``."""
+def answers(df: DataFrame, key: str, column: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]], size: int = 5, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """key, answer (the object in the model's answer, as JSON), error, raw_text (what the model said, where that is no object).
+
+    Prompts are cut to ``most_chars`` characters and three dots (None: whole) and go to the model in lots of ``size``.
+    """
     ship(df.sparkSession)
     key_type = dict(df.dtypes)[key]
-    schema = f"`{key}` {key_type}, " + ", ".join(f"`{f}` string" for f in fields) + ", error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
@@ -41,23 +45,57 @@ def structured(df: DataFrame, key: str, column: str, factory: Callable[[], Calla
             rows = []
             for begin in range(0, len(batch), size):
                 lot = batch.iloc[begin : begin + size]
-                texts = [t if len(t) <= MOST_CHARS else t[:MOST_CHARS] + "..." for t in lot[column].fillna("")]
+                texts = [t if most_chars is None or len(t) <= most_chars else t[:most_chars] + "..." for t in lot[column].fillna("")]
                 try:
-                    answers = list(model(texts))
-                except Exception as e:
-                    answers = [e] * len(lot)
-                for k, answer in zip(lot[key], answers):
+                    said = list(model(texts))
+                except Exception as e:  # one failed lot is as many error rows
+                    said = [e] * len(lot)
+                for k, answer in zip(lot[key], said):
+                    if isinstance(answer, Exception):
+                        rows.append([k, None, f"{type(answer).__name__}: {answer}", None])
+                        continue
                     try:
-                        if isinstance(answer, Exception):
-                            raise answer
-                        found = repaired(answer)
-                        values = [", ".join(map(str, v)) if isinstance(v := found.get(f), list) else None if v is None else str(v) for f in fields]
-                        rows.append([k, *values, None])
+                        rows.append([k, json.dumps(repaired(answer), ensure_ascii=False), None, None])
                     except Exception as e:
-                        rows.append([k, *[None] * len(fields), f"{type(e).__name__}: {e}"])
-            yield pd.DataFrame(rows, columns=[key, *fields, "error"])
+                        rows.append([k, None, f"{type(e).__name__}: {e}", None if answer is None else str(answer)])
+            yield pd.DataFrame(rows, columns=["key", "answer", "error", "raw_text"])
+
+    rows = df.select(key, column).mapInPandas(run, f"key {key_type}, answer string, error string, raw_text string")
+    return rows.withColumnRenamed("key", key)
+
+
+def structured(
+    df: DataFrame, key: str, column: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]], fields: Sequence[str] = FIELDS, size: int = 5, most_chars: int | None = MOST_CHARS
+) -> DataFrame:
+    """key, the fields (text; lists are joined by commas), error and raw_text; see ``answers`` for the rest."""
+    found = answers(df, key, column, factory, size, most_chars)
+
+    def field(name: str) -> Column:
+        value = F.get_json_object("answer", f"$['{name}']")
+        items = F.array_join(F.from_json(value, "array<string>"), ", ")
+        return F.when(value.startswith("["), items).otherwise(value).alias(name)
+
+    return found.select(key, *[field(f) for f in fields], "error", "raw_text")
+
+
+def resumes(df: DataFrame, key: str, column: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]], size: int = 5) -> DataFrame:
+    """key, resume (as ``schema.RESUME``), error, raw_text, from whole resume texts.
+
+    A mark that is given as ``cgpa/percentage`` is taken for a percentage above 10, else for a CGPA.
+    """
+    found = answers(df, key, column, factory, size, None)
+    school = RESUME["Education"].dataType.elementType
+    loose = T.StructType([T.StructField(f.name, T.ArrayType(T.StructType([*school.fields, T.StructField("cgpa/percentage", T.StringType())]))) if f.name == "Education" else f for f in RESUME.fields])
+    parsed = found.withColumn("resume", F.from_json("answer", loose))
+
+    def settled(e: Column) -> Column:
+        either = e["cgpa/percentage"]
+        percentage = F.regexp_extract(either, r"[0-9]+(\.[0-9]+)?", 0).try_cast("double") > 10
+        marks = {"cgpa": F.coalesce(e["cgpa"], F.when(~percentage, either)), "percentage": F.coalesce(e["percentage"], F.when(percentage, either))}
+        return F.struct(*[marks.get(f.name, e[f.name]).alias(f.name) for f in school.fields])
 
-    return df.select(key, column).mapInPandas(run, schema)
+    whole = F.struct(*[F.transform("resume.Education", settled).alias(f.name) if f.name == "Education" else F.col(f"resume.{f.name}").alias(f.name) for f in RESUME.fields])
+    return parsed.select(key, F.when(F.col("answer").isNotNull(), whole).alias("resume"), "error", "raw_text")
 
 
 def skills(c: Column, known: Sequence[str]) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,92 @@ def cards(df: DataFrame, column: str, keys: list[str], tag: str | None = None, n
     return df.select(*keys, column).mapInPandas(run, schema)
 
 
+class Part(NamedTuple):
+    """A part of a card: its tag (None: any), class names of which the first that is there counts, and an attribute (None: the text)."""
+
+    tag: str | None = None
+    names: tuple[str, ...] = ()
+    attribute: str | None = None
+
+
+class _Cards(HTMLParser):
+    """Cards with the first element of each class name of each part; a card within a card is a card of its own."""
+
+    def __init__(self, card: Part, parts: dict[str, Part]):
+        super().__init__(convert_charrefs=True)
+        self.card, self.parts = card, parts
+        self.cards: list[dict] = []
+        self.open: list[tuple[str, int | None, list[dict]]] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        names = (attrs.get("class") or "").split()
+        inside = next((i for _, i, _ in reversed(self.open) if i is not None), None)
+        collecting = []
+        if inside is not None:
+            for part, want in self.parts.items():
+                for rank, name in enumerate(want.names or (None,)):
+                    key = (part, rank)
+                    if want.tag in (None, tag) and (name is None or name in names) and key not in self.cards[inside]:
+                        self.cards[inside][key] = found = {"text": [], "attributes": attrs}
+                        collecting.append(found)
+        index = None
+        if self.card.tag in (None, tag) and (not self.card.names or any(n in names for n in self.card.names)):
+            self.cards.append({})
+            index = len(self.cards) - 1
+        if tag in _VOID:
+            return
+        self.open.append((tag, index, collecting))
+        self.hidden += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        for place in range(len(self.open) - 1, -1, -1):
+            if self.open[place][0] == tag:
+                self.hidden -= sum(t in ("script", "style") for t, _, _ in self.open[place:])
+                del self.open[place:]
+                return
+
+    def handle_data(self, data):
+        if not self.hidden and (text := data.strip()):
+            for _, _, collecting in self.open:
+                for found in collecting:
+                    found["text"].append(text)
+
+
+def parted(html: str | None, card: Part, parts: dict[str, Part]) -> list[dict[str, str | None]]:
+    """The cards of a page, each with its parts; a part that isn't there is None."""
+    parser = _Cards(card, parts)
+    parser.feed(html or "")
+    parser.close()
+    out = []
+    for found in parser.cards:
+        row = {}
+        for part, want in parts.items():
+            hits = [found[part, i] for i in range(max(1, len(want.names))) if (part, i) in found]
+            row[part] = None if not hits else hits[0]["attributes"].get(want.attribute) if want.attribute else "\n".join(hits[0]["text"])
+        out.append(row)
+    return out
+
+
+def card_rows(df: DataFrame, column: str, keys: list[str], card: Part, parts: dict[str, Part], required: Sequence[str] = ()) -> DataFrame:
+    """A row for each card: the key columns, its position, and its parts as strings. Cards that lack a required part are skipped."""
+    ship(df.sparkSession)
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["position int"] + [f"`{p}` string" for p in parts])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for values, page in zip(batch[keys].itertuples(index=False, name=None), batch[column]):
+                for position, found in enumerate(parted(page, card, parts)):
+                    if all(found[p] is not None for p in required):
+                        rows.append([*values, position, *found.values()])
+            yield pd.DataFrame(rows, columns=[*keys, "position", *parts])
+
+    return df.select(*keys, column).mapInPandas(run, schema)
+
+
 def section_text(lines: Column, headings: list[str]) -> Column:
     """For each heading, the line after the first line that holds it in any ASCII case; joined by blank lines, else ``Not available``."""
     upper = F.transform(lines, lambda x: F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))

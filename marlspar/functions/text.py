@@ -92,6 +92,11 @@ def page_urls(base: Column, pages: int = 10) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(pages)), lambda n: F.when(n > 1, F.concat(base, F.lit("-"), n.cast("string"))).otherwise(base))
 
 
+def offset_urls(base: Column, most: int, size: int = 25) -> Column:
+    """The addresses of as many result pages as ``most`` rows fill, by the offset of the first row of each."""
+    return F.transform(F.sequence(F.lit(0), F.lit(max(0, most - 1)), F.lit(size)), lambda n: F.concat(base, F.lit("&start="), n.cast("string")))
+
+
 def callback(c: Column) -> Column:
     """``action:index:chat`` as a struct; parts that are missing or no numbers are null."""
     parts = F.split(c, ":")
@@ -111,6 +116,14 @@ def job_card(job) -> Column:
     )
 
 
+def job_card_markdown(job) -> Column:
+    """The message of a posting in Markdown; ``job`` maps a column name to a column."""
+    return F.concat(
+        F.lit("*"), printed(job("job_title")), F.lit("* at *"), printed(job("company_name")), F.lit("*\nLocation: "), printed(job("location")),
+        F.lit("\nExperience: "), printed(job("experience")), F.lit("\n[Apply here]("), printed(job("job_link")), F.lit(")"),
+    )
+
+
 def query_text(expertise: Column, skills: Column, city: Column | str) -> Column:
     """Expertise, skills and city of a user, with spaces between."""
     return F.concat_ws(" ", F.array_join(expertise, " "), F.array_join(skills, " "), city if isinstance(city, Column) else F.lit(city))

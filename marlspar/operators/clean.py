@@ -67,3 +67,11 @@ def cleaned(df: DataFrame, recipe: Recipe, as_of: str) -> DataFrame:
             "yoe": experience.bounds(F.col(recipe.experience_from), recipe.family),
         }
     )
+
+
+def site_slice(df: DataFrame, **wanted: str | Sequence[str]) -> DataFrame:
+    """The rows that a site's own filters would show: each named column has one of the values, in any case."""
+    for column, values in wanted.items():
+        values = [values] if isinstance(values, str) else values
+        df = df.filter(F.lower(F.col(column)).isin([v.lower() for v in values]))
+    return df

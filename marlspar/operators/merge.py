@@ -44,20 +44,24 @@ def with_defaults(df: DataFrame, compat: bool = False) -> DataFrame:
     return df.select(*keep, *out)
 
 
-def numbered(df: DataFrame, rank: str = "file_rank", seq: str = "seq", name: str = "job_indx", chunk: int = CHUNK) -> DataFrame:
-    """Dense numbers from 0 in order of (rank, seq), seq being a whole number that is unique within a rank.
+def numbered(df: DataFrame, rank: str = "file_rank", seq: str = "seq", name: str = "job_indx", chunk: int = CHUNK, ties: Sequence[str] = ()) -> DataFrame:
+    """Dense numbers from 0 in order of (rank, seq, ties); seq is a whole number, unique within a rank or told apart by the ties.
 
     No global sort: rows are numbered within chunks of seq, and each chunk
-    starts behind the counts of those before it, a small table.
+    starts behind the counts of those before it, a small table: sequences that
+    leave gaps, such as hashes, are cut into no more than as many chunks as
+    their rows would fill, and a thousand more.
     """
-    part = F.floor(F.col(seq) / chunk)
+    spans = df.groupBy(rank).agg(F.min(seq).alias("_least"), F.greatest(F.lit(float(chunk)), (F.max(seq) - F.min(seq) + 1) / (F.count("*") / chunk + 1000)).alias("_width"))
+    df = df.join(spans.select(F.col(rank).alias("_span"), "_least", "_width"), F.col(rank) == F.col("_span"))
+    part = F.floor((F.col(seq) - F.col("_least")) / F.col("_width"))
     df = df.withColumn("_part", part)
     counts = df.groupBy(rank, "_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy(rank, "_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(rank).alias("_rank"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     joined = df.join(starts, (F.col(rank) == F.col("_rank")) & (F.col("_part") == F.col("_of")))
-    within = Window.partitionBy(rank, "_part").orderBy(seq)
-    return joined.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_rank", "_of", "_part", "_start")
+    within = Window.partitionBy(rank, "_part").orderBy(seq, *ties)
+    return joined.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_rank", "_of", "_part", "_start", "_span", "_least", "_width")
 
 
 def valid_and_rejected(df: DataFrame, raw_date: str = "Posted_date") -> tuple[DataFrame, DataFrame]:

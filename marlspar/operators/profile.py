@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,13 @@ def largest_number(df: DataFrame, column: str) -> DataFrame:
 def removed(before: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """How many rows a delete by key takes away, as ``n_deleted``."""
     return before.join(keys, on, "left_semi").agg(F.count("*").alias("n_deleted"))
+
+
+def timed(stages: Sequence[tuple[str, Callable[[], DataFrame]]]) -> list[tuple[str, int, float]]:
+    """Runs each stage in turn, counting its rows: (name, rows, seconds)."""
+    out = []
+    for name, stage in stages:
+        begin = time.perf_counter()
+        rows = stage().count()
+        out.append((name, rows, time.perf_counter() - begin))
+    return out

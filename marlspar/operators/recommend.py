@@ -54,6 +54,11 @@ def recommended_job(documents: DataFrame, job_indx: Column | int) -> DataFrame:
     return documents.select("chat_id", F.get(hits, F.lit(0)).alias("document"))
 
 
+def newest_first(df: DataFrame, most: int, date: str = "Posted_date", ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The ``most`` newest rows; those without a date stand last, ties by the given columns."""
+    return df.orderBy(F.col(date).desc_nulls_last(), *ties).limit(most)
+
+
 def mail_context(requests: DataFrame, recommended: DataFrame, users: DataFrame) -> DataFrame:
     """Requests (chat_id, job_indx) with the recommended job and the user's resume; others go."""
     return requests.join(recommended, ["chat_id", "job_indx"]).join(users, "chat_id")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from marlspar.session import ship
 
-#: Bytes of query vectors that go to the executors at once; more are handled in turns.
+#: Bytes of query vectors that go to the executors at once, and of distances that a task holds for them; more queries are handled in turns.
 MOST_SENT = 64 << 20
+MOST_HELD = 256 << 20
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -31,20 +32,29 @@ def nearest(items: DataFrame, query: Sequence[float], k: int = 500, id_column: s
     return found.withColumn("rank", F.row_number().over(Window.orderBy("d2", id_column)))
 
 
+def upserted_nearest(existing: DataFrame, new: DataFrame, query: Sequence[float], k: int = 2, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Items replaced and added by id, then the k nearest of what is there now."""
+    kept = existing.join(new.select(id_column).distinct(), id_column, "left_anti")
+    return nearest(kept.unionByName(new), query, k, id_column, vector)
+
+
 def nearest_to_each(
     items: DataFrame, queries: DataFrame, k: int = 500, id_column: str = "vec_id", vector: str = "embedding", query_id: str = "chat_id", query_vector: str = "query"
 ) -> DataFrame:
     """The k items nearest to each query: query id, item id, d2 (6 decimals), rank.
 
-    Blocks of queries of at most MOST_SENT bytes go to the executors, one block
-    after the other. A task multiplies each batch of items with the block and
-    keeps its k best of each query; only these are shuffled, to be merged.
+    Blocks of queries of at most MOST_SENT bytes, and no more of them than have
+    room for k distances and ids each in MOST_HELD bytes, go to the executors,
+    one block after the other. A task multiplies each batch of items with the
+    block and keeps its k best of each query; only these are shuffled, to be
+    merged.
     """
     ship(items.sparkSession)
     id_type, query_type = dict(items.dtypes)[id_column], dict(queries.dtypes)[query_id]
     schema = f"{query_id} {query_type}, {id_column} {id_type}, d2 double"
     dims = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("d")).first()
-    blocks = max(1, -(-int(dims["n"] or 0) * int(dims["d"] or 1) * 8 // MOST_SENT))
+    n = int(dims["n"] or 0)
+    blocks = max(1, -(-n * int(dims["d"] or 1) * 8 // MOST_SENT), -(-n * (k + 256) * 16 // MOST_HELD))
     out = None
     for block in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).select(query_id, query_vector).toArrow()
@@ -84,9 +94,11 @@ def _best_of_task(sent, k: int, id_column: str, vector: str, query_id: str):
         if not ids:
             return
         every = pa.chunked_array(ids).combine_chunks()
-        for row in range(len(names)):
-            near = pa.array(best_i[row])
-            count = len(near)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(count, row))), every.take(near), pa.array(best_d[row])], names=[query_id, id_column, "d2"])
+        width = best_i.shape[1]
+        some = max(1, (1 << 16) // width)  # queries of a batch
+        for begin in range(0, len(names), some):
+            near, far = best_i[begin : begin + some], best_d[begin : begin + some]
+            of = np.repeat(np.arange(begin, begin + len(near)), width)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), every.take(pa.array(near.ravel())), pa.array(far.ravel())], names=[query_id, id_column, "d2"])
 
     return run

@@ -29,8 +29,11 @@ def ingest(sources: Mapping[str, DataFrame | None], as_of: str, across_sources:
     rows = merge.with_defaults(rows)
     if across_sources:
         rows = dedup.keep_first(rows, ["id"], ["file_rank", "seq", "text", "job_link"])
-    rows = rows.withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.pmod(F.xxhash64(*[c for c in rows.columns if c != "yoe"]), F.lit(1 << 40))))
-    return merge.numbered(rows).drop("file_rank", "seq")
+    # Rows without a place are dealt out by hash; equal hashes stand in the order of what the rows hold.
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("file_rank", "seq")]), F.lit(1 << 40))
+    rows = rows.withColumn("seq", F.coalesce(F.col("seq").cast("long"), spread))
+    ties = [c for c in rows.columns if c not in ("file_rank", "seq")]
+    return merge.numbered(rows, ties=ties).drop("file_rank", "seq")
 
 
 def recommend_and_page(users: DataFrame, jobs: DataFrame, start: int = 0, k: int = recommend.K) -> DataFrame:
@@ -38,6 +41,15 @@ def recommend_and_page(users: DataFrame, jobs: DataFrame, start: int = 0, k: int
     return recommend.page(recommend.recommend(users, jobs, k), start)
 
 
+def update(users: DataFrame, jobs: DataFrame, path: str, start: int = 0, k: int = recommend.K) -> DataFrame:
+    """Recommend anew to the users, overwrite what is stored for them (with nothing, where nothing fits), and give back the page of what is stored."""
+    from marlspar.sources import sinks
+
+    sinks.upsert_by_key(recommend.recommend(users, jobs, k), path, keys=users.select("chat_id"))
+    stored = users.sparkSession.read.parquet(path).drop("key_bucket").join(users.select("chat_id").distinct(), "chat_id", "left_semi")
+    return recommend.page(stored, start)
+
+
 def mail(requests: DataFrame, recommended: DataFrame, users: DataFrame, kind: str = "cold_mail") -> DataFrame:
     """chat_id, job_indx and the prompt of each request whose job and user are there."""
     from marlspar.functions.extract import mail_prompt

@@ -38,7 +38,7 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "chat_id"):
     )
 
 
-def to_memory(stream: DataFrame, name: str) -> None:
-    """Run to the end of what is there, into a temporary table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run to the end of what is there, into a table of files, and read that back."""
+    accumulate(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -80,8 +80,8 @@ def test_streams(spark, tmp_path):
     for i in range(3):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps([{"k": f"k{i % 2}", "ts": f"2024-01-01 00:0{i}:00"}]))
     stream = streams.postings(spark, str(tmp_path / "in"), schema)
-    streams.to_memory(streams.without_repeats(stream, ["k"], "ts"), "seen")
-    assert sorted(r.k for r in spark.table("seen").collect()) == ["k0", "k1"]
+    seen = streams.to_table(streams.without_repeats(stream, ["k"], "ts"), str(tmp_path / "seen"), str(tmp_path / "cp0"))
+    assert sorted(r.k for r in seen.collect()) == ["k0", "k1"]
     streams.accumulate(streams.postings(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     (tmp_path / "in" / "9.json").write_text(json.dumps([{"k": "k9", "ts": "2024-01-01 00:09:00"}]))
     streams.accumulate(streams.postings(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
