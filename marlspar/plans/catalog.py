@@ -12,21 +12,8 @@ from pyspark.sql import types as T
 
 from marlspar.functions import experience, extract, html, text
 from marlspar.operators import dedup, merge, profile, recommend, users, vectors
-from marlspar.session import table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
+from marlspar.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from marlspar.session import scratch, table
 
 #: Experience strings that meet every rule, in SQL that Spark and DuckDB both read.
 EXP_TEXT = """CASE p_partkey % 16
@@ -296,9 +283,9 @@ _D2 = "round(list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), CAST({b} AS
 _KNN = f"""SELECT e.vec_id, {_D2.format(a='e.embedding', b='q.embedding')} AS d2 FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"""
 
 
-@query(f"SELECT vec_id, d2, row_number() OVER (ORDER BY d2, vec_id) AS rank FROM ({_KNN}) ORDER BY d2, vec_id LIMIT 100")
+@query(f"SELECT vec_id, d2, row_number() OVER (ORDER BY d2, vec_id) AS rank FROM ({_KNN}) ORDER BY d2, vec_id LIMIT {recommend.K}")
 def knn_topk(spark, sf_dir):
-    found = vectors.nearest(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), k=100)
+    found = vectors.nearest(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), k=recommend.K)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -311,31 +298,33 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_JOBS}, near AS (SELECT * FROM ({_KNN}) WHERE vec_id IN (SELECT vec_id FROM jobs) ORDER BY d2, vec_id LIMIT 100)
+    f"""WITH {_JOBS}, near AS (SELECT * FROM ({_KNN}) WHERE vec_id IN (SELECT vec_id FROM jobs) ORDER BY d2, vec_id LIMIT {recommend.K})
 SELECT vec_id, d2, lo, hi FROM near JOIN jobs USING (vec_id) WHERE 8 BETWEEN lo AND hi"""
 )
 def knn_then_band(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
-    near = vectors.nearest(jobs, _first_vector(spark, sf_dir), k=100).join(jobs.select("vec_id", "yoe"), "vec_id")
+    near = vectors.nearest(jobs, _first_vector(spark, sf_dir), k=recommend.K).join(jobs.select("vec_id", "yoe"), "vec_id")
     return recommend.band(near, 8.0).select("vec_id", "d2", F.col("yoe.lo").alias("lo"), F.col("yoe.hi").alias("hi"))
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer as a user; the vector is that of the embedding with the key modulo 500."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.col("c_nationkey").cast("double").alias("years"), (F.col("c_custkey") % 500).alias("vec_id"))
-    return c.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("query")), "vec_id").select("chat_id", "years", "query")
+    """Every customer as a user; the vector is that of the embedding with the key modulo the number of embeddings."""
+    items = table(spark, sf_dir, "embeddings")
+    place = (F.col("c_custkey") % F.lit(items.count())).alias("vec_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.col("c_nationkey").cast("double").alias("years"), place)
+    return c.join(items.select("vec_id", F.col("embedding").alias("query")), "vec_id").select("chat_id", "years", "query")
 
 
 _RECOMMENDED = f"""WITH {_JOBS}, items AS (SELECT vec_id, embedding, lo, hi FROM embeddings JOIN jobs USING (vec_id)),
-d AS (SELECT u.vec_id AS q, e.vec_id, {_D2.format(a='e.embedding', b='u.embedding')} AS d2 FROM embeddings u, items e WHERE u.vec_id < 500),
-near AS (SELECT q, vec_id, d2, row_number() OVER (PARTITION BY q ORDER BY d2, vec_id) AS place FROM d QUALIFY place <= 25),
-kept AS (SELECT c_custkey AS chat_id, n.vec_id, d2, place FROM customer JOIN near n ON c_custkey % 500 = q JOIN jobs j ON j.vec_id = n.vec_id WHERE c_nationkey BETWEEN lo AND hi),
+d AS (SELECT u.vec_id AS q, e.vec_id, {_D2.format(a='e.embedding', b='u.embedding')} AS d2 FROM embeddings u, items e WHERE u.vec_id IN (SELECT c_custkey % (SELECT count(*) FROM embeddings) FROM customer)),
+near AS (SELECT q, vec_id, d2, row_number() OVER (PARTITION BY q ORDER BY d2, vec_id) AS place FROM d QUALIFY place <= {recommend.K}),
+kept AS (SELECT c_custkey AS chat_id, n.vec_id, d2, place FROM customer JOIN near n ON c_custkey % (SELECT count(*) FROM embeddings) = q JOIN jobs j ON j.vec_id = n.vec_id WHERE c_nationkey BETWEEN lo AND hi),
 ranked AS (SELECT chat_id, vec_id, d2, row_number() OVER (PARTITION BY chat_id ORDER BY place) AS rank FROM kept)
 """
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recommend.recommend(_users(spark, sf_dir), _jobs(spark, sf_dir), k=25)
+    found = recommend.recommend(_users(spark, sf_dir), _jobs(spark, sf_dir), k=recommend.K)
     return found.select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
@@ -501,8 +490,7 @@ def stream_dedup(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     stream = streams.without_repeats(streams.events(spark, sf_dir, schema, "events.parquet"), ["user_id", "event_type"], "ts", "3650 days")
-    streams.to_memory(stream.select("user_id", "event_type"), "stream_dedup")
-    return spark.table("stream_dedup")
+    return streams.to_table(stream.select("user_id", "event_type"), scratch(spark, "seen"), scratch(spark, "seen_checkpoint"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts, event_id LIMIT 1")
@@ -512,14 +500,14 @@ def point_lookup(spark, sf_dir):
     return users.lookup(events, "event_type", first, [F.col("ts"), F.col("event_id")]).drop("ts")
 
 
-@query("SELECT c_custkey AS chat_id, min(o_orderkey) AS job_indx FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+@query("SELECT o_custkey AS chat_id, o_orderkey AS job_indx, o_orderstatus AS status FROM orders QUALIFY o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey)")
 def nested_lookup(spark, sf_dir):
-    """A recommendation found inside a user's array of documents."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderkey").alias("job_indx"), "o_orderstatus", F.col("o_orderkey").alias("rank"))
-    docs = recommend.as_documents(rows.withColumn("page_content", F.col("o_orderstatus")), "page_content", ["job_indx", "o_orderstatus"])
-    hits = F.filter("job_recommendation", lambda d: d["metadata"]["o_orderstatus"] == "F")
-    found = docs.select("chat_id", F.get(hits, F.lit(0))["metadata"]["job_indx"].alias("job_indx"))
-    return found.filter("job_indx IS NOT NULL").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id")), "chat_id", "left_semi")
+    """The recommendation of a job number inside each user's array of documents."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderkey").alias("job_indx"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("rank"))
+    docs = recommend.as_documents(rows, "status", ["job_indx", "status"])
+    asked = rows.groupBy("chat_id").agg(F.max("job_indx").alias("asked"))
+    found = recommend.recommended_job(docs.join(asked, "chat_id"), F.col("asked"))
+    return found.select("chat_id", "document.metadata.*")
 
 
 @query("SELECT p_partkey, CAST(floor(p_partkey / 10) AS BIGINT) AS batch FROM part")

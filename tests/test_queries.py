@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 from marlspar.functions.html import elements
-from marlspar.plans import catalog
+from marlspar.plans import catalog, roundtrips  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -17,7 +17,7 @@ def listed(folder):
 
 def test_entry_points_without_the_subpackage(tmp_path):
     """With both folders deleted, the corpus pipeline left in place or not, the engine's queries are listed and nothing else."""
-    from marlspar.plans import catalog
+    from marlspar.plans import catalog, roundtrips  # noqa: F401
 
     kept = shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse")
     shutil.copytree(REPO, tmp_path / "repo", ignore=kept)
