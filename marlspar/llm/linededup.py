@@ -1,28 +1,31 @@
 """Line dedup: exact copies by hash, near copies by a segment-partition edit join.
 
 Lines are compared over all documents. Of equal lines the first stays, in order
-of doc_id, text hash and line number. A line of LEAST_CHARS characters or more
-also goes if some earlier line is within ``edits`` edits of it, whether that one
-stays or not, so the outcome does not depend on the order of comparisons.
-
-Two strings within e edits: cut one into e + 1 segments, and one of these stands
-unchanged in the other, shifted by at most e. So each line is indexed by its
-segments, with its length and the segment's number, and probes the indexes of
-its own and the e shorter lengths with the substrings that may match (shifts
-limited from both ends). Pairs that share an entry are verified by a banded
-bit-parallel edit distance, many pairs in step.
-
-With ``percent`` the edits grow with the longer line of a pair, which then has
-LEAST_CHARS characters or more. Segments at all shifts would be too many, but
-the longest unchanged stretch of such a pair is known, and both lines choose the
-same q-gram of it by winnowing: their entries are these q-grams, with the lines'
-length and the q-gram's place, and lines that share one are paired if length and
-place fit the edits. So no pair within its edits is missed here either.
-
-Entries are pairs of hashes and sorted by entry within a task, which reads each
-as a stream. An entry with more than MOST_PAIRS pairs is not paired up: its
-lines are dealt to blocks, blocks are compared with each other in separate
-tasks, and only links leave them.
+of doc_id, text hash and line number. A line also goes if some earlier line is
+within the edits allowed to the two, whether that one stays or not, so the
+outcome does not depend on the order of comparisons. An edit inserts, deletes or
+replaces one word (a run of characters other than space and 0x09-0x0D), and
+``percent`` edits a hundred words of the longer line are allowed: none below 13
+words for 8 percent, and then lines are near copies only if their words are
+equal and the white space between them isn't.
+
+Two sequences within e edits: cut one into e + 1 segments, and one of these
+stands unchanged in the other, shifted by at most e. While e is at most SHIFTED,
+each line is indexed by its segments, with its length and the segment's number,
+and probes the indexes of its own and the e shorter lengths with the runs of
+words that may match (shifts limited from both ends). Their number grows with
+e ** 2 a length, so longer lines take from each stretch as long as a segment the
+run of words whose hash is least: both lines choose the same one in the segment
+that is unchanged, wherever it stands. No pair within its edits is missed either
+way, and nothing depends on how many lines share a run of words.
+
+Entries carry the class of their line's length, are sorted and read as a
+stream. Lines of an entry in one or two neighbouring classes are dealt to the
+first of them, so a line has a row for each such first line and not for each of
+its pairs. The lines of a first line
+are compared in the task that holds them, by counts of words and then by banded
+bit-parallel edit distance, many pairs in step; only lines that go leave it. Of
+many lines, blocks are compared with each other in separate tasks.
 
 Defined cases: a null or empty text has no lines; lines without a word always
 stay and are not counted; rows with equal ids and texts are one document, and
@@ -39,438 +42,365 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import ship, stored
-from .texts import mix, pieces, runs, sequence_hash, sequence_sums
-
-EDITS = 2
-#: Edits a hundred characters of the longer line, for ``rewritten``.
-PERCENT = 5
-LEAST_CHARS = 48
-#: From this length on lines choose longer q-grams, as their unchanged stretch is longer.
-WIDE = 180
-MOST_PAIRS = 4096
-BLOCK = 2048
+from .texts import BYTE, byte_hash, mix, pieces, powers, sequence_hash, sequence_sums, split_words, whole_runs
+
+#: Edits a hundred words of the longer line.
+PERCENT = 8
+#: Most edits for which segments are probed at all shifts.
+SHIFTED = 2
+#: Words of a run that is looked up, at least, where the unchanged stretch has as many.
+SELECTIVE = 5
+#: Lines of a block, and rows compared in one go.
+BLOCK, ROWS = 2048, 16384
 #: Lines whose entries a task remembers having sent, so that common lines are not sent again and again.
 REMEMBERED = 400_000
 
-INDEX, PROBE = 1, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
+_OTHER_BASE, _OTHER_BYTE = np.uint64(0xC2B2AE3D27D4EB4F), mix(BYTE ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+#: Bits of an entry that hold the class of its line's length.
+LEVEL_BITS = 16
 
 
 class Lines:
-    """The lines with a word of some texts, with prefix sums of their characters' hashes."""
-
-    def __init__(self, texts: list[str | None]):
-        self.row, self.number, kept = [], [], []
-        for row, text in enumerate(texts):
-            for number, line in enumerate((text or "").split("\n")):
-                if _WORD.search(line):
-                    self.row.append(row)
-                    self.number.append(number)
-                    kept.append(line)
-        self.text = kept
-        codes = np.frombuffer("\n".join(kept).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, kept), np.int64, len(kept))
-        self.end = np.cumsum(lengths + 1) - 1
-        self.start = self.end - lengths
-        self.length = lengths
-        wide = codes.astype(np.uint64)
-        self.sums = sequence_sums(mix(wide + np.uint64(1)))
-        self.high = sequence_hash(self.sums, self.start, self.end).view(np.int64)
-        other = sequence_sums(mix(wide ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        self.low = sequence_hash(other, self.start, self.end).view(np.int64)
+    """The lines with a word of some texts: text and number of each, 64 bits of its bytes, and its words."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = words = split_words(texts)
+        self.byte_sums = words.byte_sums()
+        newline = np.flatnonzero(words.buf == 10)
+        first = np.unique(np.searchsorted(words.starts, np.r_[words.offsets, newline + 1]))
+        self.first = first[first < len(words.starts)]
+        self.length = np.diff(np.r_[self.first, len(words.starts)])
+        at = words.starts[self.first]
+        self.row = np.searchsorted(words.offsets, at, side="right") - 1
+        begin, limit = words.offsets[self.row], words.offsets[self.row + 1]
+        before = np.searchsorted(newline, at)
+        in_text = np.searchsorted(newline, begin)
+        self.number = before - in_text
+        breaks = np.r_[-1, newline, len(words.buf)]  # break i stands before line i of all texts together
+        self.start = np.where(before > in_text, breaks[before] + 1, begin)
+        self.end = np.minimum(breaks[before + 1], limit)
+        self.node = self._finished(byte_hash(self.byte_sums, self.start, self.end))
+
+    def _finished(self, hashes: np.ndarray) -> np.ndarray:
+        return mix(hashes + (self.end - self.start).astype(np.uint64)).view(np.int64)
+
+    def low(self) -> np.ndarray:
+        """64 more bits of the lines' bytes."""
+        buf = self.words.buf
+        up, down = powers(_OTHER_BASE, len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_OTHER_BYTE[buf] * up[: len(buf)], out=sums[1:])
+        return self._finished(byte_hash((sums, down), self.start, self.end))
+
+    def run_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums for the hashes of runs of words."""
+        return sequence_sums(self.words.hashes(self.byte_sums))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            lines = Lines(part.column("text").to_pylist())
-            rows = pa.array(lines.row, pa.int64())
+            lines = Lines(part.column("text"))
+            rows = pa.array(lines.row)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(lines.number, pa.int32()), pa.array(lines.high), pa.array(lines.low)],
+                [part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(lines.number.astype(np.int32)), pa.array(lines.node), pa.array(lines.low())],
                 names=["doc_id", "text_hash", "line", "node", "low"],
             )
 
 
+def allowed(longer, percent: int):
+    """Edits allowed to a pair by the words of its longer line."""
+    return longer * percent // 100
+
+
 def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Begin and length of each segment of strings of the lengths; later segments take what is left over."""
+    """Begin and length of each segment of sequences of the lengths; later segments take what is left over."""
     size, longer = length // parts, length % parts
     return [(i * size + np.maximum(0, i - (parts - longer)), size + (i >= parts - longer)) for i in range(parts)]
 
 
-def entries(start: np.ndarray, length: np.ndarray, sums, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(which strings, their entries, kind) for each place of a segment in the index and of a probe."""
-    everyone = np.arange(len(length))
+def shifted_entries(first: np.ndarray, length: np.ndarray, sums, edits: int, least: int, below: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which lines, their entries) for each place of a segment, for pairs whose longer line has ``least`` to ``below`` - 1 words."""
     for shorter in range(edits + 1):
-        some = everyone[length - shorter >= least]
+        probing = np.flatnonzero((length >= least) & (length < below) & (length > shorter))
+        # A line that is only the shorter one of such a pair is in the index alone.
+        some = np.r_[probing, np.flatnonzero((length >= least - edits) & (length < least) & (length > 0))] if not shorter else probing
+        indexed = length[some] < least
         target = length[some] - shorter
         for i, (begin, size) in enumerate(segments(target, edits + 1)):
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 at = begin + shift
-                fit = (at >= 0) & (at + size <= length[some]) & (size > 0)
-                where = start[some[fit]] + at[fit]
-                tag = mix((target[fit] * 64 + i).astype(np.uint64))
-                kind = INDEX | PROBE if shorter == 0 and shift == 0 else PROBE
-                yield some[fit], mix(sequence_hash(sums, where, where + size[fit]) ^ tag).view(np.int64), kind
-
+                fit = (at >= 0) & (at + size <= length[some]) & (size > 0) & (~indexed | (shift == 0))
+                where = first[some[fit]] + at[fit]
+                tag = mix(((target[fit] * 64 + edits) * 64 + i).astype(np.uint64))
+                yield some[fit], mix(sequence_hash(sums, where, where + size[fit]) ^ tag).view(np.int64)
 
-def allowed(longer, edits: int, percent: int):
-    """Edits allowed to a pair by the length of its longer line."""
-    return np.maximum(edits, np.asarray(longer, np.int64) * percent // 100)
 
-
-def stretch(low: int, high: int, edits: int, percent: int) -> int:
-    """A length of which some stretch stays unchanged if the longer line has low .. high - 1 characters."""
-    n = np.arange(low, high)
-    k = allowed(n, edits, percent)
+def stretch(least: int, below: int, percent: int) -> int:
+    """Words of which some stretch stays unchanged if the longer line has ``least`` to ``below`` - 1 words."""
+    n = np.arange(least, below)
+    k = allowed(n, percent)
     return int((-(-(n - k) // (k + 1))).min())
 
 
-def winnowed(value: np.ndarray, width: int) -> np.ndarray:
-    """Places of the first least value of each window of ``width`` values."""
-    windows = np.lib.stride_tricks.sliding_window_view(value, width)
-    return np.arange(len(windows)) + windows.argmin(axis=1)
-
-
-def slack(edits: int, percent: int, least: int) -> tuple[int, int]:
-    """How far the lengths and the places that ``gram_entries`` packs may be apart within the edits."""
-    share = max(edits / least, percent / 100)
-    return int(np.ceil(-1000 * np.log1p(-share))) + 1, int(np.ceil(256 * share / (1 - share)))
+def chosen_entries(first: np.ndarray, length: np.ndarray, sums, percent: int, least: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which lines, their entries): the run of words of least hash of every unchanged stretch there may be."""
+    same = stretch(least, below if below else 64 * least, percent)
+    size = max(min(SELECTIVE, same), same // 2)
+    window = same - size + 1
+    some = np.flatnonzero((length >= least - allowed(least, percent)) & ((length < below) if below else True) & (length >= same))
+    if not len(some):
+        return some, np.zeros(0, np.int64)
+    counts = length[some] - size + 1
+    owner = np.repeat(np.arange(len(some)), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    where = first[some][owner] + place
+    value = mix(sequence_hash(sums, where, where + size) ^ mix(np.uint64([least])))
+    whole = max(0, len(value) - window + 1)
+    inside = owner[:whole] == owner[window - 1 :]  # no window reaches over the end of its line
+    least_of = value[:whole].copy()
+    for i in range(1, window):
+        np.minimum(least_of, value[i : i + whole], out=least_of)
+    picked = np.zeros(len(value), bool)
+    for i in range(window):
+        picked[i : i + whole] |= (value[i : i + whole] == least_of) & inside
+    return some[owner[picked]], value[picked].view(np.int64)
+
+
+def classes(percent: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(edits, least, below) of the lengths whose segments are probed at all shifts, and (least, below) of longer ones; 0: no end."""
+    least = [next(n for n in range(1, 10**4) if allowed(n, percent) >= e) if e else 1 for e in range(SHIFTED + 2)]
+    longer = [n for n in range(least[-1], 4 * least[-1]) if stretch(n, 64 * n, percent) > stretch(max(least[-1], n - 1), 64 * n, percent)]
+    return [(e, least[e], least[e + 1]) for e in range(SHIFTED + 1)], list(zip([least[-1], *longer], [*longer, 0]))
+
+
+def levels(size: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of lengths; lengths that fit the edits are of one class or of two that follow one another."""
+    return np.floor(np.log(size) / -np.log1p(-percent / 100)).astype(np.int64)
+
+
+def _entry_rows(percent: int):
+    short, long = classes(percent)
 
-
-def gram_entries(start: np.ndarray, length: np.ndarray, sums, edits: int, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(which strings, their entries, 1000 * log of the length and the first and last place in 256ths, packed) for the chosen q-grams."""
-    edge = max(WIDE, least)
-    for number, (low, high) in enumerate(((least, edge), (edge, 16 * edge))):
-        if low == high:
-            continue
-        same = stretch(low, high, edits, percent)
-        size = same // 2 + 1
-        some = np.flatnonzero((length >= low - int(allowed(low, edits, percent))) & (length < high if number == 0 else length > 0))
-        if not len(some):
-            continue
-        counts = length[some] - size + 1
-        owner = np.repeat(np.arange(len(some)), counts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        where = start[some][owner] + place
-        value = mix(sequence_hash(sums, where, where + size) ^ mix(np.uint64([number + 1])))
-        window = same - size + 1
-        picked = np.zeros(len(value), bool)
-        first = winnowed(value, window) if len(value) >= window else np.zeros(0, np.int64)
-        inside = owner[: len(first)] == owner[window - 1 :]  # no window reaches over the end of its line
-        picked[first[inside]] = True
-        chosen = np.flatnonzero(picked)
-        order = chosen[np.lexsort((place[chosen], value[chosen], owner[chosen]))]
-        new = np.flatnonzero(np.r_[True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
-        last = np.r_[new[1:], len(order)] - 1
-        which = owner[order][new]
-        n = length[some][which]
-        packed = (np.floor(1000 * np.log(n)).astype(np.int64) << 16) | (place[order][new] * 256 // n << 8) | (place[order][last] * 256 // n)
-        yield some[which], value[order][new].view(np.int64), packed.astype(np.int32)
-
-
-def _entry_rows(edits: int, least: int, percent: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                lines = Lines(part.column("text").to_pylist())
-                nodes, first = np.unique(lines.high, return_index=True)
+                lines = Lines(part.column("text"))
+                nodes, at = np.unique(lines.node, return_index=True)
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 new = np.array([n not in sent for n in nodes.tolist()], bool)
                 sent.update(nodes[new].tolist())
-                chosen = first[new]
-                if percent:
-                    for which, entry, kind in gram_entries(lines.start[chosen], lines.length[chosen], lines.sums, edits, percent, least):
-                        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(lines.high[chosen][which]), pa.array(kind)], names=["entry", "node", "kind"])
-                    continue
-                for which, entry, kind in entries(lines.start[chosen], lines.length[chosen], lines.sums, edits, least):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(entry), pa.array(lines.high[chosen][which]), pa.array(np.full(len(which), kind, np.int32))], names=["entry", "node", "kind"]
-                    )
+                at = at[new]
+                first, length, sums = lines.first[at], lines.length[at], lines.run_sums()
+                found = [x for e, least, below in short for x in shifted_entries(first, length, sums, e, least, below)]
+                found += [chosen_entries(first, length, sums, percent, least, below) for least, below in long]
+                which, entry = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                entry = (entry >> LEVEL_BITS << LEVEL_BITS) | levels(length, percent)[which]
+                order = np.lexsort((entry, which))  # a line that repeats itself has its entries once
+                which, entry = which[order], entry[order]
+                once = np.r_[True, (entry[1:] != entry[:-1]) | (which[1:] != which[:-1])][: len(entry)]
+                yield pa.RecordBatch.from_arrays([pa.array(entry[once]), pa.array(lines.node[at][which[once]])], names=["entry", "node"])
 
     return run
 
 
-def fitting(entry: np.ndarray, packed: np.ndarray, apart: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of the same entry whose lengths and places fit; rows are sorted by entry and packed place."""
-    group = np.cumsum(np.r_[True, entry[1:] != entry[:-1]]).astype(np.int64)
-    size, low, high = packed >> 16, (packed >> 8) & 255, packed & 255
-    key = (group << 16) + size
-    end = np.searchsorted(key, key + apart[0], side="right")
-    n = end - np.arange(len(key)) - 1
-    total = np.cumsum(n)
-    begin = 0
-    while begin < len(key):
-        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (1 << 20), side="right")))
-        i = np.repeat(np.arange(begin, stop), n[begin:stop])
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:stop] - n[begin:stop] - (total[begin - 1] if begin else 0), n[begin:stop])
-        fit = (low[i] - apart[1] <= high[j]) & (low[j] - apart[1] <= high[i])
-        yield i[fit], j[fit]
-        begin = stop
-
-
-def _gram_candidates(apart: tuple[int, int]):
-    """From rows sorted by entry and packed place: what ``_candidate_rows`` gives."""
-
-    def settle(entry, node, kind, out):
-        packed = kind.astype(np.int64)
-        a, b = [], []
-        for i, j in fitting(entry, packed, apart):
-            differ = node[i] != node[j]
-            a.append(i[differ])
-            b.append(j[differ])
-        i, j = np.concatenate(a), np.concatenate(b)
-        begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
-        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(entry)]))
-        many = np.bincount(group[i], minlength=len(begin)) > np.maximum(MOST_PAIRS, 4 * np.bincount(group))
-        if many.any():
-            hot = many[group]
-            yield out(node[hot], entry[hot], kind[hot])
-            stay = ~many[group[i]]
-            i, j = i[stay], j[stay]
-        left, right = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        both = np.unique(np.stack([left, right], axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
-        yield out(both[:, 0], both[:, 1], np.zeros(len(both)))
-
-    return lambda batches: _candidate_rows(batches, settle)
-
-
-def _candidate_rows(batches: Iterator[pa.RecordBatch], settle_with=None) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by entry: pairs of lines (a, b), or, for entries with too many, (a, entry as b, kind)."""
-
-    def out(a, b, kind) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(kind, np.int32))], names=["a", "b", "kind"])
-
-    entry, node, kind = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    hot: int | None = None
-
-    def settle(entry, node, kind) -> Iterator[pa.RecordBatch]:
-        if settle_with:
-            yield from settle_with(entry, node, kind, out)
-            return
-        begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
-        several = np.minimum.reduceat(node, begin) != np.maximum.reduceat(node, begin)
-        ends = np.r_[begin[1:], len(entry)]
-        a, b = [], []
-        for x, y in zip(begin[several].tolist(), ends[several].tolist()):
-            held = np.unique(node[x:y][(kind[x:y] & INDEX) > 0])
-            probing = np.unique(node[x:y])
-            if len(held) * len(probing) > MOST_PAIRS:
-                yield out(node[x:y], entry[x:y], kind[x:y])
-                continue
-            left, right = np.repeat(probing, len(held)), np.tile(held, len(probing))
-            apart = left != right
-            a.append(np.minimum(left[apart], right[apart]))
-            b.append(np.maximum(left[apart], right[apart]))
-        if a:
-            yield out(np.concatenate(a), np.concatenate(b), np.zeros(sum(map(len, a))))
-
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by entry and node: (pivot, node) for each line behind the first of its length class or the class before."""
+    last = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # entries and first lines of the last two classes
     for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("entry", "node", "kind")]
-        if hot is not None:
-            n = int(np.searchsorted(columns[0], hot, side="right"))
-            yield out(columns[1][:n], columns[0][:n], columns[2][:n])
-            columns = [c[n:] for c in columns]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
-        hot = None
-        entry, node, kind = (np.r_[x, y] for x, y in zip((entry, node, kind), columns))
-        last = int(np.searchsorted(entry, entry[-1]))
-        if last:
-            yield from settle(entry[:last], node[:last], kind[:last])
-        entry, node, kind = entry[last:], node[last:], kind[last:]
-        if len(entry) > 4 * MOST_PAIRS:
-            hot = int(entry[0])
-            yield out(node, entry, kind)
-            entry, node, kind = entry[:0], node[:0], kind[:0]
-    if len(entry):
-        yield from settle(entry, node, kind)
-
-
-def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
-    """Whether each pair is within ``edits`` edits, by a bit-parallel edit distance in a band of 2 * edits + 1 diagonals.
-
-    A pair's bits are the rows j - edits .. j + edits of column j. Bits of
-    ``up`` and ``down`` mark vertical steps of +1 and -1, already in place for
-    the next column. The distance is followed down the lowest diagonal to the
-    last row, then along that row.
+        entry, node = (np.r_[x, batch.column(c).to_numpy()] for x, c in zip(last, ("entry", "node")))
+        begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+        count = np.diff(np.r_[begin, len(entry)])
+        head, key = node[begin], entry[begin]
+        # Entries differ in their last bits alone where only the length class does.
+        follows = np.r_[False, (key[1:] - key[:-1] == 1) & (key[1:] >> LEVEL_BITS == key[:-1] >> LEVEL_BITS)]
+        before = np.where(follows, np.r_[0, head[:-1]], head)
+        runs_ = np.flatnonzero((count > 1) | follows)  # most entries are of one line alone
+        rows = np.repeat(begin[runs_] - np.cumsum(count[runs_]) + count[runs_], count[runs_]) + np.arange(count[runs_].sum())
+        of = np.repeat(runs_, count[runs_])
+        pivots, nodes = np.r_[head[of], before[of]], np.tile(node[rows], 2)
+        told = np.tile(rows >= len(last[0]), 2) & (pivots != nodes)
+        order = np.lexsort((nodes[told], pivots[told]))
+        pivots, nodes = pivots[told][order], nodes[told][order]
+        once = np.r_[True, (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])][: len(pivots)]
+        yield pa.RecordBatch.from_arrays([pa.array(pivots[once]), pa.array(nodes[once])], names=["pivot", "node"])
+        last = [x[begin[-2:]] for x in (entry, node)]
+
+
+def within(left: list[np.ndarray], right: list[np.ndarray], edits: np.ndarray) -> np.ndarray:
+    """Whether each pair of sequences is within its edits, by a bit-parallel edit distance in a band of 2 * most edits + 1 diagonals.
+
+    A pair's bits are the rows j - most .. j + most of column j, and the bits of
+    all pairs stand side by side in one long integer, with a free bit at least
+    after each pair's for the carry. Bits of ``up`` and ``down`` mark vertical
+    steps of +1 and -1, already in place for the next column. The distance is
+    followed down the lowest diagonal to the last row, then along that row.
     """
     out = np.zeros(len(left), bool)
-    lengths = np.array([[len(x), len(y)] for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    if not len(left):
+        return out
+    most = int(edits.max())
+    width = 2 * most + 1
+    lengths = np.array([[len(x), len(y)] for x, y in zip(left, right)], np.int64)
     todo = np.flatnonzero(np.abs(lengths[:, 0] - lengths[:, 1]) <= edits)
     todo = todo[np.argsort(lengths[todo, 1], kind="stable")]
-    width = 2 * edits + 1
-    full, weight = np.int64((1 << width) - 1), 1 << np.arange(width)
+    size = width // 8 + 1  # bytes of a pair
+
+    def bits(x: np.ndarray) -> int:
+        return int.from_bytes(x.tobytes(), "little")
+
+    def bytes_of(x: int, pairs: int) -> np.ndarray:
+        return np.frombuffer(x.to_bytes(pairs * size, "little"), np.uint8).reshape(pairs, size)
+
+    def bit(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (x[np.arange(len(x)), at >> 3] >> (at & 7)).astype(np.int64) & 1
+
     begin = 0
     while begin < len(todo):
         end, longest = begin, 0
-        while end < len(todo) and (end == begin or (end + 1 - begin) * max(longest, int(lengths[todo[end]].max())) <= 1 << 20):
+        while end < len(todo) and (end == begin or (end + 1 - begin) * max(longest + width, int(lengths[todo[end]].max())) <= 1 << 20):
             longest = max(longest, int(lengths[todo[end]].max()))
             end += 1
         some = todo[begin:end]
         begin = end
         m, n = lengths[some, 0], lengths[some, 1]
-        rows = np.zeros((len(some), longest + 2 * edits + 1), np.uint32)
-        columns = np.zeros((len(some), longest + 1), np.uint32)
+        rows = np.full((len(some), longest + width), -1, np.int32)
+        columns = np.full((len(some), longest + 1), -2, np.int32)
         for k, i in enumerate(some.tolist()):
-            rows[k, edits : edits + m[k]] = np.frombuffer(left[i].encode("utf-32-le"), np.uint32) + 1
-            columns[k, : n[k]] = np.frombuffer(right[i].encode("utf-32-le"), np.uint32) + 1
-        columns[columns == 0] = np.uint32(0xFFFFFFFF)
-        up = np.full(len(some), full & ~np.int64((1 << edits) - 1), np.int64)
-        down = np.zeros(len(some), np.int64)
-        distance = np.full(len(some), edits, np.int64)
-        for j in range(int(n.max(initial=0))):
-            same = (rows[:, j : j + width] == columns[:, j : j + 1]) @ weight
+            rows[k, most : most + m[k]] = left[i]
+            columns[k, : n[k]] = right[i]
+        field = np.zeros((len(some), 8 * size), np.uint8)
+        field[:, :width] = 1
+        full = bits(np.packbits(field, axis=1, bitorder="little"))
+        field[:, :most] = 0
+        up, down = bits(np.packbits(field, axis=1, bitorder="little")), 0
+        field[:] = 0
+        distance = np.where(m < most, m, most)
+        lowest, shift = (width - 1) >> 3, (width - 1) & 7  # where the lowest diagonal's bit is
+        shortest, first_end = int(m.min()), int(n.min())
+        for j in range(int(n.max())):
+            np.equal(rows[:, j : j + width], columns[:, j : j + 1], out=field[:, :width].view(bool))
+            same = bits(np.packbits(field, axis=1, bitorder="little"))
             zero = ((((same & up) + up) ^ up) | same | down) & full
-            plus = (down | ~(zero | up)) & full
+            plus = down | (full ^ (zero | up))
             minus = zero & up
-            bit = m - (j + 1) + edits  # of the last row
-            diagonal = bit >= width - 1
-            step = np.where(
-                diagonal, 1 - ((zero >> (width - 1)) & 1), ((plus >> np.clip(bit, 0, width)) & 1) - ((minus >> np.clip(bit, 0, width)) & 1)
-            )
-            short = (m < edits) & (j == 0)
-            if short.any():
-                distance[short] = m[short]
-            distance += np.where(j < n, step, 0)
-            up = (minus | ~((zero >> 1) | plus)) & full
-            down = (zero >> 1) & plus
+            step = 1 - ((bytes_of(zero, len(some))[:, lowest] >> shift) & 1).astype(np.int64)
+            if j + 1 > shortest - most:  # some pairs follow their last row by now
+                last = m - (j + 1) + most  # the bit of the last row
+                at = np.clip(last, 0, width - 1)
+                step = np.where(last >= width - 1, step, bit(bytes_of(plus, len(some)), at) - bit(bytes_of(minus, len(some)), at))
+            distance += step if j < first_end else np.where(j < n, step, 0)
+            moved = (zero >> 1) & full
+            up, down = minus | (full ^ (moved | plus)), moved & plus
             if j % 8 == 7:
                 # Along a diagonal the distance never falls, and diagonals side by side differ by 1 at most.
-                lost = diagonal & (distance > 2 * edits - (m - n))
+                lost = (m - (j + 1) + most >= width - 1) & (distance > edits[some] + most - (m - n))
                 if 4 * lost.sum() > len(lost):
                     stay = ~lost
-                    some, m, n, rows, columns, up, down, distance = (x[stay] for x in (some, m, n, rows, columns, up, down, distance))
+                    full, up, down = (bits(bytes_of(x, len(some))[stay]) for x in (full, up, down))
+                    some, m, n, rows, columns, field, distance = (x[stay] for x in (some, m, n, rows, columns, field, distance))
                     if not len(some):
                         break
-        out[some] = distance <= edits
+                    shortest, first_end = int(m.min()), int(n.min())
+        out[some] = distance <= edits[some]
     return out
 
 
-def far_within(a: str, b: str, edits: int) -> bool:
-    """Whether two strings are within ``edits`` edits, by whole bit-parallel columns, for more edits than ``within`` takes."""
-    if not a or abs(len(a) - len(b)) > edits:
-        return not a and len(b) <= edits
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    places: dict[str, bytearray] = {}
-    for i, c in enumerate(a):
-        places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
-    equal = {c: int.from_bytes(x, "little") for c, x in places.items()}
-    up, down, distance = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = equal.get(c, 0)
-        vertical = eq | down
-        flat = (((eq & up) + up) ^ up) | eq
-        plus, minus = (down | ~(flat | up)) & full, up & flat
-        distance += bool(plus & top) - bool(minus & top)
-        if distance - (len(b) - 1 - j) > edits:
-            return False
-        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
-        up, down = (minus | ~(vertical | plus)) & full, plus & vertical
-    return distance <= edits
-
-
-def near_pairs(left: list[str], right: list[str], edits: int, percent: int, least: int) -> np.ndarray:
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Whether each pair is within the edits allowed to it."""
-    if not percent:
-        return within(left, right, edits)
-    longer = np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64)
-    most = allowed(longer, edits, percent)
+    most = allowed(np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64), percent)
     out = np.zeros(len(left), bool)
-    for k in np.unique(most).tolist():
-        some = np.flatnonzero((most == k) & (longer >= least)).tolist()
-        if k <= 30 and len(some) >= 64:  # few pairs are done faster one by one
-            out[some] = within([left[i] for i in some], [right[i] for i in some], k)
-        else:
-            out[some] = [far_within(left[i], right[i], k) for i in some]
+    scale = np.ceil(np.log2(np.maximum(most, 0.5))).astype(np.int64)
+    for k in np.unique(scale).tolist():
+        some = np.flatnonzero(scale == k).tolist()
+        out[some] = within([left[i] for i in some], [right[i] for i in some], most[some])
     return out
 
 
 def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, first, texts = [], [], []
+        nodes, lows, first, texts = [], [], [], []
         for row in batch.to_pylist():
             lines = row["text"].split("\n")
             for x in row["wanted"]:
                 nodes.append(x["node"])
+                lows.append(x["low"])
                 first.append({"none": row["doc_id"] is None, "doc_id": row["doc_id"], "text_hash": row["text_hash"], "line": x["line"]})
                 texts.append(lines[x["line"]])
         id_type = batch.schema.field("doc_id").type
         place = pa.struct([("none", pa.bool_()), ("doc_id", id_type), ("text_hash", pa.int64()), ("line", pa.int32())])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(first, place), pa.array(texts, pa.string())], names=["node", "first", "line_text"])
-
-
-def histogram(text: str) -> np.ndarray:
-    """Counts of a line's characters, by code modulo 64. An edit moves at most one count down and one up."""
-    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
-
-
-def _verified(edits: int, percent: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            most = allowed([max(len(x), len(y)) for x, y in zip(left, right)], edits, percent).tolist()
-            near = np.array([int(np.abs(histogram(x) - histogram(y)).sum()) <= 2 * k for x, y, k in zip(left, right, most)], bool)
-            some = np.flatnonzero(near)
-            near[some] = near_pairs([left[i] for i in some.tolist()], [right[i] for i in some.tolist()], edits, percent, least)
-            yield pa.RecordBatch.from_arrays([batch.column("later").filter(pa.array(near))], names=["node"])
-
-    return run
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(lows, pa.int64()), pa.array(first, place), pa.array(texts, pa.string())], names=["node", "low", "first", "line_text"]
+        )
 
 
-def _later_in_blocks(edits: int, percent: int, least: int):
+def _later_pairs(group: np.ndarray, place: np.ndarray, alive, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of a group in rows sorted by group, j alive when its pair is due: the first row of each group with all others, then ever more rows."""
+    begin, end = 0, 1
+    while True:
+        left = np.flatnonzero((place >= begin) & (place < end))
+        if not len(left):
+            return
+        at = 0
+        while at < len(left):
+            right = np.flatnonzero(alive())
+            low = np.searchsorted(right, left[at:], side="right")
+            n = np.searchsorted(group[right], group[left[at:]], side="right") - low
+            some = max(1, int(np.searchsorted(np.cumsum(n), most, side="right")))
+            n, low = n[:some], low[:some]
+            i = np.repeat(left[at : at + some], n)
+            yield i, right[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            at += some
+        begin, end = end, 2 * end
+
+
+def _later_lines(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lines of two blocks of an entry that have an earlier line within the edits among those of the blocks."""
-        for group in runs(batches, ("entry", "one", "two")):
-            one, two, part = (group.column(c).to_numpy() for c in ("one", "two", "part"))
-            held, nodes = np.array(group.column("held").to_pylist(), bool), group.column("node").to_numpy()
-            texts = group.column("line_text").to_pylist()
-            firsts = [(f["none"], 0 if f["doc_id"] is None else f["doc_id"], f["text_hash"], f["line"]) for f in group.column("first").to_pylist()]
-            rank = np.empty(len(firsts), np.int64)
-            rank[sorted(range(len(firsts)), key=firsts.__getitem__)] = np.arange(len(firsts))
-            counts = np.array([histogram(t) for t in texts], np.int32)
-            gone = np.zeros(len(texts), bool)
-            second = np.flatnonzero(part == two[0])
-            todo = np.flatnonzero(part == one[0])
-            if percent:
-                _mark_later(texts, nodes, counts, rank, gone, todo, second, edits, percent, least)
-                todo = todo[:0]
-            for begin in range(0, len(todo), 16):
-                some = todo[begin : begin + 16]
-                apart = np.abs(counts[some][:, None] - counts[second]).sum(axis=2)
-                later = np.where(rank[second] > rank[some][:, None], second, some[:, None])
-                fit = (apart <= 2 * edits) & (held[some][:, None] | held[second]) & (nodes[some][:, None] != nodes[second]) & ~gone[later]
-                i, j = np.nonzero(fit)
-                good = within([texts[x] for x in some[i].tolist()], [texts[x] for x in second[j].tolist()], edits)
-                gone[later[i[good], j[good]]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[gone], pa.int64())], names=["node"])
+        """Of the lines dealt to a first line, or two blocks of them, those that have an earlier one within the edits there."""
+        for rows in whole_runs(batches, ("pivot", "one", "two"), ROWS):
+            words = split_words(rows.column("line_text"))
+            size = np.diff(words.first)
+            hashes = words.hashes()
+            ids = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
+            tokens = np.split(ids, words.first[1:-1])
+            counts = np.bincount(np.repeat(np.arange(len(size)), size) * 64 + (hashes & np.uint64(63)).astype(np.int64), minlength=64 * len(size)).reshape(-1, 64).astype(np.int32)
+            pivot, one, two, part, node, low = (rows.column(c).to_numpy() for c in ("pivot", "one", "two", "part", "node", "low"))
+            first = pa.Table.from_arrays(rows.column("first").combine_chunks().flatten(), ["none", "doc_id", "text_hash", "line"])
+            rank = np.empty(len(size), np.int64)
+            rank[pc.sort_indices(first, sort_keys=[(c, "ascending") for c in first.column_names]).to_numpy()] = np.arange(len(size))
+            line = np.unique(np.stack([node, low], axis=1), axis=0, return_inverse=True)[1].ravel()
+            gone = np.zeros(int(line.max()) + 1, bool)
+            group = np.cumsum(np.r_[True, (pivot[1:] != pivot[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]).astype(np.int64)
+            order = np.lexsort((rank, group))
+            group, line_of = group[order], line[order]
+            place = np.arange(len(order)) - np.searchsorted(group, group)
+            inside = (one == two)[order]
+            for i, j in _later_pairs(group, place, lambda: ~gone[line_of]):
+                apart = inside[i] | (part[order[i]] != part[order[j]])  # two blocks are compared with each other, one with itself
+                i, j = order[i[apart]], order[j[apart]]
+                most = allowed(np.maximum(size[i], size[j]), percent)
+                some = np.flatnonzero((np.abs(size[i] - size[j]) <= most) & (line[i] != line[j]))
+                some = some[np.abs(counts[i[some]] - counts[j[some]]).sum(axis=1) <= 2 * most[some]]
+                some = some[np.unique(np.stack([line[i[some]], line[j[some]]], axis=1), axis=0, return_index=True)[1]]
+                if len(some):
+                    near = near_pairs([tokens[x] for x in i[some].tolist()], [tokens[x] for x in j[some].tolist()], percent)
+                    gone[line[j[some[near]]]] = True
+            at = np.unique(line, return_index=True)[1][gone]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(low[at])], names=["node", "low"])
 
     return run
 
 
-def _mark_later(texts, nodes, counts, rank, gone, one, two, edits: int, percent: int, least: int) -> None:
-    """Marks lines with an earlier one within their edits, one of each block; the earliest lines come first, and marked ones are not compared as later ones again."""
-    lengths = np.array(list(map(len, texts)), np.int64)
-    for first, other in ((one, two), (two, one)):
-        first, left = first[np.argsort(rank[first])], other
-        for x in first.tolist():
-            left = left[~gone[left]]
-            near = left[(rank[left] > rank[x]) & (nodes[left] != nodes[x])]
-            longer = np.maximum(lengths[near], lengths[x])
-            most = allowed(longer, edits, percent)
-            near, most = (v[(np.abs(lengths[near] - lengths[x]) <= most) & (longer >= least)] for v in (near, most))
-            near = near[np.abs(counts[near] - counts[x]).sum(axis=1) <= 2 * most]
-            if len(near):
-                gone[near[near_pairs([texts[x]] * len(near), [texts[y] for y in near.tolist()], edits, percent, least)]] = True
-
-
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
@@ -490,12 +420,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = 0) -> DataFrame:
+def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of documents (doc_id, text, text_hash): doc_id as ``of``, text_hash as ``hash``, and the first lines, with whether they are near copies."""
-    if not 0 <= edits <= 15 or least <= edits:
-        raise ValueError("0 to 15 edits, and lines with more characters than that")
-    if percent and (not 0 < percent <= 10 or stretch(least, 16 * max(WIDE, least), edits, percent) < 4):
-        raise ValueError("0 to 10 edits a hundred characters, and lines long enough for a stretch of 4 without one")
+    if not 0 < percent <= 10:
+        raise ValueError("1 to 10 edits a hundred words")
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -503,27 +431,22 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, pe
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
     firsts = stored(lines.groupBy("node", "low").agg(F.min(place).alias("first")), "firsts")
 
-    rows = docs.select("text").mapInArrow(_entry_rows(edits, least, percent), "entry long, node long, kind int")
-    order, pairing = (("entry", "kind"), _gram_candidates(slack(edits, percent, least))) if percent else (("entry",), _candidate_rows)
-    candidates = rows.repartition("entry").sortWithinPartitions(*order).mapInArrow(pairing, "a long, b long, kind int")
-    candidates = stored(candidates, "candidates")
-    pairs = candidates.filter("kind = 0").select("a", "b").distinct()
-    hot = candidates.filter("kind > 0").select(F.col("b").alias("entry"), F.col("a").alias("node"), "kind")
+    rows = docs.select("text").mapInArrow(_entry_rows(percent), "entry long, node long")
+    rows = rows.repartition(F.shiftright("entry", LEVEL_BITS)).sortWithinPartitions("entry", "node")
+    dealt = rows.mapInArrow(_by_first, "pivot long, node long")
+    dealt = stored(dealt.distinct(), "dealt")
+    dealt = stored(dealt.union(dealt.select("pivot", F.col("pivot").alias("node")).distinct()), "groups")
 
-    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(hot.select("node")).distinct()
-    wanted = wanted.join(firsts, F.col("n") == F.col("node")).groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
-    wanted = wanted.agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
+    wanted = dealt.select(F.col("node").alias("n")).distinct().join(firsts, F.col("n") == F.col("node"))
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
+    wanted = wanted.agg(F.collect_list(F.struct("node", "low", F.col("first.line").alias("line"))).alias("wanted"))
     found = docs.join(wanted, _same()).select("doc_id", "text_hash", "text", "wanted")
     first_type = f"struct<none:boolean,doc_id:{id_type},text_hash:bigint,line:int>"
-    texts = found.mapInArrow(_texts_of_lines, f"node long, first {first_type}, line_text string").dropDuplicates(["node"])
+    texts = found.mapInArrow(_texts_of_lines, f"node long, low long, first {first_type}, line_text string").dropDuplicates(["node", "low"])
     texts = stored(texts, "texts")
 
-    sides = [texts.select(F.col("node").alias(x), F.col("first").alias(f"first_{x}"), F.col("line_text").alias(f"text_{x}")) for x in "ab"]
-    later = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("later")
-    near = pairs.join(sides[0], "a").join(sides[1], "b").select("text_a", "text_b", later).mapInArrow(_verified(edits, percent, least), "node long")
-    near = near.union(_near_of_hot(hot, texts, edits, percent, least)).distinct()
-
-    marked = firsts.join(near.select(F.col("node").alias("n"), F.lit(True).alias("near")), F.col("node") == F.col("n"), "left")
+    near = _near_lines(dealt, texts, percent).distinct().select(F.col("node").alias("n"), F.col("low").alias("l"), F.lit(True).alias("near"))
+    marked = firsts.join(near, (F.col("node") == F.col("n")) & (F.col("low") == F.col("l")), "left")
     return (
         marked.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
         .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.coalesce("near", F.lit(False)).alias("near"))).alias("firsts"))
@@ -534,26 +457,36 @@ def _same() -> Column:
     return (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = 0) -> DataFrame:
+def _near_lines(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    blocks = dealt.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lines = dealt.join(blocks, F.col("pivot") == F.col("of"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    lines = lines.select("pivot", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lines = lines.select("pivot", "node", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    block = ("pivot", "one", "two")
+    rows = lines.join(texts, "node").repartition(*block).sortWithinPartitions(*block)
+    return rows.mapInArrow(_later_lines(percent), "node long, low long")
+
+
+def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines, n_exact and n_near (lines removed as copies and near copies), kept_sha256, kept_text.
 
-    docs: doc_id, text. edits: 0 to 15. least: characters of lines that near copies are looked for of, more than edits.
-    percent: if not 0, that many edits a hundred characters of the longer line, but ``edits`` at least.
+    docs: doc_id, text. percent: edits a hundred words of the longer line of a pair, 1 to 10.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    out = docs.join(kept_lines(docs, edits, least, percent), _same(), "left").select("doc_id", "text_hash", "text", "firsts")
+    out = docs.join(kept_lines(docs, percent), _same(), "left").select("doc_id", "text_hash", "text", "firsts")
     return out.mapInArrow(_kept_rows, f"doc_id {id_type}, text_hash long, n_lines long, n_exact long, n_near long, kept_sha256 string, kept_text string")
 
 
-def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, percent: int = PERCENT) -> DataFrame:
+def rewritten(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, without the removed lines; those that lost every line with a word go.
 
     A whole-number column n_chars follows the text.
     """
     names = docs.columns
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    kept = kept_lines(hashed, edits, least, percent)
+    kept = kept_lines(hashed, percent)
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("text_hash"))
     joined = whole.join(kept, _same(), "left").select("row", "text", "firsts")
     counted = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
@@ -574,15 +507,3 @@ def rewritten(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, per
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(stay, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
-
-
-def _near_of_hot(hot: DataFrame, texts: DataFrame, edits: int, percent: int, least: int) -> DataFrame:
-    lines = hot.groupBy("entry", "node").agg(F.bit_or("kind").alias("kind"))
-    blocks = lines.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("entry", "of")
-    lines = lines.join(blocks, F.col("entry") == F.col("of"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    lines = lines.select("entry", "node", (F.lit(True) if percent else F.col("kind").bitwiseAND(INDEX) > 0).alias("held"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    lines = lines.select("entry", "node", "held", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    block = ("entry", "one", "two")
-    rows = lines.join(texts, "node").repartition(*block).sortWithinPartitions(*block)
-    return rows.mapInArrow(_later_in_blocks(edits, percent, least), "node long")

@@ -62,16 +62,29 @@ FROM measured
 
 OP3 = r"""
 WITH lines AS (
-  SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS text, regexp_matches(string_split(text, chr(10))[i], '[^\x20\x09-\x0D]') AS full_
+  SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS text, list_filter(regexp_split_to_array(string_split(text, chr(10))[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents, unnest(range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1)) AS t(i)),
 firsts AS (
-  SELECT text, length(text) AS n, min((doc_id, line)) AS place FROM lines WHERE full_ GROUP BY text),
+  SELECT row_number() OVER () AS id, text, words, CAST(len(words) AS BIGINT) AS n, min((doc_id, line)) AS place FROM lines WHERE len(words) > 0 GROUP BY text, words),
+runs AS (
+  SELECT DISTINCT id, CASE WHEN n < 12 THEN words ELSE words[i:i + 5] END AS run FROM firsts, unnest(range(1, greatest(2, n - 4))) AS t(i)),
+pairs AS (
+  SELECT DISTINCT a.id AS x, b.id AS y FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id),
+fitting AS (
+  SELECT a.text AS text_a, b.text AS text_b, a.place AS place_a, b.place AS place_b, greatest(a.n, b.n) * 8 // 100 AS k,
+         CASE WHEN a.n <= b.n THEN a.words ELSE b.words END AS u, CASE WHEN a.n <= b.n THEN b.words ELSE a.words END AS v, least(a.n, b.n) AS nu, greatest(a.n, b.n) AS nv
+  FROM pairs JOIN firsts a ON a.id = x JOIN firsts b ON b.id = y WHERE abs(a.n - b.n) <= greatest(a.n, b.n) * 8 // 100),
+measured AS (
+  SELECT *, list_reduce(range(1, nu + 1), lambda above, i: list_reduce(range(0, 2 * k + 1), lambda here, e: list_append(here,
+           CASE WHEN i + e - k < 0 OR i + e - k > nv THEN 1000000 WHEN i + e - k = 0 THEN i ELSE
+             least(above[e + 1] + CAST(u[i] <> v[i + e - k] AS BIGINT), coalesce(above[e + 2], 1000000) + 1, coalesce(here[e], 1000000) + 1) END), CAST([] AS BIGINT[])),
+         list_transform(range(0, 2 * k + 1), lambda e: CASE WHEN e < k THEN 1000000 ELSE e - k END))[nv - nu + k + 1] AS edits
+  FROM fitting),
 near AS (
-  SELECT DISTINCT CASE WHEN a.place > b.place THEN a.text ELSE b.text END AS text
-  FROM firsts a JOIN firsts b ON a.n BETWEEN b.n - 2 AND b.n AND a.text <> b.text AND a.n >= 48 AND levenshtein(a.text, b.text) <= 2),
+  SELECT DISTINCT CASE WHEN place_a > place_b THEN text_a ELSE text_b END AS text FROM measured WHERE edits <= k),
 judged AS (
-  SELECT l.*, (l.doc_id, l.line) = f.place AS first, m.text IS NOT NULL AS near
-  FROM lines l LEFT JOIN firsts f ON l.full_ AND l.text = f.text LEFT JOIN near m ON l.full_ AND l.text = m.text)
+  SELECT l.*, len(l.words) > 0 AS full_, (l.doc_id, l.line) = f.place AS first, m.text IS NOT NULL AS near
+  FROM lines l LEFT JOIN firsts f ON l.text = f.text LEFT JOIN near m ON l.text = m.text)
 SELECT d.doc_id, count(j.line) FILTER (full_) AS n_lines, count(j.line) FILTER (full_ AND NOT first) AS n_exact, count(j.line) FILTER (full_ AND first AND near) AS n_near,
        sha256(coalesce(string_agg(j.text, chr(10) ORDER BY line) FILTER (NOT full_ OR first AND NOT near), '')) AS kept_sha256
 FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id

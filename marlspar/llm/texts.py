@@ -56,12 +56,22 @@ class Words(NamedTuple):
     ends: np.ndarray
     first: np.ndarray  # index of each text's first word, and the number of words
 
-    def hashes(self) -> np.ndarray:
+    def byte_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums from which ``byte_hash`` takes the hash of any run of bytes."""
         n = len(self.buf)
         up, down = powers(_BASE, n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE[self.buf] * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return sums, down
+
+    def hashes(self, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        return mix(byte_hash(sums or self.byte_sums(), self.starts, self.ends))
+
+
+def byte_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, before the finalizer."""
+    total, down = sums
+    return (total[end] - total[start]) * down[start]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,3 +152,20 @@ def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.
             last = key
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by whole-number columns, in tables of whole runs of these with about ``most`` rows; a longer run stands alone."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        rest.append(batch)
+        if sum(b.num_rows for b in rest) < most:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        ids = [table.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+        if len(cuts):
+            yield table.slice(0, int(cuts[-1])).combine_chunks()
+            rest = table.slice(int(cuts[-1])).to_batches()
+    if sum(b.num_rows for b in rest):
+        yield pa.Table.from_batches(rest).combine_chunks()

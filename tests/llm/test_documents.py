@@ -52,6 +52,8 @@ def test_mixing(edge_docs, edge_rows, no_docs):
     mixed = mixing.mixed(edge_docs)
     assert [c for c in mixed.columns if mixed.columns.count(c) > 1] == []
     assert mixed.filter("taken <= 0 OR copies * size != taken").count() == 0
+    upper = mixing.mixed(edge_docs.withColumnsRenamed({"size": "Size", "taken": "TAKEN"}))
+    assert len({c.lower() for c in upper.columns}) == len(upper.columns) and upper.count() == mixed.count()
 
 
 def test_mixing_prefers_heavier_documents(spark):
@@ -76,6 +78,26 @@ def test_quality(edge_docs, edge_rows, no_docs):
     assert quality.judged(no_docs).count() == 0
 
 
+def test_quality_guards(spark):
+    """On either side of each guard: histograms too short are not compared, longer ones decide."""
+    import random
+
+    rng = random.Random(2)
+    usual = lambda n: " ".join(rng.choice(["the", "of", "and", "in"]) if rng.random() < 0.4 else "".join(rng.choice("etaoinsr") for _ in range(6)) for _ in range(n))
+    clean = [usual(200) for _ in range(40)]
+    rare = lambda n: " ".join("".join(rng.choice("etaoinsr") for _ in range(6)) for _ in range(n))  # noqa: E731  no common words
+    signs = lambda n: " ".join(rng.choice("#%$|>") * 3 + str(rng.randrange(10)) for _ in range(n))
+    judged = [rare(79), rare(80), signs(74), signs(76)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*clean, *judged])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    few, many, short, full = (got[40 + i] for i in range(4))
+    assert not any(r.base_failed for r in (few, many, short, full)) and all(got[i].kept for i in range(40))
+    assert few.n_words < quality.COMPARED_WORDS <= many.n_words and few.word_distance > 0.32 and many.word_distance > 0.32
+    assert few.kept and not many.kept
+    assert short.word_chars < quality.COMPARED_CHARS <= full.word_chars and short.char_distance > 0.32 and full.char_distance > 0.32
+    assert short.kept and not full.kept
+
+
 def test_quality_finds_text_unlike_its_language(spark):
     import random
 
@@ -94,7 +116,7 @@ def test_quality_finds_text_unlike_its_language(spark):
     assert math.isclose(d, math.sqrt(h(list(starmap(lambda a, b: (a + b) / 2, zip(x, y)))) - (h(x) + h(y)) / 2), rel_tol=1e-9)
 
 
-def brute_lines(rows, edits, least):
+def brute_lines(rows, percent):
     """Kept text by (doc_id, text), comparing every pair of lines."""
 
     def distance(a, b):
@@ -112,8 +134,17 @@ def brute_lines(rows, edits, least):
             if WORD.search(line):
                 at = (doc_id is None, doc_id or 0, h, n)
                 place[line] = min(place.get(line, at), at)
-    lines = [x for x in place if len(x) >= least]
-    near = {max(a, b, key=place.get) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
+    by_size, near = {}, set()
+    for line in sorted(place, key=place.get):
+        w = words(line)
+        count = Counter(w)
+        for n in range(math.ceil(len(w) * (100 - percent) / 100), len(w) * 100 // (100 - percent) + 1):
+            most = max(n, len(w)) * percent // 100
+            # An edit takes away one word and adds one at most.
+            if abs(n - len(w)) <= most and any(sum((count - c).values()) <= most and distance(w, x) <= most for x, c in by_size.get(n, ())):
+                near.add(line)
+                break
+        by_size.setdefault(len(w), []).append((w, count))
     out = {}
     for doc_id, h, text in rows:
         kept = []
@@ -124,48 +155,68 @@ def brute_lines(rows, edits, least):
     return out
 
 
-@pytest.mark.parametrize("edits, least", [(2, 12), (1, 8)])
-def test_line_dedup(spark, edge_docs, no_docs, edits, least):
-    extra = [(100 + i, f"a common line of some length {i}\nanother line that is near to others, no {i % 7}", "en", "z") for i in range(25)]
-    docs = edge_docs.filter("doc_id IS NULL OR doc_id != 11").select("doc_id", "text").union(spark.createDataFrame([x[:2] for x in extra], "doc_id long, text string"))
+def with_edits(rng, base, edits):
+    """A copy with that many words inserted, deleted or replaced, near each other or anywhere."""
+    x, at = list(base), rng.randrange(len(base))
+    for _ in range(edits):
+        i = min(len(x) - 1, at if rng.random() < 0.5 else rng.randrange(len(x)))
+        x[i : i + 1] = rng.choice([[], [f"new{rng.randrange(999)}"], [x[i], "more"]])
+        x = x or ["left"]
+    return x
+
+
+@pytest.mark.parametrize("percent", [8, 3, 10])
+def test_line_dedup(spark, edge_docs, no_docs, percent, monkeypatch):
+    """Lines of all lengths around the bounds of the edits, with copies on both sides; blocks give the same result."""
+    import random
+
+    rng = random.Random(percent)
+    lines = ["A  b c", "A b  c", "A b c d", "1 \t2", "1 2", "x", "x "]
+    for n in (1, 2, 9, 10, 12, 13, 14, 20, 24, 25, 26, 30, 37, 38, 39, 50, 75, 76, 99, 100, 130, 420):
+        base = [f"w{rng.randrange(9 if n == 50 else 400)}" for _ in range(n)]
+        most = n * percent // 100
+        lines += [" ".join(with_edits(rng, base, k)) for k in (0, 1, most, most, most + 1, 2 * most, 2 * most + 2) for _ in range(2)]
+    rng.shuffle(lines)
+    extra = [(100 + i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    docs = edge_docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
-    got = {(r.doc_id, r.text_hash): r.kept_text for r in linededup.without_repeated_lines(docs, edits, least).collect()}
-    assert got == brute_lines(rows, edits, least)
+    expected = brute_lines(rows, percent)
+    assert {(r.doc_id, r.text_hash): r.kept_text for r in linededup.without_repeated_lines(docs, percent).collect()} == expected
     assert linededup.without_repeated_lines(no_docs).count() == 0
     assert linededup.rewritten(no_docs).count() == 0
+    if percent == 8:
+        monkeypatch.setattr(linededup, "BLOCK", 3)
+        monkeypatch.setattr(linededup, "ROWS", 10)
+        assert {(r.doc_id, r.text_hash): r.kept_text for r in linededup.without_repeated_lines(docs, percent).collect()} == expected
+
 
+@pytest.mark.parametrize("copies", [60, 300])
+def test_line_dedup_rows_follow_the_lines(spark, monkeypatch, copies):
+    """Of a group of near lines each has a bounded number of rows, whatever the group's size."""
+    import random
 
-def test_line_dedup_blocks(spark, monkeypatch):
-    """Entries with too many pairs give the same result by blocks."""
-    docs = spark.createDataFrame([(i, f"shared beginning of all the lines {i % 97:04d} and one end") for i in range(200)], "doc_id long, text string")
-    expected = {(r.doc_id, r.kept_text) for r in linededup.without_repeated_lines(docs, 2, 12).collect()}
-    monkeypatch.setattr(linededup, "MOST_PAIRS", 8)
-    monkeypatch.setattr(linededup, "BLOCK", 16)
-    assert {(r.doc_id, r.kept_text) for r in linededup.without_repeated_lines(docs, 2, 12).collect()} == expected
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(with_edits(rng, base, 4))) for i in range(copies)], "doc_id long, text string")
+    made, stored = {}, linededup.stored
 
+    def counted(df, name):
+        made[name] = (out := stored(df, name)).count()
+        return out
 
-def test_line_dedup_by_percent(spark, monkeypatch):
-    """Long lines with a few words exchanged are near copies, of lines beyond 600 characters as well; by blocks and by pairs."""
+    monkeypatch.setattr(linededup, "stored", counted)
+    out = linededup.without_repeated_lines(docs).collect()
+    assert {(r.doc_id, r.kept_text) for r in out} == {(d, t) for (d, _), t in brute_lines([(r.doc_id, r.text_hash, t) for r, t in zip(docs.select("doc_id", F.xxhash64("text").alias("text_hash")).collect(), [x.text for x in docs.collect()])], 8).items()}
+    assert made["groups"] <= 12 * copies
+
+
+def test_bands(spark):
+    """The banded distance against the plain one."""
     import random
 
-    rng = random.Random(3)
-    letters = "abcdefghij klmnop qrst"
-    rows = []
-    family = {}
-    for n in (47, 60, 79, 120, 171, 180, 240, 660):
-        base = "".join(rng.choice(letters) for _ in range(n))
-        rows.append(base)
-        family[base] = n
-        for k in {0, 1, 2, n // 50, n // 25, n // 20, n // 20 + 1, n // 12}:
-            for _ in range(2):
-                x = list(base)
-                at = [n * (i + 1) // (k + 1) for i in range(k)] if rng.random() < 0.5 else rng.sample(range(n), k)
-                for i in at:
-                    i = min(i, len(x) - 1)
-                    x[i : i + 1] = rng.choice(([], ["X"], [x[i], "Y"]))
-                rows.append("".join(x))
-                family[rows[-1]] = n
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    import numpy as np
+
+    rng = random.Random(7)
 
     def distance(a, b):
         p = list(range(len(b) + 1))
@@ -176,18 +227,14 @@ def test_line_dedup_by_percent(spark, monkeypatch):
             p = q
         return p[-1]
 
-    near = set()
-    for j, b in enumerate(rows):
-        for a in rows[:j]:
-            longer = max(len(a), len(b))
-            if b not in near and family[a] == family[b] and abs(len(a) - len(b)) <= longer // 20 and longer >= 48 and a != b and distance(a, b) <= longer // 20:
-                near.add(b)
-    expected = {x for x in rows if x not in near}
-    assert {r.text for r in linededup.rewritten(docs).collect()} == expected
-    monkeypatch.setattr(linededup, "MOST_PAIRS", 8)
-    monkeypatch.setattr(linededup, "BLOCK", 16)
-    short = docs.filter("length(text) < 130")
-    assert {r.text for r in linededup.rewritten(short).collect()} == {x for x in expected if len(x) < 130}
+    for most in (0, 1, 2, 4, 9, 31, 40):
+        left, right = [], []
+        for _ in range(40):
+            left.append([rng.randrange(6) for _ in range(rng.randrange(1, 80))])
+            right.append([x if isinstance(x, int) else len(x) for x in with_edits(rng, left[-1], rng.randrange(most + 3))])
+        edits = np.array([rng.randrange(most + 1) for _ in left])
+        got = linededup.within([np.array(x, np.int32) for x in left], [np.array(x, np.int32) for x in right], edits)
+        assert got.tolist() == [distance(x, y) <= k for x, y, k in zip(left, right, edits)]
 
 
 def test_rewritten_keeps_columns(edge_docs):
@@ -252,6 +299,41 @@ def test_near_duplicates_over_chains_and_blocks(spark, monkeypatch):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
 
 
+@pytest.mark.parametrize("copies", [150, 300])
+def test_near_duplicate_rows_follow_the_nodes(spark, monkeypatch, copies):
+    """Of a group of near copies whose links are few, what is stored between components has a row a node at most."""
+    import random
+
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(copies):
+        x = list(base)
+        for _ in range(7):
+            x[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    made, stored = {}, minhash.stored
+
+    def counted(df, name):
+        made[name] = (out := stored(df, name)).count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, 2, 80)
+    assert made["mixed"] <= copies and made["open"] <= copies
+
+
+def test_first_of_each_takes_one(spark):
+    """Near copies with one id, rows without ids, and repeated rows that differ elsewhere."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    rows = [(5, " ".join(base), "a"), (5, near, "b"), (None, " ".join(reversed(base)), "c"), (None, " ".join(reversed(base)) + " more", "d"), (7, "solo text of a few words", "e"), (7, "solo text of a few words", "f"), (8, "", "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in minhash.first_of_each(docs, 5, 80).collect()]
+    assert len(out) == 5 and len({r[0] for r in out if r[0]}) == 3
+    assert sorted(map(str, out)) == sorted(str(tuple(r)) for r in minhash.first_of_each(docs.repartition(7), 5, 80).collect())
+
+
 def brute_repeats(rows, length):
     texts = [(text or "").encode().split() for _, text in rows]
     counts = Counter(tuple(w[i : i + length]) for w in texts for i in range(len(w) - length + 1))
@@ -270,6 +352,22 @@ def test_repeated_passages(edge_docs, edge_rows, no_docs, length, seed):
     assert substrings.without_repeats(no_docs).count() == 0
 
 
+def test_anchors_of_long_texts(monkeypatch):
+    """Stretches of windows give the anchors that one pass gives, ties included."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for top in (2**63, 4):
+        grams = rng.integers(0, top, 5000, dtype=np.uint64) << np.uint64(0 if top > 4 else 60)
+        for spread in (1, 2, 28, 63):
+            whole = substrings.anchors(grams, spread)
+            high = grams >> np.uint64(24)
+            assert all(x == max(range(i, i + spread), key=lambda j: (-int(high[j]), j)) for i, x in enumerate(whole.tolist()[:500]))
+            monkeypatch.setattr(substrings, "STRETCH", 64)
+            assert (substrings.anchors(grams, spread) == whole).all()
+            monkeypatch.setattr(substrings, "STRETCH", 1 << 22)
+
+
 def test_token_counts(edge_docs, edge_rows, no_docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -286,6 +384,21 @@ def test_token_counts(edge_docs, edge_rows, no_docs):
     assert tokencount.token_counts(no_docs, path).count() == 0
 
 
+def test_long_words():
+    """Words over many chunks, whose maps compose, against the library."""
+    import random
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("word_bpe_49k.json"), random.Random(4)
+    count, library = tokencount._counter(path), Tokenizer.from_file(path)
+    made = lambda n, parts: "".join(rng.choice(parts) for _ in range(n))
+    texts = [made(20_000, "abcdefghijklmnop"), made(10**6, "ab"), "a" * 100_003, "x" + "aaaab" * 9000, made(60_000, ["the", "ing", "er", "at"])]
+    texts += [" ".join([made(300, "abc"), made(5000, "xyz"), "a" * 700, "the", made(513, "e"), made(2000, "ethr")]), "a" * 255, "a" * 256, "a" * 257 + " b", "7" * 2000]
+    assert count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_transducer_after_clearing(monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -332,6 +445,48 @@ def test_language_id_learns_every_language(spark):
         assert 25 <= (langid.most_rank(25, count) + 2**63) / 2**64 * count <= 200
 
 
+def test_language_id_against_plain_decoding(spark, edge_docs):
+    """Every prediction against n-grams, margins and losses computed one by one."""
+    import numpy as np
+
+    model = langid.train(edge_docs.select("doc_id", "text", "lang"))
+    rows = {(r.doc_id, r.text): r for r in edge_docs.collect()}
+    got = {(r.doc_id, r.text_hash): r for r in langid.identified(edge_docs).collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in edge_docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for key, row in rows.items():
+        r = got[row.doc_id, hashes[key]]
+        if not re.search(r"[^\W\d_]", row.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = bytes(c + 32 if 65 <= c <= 90 else c for c in row.text.encode())
+        x = [0.0] * langid.BUCKETS
+        for size in langid.GRAMS:
+            for i in range(len(data) - size + 1):
+                code = 0
+                for c in data[i : i + size]:
+                    code = (code * 257 + c) % 2**32
+                x[(code + size * 0x1000193) % 2**32 * 0x9E3779B1 % 2**32 >> 20] += 1
+        x = [math.sqrt(v / sum(x)) for v in x]
+        margins = [sum(v * w for v, w in zip(x, column)) + o for column, o in zip(model.weights.T.tolist(), model.offsets.tolist())]
+        losses = [sum(t * math.log1p(math.exp(-c * m)) for c, m, t in zip(word, margins, model.trust.tolist())) for word in model.code.tolist()]
+        shares = [math.exp(-v * min(len(margins), 8)) for v in losses]
+        shares = sorted(((s / sum(shares), k) for s, k in zip(shares, model.languages)), reverse=True)
+        if shares[0][0] - shares[1][0] > 1e-4:
+            assert r.lang_pred == shares[0][1]
+        assert math.isclose(r.score, shares[0][0], rel_tol=1e-3)
+        assert r.ambiguous == (shares[0][0] - shares[1][0] < langid.MARGIN) or abs(shares[0][0] - shares[1][0] - langid.MARGIN) < 1e-4
+    # The fit is at the minimum of its convex loss: moving any way from it makes the loss no smaller.
+    rng = np.random.default_rng(1)
+    x = np.c_[rng.random((60, 5), np.float32), np.ones(60, np.float32)]
+    labels = ["a" if (v[0] > 0.5) != (rng.random() < 0.3) else "b" for v in x]  # no plane parts them, so there is a minimum
+    fitted = langid.fit(x, labels)
+    y = np.where(np.array(labels)[:, None] == fitted.languages[0], fitted.code[0], fitted.code[1])
+    even = np.array([1 / (2 * labels.count(k)) for k in labels])[:, None]
+    loss = lambda w: float((even * np.log1p(np.exp(-y * (x @ w)))).sum() + langid.PENALTY / 2 * (w**2).sum())
+    w = np.r_[fitted.weights, fitted.offsets[None]]
+    assert all(loss(w + 0.5 * rng.normal(size=w.shape)) >= loss(w) for _ in range(200))
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 9, 30):
         code = langid.codewords(n)
@@ -358,6 +513,73 @@ def test_decontamination(spark, edge_docs, no_docs, edge_rows):
     assert decontaminate.decontaminated(docs, items).filter("doc_id >= 200").count() == 3
 
 
+def brute_matches(docs, items):
+    """(doc_id, item_id) to the score and overlaps of the best confirmed passage, scoring every passage with every segment."""
+    low = lambda t: "".join(c.lower()[0] for c in t or "")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(t))
+    pairs = lambda w: set(zip(w, w[1:]))
+    items = [(i, split(t)) for i, t in items]
+    items = [(i, w) for i, w in items if len(w) > 1]
+    frequency = Counter(x for _, w in items for x in set(w))
+    mean = sum(len(w) for _, w in items) / len(items)
+    segments = []
+    for i, w in items:
+        n = -(-len(w) // decontaminate.SEGMENT)
+        edges = [len(w) * k // n for k in range(n + 1)]
+        for a, b in zip(edges, edges[1:]):
+            part, asked = w[a:b], b - a - max(1, (b - a) // 3)
+            impact = {}
+            for x, times in Counter(part).items():
+                idf = math.log(1 + (len(items) - frequency[x] + 0.5) / (frequency[x] + 0.5))
+                impact[x] = idf * times * (decontaminate.K1 + 1) / (times + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(part) / mean))
+            whole = sum(impact.values())
+            segments.append((i, {x: v / whole for x, v in impact.items()}, pairs(part[:asked]), pairs(part[max(0, asked - 1) :])))
+    best = {}
+    for d, text in docs:
+        w = split(text)
+        for at in range(0, max(1, -(-len(w) // decontaminate.SEGMENT) - 1) * decontaminate.SEGMENT, decontaminate.SEGMENT):
+            passage = w[at : at + 2 * decontaminate.SEGMENT]
+            seen = pairs(passage)
+            for i, impact, question, answer in segments:
+                score = sum(v for x, v in impact.items() if x in set(passage))
+                shares = [len(x & seen) / len(x) if x else 1.0 for x in (question, answer)]
+                if score >= decontaminate.THRESHOLD - 1e-9 and shares[0] >= 0.5 and shares[1] >= 0.5:
+                    best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (score, *shares))
+    return best
+
+
+def test_decontamination_against_every_pair(spark, edge_docs, edge_rows):
+    """The whole operator against scoring every passage with every item, with letters whose lower case is special."""
+    import random
+
+    rng = random.Random(9)
+    odd = "ΤΟΥΣ ΟΔΟΣ İstanbul KELVİN Straße ΣΟΦΟΣ ﬁn Ǆep"
+    first = " ".join((edge_rows[0][1] or "").split()[:20])
+    long = " ".join(f"t{rng.randrange(60)}" for _ in range(150))
+    items = [(1, odd), (2, "Amber line"), (3, first), (4, first), (5, long), (6, "x"), (7, None), (8, " ".join(edge_rows[5][1].split()[10:31]))]
+    docs = [(300 + i, t) for i, t in enumerate([f"a b {odd} c", odd.lower(), "the AMBER line ends", "amber and line", f"{long} {odd}", " ".join(long.split()[40:140]), "line amber"])]
+    docs += [(400 + i, " ".join(rng.sample((first + " " + odd + " " + long).split(), 90))) for i in range(30)]
+    docs += [(500 + i, t) for i, (_, t, _, _) in enumerate(edge_rows)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_matches(docs, items)
+    assert {(300, 1), (302, 2), (304, 1), (304, 5)} <= expected.keys() and (306, 2) not in expected
+    assert {(r.doc_id, r.item_id) for r in got} == expected.keys() and len(got) == len(expected)
+    assert all(math.isclose(x, y, rel_tol=1e-9) for r in got for x, y in zip((r.score, r.question_overlap, r.answer_overlap), expected[r.doc_id, r.item_id]))
+
+
+def test_decontamination_in_shards(spark, monkeypatch):
+    """Shards and passes change nothing."""
+    items = [(i, " ".join(f"v{(7 * i + j) % 50}" for j in range(12))) for i in range(40)]
+    docs = [(i, f"before {items[i][1]} after {items[(i + 11) % 40][1]}") for i in range(40)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted(map(tuple, decontaminate.contaminated(*tables).collect()))
+    assert len(expected) >= 80
+    monkeypatch.setattr(decontaminate, "SHARD_SEGMENTS", 7)
+    monkeypatch.setattr(decontaminate, "SHARDS", 2)
+    assert sorted(map(tuple, decontaminate.contaminated(*tables).collect())) == expected
+    assert decontaminate.decontaminated(*tables).count() == 0
+
+
 def test_block_bounds_lose_nothing(monkeypatch):
     """All items at or above the threshold, as exhaustive scoring finds them."""
     import random
