@@ -43,6 +43,8 @@ POSITIONS = CHUNKS * WIDTH
 FAR = int(0.2 * POSITIONS + 5 * (0.16 * POSITIONS) ** 0.5) + 1
 #: Nodes, and shingles in all, of a block of the comparison within a key.
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Nodes whose keys a task makes, while that takes no more than MOST_TASKS tasks.
+NODES, MOST_TASKS = 8192, 100_000
 
 #: The choices of positions left out of a chunk, and by the mask of positions that differ the first choice that covers them (-1: none).
 CHOICES = list(combinations(range(WIDTH), ERRORS))
@@ -179,14 +181,14 @@ def _confirmed(percent: int):
     return run
 
 
-def _candidates(rows: pa.Table) -> np.ndarray:
+def _candidates(rows: pa.Table, percent: int) -> np.ndarray:
     """(positions that differ, i, j) of the pairs between two blocks of a key that this key has to settle.
 
-    Left out are pairs within a component, pairs whose signatures are too far
-    apart, and pairs that share an earlier key, which settles them.
+    Left out are pairs within a component, pairs whose signatures or sizes are
+    too far apart, and pairs that share an earlier key, which settles them.
     """
     signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-    part, roots, nodes, key, one, two = (rows.column(c).to_numpy() for c in ("part", "root", "node", "key", "one", "two"))
+    part, roots, nodes, sizes, key, one, two = (rows.column(c).to_numpy() for c in ("part", "root", "node", "size", "key", "one", "two"))
     index = int(key[0]) >> (8 * (WIDTH - ERRORS))
     first, second = np.flatnonzero(part == one[0]), np.flatnonzero(part == two[0])
     found = [np.zeros((3, 0), np.int64)]
@@ -195,6 +197,7 @@ def _candidates(rows: pa.Table) -> np.ndarray:
         wanted = roots[some][:, None] != roots[second]
         if one[0] == two[0]:
             wanted &= nodes[some][:, None] < nodes[second]
+        wanted &= (100 * sizes[some][:, None] >= percent * sizes[second]) & (100 * sizes[second] >= percent * sizes[some][:, None])
         i, j = np.nonzero(wanted)
         i, j = some[i], second[j]
         apart = signs[i] != signs[j]
@@ -208,19 +211,22 @@ def _candidates(rows: pa.Table) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
-def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of two blocks of a key that are in some pair to be settled there."""
-    for rows in runs(batches, ("key", "one", "two")):
-        found = _candidates(rows)
-        if found.shape[1]:
-            yield from rows.take(pa.array(np.union1d(found[1], found[2]))).select(["key", "one", "two", "part", "node", "root", "signature"]).combine_chunks().to_batches()
+def _with_candidates(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nodes of two blocks of a key that are in some pair to be settled there."""
+        for rows in runs(batches, ("key", "one", "two")):
+            found = _candidates(rows, percent)
+            if found.shape[1]:
+                yield from rows.take(pa.array(np.union1d(found[1], found[2]))).combine_chunks().to_batches()
+
+    return run
 
 
 def _between_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links that join components, nearest signatures first."""
         for rows in runs(batches, ("key", "one", "two")):
-            found = _candidates(rows)
+            found = _candidates(rows, percent)
             sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
             roots, nodes, links = rows.column("root").to_pylist(), rows.column("node").to_pylist(), []
             parent: dict[int, int] = {}
@@ -245,6 +251,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     docs: doc_id, text. k: words in a shingle. percent: least similarity of a link.
     """
+    out = _grouped(docs, k, percent).drop("root")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, component_id, and the component's root (null without shingles)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -257,7 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .groupBy("node", "low")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     )
-    classes = stored(classes.select("node", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "signature", "size"), "classes")
+    classes = classes.select("node", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "signature", "size")
+    # A node makes many keys, so the tasks follow the nodes and not their few bytes.
+    classes = stored(classes.repartition(min(MOST_TASKS, of_all.count() // NODES + 1), "node"), "classes")
 
     keys = classes.select("node", "signature").mapInArrow(_key_rows, "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
@@ -291,35 +305,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "node", "low", F.coalesce("root", "node").alias("root"), "doc_id"
     )
     named = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = known.select("node", "low", "root").join(named, "root").select(F.col("node").alias("n"), F.col("low").alias("l"), "component_id")
+    of_class = known.select("node", "low", "root").join(named, "root").select(F.col("node").alias("n"), F.col("low").alias("l"), "component_id", "root")
     out = of_all.join(of_class, (F.col("node") == F.col("n")) & (F.col("low") == F.col("l")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "root")
 
 
 def _across(hits: DataFrame, roots: DataFrame, signs: DataFrame, sets: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between components that share a key, beyond those with the key's smallest node."""
+    """Links between components that share a key, beyond those with the key's smallest node.
+
+    Signatures and sets are joined to nodes, one row each with a list of the
+    node's keys, which is laid out afterwards.
+    """
     rest = hits.filter("node != pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest != highest").select(F.col("key").alias("of"))
-    rest = stored(rest.join(mixed, F.col("key") == F.col("of")).drop("of").join(signs, "node"), "mixed")
-    sizes = rest.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    rest = rest.join(mixed, F.col("key") == F.col("of")).groupBy("node", "root").agg(F.collect_list("key").alias("keys"))
+    rest = stored(rest.join(signs, "node"), "mixed")
+    sizes = rest.select(F.explode("keys").alias("of"), "size").groupBy("of").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    rest = rest.join(sizes.select("of", blocks), F.col("key") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("key", F.explode("keys")).join(sizes.select("of", blocks), F.col("key") == F.col("of"))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     laid = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    laid = laid.select("key", "node", "root", "part", "signature", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    schema = "key long, one int, two int, part int, node long, root long, signature binary"
+    laid = laid.select("key", "node", "root", "part", "size", "signature", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    laid = laid.select("key", "one", "two", "part", "node", "root", "size", "signature")
     block = ("key", "one", "two")
-    open_ = stored(laid.repartition(*block).sortWithinPartitions(*block).mapInArrow(_with_candidates, schema), "open")
-    sets = sets_of(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti")).union(sets.join(open_.select("node"), "node", "left_semi"))
-    full = open_.join(sets, "node")
+    open_ = laid.repartition(*block).sortWithinPartitions(*block).mapInArrow(_with_candidates(percent), laid.schema)
+    places = F.collect_list(F.struct("key", "one", "two", "part")).alias("places")
+    open_ = stored(open_.groupBy("node", "root", "size").agg(places, F.first("signature").alias("signature")), "open")
+    sets = sets_of(open_.select("node").join(sets.select("node"), "node", "left_anti")).union(sets.join(open_.select("node"), "node", "left_semi"))
+    full = open_.join(sets, "node").withColumn("place", F.explode("places")).select("place.*", "node", "root", "size", "signature", "members")
     return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_between_blocks(percent), "a long, b long")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: that of the smallest doc_id; of rows with equal ids and texts one."""
-    kept = near_duplicates(docs, k, percent).filter("kept").groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("copies"))
-    kept = stored(kept, "kept")
+    """The documents, all columns, of which one of each component stays: the first by doc_id (null last) and text hash.
+
+    Documents without shingles stay. Of rows with equal ids and texts one stays, whatever else they hold: that of the least hash of all columns.
+    """
+    grouped = stored(_grouped(docs, k, percent), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))).alias("first")
+    kept = grouped.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.of", "first.hash")
+    kept = kept.union(grouped.filter("root IS NULL").select("doc_id", "text_hash").distinct())
+    copies = grouped.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.count("*").alias("copies"))
+    kept = stored(kept.join(copies, (F.col("hash") == F.col("h")) & F.col("of").eqNullSafe(F.col("d"))).select("of", "hash", "copies"), "kept")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"))
     joined = whole.join(kept, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
     single = joined.filter("copies = 1").select("row.*")
-    return single.union(joined.filter("copies > 1").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
+    repeated = joined.filter("copies > 1").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.union(repeated.select("row.*"))
