@@ -64,6 +64,40 @@ def json_array_read(spark, sf_dir):
     return rows.select("job_title", "company_name", "experience", "job_description", F.array_join("skills", "|").alias("skills"))
 
 
+_OTHERS = ("linkedin", "cuvette", "goldman", "ather", "krutrim", "moneyview")
+
+
+def _other_sql(source: str) -> str:
+    lists = "'list'" if "skills" in RAW[source].names else "NULL"
+    return f"SELECT '{source}' AS source, concat('{RAW[source].names[0]}-', p_partkey) AS first_field, {lists} AS lists FROM part"
+
+
+@query(" UNION ALL ".join(map(_other_sql, _OTHERS)))
+def captured_sources(spark, sf_dir):
+    """The other sources, each in its own columns."""
+    out = None
+    for source in _OTHERS:
+        path = scratch(spark, source)
+        columns = [F.array(F.lit("list")).alias(f.name) if f.name == "skills" else F.concat(F.lit(f.name + "-"), "p_partkey").alias(f.name) for f in RAW[source].fields]
+        sinks.json_arrays(table(spark, sf_dir, "part").select(*columns), path, RAW[source].fields[0].name)
+        rows = readers.source(spark, source, path).filter("_corrupt_record IS NULL")
+        lists = F.array_join("skills", ",") if "skills" in rows.columns else F.lit(None).cast("string")
+        rows = rows.select(F.lit(source).alias("source"), F.col(RAW[source].fields[0].name).alias("first_field"), lists.alias("lists"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("SELECT concat('é', p_partkey) AS line, CASE WHEN p_partkey % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS encoding FROM part")
+def decoded_files(spark, sf_dir):
+    """Files in UTF-8, and those that aren't in Latin-1."""
+    path = scratch(spark, "encodings")
+    for rest, name in enumerate(("UTF-8", "ISO-8859-1")):
+        lines = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 2 == rest).select(F.concat(F.lit("é"), "p_partkey"))
+        lines.write.option("encoding", name).csv(f"{path}/{name}")
+    files = readers.fallback_text(spark, f"{path}/*/*.csv")
+    return files.select(F.explode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("line"), "encoding").filter("line != ''")
+
+
 @query(f"""SELECT "Job Title" AS job_title, "Salary" AS salary, "Job Description" AS job_description, 2 AS n_skills FROM ({_RAW})""")
 def envelope_read(spark, sf_dir):
     """Files that hold their postings under a key."""
