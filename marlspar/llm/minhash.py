@@ -270,10 +270,11 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     )
     classes = classes.select("node", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "signature", "size")
-    # A node makes many keys, so the tasks follow the nodes and not their few bytes.
-    classes = stored(classes.repartition(min(MOST_TASKS, of_all.count() // NODES + 1), "node"), "classes")
+    classes = stored(classes, "classes")
 
-    keys = classes.select("node", "signature").mapInArrow(_key_rows, "key long, node long")
+    # A node makes many keys, so the tasks follow the nodes and not their few bytes, by which files are dealt out.
+    spread = classes.select("node", "signature").repartition(min(MOST_TASKS, classes.count() // NODES + 1), "node")
+    keys = spread.mapInArrow(_key_rows, "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
     shared = stored(shared, "shared")  # a join of two plain shuffles, which may be split where a key is common
     hits = stored(keys.join(shared, "key"), "hits")
