@@ -1,4 +1,11 @@
-"""From raw documents to a training mix: language ID, line dedup, near-dedup, decontamination, mixing."""
+"""From raw documents to a training mix: language ID, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes all rows that its predecessor kept. All but the last give back
+the columns of documents, whatever other columns there are and whatever their
+names; an empty table stays empty. A null doc_id stands last wherever documents
+are put in order, and rows with equal ids and texts are one document until
+near_duplicates, which keeps one of them.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +16,30 @@ from marlspar.llm.runtime import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: null, empty and letterless texts, and ambiguous ones."""
     return langid.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that have no others."""
+    """Repeated lines go, exact ones and those within 8 edits of words a hundred, and documents that have no others; n_chars follows."""
     return linededup.rewritten(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8)."""
+    """One document of each group stays (five-word shingles, similarity 0.8), the first by doc_id; those without a word stay."""
     return minhash.first_of_each(docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty items and texts match nothing."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' shares of the words follow their weights; what isn't taken goes."""
+    """The sources' shares of the words follow their weights; what isn't taken goes. Documents without a label weigh 1, a null source is one source.
+
+    Adds size, source_size, target, taken and copies, in place of columns of these names.
+    """
     return mixing.mixed(docs, mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
