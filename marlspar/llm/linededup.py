@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import ship, stored
-from .texts import BYTE, byte_hash, mix, pieces, powers, sequence_hash, sequence_sums, split_words, whole_runs
+from .texts import BYTE, byte_hash, gathered, mix, pieces, powers, sequence_hash, sequence_sums, split_words, whole_runs
 
 #: Edits a hundred words of the longer line.
 PERCENT = 8
@@ -55,8 +55,8 @@ PERCENT = 8
 SHIFTED = 2
 #: Words of a run that is looked up, at least, where the unchanged stretch has as many.
 SELECTIVE = 5
-#: Lines of a block, and rows compared in one go.
-BLOCK, ROWS = 2048, 16384
+#: Lines and words of a block, and rows and their bytes compared in one go.
+BLOCK, BLOCK_WORDS, ROWS, ROW_BYTES = 2048, 4_000_000, 8192, 8 << 20
 #: Lines whose entries a task remembers having sent, so that common lines are not sent again and again.
 REMEMBERED = 400_000
 
@@ -170,7 +170,11 @@ def chosen_entries(first: np.ndarray, length: np.ndarray, sums, percent: int, le
     picked = np.zeros(len(value), bool)
     for i in range(window):
         picked[i : i + whole] |= (value[i : i + whole] == least_of) & inside
-    return some[owner[picked]], value[picked].view(np.int64)
+    at = np.flatnonzero(picked)
+    order = at[np.argsort(value[at], kind="stable")]  # a line that repeats itself has each of its runs once
+    again = np.r_[False, (value[order][1:] == value[order][:-1]) & (owner[order][1:] == owner[order][:-1])][: len(order)]
+    at = order[~again]
+    return some[owner[at]], value[at].view(np.int64)
 
 
 def classes(percent: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -204,37 +208,38 @@ def _entry_rows(percent: int):
                 found += [chosen_entries(first, length, sums, percent, least, below) for least, below in long]
                 which, entry = (np.concatenate([x[i] for x in found]) for i in (0, 1))
                 entry = (entry >> LEVEL_BITS << LEVEL_BITS) | levels(length, percent)[which]
-                order = np.lexsort((entry, which))  # a line that repeats itself has its entries once
-                which, entry = which[order], entry[order]
-                once = np.r_[True, (entry[1:] != entry[:-1]) | (which[1:] != which[:-1])][: len(entry)]
-                yield pa.RecordBatch.from_arrays([pa.array(entry[once]), pa.array(lines.node[at][which[once]])], names=["entry", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(lines.node[at][which])], names=["entry", "node"])
 
     return run
 
 
-def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by entry and node: (pivot, node) for each line behind the first of its length class or the class before."""
-    last = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # entries and first lines of the last two classes
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        entry, node = (np.r_[x, batch.column(c).to_numpy()] for x, c in zip(last, ("entry", "node")))
-        begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
-        count = np.diff(np.r_[begin, len(entry)])
-        head, key = node[begin], entry[begin]
-        # Entries differ in their last bits alone where only the length class does.
-        follows = np.r_[False, (key[1:] - key[:-1] == 1) & (key[1:] >> LEVEL_BITS == key[:-1] >> LEVEL_BITS)]
-        before = np.where(follows, np.r_[0, head[:-1]], head)
-        runs_ = np.flatnonzero((count > 1) | follows)  # most entries are of one line alone
-        rows = np.repeat(begin[runs_] - np.cumsum(count[runs_]) + count[runs_], count[runs_]) + np.arange(count[runs_].sum())
-        of = np.repeat(runs_, count[runs_])
-        pivots, nodes = np.r_[head[of], before[of]], np.tile(node[rows], 2)
-        told = np.tile(rows >= len(last[0]), 2) & (pivots != nodes)
-        order = np.lexsort((nodes[told], pivots[told]))
-        pivots, nodes = pivots[told][order], nodes[told][order]
-        once = np.r_[True, (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])][: len(pivots)]
-        yield pa.RecordBatch.from_arrays([pa.array(pivots[once]), pa.array(nodes[once])], names=["pivot", "node"])
-        last = [x[begin[-2:]] for x in (entry, node)]
+def _by_first(percent: int):
+    width = -np.log1p(-percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by entry and node: (pivot, node, most words of its class) for each line behind the first of its length class or the class before."""
+        last = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # entries and first lines of the last two classes
+        for batch in gathered(batches, 1 << 16):
+            entry, node = (np.r_[x, batch.column(c).to_numpy()] for x, c in zip(last, ("entry", "node")))
+            begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+            count = np.diff(np.r_[begin, len(entry)])
+            head, key = node[begin], entry[begin]
+            # Entries differ in their last bits alone where only the length class does.
+            follows = np.r_[False, (key[1:] - key[:-1] == 1) & (key[1:] >> LEVEL_BITS == key[:-1] >> LEVEL_BITS)]
+            before = np.where(follows, np.r_[0, head[:-1]], head)
+            runs_ = np.flatnonzero((count > 1) | follows)  # most entries are of one line alone
+            rows = np.repeat(begin[runs_] - np.cumsum(count[runs_]) + count[runs_], count[runs_]) + np.arange(count[runs_].sum())
+            of = np.repeat(runs_, count[runs_])
+            pivots, nodes, level = np.r_[head[of], before[of]], np.tile(node[rows], 2), np.tile(entry[rows] & ((1 << LEVEL_BITS) - 1), 2)
+            told = np.flatnonzero(np.tile(rows >= len(last[0]), 2) & (pivots != nodes))
+            told = told[np.lexsort((nodes[told], pivots[told]))]
+            pivots, nodes = pivots[told], nodes[told]
+            once = np.r_[True, (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])][: len(pivots)]
+            words = np.ceil(np.exp((level[told][once] + 1) * width)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pivots[once]), pa.array(nodes[once]), pa.array(words)], names=["pivot", "node", "words"])
+            last = [x[begin[-2:]] for x in (entry, node)]
+
+    return run
 
 
 def within(left: list[np.ndarray], right: list[np.ndarray], edits: np.ndarray) -> np.ndarray:
@@ -274,8 +279,8 @@ def within(left: list[np.ndarray], right: list[np.ndarray], edits: np.ndarray) -
         some = todo[begin:end]
         begin = end
         m, n = lengths[some, 0], lengths[some, 1]
-        rows = np.full((len(some), longest + width), -1, np.int32)
-        columns = np.full((len(some), longest + 1), -2, np.int32)
+        rows = np.full((len(some), longest + width), -1, np.int64)  # -1 and -2 stand for no word
+        columns = np.full((len(some), longest + 1), -2, np.int64)
         for k, i in enumerate(some.tolist()):
             rows[k, most : most + m[k]] = left[i]
             columns[k, : n[k]] = right[i]
@@ -367,18 +372,19 @@ def _later_pairs(group: np.ndarray, place: np.ndarray, alive, most: int = 1 << 1
 def _later_lines(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the lines dealt to a first line, or two blocks of them, those that have an earlier one within the edits there."""
-        for rows in whole_runs(batches, ("pivot", "one", "two"), ROWS):
+        for rows in whole_runs(batches, ("pivot", "one", "two"), ROWS, ROW_BYTES):
             words = split_words(rows.column("line_text"))
             size = np.diff(words.first)
             hashes = words.hashes()
-            ids = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
-            tokens = np.split(ids, words.first[1:-1])
+            tokens = np.split((hashes >> np.uint64(1)).view(np.int64), words.first[1:-1])
             counts = np.bincount(np.repeat(np.arange(len(size)), size) * 64 + (hashes & np.uint64(63)).astype(np.int64), minlength=64 * len(size)).reshape(-1, 64).astype(np.int32)
             pivot, one, two, part, node, low = (rows.column(c).to_numpy() for c in ("pivot", "one", "two", "part", "node", "low"))
             first = pa.Table.from_arrays(rows.column("first").combine_chunks().flatten(), ["none", "doc_id", "text_hash", "line"])
             rank = np.empty(len(size), np.int64)
             rank[pc.sort_indices(first, sort_keys=[(c, "ascending") for c in first.column_names]).to_numpy()] = np.arange(len(size))
-            line = np.unique(np.stack([node, low], axis=1), axis=0, return_inverse=True)[1].ravel()
+            by_line = np.lexsort((low, node))
+            line = np.empty(len(node), np.int64)
+            line[by_line] = np.cumsum(np.r_[True, (node[by_line][1:] != node[by_line][:-1]) | (low[by_line][1:] != low[by_line][:-1])]) - 1
             gone = np.zeros(int(line.max()) + 1, bool)
             group = np.cumsum(np.r_[True, (pivot[1:] != pivot[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]).astype(np.int64)
             order = np.lexsort((rank, group))
@@ -391,7 +397,7 @@ def _later_lines(percent: int):
                 most = allowed(np.maximum(size[i], size[j]), percent)
                 some = np.flatnonzero((np.abs(size[i] - size[j]) <= most) & (line[i] != line[j]))
                 some = some[np.abs(counts[i[some]] - counts[j[some]]).sum(axis=1) <= 2 * most[some]]
-                some = some[np.unique(np.stack([line[i[some]], line[j[some]]], axis=1), axis=0, return_index=True)[1]]
+                some = some[np.unique(line[i[some]] * len(gone) + line[j[some]], return_index=True)[1]]
                 if len(some):
                     near = near_pairs([tokens[x] for x in i[some].tolist()], [tokens[x] for x in j[some].tolist()], percent)
                     gone[line[j[some[near]]]] = True
@@ -433,9 +439,10 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(_entry_rows(percent), "entry long, node long")
     rows = rows.repartition(F.shiftright("entry", LEVEL_BITS)).sortWithinPartitions("entry", "node")
-    dealt = rows.mapInArrow(_by_first, "pivot long, node long")
+    dealt = rows.mapInArrow(_by_first(percent), "pivot long, node long, words long")
     dealt = stored(dealt.distinct(), "dealt")
-    dealt = stored(dealt.union(dealt.select("pivot", F.col("pivot").alias("node")).distinct()), "groups")
+    firsts_of = dealt.groupBy("pivot").agg(F.max("words").alias("words")).select("pivot", F.col("pivot").alias("node"), "words")
+    dealt = stored(dealt.union(firsts_of), "groups")
 
     wanted = dealt.select(F.col("node").alias("n")).distinct().join(firsts, F.col("n") == F.col("node"))
     wanted = wanted.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
@@ -458,7 +465,8 @@ def _same() -> Column:
 
 
 def _near_lines(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    blocks = dealt.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    most = F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS)
+    blocks = dealt.groupBy(F.col("pivot").alias("of")).agg(F.ceil(most).cast("int").alias("blocks"))
     lines = dealt.join(blocks, F.col("pivot") == F.col("of"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     lines = lines.select("pivot", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

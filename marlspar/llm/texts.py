@@ -133,6 +133,20 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 18) ->
     yield batch.slice(begin)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least ``most`` rows, but for the last; none is empty."""
+    rest: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        rest.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
 def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
     """The runs of equal whole-number columns in rows that are sorted by them."""
     rest: list[pa.RecordBatch] = []
@@ -154,12 +168,12 @@ def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most: int) -> Iterator[pa.Table]:
-    """Rows that are sorted by whole-number columns, in tables of whole runs of these with about ``most`` rows; a longer run stands alone."""
+def whole_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most: int, most_bytes: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by whole-number columns, in tables of whole runs of these with about ``most`` rows or ``most_bytes``; a longer run stands alone."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         rest.append(batch)
-        if sum(b.num_rows for b in rest) < most:
+        if sum(b.num_rows for b in rest) < most and sum(b.nbytes for b in rest) < most_bytes:
             continue
         table = pa.Table.from_batches(rest).combine_chunks()
         ids = [table.column(c).to_numpy() for c in by]
