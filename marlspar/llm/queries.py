@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontaminate, langid, linededup, minhash, mixing, oracles, quality, substrings, tokencount, warc
+from . import chat, decontaminate, divergence, langid, linededup, minhash, mixing, oracles, quality, substrings, suffixes, tokencount, vectorcodes, warc
 from .runtime import stored
 
 
@@ -61,6 +61,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(_table(spark, sf_dir, "documents"), length=100).drop("kept_bytes")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_distribution_quality": op2_distribution_quality,
@@ -72,6 +84,9 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -82,4 +97,7 @@ ORACLES = {
     "op8_repeated_passages": oracles.OP8,
     "op9_minhash_near_duplicates": oracles.OP9,
     "op1_mix_sources": mixing.ORACLE,
+    "op11_suffix_dedup": suffixes.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_vector_codes": vectorcodes.ORACLE,
 }
