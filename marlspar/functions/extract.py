@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlspar.functions import phrases
 from marlspar.schema import RESUME
 from marlspar.session import ship
 
@@ -99,8 +100,8 @@ def resumes(df: DataFrame, key: str, column: str, factory: Callable[[], Callable
 
 
 def skills(c: Column, known: Sequence[str]) -> Column:
-    """The known skills that are words of the text, in any case."""
-    return F.array_intersect(F.array(*[F.lit(s.lower()) for s in known]), F.split(F.lower(c), "[^a-z0-9+#.]+"))
+    """The known skills, also of several words, that stand in the text, in any case; in order of their first places (see ``phrases``)."""
+    return phrases.matcher(SparkSession.active(), known)(c)
 
 
 def mail_prompt(kind: str, resume: Column, job: Column) -> Column:
@@ -117,21 +118,22 @@ PROMPTS = {
 
 
 def hashed_embedding(dims: int = 64):
-    """A pandas UDF: unit vectors of hashed words, a deterministic stand-in for a model."""
+    """A pandas UDF: unit vectors of hashed words, a deterministic stand-in for a model: a word adds 1 or -1 at one place. Null and empty texts give zeros.
+
+    All words of a batch are hashed and added up at once.
+    """
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            v = np.zeros(dims)
-            for word in (text or "").lower().split():
-                h = 1469598103934665603
-                for b in word.encode():
-                    h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-                v[h % dims] += 1 if (h >> 40) & 1 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).astype("float32").tolist()
-
-        return texts.map(one)
+        words = [(t or "").lower().split() for t in texts]
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        flat = np.array([w for some in words for w in some], object)
+        hashes = pd.util.hash_array(flat, categorize=True) if len(flat) else np.zeros(0, np.uint64)
+        place = (hashes % np.uint64(dims)).astype(np.int64)
+        sign = np.where(hashes >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+        v = np.bincount(row * dims + place, weights=sign, minlength=dims * len(words)).reshape(-1, dims)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -96,21 +96,21 @@ def text_of_class(name: str, missing: str = "Not available"):
 
 def cards(df: DataFrame, column: str, keys: list[str], tag: str | None = None, name: str | None = None) -> DataFrame:
     """A row for each element of a tag or class: the key columns, its position, text and link. Elements without text are skipped."""
-    ship(df.sparkSession)
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["position int", "text string", "href string"])
+    return df.lateralJoin(element_table(tag, name)(F.col(column).outer())).select(*keys, "position", "text", "href")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                values = row._asdict()
-                for position, e in enumerate(elements(values[column], tag, name)):
-                    if e["text"]:
-                        rows.append([values[k] for k in keys] + [position, e["text"], e["href"]])
-            yield pd.DataFrame(rows, columns=[*keys, "position", "text", "href"])
 
-    return df.select(*keys, column).mapInPandas(run, schema)
+def element_table(tag: str | None = None, name: str | None = None):
+    """A table function of a page: position, text and href of its elements of a tag or class that have text; to be joined laterally."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
+    class Elements:
+        def eval(self, page: str):
+            for position, e in enumerate(elements(page, tag, name)):
+                if e["text"]:
+                    yield position, e["text"], e["href"]
+
+    return F.udtf(Elements, returnType="position int, text string, href string")
 
 
 class Part(NamedTuple):
@@ -181,22 +181,24 @@ def parted(html: str | None, card: Part, parts: dict[str, Part]) -> list[dict[st
     return out
 
 
+def card_table(card: Part, parts: dict[str, Part], required: Sequence[str] = ()):
+    """A table function of a page: position and parts (strings) of its cards, without those that lack a required part; to be joined laterally."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
+    class Cards:
+        def eval(self, page: str):
+            for position, found in enumerate(parted(page, card, parts)):
+                if all(found[p] is not None for p in required):
+                    yield (position, *found.values())
+
+    return F.udtf(Cards, returnType=", ".join(["position int"] + [f"`{p}` string" for p in parts]))
+
+
 def card_rows(df: DataFrame, column: str, keys: list[str], card: Part, parts: dict[str, Part], required: Sequence[str] = ()) -> DataFrame:
     """A row for each card: the key columns, its position, and its parts as strings. Cards that lack a required part are skipped."""
-    ship(df.sparkSession)
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["position int"] + [f"`{p}` string" for p in parts])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for values, page in zip(batch[keys].itertuples(index=False, name=None), batch[column]):
-                for position, found in enumerate(parted(page, card, parts)):
-                    if all(found[p] is not None for p in required):
-                        rows.append([*values, position, *found.values()])
-            yield pd.DataFrame(rows, columns=[*keys, "position", *parts])
-
-    return df.select(*keys, column).mapInPandas(run, schema)
+    pages = df.select(*keys, F.col(column).alias("_page"))
+    return pages.lateralJoin(card_table(card, parts, required)(F.col("_page").outer())).select(*keys, "position", *[f"`{p}`" for p in parts])
 
 
 def section_text(lines: Column, headings: list[str]) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspar.operators import ranks
+
 
 def full_row(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One of each set of equal rows (null equals null); ``scope`` columns, such as a file name, keep scopes apart."""
@@ -28,8 +30,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """All rows but the first of each key, with their number among the key's rows as ``copy_no`` (from 2)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("copy_no", F.row_number().over(w)).filter("copy_no > 1")
+    return ranks.ranked(df, keys, order, "copy_no").filter("copy_no > 1")
 
 
 def distinct_items(df: DataFrame, column: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from marlspar.session import stored
 
 
 def column_counts(df: DataFrame) -> DataFrame:
@@ -29,11 +31,40 @@ def removed(before: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return before.join(keys, on, "left_semi").agg(F.count("*").alias("n_deleted"))
 
 
-def timed(stages: Sequence[tuple[str, Callable[[], DataFrame]]]) -> list[tuple[str, int, float]]:
-    """Runs each stage in turn, counting its rows: (name, rows, seconds)."""
-    out = []
-    for name, stage in stages:
-        begin = time.perf_counter()
-        rows = stage().count()
-        out.append((name, rows, time.perf_counter() - begin))
-    return out
+class Run:
+    """Stages of a run: each is written once and read back, and is counted and timed while it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.done = spark, []
+
+    def stage(self, name: str, df: DataFrame, *counts: Column) -> DataFrame:
+        """The stage's rows, for the next one to read. counts: more aggregates to note, by their aliases."""
+        seen, begin = Observation(), time.perf_counter()
+        out = stored(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts), "stage")
+        noted = dict(seen.get)
+        self.done.append((name, noted.pop("n_rows"), time.perf_counter() - begin, {k: str(v) for k, v in noted.items()}))
+        return out
+
+    def report(self) -> DataFrame:
+        """stage, n_rows, seconds, noted (the other aggregates, as text), in order."""
+        return self.spark.createDataFrame(self.done, "stage string, n_rows long, seconds double, noted map<string,string>")
+
+
+class StreamCounts(StreamingQueryListener):
+    """Rows and milliseconds of each batch of the queries that run while this is added to ``spark.streams``, by query name."""
+
+    def __init__(self) -> None:
+        self.batches: list[tuple[str | None, int, int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((p.name, p.batchId, p.numInputRows, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -6,14 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspar.session import ship
+from marlspar.session import ship, stored
 
-#: Bytes of query vectors that go to the executors at once, and of distances that a task holds for them; more queries are handled in turns.
-MOST_SENT = 64 << 20
-MOST_HELD = 256 << 20
+#: Pivots, at most, and items for each, at least; rings of distance around a pivot.
+PIVOTS, ITEMS_PER_PIVOT, RINGS = 64, 4096, 16
+#: Bytes of a block of items, queries of a block, and distances that are held at once.
+BLOCK_BYTES, BLOCK_QUERIES, HELD = 16 << 20, 512, 1 << 22
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -41,64 +43,210 @@ def upserted_nearest(existing: DataFrame, new: DataFrame, query: Sequence[float]
 def nearest_to_each(
     items: DataFrame, queries: DataFrame, k: int = 500, id_column: str = "vec_id", vector: str = "embedding", query_id: str = "chat_id", query_vector: str = "query"
 ) -> DataFrame:
-    """The k items nearest to each query: query id, item id, d2 (6 decimals), rank.
-
-    Blocks of queries of at most MOST_SENT bytes, and no more of them than have
-    room for k distances and ids each in MOST_HELD bytes, go to the executors,
-    one block after the other. A task multiplies each batch of items with the
-    block and keeps its k best of each query; only these are shuffled, to be
-    merged.
+    """The k items nearest to each query: query id, item id, d2 (6 decimals), rank, ties by id.
+
+    A grid of blocks. Items lie around pivots (PIVOTS of them, or fewer) in the
+    order of their distance, and blocks of at most BLOCK_BYTES are rows of a
+    table; the rings of each pivot are summed up in a table of fixed size. Equal
+    query vectors are searched once. By the triangle inequality a ring is skipped
+    if even its nearest place is farther than the farthest place of rings that
+    hold k items; blocks of queries meet the blocks of the other rings in a join,
+    and each meeting sends on the k best of each query, which are merged in
+    bounded memory. Only pivots and rings go through the driver.
+
+    Items and queries without a vector go.
     """
-    ship(items.sparkSession)
+    spark = items.sparkSession
+    ship(spark)
     id_type, query_type = dict(items.dtypes)[id_column], dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {query_type}, {id_column} {id_type}, d2 double"
-    dims = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("d")).first()
-    n = int(dims["n"] or 0)
-    blocks = max(1, -(-n * int(dims["d"] or 1) * 8 // MOST_SENT), -(-n * (k + 256) * 16 // MOST_HELD))
-    out = None
-    for block in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).select(query_id, query_vector).toArrow()
-        sent = items.sparkSession.sparkContext.broadcast(
-            (some.column(query_id).combine_chunks(), np.array(some.column(query_vector).to_pylist(), np.float64).reshape(some.num_rows, -1))
-        )
-        rows = items.select(id_column, vector).mapInArrow(_best_of_task(sent, k, id_column, vector, query_id), schema)
-        out = rows if out is None else out.union(rows)
-    order = Window.partitionBy(query_id).orderBy("d2", id_column)
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _best_of_task(sent, k: int, id_column: str, vector: str, query_id: str):
+    items = items.filter(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = queries.select(F.col(query_id).alias("asker"), F.col(query_vector).cast("array<double>").alias("query")).filter("query IS NOT NULL")
+    searched = stored(asked.select("query").distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
+
+    count = max(1, min(PIVOTS, items.count() // ITEMS_PER_PIVOT))
+    chosen = [r[0] for r in items.orderBy(F.xxhash64("id"), "id").select("vector").limit(count).collect()]
+    if not chosen:
+        return spark.createDataFrame([], f"{query_id} {query_type}, {id_column} {id_type}, d2 double, rank int")
+    pivots = spark.sparkContext.broadcast(np.array(chosen))  # count vectors
+    placed = items.mapInArrow(_placed(pivots, "id", "vector"), f"id {id_type}, vector array<double>, pivot int, distance double")
+    ordered = placed.repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance")
+    blocks = stored(ordered.mapInArrow(_block_rows(BLOCK_BYTES), f"pivot int, near double, far double, n int, ids array<{id_type}>, vectors binary"), "blocks")
+
+    edges = blocks.groupBy("pivot").agg(F.percentile_approx("near", [i / RINGS for i in range(RINGS)]).alias("edges"))  # the first is the least
+    ring = F.size(F.filter("edges", lambda e: e <= F.col("near"))).alias("ring")
+    blocks = blocks.join(F.broadcast(edges), "pivot").select("pivot", ring, "near", "far", "n", "ids", "vectors")  # a row a pivot
+    rings = blocks.groupBy("pivot", "ring").agg(F.min("near"), F.max("far"), F.sum("n")).collect()  # PIVOTS * RINGS rows at most
+    sent = spark.sparkContext.broadcast(np.array(rings, np.float64))
+
+    near = searched.mapInArrow(_placed(pivots, "query_no", "query"), "query_no long, query array<double>, pivot int, distance double")
+    near = near.repartitionByRange("pivot", "query_no").sortWithinPartitions("pivot", "query_no")  # queries that want the same blocks
+    wanted = near.mapInArrow(_wanted_rows(pivots, sent, k), "pivot int, ring int, query_nos array<long>, queries binary")
+    met = wanted.join(blocks.select("pivot", "ring", "ids", "vectors"), ["pivot", "ring"]).select("query_nos", "queries", "ids", "vectors")
+    lists = f"query_no long, ids array<{id_type}>, d2 array<double>"
+    found = met.mapInArrow(_best_of_blocks(k), lists).repartition("query_no").sortWithinPartitions("query_no")
+    best = found.mapInArrow(_merged(k), lists)
+
+    mine = asked.join(searched, "query").select("asker", "query_no").join(best, "query_no")
+    rows = mine.select(F.col("asker").alias(query_id), F.posexplode(F.arrays_zip("ids", "d2")))
+    return rows.select(query_id, F.col("col.ids").alias(id_column), F.col("col.d2").alias("d2"), (F.col("pos") + 1).alias("rank"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances, rounded to 6 decimals."""
+    return np.round(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * (q @ x.T), 0), 6)
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x[:, None, :] - pivots) ** 2).sum(axis=2))
+
+
+def _placed(pivots, key: str, vector: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = np.concatenate([_to_pivots(_matrix(batch.column(vector).slice(i, 1024)), pivots.value) for i in range(0, batch.num_rows, 1024)])
+                nearest = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key), batch.column(vector), pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest])], names=[key, vector, "pivot", "distance"]
+                )
+
+    return run
+
+
+def _block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    distance = rows.column("distance").to_numpy()
+    ids = rows.column("id").combine_chunks()
+    one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    vectors = _matrix(rows.column("vector").combine_chunks()).tobytes()
+    columns = [rows.column("pivot")[:1].combine_chunks(), pa.array(distance[:1]), pa.array(distance[-1:]), pa.array([len(ids)], pa.int32()), one, pa.array([vectors])]
+    return pa.RecordBatch.from_arrays(columns, names=["pivot", "near", "far", "n", "ids", "vectors"])
+
+
+def _block_rows(most_bytes: int):
+    """Blocks of items in the order of pivot and distance; a block has one pivot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
-        if not len(names):
-            return
-        best_d, best_i, ids = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64), []
-        seen = 0
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(vector).flatten(), np.float64).reshape(batch.num_rows, -1)
-            for begin in range(0, len(x), 256):
-                y = x[begin : begin + 256]
-                d = np.round(np.maximum((q * q).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (q @ y.T), 0), 6)
-                best_d = np.hstack([best_d, d])
-                best_i = np.hstack([best_i, np.broadcast_to(np.arange(seen, seen + len(y)), d.shape)])
-                seen += len(y)
-                if best_d.shape[1] > k:
-                    # All that are as near as the k-th stay until the ids can break the tie.
-                    limit = np.partition(best_d, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((best_d <= limit).sum(axis=1).max())
-                    keep = np.argsort(best_d, axis=1, kind="stable")[:, :width]
-                    best_d, best_i = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
-            ids.append(batch.column(id_column))
-        if not ids:
-            return
-        every = pa.chunked_array(ids).combine_chunks()
-        width = best_i.shape[1]
-        some = max(1, (1 << 16) // width)  # queries of a batch
-        for begin in range(0, len(names), some):
-            near, far = best_i[begin : begin + some], best_d[begin : begin + some]
-            of = np.repeat(np.arange(begin, begin + len(near)), width)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), every.take(pa.array(near.ravel())), pa.array(far.ravel())], names=[query_id, id_column, "d2"])
+            pivot = batch.column("pivot").to_numpy()
+            per_row = max(1, 8 * len(batch.column("vector").flatten()) // batch.num_rows)
+            most = max(1, most_bytes // per_row)
+            edges = np.r_[0, np.flatnonzero(pivot[1:] != pivot[:-1]) + 1, len(pivot)]
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and held[-1].column("pivot")[0].as_py() != pivot[begin]:
+                    yield _block(held)
+                    size = 0
+                while begin < end:
+                    some = min(end - begin, most - size)
+                    held.append(batch.slice(begin, some))
+                    begin, size = begin + some, size + some
+                    if size >= most:
+                        yield _block(held)
+                        size = 0
+        if held:
+            yield _block(held)
 
     return run
+
+
+def _wanted_rows(pivots, rings, k: int):
+    """For blocks of queries and each ring, those that may have one of their k nearest there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, ring = rings.value[:, 0].astype(np.int32), rings.value[:, 1].astype(np.int32)
+        near, far, n = rings.value[:, 2], rings.value[:, 3], rings.value[:, 4]
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK_QUERIES):
+                some = batch.slice(begin, BLOCK_QUERIES)
+                q = _matrix(some.column("query"))
+                d = _to_pivots(q, pivots.value)[:, pivot]
+                least = np.maximum(0, np.maximum(near - d, d - far))
+                most = d + far
+                order = np.argsort(most, axis=1)
+                enough = np.cumsum(n[order], axis=1) >= k
+                limit = np.where(enough.any(axis=1), np.take_along_axis(most, order, 1)[np.arange(len(q)), enough.argmax(axis=1)], np.inf)
+                # Distances count by 6 decimals of their squares, so what is as far as the last must be seen.
+                needs = least**2 <= (limit**2 * (1 + 1e-9) + 1e-5)[:, None]
+                numbers = some.column("query_no").to_numpy()
+                which = np.flatnonzero(needs.any(axis=0))
+                nos, vectors = [numbers[needs[:, r]] for r in which], [q[needs[:, r]].tobytes() for r in which]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pivot[which]), pa.array(ring[which]), pa.array(nos, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], names=["pivot", "ring", "query_nos", "queries"]
+                )
+
+    return run
+
+
+def _best_of_blocks(k: int):
+    """The k best of each query in each block that it meets, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                numbers, ids = (batch.column(c)[row].values for c in ("query_nos", "ids"))
+                q = np.frombuffer(batch.column("queries")[row].as_buffer(), np.float64).reshape(len(numbers), -1)
+                x = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(len(ids), -1)
+                rank = np.empty(len(ids), np.int64)
+                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                width = min(k, len(ids))
+                most = max(1, HELD // len(ids))
+                for begin in range(0, len(q), most):
+                    d = _distances(q[begin : begin + most], x)
+                    # All that are as near as the last stay until the ids break the tie.
+                    limit = np.partition(d, width - 1, axis=1)[:, width - 1 : width]
+                    of, at = np.nonzero(d <= limit)
+                    order = np.lexsort((rank[at], d[of, at], of))
+                    of, at = of[order], at[order]
+                    place = np.arange(len(of)) - np.searchsorted(of, of)
+                    stay = place < width
+                    of, at = of[stay], at[stay]
+                    offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * width)
+                    near = pa.array(d[of, at])
+                    yield pa.RecordBatch.from_arrays(
+                        [numbers.slice(begin, len(d)), pa.ListArray.from_arrays(offsets, ids.take(pa.array(at))), pa.ListArray.from_arrays(offsets, near)], names=["query_no", "ids", "d2"]
+                    )
+
+    return run
+
+
+def _merged(k: int):
+    """Of rows in order of their query: one row each, with the k best of all. A task holds a batch and k rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.list_value_length(batch.column("ids")).to_numpy()
+            of = pa.array(np.repeat(batch.column("query_no").to_numpy(), sizes))
+            rows = pa.table([of, batch.column("ids").flatten(), batch.column("d2").flatten()], names=["query_no", "id", "d2"])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).sort_by([(c, "ascending") for c in ("query_no", "d2", "id")])
+            numbers = rows.column("query_no").to_numpy()
+            place = np.arange(len(numbers)) - np.searchsorted(numbers, numbers)
+            rows = rows.filter(pa.array(place < k))
+            last = int(np.searchsorted(rows.column("query_no").to_numpy(), numbers[-1]))  # the last query may go on
+            yield from _lists(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield from _lists(held)
+
+    return run
+
+
+def _lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    if rows.num_rows:
+        rows = rows.combine_chunks()
+        numbers = rows.column("query_no").to_numpy()
+        begin = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        offsets = pa.array(np.r_[begin, len(numbers)].astype(np.int32))
+        ids, d2 = (pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("id", "d2"))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[begin]), ids, d2], names=["query_no", "ids", "d2"])

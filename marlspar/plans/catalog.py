@@ -6,12 +6,12 @@ their fields. Every query runs over its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspar.functions import experience, extract, html, text
-from marlspar.operators import dedup, merge, profile, recommend, users, vectors
+from marlspar.operators import dedup, merge, profile, ranks, recommend, users, vectors
 from marlspar.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from marlspar.session import scratch, table
 
@@ -352,9 +352,8 @@ def has_more(spark, sf_dir):
 
 
 def _ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("chat_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("chat_id"), "event_id", "ts")
-    return events.withColumn("rank", F.row_number().over(w).cast("long")).select("chat_id", "event_id", "rank")
+    return ranks.ranked(events, ["chat_id"], ["ts", "event_id"]).select("chat_id", "event_id", "rank")
 
 
 @query("SELECT c_custkey AS chat_id, o_orderkey AS job_indx, c_name AS resume, o_orderstatus AS status, l_linenumber FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")

@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlspar.functions import extract, html, text
 from marlspar.operators import clean, dedup, merge, profile, recommend, vectors
@@ -18,8 +19,8 @@ from marlspar.plans.catalog import EXP_TEXT
 from marlspar.plans.registry import query
 from marlspar.schema import RAW
 from marlspar.session import scratch, table
-from marlspar.sources import readers, sinks
-from marlspar.streaming import streams
+from marlspar.sources import captured, json_files, readers, sinks, tables
+from marlspar.streaming import dialogue, streams
 
 #: A part as a posting, in SQL that Spark and DuckDB both read.
 POSTING = {
@@ -87,6 +88,42 @@ def captured_sources(spark, sf_dir):
     return out
 
 
+@query(
+    """SELECT p_partkey % 4 AS part, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS seq, CASE WHEN p_partkey % 7 > 0 THEN p_name END AS job_title,
+CASE WHEN p_partkey % 7 = 0 THEN concat('{"job_title": ', p_name, ', "part": ', p_partkey % 4, '}') END AS reject FROM part"""
+)
+def json_rejects(spark, sf_dir):
+    """Arrays in which every seventh element is malformed: it is a reject of its own, the others are rows with their places in the file."""
+    path = scratch(spark, "broken")
+    p = table(spark, sf_dir, "part").withColumn("part", (F.col("p_partkey") % 4).cast("int"))
+    sound = F.to_json(F.struct(F.col("p_name").alias("job_title"), F.col("part")))
+    broken = F.concat(F.lit('{"job_title": '), "p_name", F.lit(', "part": '), "part", F.lit("}"))
+    rows = p.select("part", "p_partkey", F.when(F.col("p_partkey") % 7 > 0, sound).otherwise(broken).alias("value"))
+    json_files.write_arrays(rows.repartitionById(4, "part").sortWithinPartitions("p_partkey").select("value"), path)
+    back = readers.json_array(spark, path, T.StructType([T.StructField("job_title", T.StringType()), T.StructField("part", T.LongType())]))
+    of_reject = F.regexp_extract("_corrupt_record", r'"part": (\d)', 1).try_cast("long")
+    bad = F.col("_corrupt_record").isNotNull()
+    return back.select(F.coalesce(F.when(~bad, F.col("part")), of_reject).alias("part"), "seq", F.when(~bad, F.col("job_title")).alias("job_title"), F.col("_corrupt_record").alias("reject"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS seq, o_orderkey, o_orderstatus FROM orders")
+def json_dump(spark, sf_dir):
+    """All results as one array in a stated order, and read back with their places."""
+    path = scratch(spark, "dump")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"))
+    sinks.json_array(orders, path, ["age", "o_orderkey"])
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
+    return readers.numbered_array(spark, path, schema)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events")
+def json_lines_dump(spark, sf_dir):
+    """Results with times as JSON lines."""
+    path = scratch(spark, "lines")
+    sinks.json(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), path)
+    return spark.read.schema("event_id long, ts timestamp").json(path).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
 @query("SELECT concat('é', p_partkey) AS line, CASE WHEN p_partkey % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS encoding FROM part")
 def decoded_files(spark, sf_dir):
     """Files in UTF-8, and those that aren't in Latin-1."""
@@ -173,7 +210,38 @@ def upsert_sink(spark, sf_dir):
     sinks.upsert_by_key(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.col("c_name").alias("name")), path)
     new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chat_id"), F.col("s_name").alias("name"))
     sinks.upsert_by_key(new.filter("chat_id % 4 > 0"), path, keys=new)
-    return spark.read.parquet(path).drop("key_bucket")
+    return tables.read(spark, path)
+
+
+@query(
+    """SELECT 0 AS version, c_custkey AS chat_id, c_name AS name FROM customer UNION ALL SELECT 1, c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 1, s_suppkey, s_name FROM supplier"""
+)
+def upsert_versions(spark, sf_dir):
+    """Keys of another type, and both versions of the table as they were published."""
+    path, out = scratch(spark, "versions"), None
+    tables.upsert(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.col("c_name").alias("name")), path)
+    tables.upsert(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("chat_id"), F.col("s_name").alias("name")), path)
+    for version in tables.versions(spark, path):
+        rows = tables.read(spark, path, version).select(F.lit(version).alias("version"), "chat_id", "name")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+_BATCH = "CAST(floor(event_id * 4 / (SELECT max(event_id) + 1 FROM events)) AS INT)"
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT user_id, event_id, {_BATCH} AS batch, max({_BATCH}) OVER (PARTITION BY user_id) AS last FROM events) WHERE batch = last")
+def upserted_stream(spark, sf_dir):
+    """Four files, a batch each: a user's rows of a batch replace those of the batches before."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    folder, path = scratch(spark, "batches"), scratch(spark, "latest")
+    most = events.agg(F.max("event_id")).first()[0] + 1
+    for batch in range(4):
+        events.filter(F.floor(F.col("event_id") * 4 / most) == batch).coalesce(1).write.parquet(f"{folder}/{batch}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    streams.upsert(stream, path, scratch(spark, "latest_checkpoint"), "user_id").awaitTermination()
+    return tables.read(spark, path)
 
 
 @query(
@@ -272,6 +340,17 @@ def ingest_flow(spark, sf_dir):
     return rows.select("id", "text", F.col("Source").alias("source"), "job_description", "job_type", "job_indx")
 
 
+@query(f"SELECT id, 2 * count(*) AS n FROM ({_RECIPES['linkedin']}) GROUP BY id")
+def ingest_files(spark, sf_dir):
+    """Two files with the same rows, each of them twice: equal rows are dropped within a file and kept across files."""
+    rows, path = _postings(spark, sf_dir).drop("p_partkey"), scratch(spark, "files")
+    for name in ("one", "two"):
+        sinks.json_array(rows.union(rows), f"{path}/{name}")
+    captured = readers.json_array(spark, [f"{path}/one", f"{path}/two"], rows.schema).filter("_corrupt_record IS NULL")
+    found = flows.ingest({"linkedin": captured.drop("_corrupt_record", "seq")}, "2024-05-06")
+    return found.groupBy("id").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_rank, p_partkey) AS n FROM ({_UNION}))
 SELECT id, source, row_number() OVER (ORDER BY file_rank, p_partkey) - 1 AS job_indx FROM r WHERE n = 1"""
@@ -295,7 +374,7 @@ def updated_recommendations(spark, sf_dir):
     flows.update(users, jobs, path)
     nobody = jobs.withColumn("yoe", F.struct(F.lit(900.0).alias("lo"), F.lit(999.0).alias("hi")))
     flows.update(users.filter("chat_id % 3 = 0"), nobody, path)
-    return recommend.page(spark.read.parquet(path), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
+    return recommend.page(tables.read(spark, path), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
 _PEOPLE = {
@@ -430,9 +509,107 @@ def site_slice(spark, sf_dir):
     return clean.site_slice(table(spark, sf_dir, "orders"), o_orderstatus="f", o_orderpriority=["1-URGENT", "5-Low"]).select("o_orderkey")
 
 
-@query("SELECT 'loaded' AS stage, count(*) AS n_rows, true AS took_time FROM documents UNION ALL SELECT 'distinct', count(*), true FROM (SELECT DISTINCT * FROM documents)")
+@query("SELECT o_orderkey, 'F' AS site FROM orders WHERE o_orderstatus = 'F' AND o_orderkey >= 2500 AND o_orderkey < 7300")
+def captured_slice(spark, sf_dir):
+    """Captured pages of one site from one offset to another; folders of other sites and offsets are pruned."""
+    path = scratch(spark, "captured")
+    captured.store(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("site"), F.col("o_orderkey").alias("start"), "o_orderpriority"), path)
+    return captured.site_pages(spark, path, "F", 2500, 7300).select(F.col("start").alias("o_orderkey"), "site")
+
+
+_RESULT_PAGE = """concat('<ul><li><div class="base-card x"><a class="base-card__full-link" href="https://j/', p_partkey, '">go</a><h3 class="base-search-card__title"> ', p_name, '</h3>',
+CASE WHEN p_partkey % 9 > 0 THEN concat('<h4 class="base-search-card__subtitle">', p_brand, '</h4>') ELSE '' END, '<span class="job-search-card__location">', p_type, '</span></div></li></ul>')"""
+
+
+@query(
+    """WITH cards AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS place FROM part WHERE p_partkey % 9 > 0)
+SELECT CAST(p_size AS VARCHAR) AS search, p_name AS title, p_brand AS company, p_type AS location, concat('https://j/', p_partkey) AS link,
+CASE p_partkey % 4 WHEN 0 THEN 'Failed to load job description' WHEN 1 THEN 'Job description not found' ELSE concat(p_name, chr(10), 'for ', p_brand) END AS description FROM cards WHERE place <= 3"""
+)
+def linkedin_recipe(spark, sf_dir):
+    """Cards of result pages, the first three of a search, with the texts of their detail pages."""
+    p = table(spark, sf_dir, "part")
+    results = p.select(F.col("p_size").cast("string").alias("search"), F.col("p_partkey").alias("start"), F.expr(_RESULT_PAGE).alias("html"))
+    body = F.concat(F.lit('<div class="'), F.when(F.col("p_partkey") % 4 == 1, "other").otherwise(captured.LINKEDIN_DETAIL), F.lit('"><p>'), "p_name", F.lit("</p> for "), "p_brand", F.lit("</div>"))
+    details = p.filter("p_partkey % 4 > 0").select(F.concat(F.lit("https://j/"), "p_partkey").alias("url"), body.alias("html"))
+    return captured.linkedin(results, details, most=3)
+
+
+@query("SELECT 'loaded' AS stage, count(*) AS n_rows, count(lang) AS n_lang, true AS took_time FROM documents UNION ALL SELECT 'distinct', count(*), count(lang), true FROM (SELECT DISTINCT * FROM documents)")
 def timed_stages(spark, sf_dir):
-    """Rows and seconds of each stage; the seconds themselves differ from run to run."""
-    docs = table(spark, sf_dir, "documents")
-    rows = profile.timed([("loaded", lambda: docs), ("distinct", lambda: dedup.full_row(docs))])
-    return spark.createDataFrame(rows, "stage string, n_rows long, seconds double").select("stage", "n_rows", (F.col("seconds") > 0).alias("took_time"))
+    """Rows, values and seconds of each stage, noted while it is written; the seconds themselves differ from run to run."""
+    run = profile.Run(spark)
+    loaded = run.stage("loaded", table(spark, sf_dir, "documents"), F.count("lang").alias("n_lang"))
+    run.stage("distinct", dedup.full_row(loaded), F.count("lang").alias("n_lang"))
+    return run.report().select("stage", "n_rows", F.col("noted")["n_lang"].cast("long").alias("n_lang"), (F.col("seconds") > 0).alias("took_time"))
+
+
+_SKILLS = ("the of", "of the", "of", "and the", "by the for", "und der", "der", "de la", "la", "le la de", "and", "and of the")
+_ALTERNATIVES = "|".join(s.replace(" ", "  ") for s in sorted(_SKILLS, key=len, reverse=True))
+
+
+@query(
+    rf"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(found), lambda x: (list_position(found, x), x))), lambda x: replace(x[2], '  ', ' ')), ',') AS phrases
+FROM (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '([^\p{{L}}\p{{N}}])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}])({_ALTERNATIVES})(?:$|[^\p{{L}}\p{{N}}])', 1) AS found FROM documents)"""
+)
+def phrase_match(spark, sf_dir):
+    """Known phrases of one and several words in whole texts, the longest at each place."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.skills(F.col("text"), _SKILLS), ",").alias("phrases"))
+
+
+# The registration dialogue
+
+_IDLE = 8 * 3600
+_MESSAGE_SQL = {
+    "chat_id": "user_id", "message_id": "event_id", "ts": "ts",
+    "text": "CASE WHEN event_id % 8 = 0 THEN '/start' WHEN event_id % 61 = 1 THEN '/cancel' WHEN event_id % 13 = 2 THEN concat('/edit email e', event_id) ELSE concat('a', event_id) END",
+    "mime_type": "CASE WHEN event_id % 8 > 0 AND event_id % 61 <> 1 AND event_id % 13 <> 2 AND event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'application/pdf' ELSE 'image/png' END END",
+}
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of their users."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.select(*[F.expr(sql).alias(name) for name, sql in _MESSAGE_SQL.items()])
+
+
+_REGISTRATIONS = f"""WITH m AS (SELECT {", ".join(f"{sql} AS {name}" for name, sql in _MESSAGE_SQL.items())} FROM events),
+told AS (SELECT *, string_split(text, ' ')[1] AS command, lead(ts) OVER chat AS next, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER chat) > {_IDLE * 1000000}, false) AS cut
+  FROM m WINDOW chat AS (PARTITION BY chat_id ORDER BY ts, message_id)),
+numbered AS (SELECT *, sum(CAST(cut OR command = '/start' AS INT)) OVER (PARTITION BY chat_id ORDER BY ts, message_id) AS talk FROM told),
+opened AS (SELECT *, first_value(command) OVER w = '/start' AS opened, coalesce(sum(CAST(command NOT IN ('/start', '/cancel', '/edit') AND mime_type IS NULL AS INT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given
+  FROM numbered WINDOW w AS (PARTITION BY chat_id, talk ORDER BY ts, message_id)),
+ends AS (SELECT *, CASE WHEN command = '/cancel' THEN 'cancelled' WHEN given >= 4 AND mime_type = 'application/pdf' THEN 'registered' END AS ends FROM opened WHERE opened),
+live AS (SELECT * FROM ends QUALIFY coalesce(count(ends) OVER (PARTITION BY chat_id, talk ORDER BY ts, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0),
+answers AS (SELECT *, CASE WHEN command = '/edit' AND given >= 3 THEN 2 WHEN command NOT IN ('/start', '/cancel', '/edit') AND mime_type IS NULL AND given < 4 THEN given END AS place,
+  CASE WHEN command = '/edit' THEN string_split(text, ' ')[3] ELSE text END AS value FROM live),
+found AS (SELECT chat_id, talk, {", ".join(f"arg_max(value, (ts, message_id)) FILTER (place = {i}) AS {f}" for i, f in enumerate(dialogue.FIELDS))},
+  max(text) FILTER (ends = 'registered') AS resume, max(ends) AS ends, max(ts) AS ts, arg_max(epoch_us(coalesce(next, {{until}})), (ts, message_id)) AS next FROM answers GROUP BY chat_id, talk)
+SELECT chat_id, {", ".join(dialogue.FIELDS)}, resume, coalesce(ends, 'given up') AS status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM found WHERE ends IS NOT NULL OR next - epoch_us(ts) > {_IDLE * 1000000}"""
+
+
+def _ended(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(_REGISTRATIONS.format(until="NULL"))
+def registrations(spark, sf_dir):
+    """The dialogues that have ended, in a table of messages."""
+    return _ended(dialogue.registrations(_messages(spark, sf_dir), _IDLE))
+
+
+@query(_REGISTRATIONS.format(until="TIMESTAMP '2100-01-01'"))
+def registration_stream(spark, sf_dir):
+    """The same from a stream of several files whose messages are out of order within the bound, up to a time at which all open dialogues are given up."""
+    messages, folder = _messages(spark, sf_dir), scratch(spark, "messages")
+    span = messages.agg(F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last")).first()
+    # Every third message comes up to half an hour late, so files overlap in time.
+    comes = F.unix_micros("ts") + F.when(F.col("message_id") % 3 == 0, 1_800_000_000).otherwise(0)
+    batch = F.floor((comes - span["first"]) * 2 / (span["last"] - span["first"] + 1_800_000_001)).cast("int")
+    for i in range(2):
+        messages.filter(batch == i).coalesce(1).write.parquet(f"{folder}/{i}")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("chat_id"), F.lit(0).cast("long").alias("message_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit("").alias("text"), F.lit("").alias("mime_type"))
+    end.write.parquet(f"{folder}/2")
+    stream = spark.readStream.schema(dialogue.MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    rows = streams.to_table(dialogue.registrations_stream(stream, "1 hour", _IDLE), scratch(spark, "registrations"), scratch(spark, "registrations_checkpoint"))
+    return _ended(rows)

@@ -31,14 +31,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch roots by application, where the session names none, and the folders made so far.
+_roots: dict[str, str] = {}
+_folders: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path in the shared folder of spark.checkpoint.dir, or in a local one where that is unset on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="marlspar-")
-    return f"{root.rstrip('/')}/marlspar/{uuid.uuid4().hex}/{name}"
+        app = spark.sparkContext.applicationId
+        root = _roots.get(app) or _roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="marlspar-"))
+    folder = f"{root.rstrip('/')}/marlspar/{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return f"{folder}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: a lost executor costs the tasks that read, not what came before."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far; call it once the results have been written."""
+    while _folders:
+        delete(spark, _folders.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder with all that it holds, in whatever store it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 _shipped: set[str] = set()

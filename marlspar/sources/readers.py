@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspar.schema import RAW, S
+from marlspar.sources import json_files
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,33 +24,43 @@ def _there(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p in paths if exists(spark, p)]
 
 
-def json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, encoding: str | None = None) -> DataFrame:
-    """Files that each hold an array of objects; ``file`` and ``_corrupt_record`` are added.
+def json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, encoding: str | None = None, key: str | None = None) -> DataFrame:
+    """Files that each hold an array of objects, or bare objects, or an array under ``key``: the schema's columns, ``_corrupt_record``, ``file`` and ``seq``.
 
-    Rows that can't be read keep their text in ``_corrupt_record``.
+    Files are read by byte ranges, so a large one fills many tasks. An element
+    that can't be read keeps its text in ``_corrupt_record`` and costs one row;
+    ``seq`` counts the elements of a file from 0. Compressed files, and those in
+    UTF-16 or UTF-32, are read whole by one task each, and without ``seq`` (null).
     """
     paths = _there(spark, [paths] if isinstance(paths, str) else paths)
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", S)])
     if not paths:
-        return spark.createDataFrame([], full).withColumn("file", F.lit(None).cast("string"))
-    reader = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE")
+        return spark.createDataFrame([], T.StructType([*full.fields, T.StructField("file", S), T.StructField("seq", T.LongType())]))
+    whole = re.search("16|32", encoding or "") or any(f.endswith((".gz", ".bz2", ".zst", ".deflate")) for f, _ in json_files.listed(spark, paths))
+    if not whole:
+        rows = json_files.objects(spark, paths, key, encoding or "utf-8")
+        parsed = F.from_json(F.when(F.col("sound"), F.col("text")), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        broken = F.when(~F.col("sound"), F.col("text")).otherwise(F.col("row._corrupt_record")).alias("_corrupt_record")
+        return rows.withColumn("row", parsed).select(*[F.col(f"row.`{f.name}`") for f in schema.fields], broken, "file", "seq")
+    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
     if encoding:
         reader = reader.option("encoding", encoding)
-    return reader.json(paths).withColumn("file", F.col("_metadata.file_path"))
+    where = [F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("seq")]
+    if key is None:
+        return reader.schema(full).json(paths).select(*full.names, *where)
+    outer = T.StructType([T.StructField(key, T.ArrayType(schema))])
+    rows = reader.schema(outer).json(paths).select(F.inline(key), *where)
+    return rows.select(*schema.names, F.lit(None).cast("string").alias("_corrupt_record"), "file", "seq")
 
 
 def numbered_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file's array with the position of each object as ``seq``, for outcomes that depend on the order of input."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([T.StructField("seq", T.IntegerType()), *schema.fields]))
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("seq", "row")).select("seq", "row.*")
+    """The objects of a file's array that can be read, with the position of each as ``seq``, for outcomes that depend on the order of input."""
+    return json_array(spark, path, schema).filter("_corrupt_record IS NULL").select("seq", *schema.names)
 
 
 def envelope(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, key: str = "job_listings") -> DataFrame:
-    """Files that hold ``{key: [objects]}``; without the key there are no rows."""
-    outer = T.StructType([T.StructField(key, T.ArrayType(schema))])
-    return json_array(spark, paths, outer).select("file", F.inline(key))
+    """Files that hold ``{key: [objects]}``; without the key there are no rows. Columns as those of ``json_array``."""
+    return json_array(spark, paths, schema, key=key)
 
 
 def fallback_text(spark: SparkSession, path: str) -> DataFrame:

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlspar.sources import json_files, tables
+
 
 def json(df: DataFrame, path: str) -> None:
-    """Overwrite with JSON lines; characters beyond ASCII stay as they are."""
-    df.write.mode("overwrite").json(path)
+    """Overwrite with JSON lines; characters beyond ASCII stay as they are, times keep their microseconds."""
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    df.write.mode("overwrite").options(**times).json(path)
 
 
 def json_arrays(df: DataFrame, path: str, key: str, files: int = 8, envelope: str | None = None) -> None:
-    """Overwrite with files that each hold an array of objects, or ``{envelope: [objects]}``; rows are dealt out by the hash of ``key``."""
-    part = F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("part")
-    rows = F.sort_array(F.collect_list(F.to_json(F.struct(*[df[c] for c in df.columns]))))
-    text = F.concat(F.lit("["), F.array_join(rows, ",\n"), F.lit("]"))
-    if envelope:
-        text = F.concat(F.lit(f'{{"{envelope}": '), text, F.lit("}"))
-    arrays = df.groupBy(part).agg(text.alias("value"))
-    arrays.repartition(files, "part").write.mode("overwrite").partitionBy("part").text(path)
+    """Overwrite with files that each hold an array of objects, or ``{envelope: [objects]}``; rows are dealt out by the hash of ``key``.
+
+    Each task streams its rows into a file, in the order of the rows' text; all files appear with the commit.
+    """
+    rows = df.select(F.to_json(F.struct(*[df[c] for c in df.columns])).alias("value"), F.xxhash64(key).alias("dealt"))
+    json_files.write_arrays(rows.repartition(files, "dealt").sortWithinPartitions("value").select("value"), path, envelope)
+
+
+def json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Overwrite with one array in one file, in the given order: what a consumer that knows no folders reads. One task streams it."""
+    ordered = df.orderBy(*order) if order else df
+    json_files.write_arrays(ordered.select(F.to_json(F.struct(*[ordered[c] for c in df.columns])).alias("value")).coalesce(1), path)
 
 
 def csv(df: DataFrame, path: str) -> None:
@@ -52,33 +59,9 @@ def load_with_rejects(good: DataFrame, bad: DataFrame, path: str, rejects: str)
     reload(bad, rejects)
 
 
-def upsert_by_key(df: DataFrame, path: str, key: str = "chat_id", buckets: int = 64, keys: DataFrame | None = None) -> None:
-    """Replace the rows of the keys in ``df``, or of those in ``keys``, so that a key without new rows is left with none.
-
-    The table is laid out in a fixed number of key buckets, not a folder a key.
-    Only the buckets that the keys fall into are read and rewritten; those of
-    other keys in them are carried over.
-    """
-    spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("key_bucket")
-    new = df.withColumn("key_bucket", bucket)
-    replaced = (df if keys is None else keys).select(key, bucket).distinct()
-    from marlspar.sources.readers import exists
-
-    if exists(spark, path):
-        table = spark.read.parquet(path)
-        emptied = table.select("key_bucket").distinct().join(replaced, "key_bucket", "left_semi")
-        old = table.join(replaced.select("key_bucket").distinct(), "key_bucket", "left_semi").join(replaced.select(key), key, "left_anti")
-        new = new.unionByName(old.select(new.columns))
-        staged = f"{path}_staged"
-        emptied = [r[0] for r in emptied.collect()] if keys is not None else []  # at most as many as there are buckets
-        new.write.mode("overwrite").parquet(staged)
-        new = spark.read.schema(new.schema).parquet(staged)
-        left = {r[0] for r in new.select("key_bucket").distinct().collect()} if emptied else set()
-        for gone in set(emptied) - left:  # a bucket that gets no rows is not overwritten below
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/key_bucket={gone}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
+def upsert_by_key(df: DataFrame, path: str, key: str = "chat_id", buckets: int = tables.BUCKETS, keys: DataFrame | None = None) -> int:
+    """Replace the rows of the keys in ``df``, or of those in ``keys``, in a table that ``tables.read`` reads; its new version."""
+    return tables.upsert(df, path, key, buckets, keys)
 
 
 def vectors(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspar.sources import sinks
+from marlspar.sources import tables
 
 
 def postings(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -29,9 +29,9 @@ def accumulate(stream: DataFrame, path: str, checkpoint: str):
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "chat_id"):
-    """Replace the rows of each batch's keys in a table."""
+    """Replace the rows of each batch's keys in a table of ``sources.tables``; a batch that is run again changes nothing."""
     return (
-        stream.writeStream.foreachBatch(lambda df, _: sinks.upsert_by_key(df, path, key))
+        stream.writeStream.foreachBatch(lambda df, batch: tables.upsert(df, path, key, writer=checkpoint, batch=batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from marlspar.schema import RAW, strings
-from marlspar.sources import readers, sinks
+from marlspar.sources import readers, sinks, tables
 from marlspar.streaming import streams
 
 
@@ -59,7 +59,7 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.upsert_by_key(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "chat_id long, v string"), path)
     sinks.upsert_by_key(spark.createDataFrame([(1, "z"), (3, "n")], "chat_id long, v string"), path)
-    assert sorted((r.chat_id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c"), (3, "n")]
+    assert sorted((r.chat_id, r.v) for r in tables.read(spark, path).collect()) == [(1, "z"), (2, "c"), (3, "n")]
     df = spark.createDataFrame([("é", 1)], "a string, b int")
     sinks.json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().a == "é"
@@ -87,5 +87,5 @@ def test_streams(spark, tmp_path):
     streams.accumulate(streams.postings(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     streams.upsert(streams.postings(spark, str(tmp_path / "in"), schema), str(tmp_path / "up"), str(tmp_path / "cp2"), "k").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "up")).select("k").distinct().count() == 3
-    assert spark.read.parquet(str(tmp_path / "up")).filter(F.col("k") == "k9").count() == 1
+    assert tables.read(spark, str(tmp_path / "up")).select("k").distinct().count() == 3
+    assert tables.read(spark, str(tmp_path / "up")).filter(F.col("k") == "k9").count() == 1
