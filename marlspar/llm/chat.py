@@ -1,11 +1,11 @@
 """Chat formatting of reply trees.
 
-Nodes point to the node they reply to. Self-joins that double their reach find
-every leaf's ancestors: after round k each leaf knows the 2**k nodes nearest to
-it, and the nodes' pointers span 2**k steps. So a chain of n turns takes log2(n)
-rounds, each written to the shared folder, and the rows are the paths' nodes.
-Branches are ranked by the mean score of their nodes, and the chosen ones are
-formatted, each as one conversation.
+Nodes point to the node they reply to. Self-joins that double their reach climb
+to the roots: after round k each node knows the one 2**k steps above it, and the
+sum and number of the scores on the way. So a chain of n turns takes log2(n)
+rounds, each written to the shared folder. Branches are ranked by the mean score
+of their nodes, as their leaves know it; then the chosen ones are laid out by the
+same jumps, and formatted, each as one conversation.
 
 The template writes a turn as ``<s>[INST] role [/INST] text</s>``. Inside roles
 and texts its control strings get a backslash after their first character
@@ -24,7 +24,7 @@ its turns meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .runtime import stored
@@ -44,53 +44,90 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(angled, r"\[\\(\\*/?INST\])", r"[$1")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Root-to-leaf paths: conv_id, leaf, node, steps (from the leaf to the node).
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+
 
-    nodes: conv_id, node, parent (null: a root), node ids unique and not null within a conversation.
+def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The jumps of every round, and the nodes that have a root: conv_id, node, total (of the scores up to the root), length.
+
+    Round k has the node 2**k steps above each node that has one. A round
+    joins only nodes that haven't met their root yet; when none of these meets
+    it, all of them hang on cycles.
     """
-    known = nodes.select("conv_id", "node")
-    links = nodes.filter("parent IS NOT NULL").select("conv_id", "node", F.col("parent").alias("up"))
-
-    def same(a: str, b: str) -> Column:
-        return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-
-    links = links.alias("l").join(known.alias("k"), same("l", "k") & (F.col("l.up") == F.col("k.node"))).select("l.conv_id", "l.node", "l.up")
-    jumps = stored(links, "jumps")
-    inner = jumps.select("conv_id", F.col("up").alias("node")).distinct()
-    leaves = known.alias("n").join(inner.alias("i"), same("n", "i") & (F.col("n.node") == F.col("i.node")), "left_anti")
-    found = stored(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps")), "paths")
-    reach = 1
-    while jumps.head(1) and reach < 1 << 40:
-        on = same("f", "j") & (F.col("f.node") == F.col("j.node"))
-        farther = found.alias("f").join(jumps.alias("j"), on).select("f.conv_id", "f.leaf", F.col("j.up").alias("node"), (F.col("f.steps") + reach).alias("steps"))
+    own = nodes.select("conv_id", "node", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("length"), F.col("parent").alias("up"))
+    known = nodes.select("conv_id", F.col("node").alias("there"))
+    there = own.alias("o").join(known.alias("k"), _same("o", "k") & (F.col("o.up") == F.col("k.there")), "left")
+    now, open_nodes = _counted(there.select("o.conv_id", "o.node", "o.total", "o.length", F.col("k.there").alias("up")))
+    jumps, done, left = [], now.filter("up IS NULL").drop("up"), None
+    while open_nodes and open_nodes != left:
+        open_, left = now.filter("up IS NOT NULL"), open_nodes
+        jumps.append(open_.select("conv_id", "node", "up"))
+        above = open_.union(done.withColumn("up", F.lit(None).cast(nodes.schema["node"].dataType)))
+        on = _same("a", "b") & (F.col("a.up") == F.col("b.node"))
+        joined = open_.alias("a").join(above.alias("b"), on).select(
+            "a.conv_id", "a.node", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.length") + F.col("b.length")).alias("length"), "b.up"
+        )
+        now, open_nodes = _counted(joined)
+        done = done.union(now.filter("up IS NULL").drop("up"))
+    return jumps, done
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as written, and how many of them have something above."""
+    seen = Observation()
+    return stored(rows.observe(seen, F.count("up").alias("n")), "climbed"), seen.get["n"]
+
+
+def leaves(nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """Of the nodes that have a root, those that nothing replies to."""
+    inner = nodes.filter("parent IS NOT NULL").select("conv_id", F.col("parent").alias("node")).distinct()
+    return done.alias("n").join(inner.alias("i"), _same("n", "i") & (F.col("n.node") == F.col("i.node")), "left_anti")
+
+
+def laid_out(ends: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """The nodes up to the root from each leaf (conv_id, leaf): conv_id, leaf, node, steps. A round of jumps doubles what is there."""
+    found = ends.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("steps"))
+    for k, jump in enumerate(jumps):
+        on = _same("f", "j") & (F.col("f.node") == F.col("j.node"))
+        farther = found.alias("f").join(jump.alias("j"), on).select("f.conv_id", "f.leaf", F.col("j.up").alias("node"), (F.col("f.steps") + (1 << k)).alias("steps"))
         found = stored(found.union(farther), "paths")
-        on = same("a", "b") & (F.col("a.up") == F.col("b.node"))
-        jumps = jumps.alias("a").join(jumps.alias("b"), on).filter(~F.col("b.up").eqNullSafe(F.col("a.node"))).select("a.conv_id", "a.node", "b.up")
-        jumps = stored(jumps, "jumps")
-        reach *= 2
     return found
 
 
+def paths(nodes: DataFrame) -> DataFrame:
+    """All root-to-leaf paths: conv_id, leaf, node, steps (from the leaf to the node).
+
+    nodes: conv_id, node, parent (null: a root), score, node ids unique and not null within a conversation.
+    """
+    jumps, done = climbed(nodes)
+    return laid_out(leaves(nodes, done).select("conv_id", F.col("node").alias("leaf")), jumps)
+
+
+def ranked_leaves(nodes: DataFrame, done: DataFrame, best: int) -> DataFrame:
+    """conv_id, leaf, place and length of the ``best`` branches of each conversation."""
+    order = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "node")
+    ends = leaves(nodes, done).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= best)
+    return ends.select("conv_id", F.col("node").alias("leaf"), "place", "length")
+
+
 def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """The ``best`` branches of each conversation: conv_id, place, leaf, depth, role, text.
 
     nodes: conv_id, node, parent, role, text, score (null: 0). Branches stand by
-    mean score, then length (longer first), then leaf.
+    mean score, then length (longer first), then leaf. They are ranked by sums
+    that the climbing nodes gather, and only the chosen ones are laid out, so the
+    rows are the nodes times the rounds, and the result's.
     """
-    found = paths(nodes)
-
-    def of_node(rows: DataFrame, *columns: str) -> DataFrame:
-        own = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), *columns)
-        return rows.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).drop("c", "n")
-
-    branches = of_node(found, "score").groupBy("conv_id", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("steps").alias("deepest"))
-    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("deepest"), "leaf")
-    ranked = branches.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= best)
-    alike = F.col("f.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("f.leaf") == F.col("r.leaf"))
-    chosen = found.alias("f").join(ranked.alias("r"), alike).select("f.conv_id", "r.place", "f.leaf", "f.node", (F.col("r.deepest") - F.col("f.steps")).alias("depth"))
+    jumps, done = climbed(nodes)
+    ranked = stored(ranked_leaves(nodes, done, best), "ranked")
+    found = laid_out(ranked, jumps)
+    alike = _same("f", "r") & (F.col("f.leaf") == F.col("r.leaf"))
+    chosen = found.alias("f").join(ranked.alias("r"), alike).select("f.conv_id", "r.place", "f.leaf", "f.node", (F.col("r.length") - 1 - F.col("f.steps")).alias("depth"))
     # Texts are joined to the chosen branches alone.
-    return of_node(chosen, "role", "text").drop("node")
+    own = nodes.select("conv_id", "node", "role", "text")
+    on = _same("c", "o") & (F.col("c.node") == F.col("o.node"))
+    return chosen.alias("c").join(own.alias("o"), on).select("c.conv_id", "c.place", "c.leaf", "c.depth", "o.role", "o.text")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -150,6 +187,14 @@ def digests(conversations: DataFrame) -> DataFrame:
     )
 
 
+def as_tree(conversations: DataFrame) -> DataFrame:
+    """The same rows as a tree of replies: turn n replies to turn (n - 1) / 2, and scores differ by turn and conversation."""
+    nodes = as_chain(conversations)
+    parent = F.floor(F.col("node") / 2).cast("long")
+    score = F.pmod(F.col("node") * 7 + F.coalesce("conv_id", F.lit(0)) * 3, F.lit(8)) / 8  # sums are exact
+    return nodes.withColumn("parent", F.when(parent > 0, parent)).withColumn("score", score)
+
+
 #: The conversation that the query adds, a user's and an assistant's row with the template's own control strings.
 PLANTED_ID, PLANTED_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -168,3 +213,17 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(role_chars + text_chars + 23) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+TREE_ORACLE = """
+WITH RECURSIVE nodes AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS node FROM conversations),
+scored AS (
+  SELECT *, ((node * 7 + conv_id * 3) % 8) / 8 AS score FROM nodes),
+up AS (
+  SELECT conv_id, node AS leaf, node, score, 1 AS length FROM scored a WHERE NOT EXISTS (SELECT 1 FROM nodes b WHERE b.conv_id = a.conv_id AND b.node // 2 = a.node AND b.node > 1)
+  UNION ALL SELECT up.conv_id, leaf, s.node, s.score, length + 1 FROM up JOIN scored s ON s.conv_id = up.conv_id AND s.node = up.node // 2),
+branches AS (
+  SELECT conv_id, leaf, row_number() OVER (PARTITION BY conv_id ORDER BY sum(score) / count(*) DESC, count(*) DESC, leaf) AS place FROM up GROUP BY conv_id, leaf)
+SELECT conv_id, CAST(place AS INTEGER) AS place, leaf, count(*) AS n_turns, string_agg(n.role || ':' || length(n.text), ' ' ORDER BY up.node) AS turns
+FROM up JOIN branches USING (conv_id, leaf) JOIN nodes n USING (conv_id, node) WHERE place <= 2 GROUP BY conv_id, place, leaf
+"""

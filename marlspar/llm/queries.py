@@ -37,6 +37,14 @@ def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.chosen_paths(nodes)))
 
 
+def reply_tree_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of every conversation, read as a tree of scored replies."""
+    nodes = stored(chat.as_tree(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "nodes")
+    turn = F.struct("depth", F.concat("role", F.lit(":"), F.length("text")).alias("turn"))
+    rows = chat.chosen_paths(nodes, best=2).groupBy("conv_id", "place", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return rows.select("conv_id", "place", "leaf", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["turn"]), " ").alias("turns"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -78,6 +86,7 @@ QUERIES = {
     "op2_distribution_quality": op2_distribution_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_reply_trees": op4_chat_reply_trees,
+    "reply_tree_branches": reply_tree_branches,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
@@ -93,6 +102,7 @@ ORACLES = {
     "op2_distribution_quality": oracles.OP2,
     "op3_line_dedup": oracles.OP3,
     "op4_chat_reply_trees": chat.ORACLE,
+    "reply_tree_branches": chat.TREE_ORACLE,
     "op5_warc_round_trip": warc.ORACLE,
     "op8_repeated_passages": oracles.OP8,
     "op9_minhash_near_duplicates": oracles.OP9,

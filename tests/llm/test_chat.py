@@ -43,6 +43,26 @@ def test_paths_of_random_trees(spark):
     assert {(c, p, l) for c, p, l in chosen} == {(c, i + 1, leaf) for c, ls in best.items() for i, (_, leaf) in enumerate(sorted(ls)[:2])}
 
 
+def test_a_comb_is_ranked_before_it_is_laid_out(spark, monkeypatch):
+    """A chain of 1000 nodes with a leaf at each: rows stay within the nodes times the rounds, where all paths would have half a million."""
+    written = []
+    keep = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: written.append(keep(df, name)) or written[-1])
+    nodes = [(1, n, n - 1 if n else None, "user", "t", 0.5) for n in range(1000)] + [(1, 1000 + n, n, "assistant", "a", 0.5 + (n == 700)) for n in range(1000)]
+    df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
+    rows = chat.chosen_paths(df).collect()
+    assert {r.leaf for r in rows} == {1700} and sorted(r.depth for r in rows) == list(range(702))
+    assert sum(w.count() for w in written) < 2000 * 11 + 2 * 702 + 10
+
+
+def test_cycles_end_the_climb(spark):
+    nodes = [(1, n, (n + 1) % 7, "user", "c", 0.0) for n in range(7)] + [(1, 10 + n, 9 + n if n else 3, "user", "h", 0.0) for n in range(5)]
+    nodes += [(1, 20 + n, 19 + n if n else None, "user", "ok", 0.0) for n in range(40)]
+    df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
+    rows = chat.paths(df).collect()
+    assert {r.leaf for r in rows} == {59} and sorted(r.node for r in rows) == list(range(20, 60))
+
+
 def test_orphans_and_cycles(spark):
     nodes = [(1, 1, 99, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 0.0), (2, 1, 2, "user", "c", 0.0), (2, 2, 1, "user", "d", 0.0), (None, 1, None, "user", "e", 0.0)]
     df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
