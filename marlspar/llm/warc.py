@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import scratch, ship, stored
@@ -149,8 +149,8 @@ def _member(source: _Source, place: int) -> tuple[bytes, int] | None:
     return b"".join(parts), at
 
 
-def members(path: str, begin: int, end: int) -> Iterator[bytes]:
-    """The records that start in [begin, end) of a file."""
+def members(path: str, begin: int, end: int) -> Iterator[tuple[bytes, int]]:
+    """The records that start in [begin, end) of a file, and where they end."""
     source, place = _Source(path), begin
     end = min(end, source.size)
     while place < end:
@@ -163,7 +163,7 @@ def members(path: str, begin: int, end: int) -> Iterator[bytes]:
         if place >= end:
             return
         if member := _member(source, place):
-            yield member[0]
+            yield member
             place = member[1]
         else:
             place += 1
@@ -197,7 +197,7 @@ def _read(payloads: bool):
         for batch in batches:
             for split in batch.to_pylist():
                 rows, held = [], 0
-                for data in members(split["path"], split["begin"], split["end"]):
+                for data, _ in members(split["path"], max(split["begin"], split["free"]), split["end"]):
                     head, _, rest = data.partition(b"\r\n\r\n")
                     fields = _fields(head)
                     kind = fields.get("warc-type")
@@ -227,6 +227,13 @@ def _read(payloads: bool):
     return run
 
 
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the last record ends that starts in each range."""
+    for batch in batches:
+        ends = [max((end for _, end in members(s["path"], s["begin"], s["end"])), default=0) for s in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("begin"), batch.column("end"), pa.array(ends, pa.int64())], names=["path", "begin", "end", "reached"])
+
+
 def _schema(payloads: bool) -> pa.Schema:
     fields = [(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "payload_digest")] + [("payload_bytes", pa.int64()), ("refers_to", pa.string())]
     return pa.schema(fields + [("payload", pa.binary())] * payloads)
@@ -236,7 +243,10 @@ def read_archives(files: DataFrame, payloads: bool = True, split_bytes: int = SP
     """The response and revisit records of archives: record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, payload.
 
     files: (path, size). Each byte range is a row, and ranges are dealt out to as
-    many tasks, up to MOST_TASKS.
+    many tasks, up to MOST_TASKS. A first pass finds where the last record ends
+    that starts in each range. What seems to start before the end of a record of
+    an earlier range stands inside that one (an archive kept as a payload) and is
+    no record of its own, so the ranges don't change the result.
     """
     ship(files.sparkSession)
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin")
@@ -244,7 +254,11 @@ def read_archives(files: DataFrame, payloads: bool = True, split_bytes: int = SP
     types = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string"
     # The number is given, for a shuffle of so few bytes would otherwise end in one task.
     ranges = files.agg(F.sum(F.ceil(F.greatest(F.col("size"), F.lit(1)) / split_bytes))).first()[0] or 1
-    return splits.repartition(min(int(ranges), MOST_TASKS)).mapInArrow(_read(payloads), types + ", payload binary" * payloads)
+    tasks = min(int(ranges), MOST_TASKS)
+    reached = splits.repartition(tasks).mapInArrow(_reached, "path string, begin long, end long, reached long")
+    before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    free = stored(reached.withColumn("free", F.coalesce(F.max("reached").over(before), F.lit(0))).filter("reached > 0"), "ranges")
+    return free.repartition(tasks).mapInArrow(_read(payloads), types + ", payload binary" * payloads)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

@@ -99,3 +99,19 @@ def test_foreign_headers(spark, tmp_path):
     files = spark.createDataFrame([(f"file://{path}", os.path.getsize(path))], "path string, size long")
     got = {(r.record_id, r.record_type, r.payload_digest, r.payload_bytes) for r in warc.read_archives(files).collect()}
     assert got == {("a", "response", sha.hexdigest(), 5), ("b", "response", sha.hexdigest(), 5), ("c", "revisit", None, 5), ("d", "revisit", sha.hexdigest(), None), (None, "revisit", None, None)}
+
+
+@pytest.mark.parametrize("split", [1 << 30, 100_000, 20_011, 4096])
+def test_an_archive_inside_a_payload_is_no_archive(spark, tmp_path, split):
+    """Records kept whole as the payload of another one, in stored blocks, so that their bytes stand in the file as they are."""
+    inner = b"".join(warc.page_record(f"inner{i}", "u", os.urandom(500).hex(), "response", None) for i in range(300))
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + inner
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{warc.ID_PREFIX}outer>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    outer = gzip.compress(head + block + b"\r\n\r\n", 0)
+    plain = [warc.page_record(i, "u", f"page {i} " * 50, "response", None) for i in range(4)]
+    data = plain[0] + outer + plain[1] + plain[2] + outer + plain[3]
+    assert data.count(b"inner7>") == 0 and sum(data.count(x) for x in [inner[:400]]) == 2
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, size long")
+    got = Counter(r.record_id.removeprefix(warc.ID_PREFIX) for r in warc.read_archives(files, split_bytes=split).collect())
+    assert got == Counter({"0": 1, "1": 1, "2": 1, "3": 1, "outer": 2})
