@@ -49,6 +49,8 @@ FINAL, IDLE, SYMBOLS = 256, 512, 513
 CHUNK = 256
 #: Entries (states by symbols seen) of the table before the transducer is compiled anew.
 MOST_ENTRIES = 24_000_000
+#: Symbols that are read before the table's size is looked at.
+BLOCK = 1 << 18
 START = -1
 
 #: The vocabulary's own pre-tokenizer pattern, with white space by its Unicode property, and its special strings.
@@ -107,16 +109,18 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, keep: tuple | None = None) -> int:
+        """Forget all compiled transitions; the number of the state that is kept."""
         start = ((0, START, 0),)
-        self.states = [start]
-        self.number = {start: 0}
+        self.states = [start, keep] if keep not in (None, start) else [start]
+        self.number = {state: i for i, state in enumerate(self.states)}
         # A column for each symbol seen so far; column 0 is that of the idle symbol, and -1 stands for one not seen yet.
         self.column = np.full(SYMBOLS, -1, np.int64)
         self.symbol_of = [IDLE]
         self.column[IDLE] = 0
         self.table = np.full((1024, 64), -1, np.int32)
-        self.table[0, 0] = 32
+        self.table[: len(self.states), 0] = np.arange(len(self.states)) * 64 + 32
+        return len(self.states) - 1
 
     def merged(self, parts: list[int]) -> list[int]:
         """The encoding of a symbol sequence: the pair of the lowest rank first, from the left."""
@@ -229,12 +233,22 @@ class Transducer:
         before[at[behind] + 1] = after[reached][behind]
 
     def changes(self, stream: np.ndarray) -> np.ndarray:
-        """The change in the number of tokens at each symbol of a stream that begins and ends with whole words."""
+        """The change in the number of tokens at each symbol of a stream that begins and ends with whole words.
+
+        A block of symbols adds few entries to the table, and between blocks, also
+        within a word, it is compiled anew if it is too large.
+        """
+        out, state = [np.zeros(0, np.int64)], 0
+        for begin in range(0, len(stream), BLOCK):
+            if self.table.size > MOST_ENTRIES:
+                state = self.clear(self.states[state])
+            some, state = self._block(stream[begin : begin + BLOCK], state)
+            out.append(some)
+        return np.concatenate(out)
+
+    def _block(self, stream: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """The changes in a part of a stream that is entered in a state, and the state in which it is left."""
         n = len(stream)
-        if not n:
-            return np.zeros(0, np.int64)
-        if self.table.size > MOST_ENTRIES:
-            self.clear()
         lanes = -(-n // CHUNK)
         grid, ends = np.zeros(lanes * CHUNK, np.int64), np.zeros(lanes * CHUNK, bool)
         grid[:n], ends[:n] = self.columns(stream), stream >= FINAL
@@ -245,11 +259,12 @@ class Transducer:
         body = np.ascontiguousarray(np.where(np.arange(CHUNK) < head[:, None], 0, grid).T)
         out = np.zeros((CHUNK, lanes), np.int64)
         states = np.zeros(lanes, np.int64)
+        states[0] = entry
         for i in range(CHUNK):
             to = self.step(states, body[i])
             out[i] = (to & 63) - 32
             states = to >> 6
-        before = np.r_[0, states[:-1]]
+        before, left = np.r_[entry, states[:-1]], int(states[-1])
         if not known.all():
             self._scan(grid, ~known, states, before)
         late = np.flatnonzero(head > 0)
@@ -258,7 +273,7 @@ class Transducer:
             to = self.step(states, np.where(i < head[late], grid[late, i], 0))
             out[i, late] += (to & 63) - 32
             states = to >> 6
-        return out.T.ravel()[:n]
+        return out.T.ravel()[:n], left if known[-1] else int(states[-1])
 
 
 def _counter(path: str):

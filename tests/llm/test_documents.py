@@ -410,6 +410,28 @@ def test_transducer_after_clearing(monkeypatch):
         assert count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("block", [256, 700, 5000])
+def test_table_is_bounded_within_a_word(monkeypatch, block):
+    """The table is compiled anew between blocks, also within long words; it never holds more than a block has added."""
+    import random
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("word_bpe_49k.json"), random.Random(block)
+    monkeypatch.setattr(tokencount, "MOST_ENTRIES", 70_000)
+    monkeypatch.setattr(tokencount, "BLOCK", block)
+    machine, most = tokencount.Transducer(path), []
+    step = machine._block
+    monkeypatch.setattr(tokencount, "Transducer", lambda _: machine)
+    monkeypatch.setattr(machine, "_block", lambda *a: most.append(machine.table.size) or step(*a))
+    count, library = tokencount._counter(path), Tokenizer.from_file(path)
+    made = lambda n, parts: "".join(rng.choice(parts) for _ in range(n))
+    texts = [made(20_000, "abcdefghijklmnop"), "one two " + made(3000, ["the", "ing", "er"]) + " three", "a" * 2999, made(1500, "ab 7")]
+    assert count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(most) <= 70_000 * 1.5
+
+
 def test_language_id(spark, sf_dir, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
