@@ -5,16 +5,18 @@ of doc_id, text hash and line number. A line also goes if some earlier line is
 within the edits allowed to the two, whether that one stays or not, so the
 outcome does not depend on the order of comparisons. An edit inserts, deletes or
 replaces one word (a run of characters other than space and 0x09-0x0D), and
-``percent`` edits a hundred words of the longer line are allowed: none below 13
-words for 8 percent, and then lines are near copies only if their words are
+``percent`` edits a hundred words of the longer line are allowed, one at least
+from EDITED words on. Shorter lines are near copies only if their words are
 equal and the white space between them isn't.
 
 Two sequences within e edits: cut one into e + 1 segments, and one of these
 stands unchanged in the other, shifted by at most e. While e is at most SHIFTED,
 each line is indexed by its segments, with its length and the segment's number,
 and probes the indexes of its own and the e shorter lengths with the runs of
-words that may match (shifts limited from both ends). Their number grows with
-e ** 2 a length, so longer lines take from each stretch as long as a segment the
+words that may match (shifts limited from both ends). A segment of a line below
+SELECTIVE_LINE words is too common to be looked up alone: within one edit, the
+other segment is equal less one word, so such lines are looked up by their words
+without each one in turn. The number of probes grows with e ** 2 a length, so longer lines take from each stretch as long as a segment the
 run of words whose hash is least: both lines choose the same one in the segment
 that is unchanged, wherever it stands. No pair within its edits is missed either
 way, and nothing depends on how many lines share a run of words.
@@ -39,6 +41,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,8 @@ from .texts import BYTE, byte_hash, gathered, mix, pieces, powers, sequence_hash
 
 #: Edits a hundred words of the longer line.
 PERCENT = 8
+#: Least words of a line that may have an edit, and of one whose segments are looked up alone.
+EDITED, SELECTIVE_LINE = 4, 13
 #: Most edits for which segments are probed at all shifts.
 SHIFTED = 2
 #: Words of a run that is looked up, at least, where the unchanged stretch has as many.
@@ -116,7 +121,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def allowed(longer, percent: int):
     """Edits allowed to a pair by the words of its longer line."""
-    return longer * percent // 100
+    return np.maximum(longer * percent // 100, np.asarray(longer) >= EDITED)
 
 
 def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -142,6 +147,25 @@ def shifted_entries(first: np.ndarray, length: np.ndarray, sums, edits: int, lea
                 yield some[fit], mix(sequence_hash(sums, where, where + size[fit]) ^ tag).view(np.int64)
 
 
+def shortened_entries(first: np.ndarray, length: np.ndarray, sums, least: int, below: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which lines, their entries): the words of a line, and its words without each one, for pairs within one edit whose longer line has ``least`` to ``below`` - 1 words."""
+    total, down = sums
+    some = np.flatnonzero((length >= least - 1) & (length < below - 1))
+    begin, n = first[some], length[some]
+    # The hash of all words, made as that of the others below.
+    yield some, _shortened((total[begin + n] - total[begin]) * down[begin], n)
+    for i in range(below - 1):
+        some = np.flatnonzero((length >= least) & (length < below) & (length > i))
+        begin, n = first[some], length[some]
+        ahead = (total[begin + i] - total[begin]) * down[begin]
+        behind = (total[begin + n] - total[begin + i + 1]) * down[begin + 1]
+        yield some, _shortened(ahead + behind, n - 1)
+
+
+def _shortened(words: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(mix(words + length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) ^ np.uint64(0x5BD1E9955BD1E995)).view(np.int64)
+
+
 def stretch(least: int, below: int, percent: int) -> int:
     """Words of which some stretch stays unchanged if the longer line has ``least`` to ``below`` - 1 words."""
     n = np.arange(least, below)
@@ -184,9 +208,23 @@ def classes(percent: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return [(e, least[e], least[e + 1]) for e in range(SHIFTED + 1)], list(zip([least[-1], *longer], [*longer, 0]))
 
 
+@lru_cache
+def level_bounds(percent: int) -> np.ndarray:
+    """The least length of each class of lengths; lengths that fit the edits are of one class or of two that follow one another."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        low = bounds[-1]
+        high = low + 1
+        while high - int(allowed(high, percent)) < low:  # doubled, then halved
+            high += max(1, int(allowed(high, percent)) // 2)
+        while high - 1 > low and high - 1 - int(allowed(high - 1, percent)) >= low:
+            high -= 1
+        bounds.append(high)
+    return np.array(bounds, np.int64)
+
+
 def levels(size: np.ndarray, percent: int) -> np.ndarray:
-    """Classes of lengths; lengths that fit the edits are of one class or of two that follow one another."""
-    return np.floor(np.log(size) / -np.log1p(-percent / 100)).astype(np.int64)
+    return np.searchsorted(level_bounds(percent), size, side="right") - 1
 
 
 def _entry_rows(percent: int):
@@ -204,7 +242,8 @@ def _entry_rows(percent: int):
                 sent.update(nodes[new].tolist())
                 at = at[new]
                 first, length, sums = lines.first[at], lines.length[at], lines.run_sums()
-                found = [x for e, least, below in short for x in shifted_entries(first, length, sums, e, least, below)]
+                found = [x for e, least, below in short if (low := max(least, SELECTIVE_LINE) if e else least) < below for x in shifted_entries(first, length, sums, e, low, below)]
+                found += [x for e, least, below in short if e == 1 for x in shortened_entries(first, length, sums, least, min(below, SELECTIVE_LINE))]
                 found += [chosen_entries(first, length, sums, percent, least, below) for least, below in long]
                 which, entry = (np.concatenate([x[i] for x in found]) for i in (0, 1))
                 entry = (entry >> LEVEL_BITS << LEVEL_BITS) | levels(length, percent)[which]
@@ -214,7 +253,7 @@ def _entry_rows(percent: int):
 
 
 def _by_first(percent: int):
-    width = -np.log1p(-percent / 100)
+    bounds = level_bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From rows sorted by entry and node: (pivot, node, most words of its class) for each line behind the first of its length class or the class before."""
@@ -235,7 +274,7 @@ def _by_first(percent: int):
             told = told[np.lexsort((nodes[told], pivots[told]))]
             pivots, nodes = pivots[told], nodes[told]
             once = np.r_[True, (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])][: len(pivots)]
-            words = np.ceil(np.exp((level[told][once] + 1) * width)).astype(np.int64)
+            words = bounds[np.minimum(level[told][once] + 1, len(bounds) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(pivots[once]), pa.array(nodes[once]), pa.array(words)], names=["pivot", "node", "words"])
             last = [x[begin[-2:]] for x in (entry, node)]
 

@@ -67,13 +67,14 @@ WITH lines AS (
 firsts AS (
   SELECT row_number() OVER () AS id, text, words, CAST(len(words) AS BIGINT) AS n, min((doc_id, line)) AS place FROM lines WHERE len(words) > 0 GROUP BY text, words),
 runs AS (
-  SELECT DISTINCT id, CASE WHEN n < 12 THEN words ELSE words[i:i + 5] END AS run FROM firsts, unnest(range(1, greatest(2, n - 4))) AS t(i)),
+  SELECT DISTINCT id, words[i:i + 5] AS run FROM firsts, unnest(range(1, n - 4)) AS t(i) WHERE n >= 10
+  UNION SELECT id, words FROM firsts WHERE n <= 3 UNION SELECT id, list_concat(['2'], words[i:i + 1]) FROM firsts, unnest(range(1, n)) AS t(i) WHERE n <= 12),
 pairs AS (
   SELECT DISTINCT a.id AS x, b.id AS y FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id),
 fitting AS (
-  SELECT a.text AS text_a, b.text AS text_b, a.place AS place_a, b.place AS place_b, greatest(a.n, b.n) * 8 // 100 AS k,
+  SELECT a.text AS text_a, b.text AS text_b, a.place AS place_a, b.place AS place_b, greatest(greatest(a.n, b.n) * 8 // 100, CAST(greatest(a.n, b.n) >= 4 AS BIGINT)) AS k,
          CASE WHEN a.n <= b.n THEN a.words ELSE b.words END AS u, CASE WHEN a.n <= b.n THEN b.words ELSE a.words END AS v, least(a.n, b.n) AS nu, greatest(a.n, b.n) AS nv
-  FROM pairs JOIN firsts a ON a.id = x JOIN firsts b ON b.id = y WHERE abs(a.n - b.n) <= greatest(a.n, b.n) * 8 // 100),
+  FROM pairs JOIN firsts a ON a.id = x JOIN firsts b ON b.id = y WHERE abs(a.n - b.n) <= greatest(greatest(a.n, b.n) * 8 // 100, CAST(greatest(a.n, b.n) >= 4 AS BIGINT))),
 measured AS (
   SELECT *, list_reduce(range(1, nu + 1), lambda above, i: list_reduce(range(0, 2 * k + 1), lambda here, e: list_append(here,
            CASE WHEN i + e - k < 0 OR i + e - k > nv THEN 1000000 WHEN i + e - k = 0 THEN i ELSE

@@ -54,7 +54,7 @@ LENGTH = 100
 SEED = 24
 
 #: Runs that are sampled for each bucket, for its splitter.
-SAMPLED = 16
+SAMPLED = 32
 #: Suffixes whose windows are sorted at once.
 CHUNK = 4096
 
@@ -388,8 +388,8 @@ def _splitters(docs: DataFrame, length: int, seed: int, buckets: int) -> np.ndar
     grid = 1 << 30
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(17)), F.lit(grid)) < max(1, int(share * grid)))
     keys = some.mapInArrow(_run_rows(length, seed), "key binary")
-    # Long documents may still be over-represented: the count is bounded, whatever their lengths are.
-    keys = keys.orderBy(F.xxhash64("key")).limit(4 * SAMPLED * buckets).collect()
+    # One key a slot, so that there are no more of them than slots, however long a chosen document is.
+    keys = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(8 * SAMPLED * buckets))).agg(F.min("key").alias("key")).select("key").collect()
     ordered = np.sort(np.array([bytes(r[0]) for r in keys], "S24"))
     return np.unique(ordered[np.arange(1, buckets) * len(ordered) // buckets]) if len(ordered) else ordered
 

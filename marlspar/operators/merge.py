@@ -24,6 +24,11 @@ def union_sources(sources: Sequence[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def flattened(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One list out of many: a row for each struct of an array column, with the key columns; null and empty arrays add nothing."""
+    return df.select(*[df[k] for k in keys], F.inline(column))
+
+
 def with_defaults(df: DataFrame, compat: bool = False) -> DataFrame:
     """The columns of the master table, but for the number; missing columns get their defaults, explicit nulls stay.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,22 @@ def as_documents(recommended: DataFrame, text: str, fields: list[str]) -> DataFr
 def recommended_job(documents: DataFrame, job_indx: Column | int) -> DataFrame:
     """chat_id and the first recommendation of that job number, null where there is none."""
     wanted = job_indx if isinstance(job_indx, Column) else F.lit(job_indx)
-    hits = F.filter("job_recommendation", lambda d: d["metadata"]["job_indx"] == wanted)
-    return documents.select("chat_id", F.get(hits, F.lit(0)).alias("document"))
+    return documents.select("chat_id", first_item("job_recommendation", lambda d: d["metadata"]["job_indx"] == wanted).alias("document"))
+
+
+def first_item(items: Column | str, fits: Callable[[Column], Column]) -> Column:
+    """The first element of an array that fits, null where there is none."""
+    return F.get(F.filter(items, fits), F.lit(0))
+
+
+def first_n(df: DataFrame, most: int, order: Sequence[str | Column]) -> DataFrame:
+    """The ``most`` first rows in an order that is total, so that a source's cap takes the same rows in every run."""
+    return df.orderBy(*order).limit(most)
 
 
 def newest_first(df: DataFrame, most: int, date: str = "Posted_date", ties: tuple[str, ...] = ("id",)) -> DataFrame:
     """The ``most`` newest rows; those without a date stand last, ties by the given columns."""
-    return df.orderBy(F.col(date).desc_nulls_last(), *ties).limit(most)
+    return first_n(df, most, [F.col(date).desc_nulls_last(), *ties])
 
 
 def mail_context(requests: DataFrame, recommended: DataFrame, users: DataFrame) -> DataFrame:

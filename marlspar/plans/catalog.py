@@ -400,13 +400,13 @@ def upsert_by_key(spark, sf_dir):
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def explode_nested(spark, sf_dir):
     nested = _nested(spark, sf_dir)
-    return nested.select("conv_id", F.inline("turns")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    return merge.flattened(nested, "turns", ["conv_id"]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT conv_id, arg_min(text, turn) FILTER (role = 'assistant') AS first_answer, coalesce(bool_or(role = 'assistant'), false) AS answered FROM conversations GROUP BY conv_id")
 def filter_nested(spark, sf_dir):
-    hits = F.filter("turns", lambda t: t["role"] == "assistant")
-    return _nested(spark, sf_dir).select("conv_id", F.get(hits, F.lit(0))["text"].alias("first_answer"), F.exists("turns", lambda t: t["role"] == "assistant").alias("answered"))
+    answer = recommend.first_item("turns", lambda t: t["role"] == "assistant")
+    return _nested(spark, sf_dir).select("conv_id", answer["text"].alias("first_answer"), answer.isNotNull().alias("answered"))
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,7 +517,7 @@ def batch_slice(spark, sf_dir):
 @query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 20")
 def first_n(spark, sf_dir):
     """The first rows in a stated order, as a source's cap takes them."""
-    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy("page_id").limit(20)
+    return recommend.first_n(table(spark, sf_dir, "pages").select("page_id", "url"), 20, ["page_id"])
 
 
 @query("SELECT doc_id, sha256(text) AS vector_id FROM documents")

@@ -69,21 +69,21 @@ _OTHERS = ("linkedin", "cuvette", "goldman", "ather", "krutrim", "moneyview")
 
 
 def _other_sql(source: str) -> str:
-    lists = "'list'" if "skills" in RAW[source].names else "NULL"
-    return f"SELECT '{source}' AS source, concat('{RAW[source].names[0]}-', p_partkey) AS first_field, {lists} AS lists FROM part"
+    values = " || '|' || ".join("'list,of,' || p_size" if n == "skills" else f"'{n}-' || p_partkey" for n in RAW[source].names)
+    return f"SELECT '{source}' AS source, {values} AS fields FROM part"
 
 
 @query(" UNION ALL ".join(map(_other_sql, _OTHERS)))
 def captured_sources(spark, sf_dir):
-    """The other sources, each in its own columns."""
+    """The other sources, each with all of its own columns."""
     out = None
     for source in _OTHERS:
         path = scratch(spark, source)
-        columns = [F.array(F.lit("list")).alias(f.name) if f.name == "skills" else F.concat(F.lit(f.name + "-"), "p_partkey").alias(f.name) for f in RAW[source].fields]
+        columns = [F.array(F.lit("list"), F.lit("of"), F.col("p_size").cast("string")).alias(f.name) if f.name == "skills" else F.concat(F.lit(f.name + "-"), "p_partkey").alias(f.name) for f in RAW[source].fields]
         sinks.json_arrays(table(spark, sf_dir, "part").select(*columns), path, RAW[source].fields[0].name)
         rows = readers.source(spark, source, path).filter("_corrupt_record IS NULL")
-        lists = F.array_join("skills", ",") if "skills" in rows.columns else F.lit(None).cast("string")
-        rows = rows.select(F.lit(source).alias("source"), F.col(RAW[source].fields[0].name).alias("first_field"), lists.alias("lists"))
+        fields = [F.array_join("skills", ",") if f.name == "skills" else F.col(f"`{f.name}`") for f in RAW[source].fields]
+        rows = rows.select(F.lit(source).alias("source"), F.concat_ws("|", *fields).alias("fields"))
         out = rows if out is None else out.union(rows)
     return out
 

@@ -138,8 +138,8 @@ def brute_lines(rows, percent):
     for line in sorted(place, key=place.get):
         w = words(line)
         count = Counter(w)
-        for n in range(math.ceil(len(w) * (100 - percent) / 100), len(w) * 100 // (100 - percent) + 1):
-            most = max(n, len(w)) * percent // 100
+        for n in range(min(len(w) - 1, math.ceil(len(w) * (100 - percent) / 100)), max(len(w) + 1, len(w) * 100 // (100 - percent)) + 1):
+            most = max(max(n, len(w)) * percent // 100, int(max(n, len(w)) >= 4))
             # An edit takes away one word and adds one at most.
             if abs(n - len(w)) <= most and any(sum((count - c).values()) <= most and distance(w, x) <= most for x, c in by_size.get(n, ())):
                 near.add(line)
@@ -172,9 +172,9 @@ def test_line_dedup(spark, edge_docs, no_docs, percent, monkeypatch):
 
     rng = random.Random(percent)
     lines = ["A  b c", "A b  c", "A b c d", "1 \t2", "1 2", "x", "x "]
-    for n in (1, 2, 9, 10, 12, 13, 14, 20, 24, 25, 26, 30, 37, 38, 39, 50, 75, 76, 99, 100, 130, 420):
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 24, 25, 26, 30, 37, 38, 39, 50, 75, 76, 99, 100, 130, 420):
         base = [f"w{rng.randrange(9 if n == 50 else 400)}" for _ in range(n)]
-        most = n * percent // 100
+        most = max(n * percent // 100, int(n >= 4))
         lines += [" ".join(with_edits(rng, base, k)) for k in (0, 1, most, most, most + 1, 2 * most, 2 * most + 2) for _ in range(2)]
     rng.shuffle(lines)
     extra = [(100 + i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
@@ -190,6 +190,27 @@ def test_line_dedup(spark, edge_docs, no_docs, percent, monkeypatch):
         assert {(r.doc_id, r.text_hash): r.kept_text for r in linededup.without_repeated_lines(docs, percent).collect()} == expected
 
 
+@pytest.mark.parametrize("n", range(4, 13))
+def test_one_changed_word_in_a_short_line(spark, n):
+    """A word replaced, inserted or deleted at each place."""
+    base = [f"w{i}" for i in range(n)]
+    near = [[*base[:i], *new, *base[i + 1 :]] for i in range(n) for new in (["x"], [], ["x", base[i]])]
+    docs = spark.createDataFrame([(0, " ".join(base))] + [(i + 1, " ".join(w)) for i, w in enumerate(near)] + [(999, " ".join(base[::-1]))], "doc_id long, text string")
+    kept = {r.doc_id for r in linededup.without_repeated_lines(docs).collect() if r.kept_text}
+    assert kept == {0, 999}
+
+
+def test_classes_of_lengths():
+    import numpy as np
+
+    for percent in range(1, 11):
+        n = np.arange(1, 5000)
+        level = linededup.levels(n, percent)
+        shortest = np.maximum(1, n - linededup.allowed(n, percent))
+        assert (level - linededup.levels(shortest, percent) <= 1).all() and (np.diff(level) >= 0).all()
+        assert (linededup.level_bounds(percent)[level + 1] > n).all()
+
+
 @pytest.mark.parametrize("copies", [60, 300])
 def test_line_dedup_rows_follow_the_lines(spark, monkeypatch, copies):
     """Of a group of near lines each has a bounded number of rows, whatever the group's size."""
