@@ -11,7 +11,9 @@ same one. Every place of a text starts a suffix; the first LENGTH bytes of it
    are dealt to buckets by splitters sampled from a part of the documents, so a
    gram that a third of all documents share fills several buckets. Within one,
    runs with equal stretches are a class: all but the first of them repeat it
-   throughout, and a gram with one class is settled.
+   throughout, and a gram with one class is settled. Those that have an earlier
+   equal in their own piece of a batch are settled before they are dealt: they
+   travel to any bucket, so copies and periodic texts don't meet in one.
 2. Of grams with several classes, and of those at the edges of a bucket, the
    first run of each class goes on with its bytes. These suffixes are
    range-partitioned by the bytes from the anchor on, which follow the sampled
@@ -121,8 +123,28 @@ def _routing_keys(gram: np.ndarray, stretch: np.ndarray, salt: np.ndarray) -> np
     return rows.view("S24").reshape(-1)
 
 
-def _run_rows(length: int, seed: int, splitters=None):
-    """Run rows, dealt to buckets by the splitters; without splitters the keys for choosing these."""
+def _later(gram: np.ndarray, stretch: np.ndarray, place: pa.Table) -> np.ndarray:
+    """Whether a run has an equal one at an earlier place among these."""
+    out = np.zeros(len(gram), bool)
+    order = np.lexsort((stretch, gram))
+    same = (gram[order[1:]] == gram[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
+    if not same.any():
+        return out
+    group = np.cumsum(np.r_[0, ~same])
+    some = (np.r_[False, same] | np.r_[same, False]).nonzero()[0]
+    rows, group = order[some], group[some]
+    rank = _ranks(place.take(pa.array(rows)), tuple(place.column_names))
+    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, rank)
+    out[rows] = rank > least[group]
+    return out
+
+
+def _run_rows(length: int, seed: int, splitters=None, buckets: int = 1):
+    """Run rows, dealt to buckets by the splitters; without splitters the keys for choosing these.
+
+    Runs that repeat one of their own piece are settled: they are dealt evenly, without what they would be compared by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,14 +156,17 @@ def _run_rows(length: int, seed: int, splitters=None):
                 if splitters is None:
                     yield pa.RecordBatch.from_arrays([pa.array([x.ljust(24, b"\0") for x in keys.tolist()], pa.binary())], names=["key"])
                     continue
-                bucket = np.searchsorted(splitters.value, keys, side="right")
                 shape = (count << 8) | offset
+                settled = _later(gram, stretch, pa.table({"doc_id": doc, "text_hash": text_hash, "first": first}))
+                anywhere = mix(stretch ^ mix(_salt(text_hash.to_numpy(), doc) + first.astype(np.uint64))) % np.uint64(buckets)
+                bucket = np.where(settled, anywhere.astype(np.int64), np.searchsorted(splitters.value, keys, side="right"))
+                gram, stretch = (np.where(settled, np.uint64(0), x) for x in (gram, stretch))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)), doc, text_hash,
-                        pa.array(first.astype(np.int32)), pa.array(shape.astype(np.int32)),
+                        pa.array(first.astype(np.int32)), pa.array(shape.astype(np.int32)), pa.array(settled),
                     ],
-                    names=["bucket", "gram", "stretch", "doc_id", "text_hash", "first", "shape"],
+                    names=["bucket", "gram", "stretch", "doc_id", "text_hash", "first", "shape", "settled"],
                 )
 
     return run
@@ -161,11 +186,15 @@ _PLACE = ("doc_id", "text_hash", "first", "shape")
 
 
 def _settled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's runs in order of gram, stretch and place: the later ones of a class, and the firsts of classes that others or a neighbouring bucket may contest."""
+    """Of a bucket's runs, settled or else in order of gram, stretch and place: the later ones of a class, and the firsts of classes that others or a neighbouring bucket may contest."""
     last = None  # the row before: gram, stretch and place
     pending: pa.Table | None = None  # the last first of a class, if it isn't known yet whether it is contested
     first_gram = None
     for table in gathered(batches, 1 << 16):
+        yield from _marked(table.filter(table.column("settled")), False)
+        table = table.filter(pc.invert(table.column("settled"))).combine_chunks()
+        if not table.num_rows:
+            continue
         gram, stretch = table.column("gram").to_numpy(), table.column("stretch").to_numpy()
         if last is None:
             first_gram = gram[0]
@@ -410,7 +439,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = spark.sparkContext.broadcast(_splitters(docs, length, seed, buckets))
     place = f"doc_id {id_type}, text_hash long, first int, shape int"
-    runs = docs.mapInArrow(_run_rows(length, seed, splitters), f"bucket int, gram long, stretch long, {place}")
+    runs = docs.mapInArrow(_run_rows(length, seed, splitters, buckets), f"bucket int, gram long, stretch long, {place}, settled boolean")
     runs = runs.repartitionById(buckets, "bucket")
     runs = runs.sortWithinPartitions("gram", "stretch", F.col("doc_id").asc_nulls_last(), "text_hash", "first", "shape")
     settled = stored(runs.mapInArrow(_settled_rows, f"{place}, contested boolean"), "settled")
