@@ -123,20 +123,15 @@ def _routing_keys(gram: np.ndarray, stretch: np.ndarray, salt: np.ndarray) -> np
     return rows.view("S24").reshape(-1)
 
 
-def _later(gram: np.ndarray, stretch: np.ndarray, place: pa.Table) -> np.ndarray:
+def _later(gram: np.ndarray, stretch: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether a run has an equal one at an earlier place among these."""
-    out = np.zeros(len(gram), bool)
-    order = np.lexsort((stretch, gram))
+    order = np.argsort(mix(gram ^ mix(stretch)))
     same = (gram[order[1:]] == gram[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
-    if not same.any():
-        return out
-    group = np.cumsum(np.r_[0, ~same])
-    some = (np.r_[False, same] | np.r_[same, False]).nonzero()[0]
-    rows, group = order[some], group[some]
-    rank = _ranks(place.take(pa.array(rows)), tuple(place.column_names))
-    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, rank)
-    out[rows] = rank > least[group]
+    begin = np.flatnonzero(np.r_[True, ~same][: len(order)])
+    out = np.zeros(len(gram), bool)
+    if len(begin) < len(order):
+        least = np.minimum.reduceat(place[order], begin)
+        out[order] = place[order] > np.repeat(least, np.diff(np.r_[begin, len(order)]))
     return out
 
 
@@ -157,7 +152,8 @@ def _run_rows(length: int, seed: int, splitters=None, buckets: int = 1):
                     yield pa.RecordBatch.from_arrays([pa.array([x.ljust(24, b"\0") for x in keys.tolist()], pa.binary())], names=["key"])
                     continue
                 shape = (count << 8) | offset
-                settled = _later(gram, stretch, pa.table({"doc_id": doc, "text_hash": text_hash, "first": first}))
+                ranks = _ranks(pa.Table.from_batches([part.select(["doc_id", "text_hash"])]), ("doc_id", "text_hash"))
+                settled = _later(gram, stretch, (ranks[text] << 32) + first)
                 anywhere = mix(stretch ^ mix(_salt(text_hash.to_numpy(), doc) + first.astype(np.uint64))) % np.uint64(buckets)
                 bucket = np.where(settled, anywhere.astype(np.int64), np.searchsorted(splitters.value, keys, side="right"))
                 gram, stretch = (np.where(settled, np.uint64(0), x) for x in (gram, stretch))
