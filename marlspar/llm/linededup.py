@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -214,12 +215,8 @@ def level_bounds(percent: int) -> np.ndarray:
     bounds = [1]
     while bounds[-1] < 1 << 40:
         low = bounds[-1]
-        high = low + 1
-        while high - int(allowed(high, percent)) < low:  # doubled, then halved
-            high += max(1, int(allowed(high, percent)) // 2)
-        while high - 1 > low and high - 1 - int(allowed(high - 1, percent)) >= low:
-            high -= 1
-        bounds.append(high)
+        longer = range(low + 1, 2 * low + 3)  # the least that may not be as short as the class before
+        bounds.append(longer[bisect_left(longer, low, key=lambda n: n - int(allowed(n, percent)))])
     return np.array(bounds, np.int64)
 
 
