@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from marlspar.session import ship, stored
 
 #: Pivots, at most, and items for each, at least; rings of distance around a pivot.
 PIVOTS, ITEMS_PER_PIVOT, RINGS = 64, 4096, 16
-#: Bytes of a block of items, queries of a block, and distances that are held at once.
-BLOCK_BYTES, BLOCK_QUERIES, HELD = 16 << 20, 512, 1 << 22
+#: Bytes of a block of items (in doubles), queries of a block, of a group that one task searches, and distances that are held at once.
+BLOCK_BYTES, BLOCK_QUERIES, GROUP_QUERIES, HELD = 4 << 20, 512, 8192, 1 << 21
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -45,50 +45,83 @@ def nearest_to_each(
 ) -> DataFrame:
     """The k items nearest to each query: query id, item id, d2 (6 decimals), rank, ties by id.
 
-    A grid of blocks. Items lie around pivots (PIVOTS of them, or fewer) in the
-    order of their distance, and blocks of at most BLOCK_BYTES are rows of a
-    table; the rings of each pivot are summed up in a table of fixed size. Equal
-    query vectors are searched once. By the triangle inequality a ring is skipped
-    if even its nearest place is farther than the farthest place of rings that
-    hold k items; blocks of queries meet the blocks of the other rings in a join,
-    and each meeting sends on the k best of each query, which are merged in
-    bounded memory. Only pivots and rings go through the driver.
+    Rows of ``nearest_lists``, one for each neighbour. Items and queries without a vector go.
+    """
+    asked = queries.select(F.col(query_id), F.col(query_vector))
+    lists = nearest_lists(items.select(id_column, vector), asked, k, id_column, vector, query_vector)
+    rows = lists.select(query_id, F.posexplode("items"))
+    return rows.select(query_id, F.col(f"col.`{id_column}`").alias(id_column), F.col("col.d2").alias("d2"), (F.col("pos") + 1).alias("rank"))
+
+
+def nearest_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column: str = "vec_id", vector: str = "embedding", query_vector: str = "query") -> DataFrame:
+    """A row for each query: its columns but the vector, and ``items``, its k nearest in order: d2 (6 decimals) and the item's columns but the vector; ties by id.
+
+    Items lie around pivots (PIVOTS of them, or fewer) in the order of their
+    distance, and blocks of at most BLOCK_BYTES are rows of a table; the rings of
+    each pivot are summed up in a table of fixed size. Equal query vectors are
+    searched once. Groups of at most GROUP_QUERIES of them meet in one task the
+    blocks that one of them may need, one after the other, and hold their k best
+    alone, so that what is moved are the blocks, once a group, and the lists. By
+    the triangle inequality a ring is skipped if even its nearest place is farther
+    than the farthest place of rings that hold k items, and for one query a block
+    that is farther than the k it has. Only pivots and rings go through the driver.
+
+    What a query needs of an item should be among its columns if it is short, for
+    lists are a row a query vector where neighbours are k rows a query.
 
     Items and queries without a vector go.
     """
     spark = items.sparkSession
     ship(spark)
-    id_type, query_type = dict(items.dtypes)[id_column], dict(queries.dtypes)[query_id]
-    items = items.filter(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.select(F.col(query_id).alias("asker"), F.col(query_vector).cast("array<double>").alias("query")).filter("query IS NOT NULL")
-    searched = stored(asked.select("query").distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
-
-    count = max(1, min(PIVOTS, items.count() // ITEMS_PER_PIVOT))
-    chosen = [r[0] for r in items.orderBy(F.xxhash64("id"), "id").select("vector").limit(count).collect()]
+    carried = [c for c in items.columns if c not in (id_column, vector)]
+    single = dict(items.dtypes)[vector] == "array<float>"  # as wide in a block as in the table
+    items = items.filter(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.struct(F.col(id_column), *carried).alias("item"), F.col(vector).cast("array<double>").alias("vector"))
+    item = items.schema["item"].dataType.simpleString()
+    # Vectors are told apart by 128 bits where queries look for theirs.
+    marks = [F.xxhash64("query").alias("_mark"), F.xxhash64(F.lit(1), "query").alias("_other_mark")]
+    asked = queries.withColumn("query", F.col(query_vector).cast("array<double>")).filter("query IS NOT NULL")
+    searched = stored(asked.select("query", *marks).distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
+
+    # Numbers that stand in the order of the ids break ties.
+    numbered = stored(items.orderBy("id").withColumn("place", F.monotonically_increasing_id()), "items")
+    count = max(1, min(PIVOTS, numbered.count() // ITEMS_PER_PIVOT))
+    chosen = [r[0] for r in numbered.orderBy(F.xxhash64("id"), "id").select("vector").limit(count).collect()]
+    others = [F.col(f"`{c}`") for c in queries.columns if c != query_vector]
     if not chosen:
-        return spark.createDataFrame([], f"{query_id} {query_type}, {id_column} {id_type}, d2 double, rank int")
+        schema = queries.select(*others).withColumn("items", F.array(F.struct(F.lit(0.0).alias("d2"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema["item"].dataType]))).schema
+        return spark.createDataFrame([], schema)
     pivots = spark.sparkContext.broadcast(np.array(chosen))  # count vectors
-    placed = items.mapInArrow(_placed(pivots, "id", "vector"), f"id {id_type}, vector array<double>, pivot int, distance double")
+    placed = numbered.select("place", "item", "vector").mapInArrow(_placed(pivots, ["place", "item", "vector"], "vector"), f"place long, item {item}, vector array<double>, pivot int, distance double")
     ordered = placed.repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance")
-    blocks = stored(ordered.mapInArrow(_block_rows(BLOCK_BYTES), f"pivot int, near double, far double, n int, ids array<{id_type}>, vectors binary"), "blocks")
+    blocks = stored(ordered.mapInArrow(_block_rows(BLOCK_BYTES, single), f"pivot int, near double, far double, n int, places array<long>, items array<{item}>, vectors binary"), "blocks")
 
     edges = blocks.groupBy("pivot").agg(F.percentile_approx("near", [i / RINGS for i in range(RINGS)]).alias("edges"))  # the first is the least
     ring = F.size(F.filter("edges", lambda e: e <= F.col("near"))).alias("ring")
-    blocks = blocks.join(F.broadcast(edges), "pivot").select("pivot", ring, "near", "far", "n", "ids", "vectors")  # a row a pivot
+    blocks = blocks.join(F.broadcast(edges), "pivot").select("pivot", ring, "near", "far", "n", "places", "items", "vectors")  # a row a pivot
     rings = blocks.groupBy("pivot", "ring").agg(F.min("near"), F.max("far"), F.sum("n")).collect()  # PIVOTS * RINGS rows at most
     sent = spark.sparkContext.broadcast(np.array(rings, np.float64))
 
-    near = searched.mapInArrow(_placed(pivots, "query_no", "query"), "query_no long, query array<double>, pivot int, distance double")
-    near = near.repartitionByRange("pivot", "query_no").sortWithinPartitions("pivot", "query_no")  # queries that want the same blocks
-    wanted = near.mapInArrow(_wanted_rows(pivots, sent, k), "pivot int, ring int, query_nos array<long>, queries binary")
-    met = wanted.join(blocks.select("pivot", "ring", "ids", "vectors"), ["pivot", "ring"]).select("query_nos", "queries", "ids", "vectors")
-    lists = f"query_no long, ids array<{id_type}>, d2 array<double>"
-    found = met.mapInArrow(_best_of_blocks(k), lists).repartition("query_no").sortWithinPartitions("query_no")
-    best = found.mapInArrow(_merged(k), lists)
-
-    mine = asked.join(searched, "query").select("asker", "query_no").join(best, "query_no")
-    rows = mine.select(F.col("asker").alias(query_id), F.posexplode(F.arrays_zip("ids", "d2")))
-    return rows.select(query_id, F.col("col.ids").alias(id_column), F.col("col.d2").alias("d2"), (F.col("pos") + 1).alias("rank"))
+    n = searched.count()
+    size = max(BLOCK_QUERIES, min(GROUP_QUERIES, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    tasks = max(1, -(-n // size))
+    near = searched.select("query_no", "query").mapInArrow(_placed(pivots, ["query_no", "query"], "query"), "query_no long, query array<double>, pivot int, distance double")
+    near = near.repartitionByRange(tasks, "pivot", "query_no").sortWithinPartitions("pivot", "query_no")  # queries that want the same blocks
+    columns = "group long, pivot int, ring int, least double, query_nos array<long>, queries binary"
+    groups = stored(near.mapInArrow(_wanted_groups(pivots, sent, k, size, tasks), columns), "groups")
+    asking = groups.filter("pivot IS NULL").selectExpr(
+        "group", "-1D AS least", "query_nos", "queries", "CAST(NULL AS int) AS pivot", "CAST(NULL AS double) AS near", "CAST(NULL AS double) AS far",
+        "CAST(NULL AS array<long>) AS places", f"CAST(NULL AS array<{item}>) AS items", "CAST(NULL AS binary) AS vectors",
+    )
+    wanted = groups.filter("pivot IS NOT NULL").select("group", "pivot", "ring", "least")
+    met = wanted.join(blocks.select("pivot", "ring", "near", "far", "places", "items", "vectors"), ["pivot", "ring"])
+    met = met.selectExpr("group", "least", "CAST(NULL AS array<long>) AS query_nos", "CAST(NULL AS binary) AS queries", "pivot", "near", "far", "places", "items", "vectors")
+    dealt = asking.unionByName(met).repartitionById(tasks, F.col("group").cast("int")).sortWithinPartitions("group", "least")
+    best = dealt.mapInArrow(_best_of_groups(pivots, k, single), f"query_no long, items array<{item}>, d2 array<double>")
+    best = best.select("query_no", F.arrays_zip("items", "d2").alias("zipped"))
+    numbers = searched.select("_mark", "_other_mark", "query_no")
+    mine = asked.select(*others, *marks).join(numbers, ["_mark", "_other_mark"]).drop("_mark", "_other_mark")
+    unzipped = F.transform("zipped", lambda x: F.struct(x["d2"].alias("d2"), *[x["items"][f.name].alias(f.name) for f in items.schema["item"].dataType])).alias("items")
+    return mine.join(best.select("query_no", unzipped), "query_no").select(*others, "items")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,31 +137,31 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - pivots) ** 2).sum(axis=2))
 
 
-def _placed(pivots, key: str, vector: str):
+def _placed(pivots, names: list[str], vector: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 d = np.concatenate([_to_pivots(_matrix(batch.column(vector).slice(i, 1024)), pivots.value) for i in range(0, batch.num_rows, 1024)])
                 nearest = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key), batch.column(vector), pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest])], names=[key, vector, "pivot", "distance"]
-                )
+                columns = [*[batch.column(c) for c in names], pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "pivot", "distance"])
 
     return run
 
 
-def _block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _block(held: list[pa.RecordBatch], single: bool) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held).combine_chunks()
     held.clear()
     distance = rows.column("distance").to_numpy()
-    ids = rows.column("id").combine_chunks()
-    one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    vectors = _matrix(rows.column("vector").combine_chunks()).tobytes()
-    columns = [rows.column("pivot")[:1].combine_chunks(), pa.array(distance[:1]), pa.array(distance[-1:]), pa.array([len(ids)], pa.int32()), one, pa.array([vectors])]
-    return pa.RecordBatch.from_arrays(columns, names=["pivot", "near", "far", "n", "ids", "vectors"])
+    places, items = (rows.column(c).combine_chunks() for c in ("place", "item"))
+    one = pa.array([0, len(places)], pa.int32())
+    vectors = _matrix(rows.column("vector").combine_chunks()).astype(np.float32 if single else np.float64).tobytes()
+    columns = [rows.column("pivot")[:1].combine_chunks(), pa.array(distance[:1]), pa.array(distance[-1:]), pa.array([len(places)], pa.int32())]
+    columns += [pa.ListArray.from_arrays(one, places), pa.ListArray.from_arrays(one, items), pa.array([vectors])]
+    return pa.RecordBatch.from_arrays(columns, names=["pivot", "near", "far", "n", "places", "items", "vectors"])
 
 
-def _block_rows(most_bytes: int):
+def _block_rows(most_bytes: int, single: bool):
     """Blocks of items in the order of pivot and distance; a block has one pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,39 +176,44 @@ def _block_rows(most_bytes: int):
             edges = np.r_[0, np.flatnonzero(pivot[1:] != pivot[:-1]) + 1, len(pivot)]
             for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if held and held[-1].column("pivot")[0].as_py() != pivot[begin]:
-                    yield _block(held)
+                    yield _block(held, single)
                     size = 0
                 while begin < end:
                     some = min(end - begin, most - size)
                     held.append(batch.slice(begin, some))
                     begin, size = begin + some, size + some
                     if size >= most:
-                        yield _block(held)
+                        yield _block(held, single)
                         size = 0
         if held:
-            yield _block(held)
+            yield _block(held, single)
 
     return run
 
 
+def _needs(q: np.ndarray, pivots: np.ndarray, rings: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries may have one of their k nearest in which rings, and the least distance of each to each."""
+    near, far, n = rings[:, 2], rings[:, 3], rings[:, 4]
+    d = _to_pivots(q, pivots)[:, rings[:, 0].astype(np.int32)]
+    least = np.maximum(0, np.maximum(near - d, d - far))
+    most = d + far
+    order = np.argsort(most, axis=1)
+    enough = np.cumsum(n[order], axis=1) >= k
+    limit = np.where(enough.any(axis=1), np.take_along_axis(most, order, 1)[np.arange(len(q)), enough.argmax(axis=1)], np.inf)
+    # Distances count by 6 decimals of their squares, so what is as far as the last must be seen.
+    return least**2 <= (limit**2 * (1 + 1e-9) + 1e-5)[:, None], least
+
+
 def _wanted_rows(pivots, rings, k: int):
     """For blocks of queries and each ring, those that may have one of their k nearest there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, ring = rings.value[:, 0].astype(np.int32), rings.value[:, 1].astype(np.int32)
-        near, far, n = rings.value[:, 2], rings.value[:, 3], rings.value[:, 4]
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_QUERIES):
                 some = batch.slice(begin, BLOCK_QUERIES)
                 q = _matrix(some.column("query"))
-                d = _to_pivots(q, pivots.value)[:, pivot]
-                least = np.maximum(0, np.maximum(near - d, d - far))
-                most = d + far
-                order = np.argsort(most, axis=1)
-                enough = np.cumsum(n[order], axis=1) >= k
-                limit = np.where(enough.any(axis=1), np.take_along_axis(most, order, 1)[np.arange(len(q)), enough.argmax(axis=1)], np.inf)
-                # Distances count by 6 decimals of their squares, so what is as far as the last must be seen.
-                needs = least**2 <= (limit**2 * (1 + 1e-9) + 1e-5)[:, None]
+                needs, _ = _needs(q, pivots.value, rings.value, k)
                 numbers = some.column("query_no").to_numpy()
                 which = np.flatnonzero(needs.any(axis=0))
                 nos, vectors = [numbers[needs[:, r]] for r in which], [q[needs[:, r]].tobytes() for r in which]
@@ -186,67 +224,104 @@ def _wanted_rows(pivots, rings, k: int):
     return run
 
 
-def _best_of_blocks(k: int):
-    """The k best of each query in each block that it meets, in order."""
+def _wanted_groups(pivots, rings, k: int, size: int, tasks: int):
+    """For groups of queries: a row with them all, and a row for each ring that one of them may need, with the mean of their least distances to it."""
+    schema = pa.schema([("group", pa.int64()), ("pivot", pa.int32()), ("ring", pa.int32()), ("least", pa.float64()), ("query_nos", pa.list_(pa.int64())), ("queries", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, ring = rings.value[:, 0].astype(int), rings.value[:, 1].astype(int)
+        group = TaskContext.get().partitionId()  # further groups of a task lie a number of tasks apart
         for batch in batches:
-            for row in range(batch.num_rows):
-                numbers, ids = (batch.column(c)[row].values for c in ("query_nos", "ids"))
-                q = np.frombuffer(batch.column("queries")[row].as_buffer(), np.float64).reshape(len(numbers), -1)
-                x = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(len(ids), -1)
-                rank = np.empty(len(ids), np.int64)
-                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                width = min(k, len(ids))
-                most = max(1, HELD // len(ids))
-                for begin in range(0, len(q), most):
-                    d = _distances(q[begin : begin + most], x)
-                    # All that are as near as the last stay until the ids break the tie.
-                    limit = np.partition(d, width - 1, axis=1)[:, width - 1 : width]
-                    of, at = np.nonzero(d <= limit)
-                    order = np.lexsort((rank[at], d[of, at], of))
-                    of, at = of[order], at[order]
-                    place = np.arange(len(of)) - np.searchsorted(of, of)
-                    stay = place < width
-                    of, at = of[stay], at[stay]
-                    offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * width)
-                    near = pa.array(d[of, at])
-                    yield pa.RecordBatch.from_arrays(
-                        [numbers.slice(begin, len(d)), pa.ListArray.from_arrays(offsets, ids.take(pa.array(at))), pa.ListArray.from_arrays(offsets, near)], names=["query_no", "ids", "d2"]
-                    )
+            for begin in range(0, batch.num_rows, size):
+                some = batch.slice(begin, size)
+                q = _matrix(some.column("query"))
+                needed, least = np.zeros(len(pivot), bool), np.zeros(len(pivot))
+                for at in range(0, len(q), BLOCK_QUERIES):
+                    needs, distance = _needs(q[at : at + BLOCK_QUERIES], pivots.value, rings.value, k)
+                    needed |= needs.any(axis=0)
+                    least += distance.sum(axis=0) / len(q)
+                rows = [{"group": group, "query_nos": some.column("query_no").to_pylist(), "queries": q.tobytes()}]
+                rows += [{"group": group, "pivot": pivot[r], "ring": ring[r], "least": least[r]} for r in np.flatnonzero(needed).tolist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                group += tasks
 
     return run
 
 
-def _merged(k: int):
-    """Of rows in order of their query: one row each, with the k best of all. A task holds a batch and k rows."""
+def _kept(held: np.ndarray, places: np.ndarray, d: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's best and the new distances, as many as there were best, ties by place. Infinite ones stand for none."""
+    k = held.shape[1]
+    both = np.concatenate([held, d], axis=1)
+    last = np.partition(both, k - 1, axis=1)[:, k - 1 : k]
+    stay, tied = both < last, both == last
+    room = k - stay.sum(axis=1)
+    for row in np.flatnonzero((tied.sum(axis=1) > room) & np.isfinite(last[:, 0])).tolist():
+        at = np.flatnonzero(tied[row])
+        of = np.where(at < k, places[row, np.minimum(at, k - 1)], new[np.maximum(at - k, 0)])
+        tied[row, at[np.argsort(of)[room[row] :]]] = False
+    endless = np.flatnonzero(np.isinf(last[:, 0]))
+    tied[endless] &= np.cumsum(tied[endless], axis=1) <= room[endless, None]
+    row, at = np.nonzero(stay | tied)
+    kept = np.where(at < k, places[row, np.minimum(at, k - 1)], new[np.maximum(at - k, 0)])
+    return both[row, at].reshape(-1, k), kept.reshape(-1, k)
+
+
+class _Group:
+    """Queries of a group and their k best so far. Blocks come one after the other."""
+
+    def __init__(self, numbers: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
+        self.numbers, self.q, self.k = numbers, q, k
+        self.to_pivots = np.concatenate([_to_pivots(q[i : i + 1024], pivots) for i in range(0, len(q), 1024)])
+        self.d, self.places = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        self.seen: list[tuple[np.ndarray, pa.Array]] = []
+
+    def meet(self, pivot: int, near: float, far: float, places: np.ndarray, items: pa.Array, x: np.ndarray) -> None:
+        to = self.to_pivots[:, pivot]
+        least = np.maximum(0, np.maximum(near - to, to - far))
+        rows = np.flatnonzero(least**2 <= self.d.max(axis=1) * (1 + 1e-9) + 1e-5)
+        if not len(rows):
+            return
+        self.seen.append((places, items))
+        most = max(1, HELD // (len(x) + self.k))
+        for begin in range(0, len(rows), most):
+            some = rows[begin : begin + most]
+            self.d[some], self.places[some] = _kept(self.d[some], self.places[some], _distances(self.q[some], x), places)
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        known = np.concatenate([p for p, _ in self.seen]) if self.seen else np.empty(0, np.int64)
+        items = pa.concat_arrays([i for _, i in self.seen]) if self.seen else None
+        order = np.argsort(known)
+        for begin in range(0, len(self.q) if items is not None else 0, BLOCK_QUERIES):
+            d, places = self.d[begin : begin + BLOCK_QUERIES], self.places[begin : begin + BLOCK_QUERIES]
+            by = np.lexsort((places, d), axis=1)
+            d, places = np.take_along_axis(d, by, 1), np.take_along_axis(places, by, 1)
+            there = np.isfinite(d)
+            offsets = pa.array(np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32))
+            at = order[np.searchsorted(known, places[there], sorter=order)]
+            columns = [pa.array(self.numbers[begin : begin + BLOCK_QUERIES]), pa.ListArray.from_arrays(offsets, items.take(pa.array(at))), pa.ListArray.from_arrays(offsets, pa.array(d[there]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_no", "items", "d2"])
+
+
+def _best_of_groups(pivots, k: int, single: bool):
+    """Of rows in order of their group, its queries first and then the blocks that it meets: a row a query with its k best, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        group = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = pc.list_value_length(batch.column("ids")).to_numpy()
-            of = pa.array(np.repeat(batch.column("query_no").to_numpy(), sizes))
-            rows = pa.table([of, batch.column("ids").flatten(), batch.column("d2").flatten()], names=["query_no", "id", "d2"])
-            rows = (rows if held is None else pa.concat_tables([held, rows])).sort_by([(c, "ascending") for c in ("query_no", "d2", "id")])
-            numbers = rows.column("query_no").to_numpy()
-            place = np.arange(len(numbers)) - np.searchsorted(numbers, numbers)
-            rows = rows.filter(pa.array(place < k))
-            last = int(np.searchsorted(rows.column("query_no").to_numpy(), numbers[-1]))  # the last query may go on
-            yield from _lists(rows.slice(0, last))
-            held = rows.slice(last)
-        if held is not None:
-            yield from _lists(held)
+            for row in range(batch.num_rows):
+                queries = batch.column("queries")[row]
+                if queries.is_valid:
+                    if group is not None:
+                        yield from group.lists()
+                    numbers = batch.column("query_nos")[row].values.to_numpy().copy()
+                    q = np.frombuffer(queries.as_buffer(), np.float64).reshape(len(numbers), -1).copy()
+                    group = _Group(numbers, q, pivots.value, k)
+                    continue
+                places = batch.column("places")[row].values.to_numpy().copy()
+                x = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float32 if single else np.float64).reshape(len(places), -1).astype(np.float64)
+                items = pa.concat_arrays([batch.column("items")[row].values.slice(0)])
+                group.meet(*[batch.column(c)[row].as_py() for c in ("pivot", "near", "far")], places, items, x)
+        if group is not None:
+            yield from group.lists()
 
     return run
-
-
-def _lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    if rows.num_rows:
-        rows = rows.combine_chunks()
-        numbers = rows.column("query_no").to_numpy()
-        begin = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-        offsets = pa.array(np.r_[begin, len(numbers)].astype(np.int32))
-        ids, d2 = (pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("id", "d2"))
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[begin]), ids, d2], names=["query_no", "ids", "d2"])

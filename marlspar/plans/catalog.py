@@ -335,8 +335,8 @@ def recommend_users(spark, sf_dir):
 
 @query(_RECOMMENDED + "SELECT chat_id, string_agg(vec_id, ',' ORDER BY rank) AS vec_ids, count(*) AS n FROM ranked GROUP BY chat_id")
 def recommend_documents(spark, sf_dir):
-    rows = _recommended(spark, sf_dir).withColumn("page_content", F.col("vec_id").cast("string"))
-    docs = recommend.as_documents(rows, "page_content", ["vec_id"])
+    lists = recommend.recommended_lists(_users(spark, sf_dir), _jobs(spark, sf_dir), k=recommend.K)
+    docs = recommend.documents_of_lists(lists, lambda x: x["vec_id"].cast("string"), ["vec_id"])
     ids = F.transform("job_recommendation", lambda d: d["page_content"])
     return docs.select("chat_id", F.array_join(ids, ",").alias("vec_ids"), F.size("job_recommendation").cast("long").alias("n"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlspar.operators import vectors
+from marlspar.operators import recommend, vectors
 
 
 def clusters(rng, n, dims=8, centers=6):
@@ -89,3 +89,20 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     queries = spark.range(90).selectExpr("id AS chat_id", "array(double(id % 3)) AS query")
     assert vectors.nearest_to_each(items, queries, 4).count() == 360
     assert dict(searched)["queries"].count() == 3
+
+
+def test_lists_carry_what_users_need_and_are_a_row_a_query(spark, monkeypatch):
+    """Users who share a vector share its list until the band is cut from it: no row a neighbour is shuffled, and blocks go once to a group of queries."""
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 2 * 5)
+    jobs = spark.range(40).selectExpr("id AS vec_id", "array(float(id div 2), 0f) AS embedding", "named_struct('lo', 0D, 'hi', double(id % 4)) AS yoe")
+    users = spark.range(60).selectExpr("id AS chat_id", "double(id % 3) AS years", "array(double(id % 2 * 19), 0D) AS query")
+    found = recommend.recommend(users, jobs, k=7)
+    near = {0: list(range(7)), 1: [38, 39, 36, 37, 34, 35, 32]}
+    expected = [(c, [i for i in near[c % 2] if i % 4 >= c % 3]) for c in range(60)]
+    rows = found.orderBy("chat_id", "rank").collect()
+    assert [(r.chat_id, r.vec_id, r["rank"]) for r in rows] == [(c, i, n + 1) for c, ids in expected for n, i in enumerate(ids)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate") < plan.index("Join")  # the last step but for the names
+    lists = recommend.recommended_lists(users, jobs, k=7)
+    docs = recommend.documents_of_lists(lists, lambda x: x["vec_id"].cast("string"), ["vec_id"])
+    assert sorted((r.chat_id, [int(d.page_content) for d in r.job_recommendation]) for r in docs.collect()) == [x for x in expected if x[1]]
