@@ -1,9 +1,10 @@
 """JSON files of any size: arrays and envelopes read by byte ranges, and written as streams.
 
 Reading takes two passes over ranges of RANGE bytes, which tasks open by
-themselves. The first sums up what a range does to a reader that enters it
-outside or inside a string: whether it leaves it inside one, and how much deeper
-it is then. The sums of a file's ranges, a row each, are chained, so the second
+themselves, about TASK bytes each, one range after the other: what a scan holds
+is a multiple of its range, so ranges are small. The first sums up what a range
+does to a reader that enters it outside or inside a string: whether it leaves it
+inside one, and how much deeper it is then. The sums of a file's ranges, a row each, are chained, so the second
 pass enters each range in the right state: it finds the objects that begin at
 the depth of the elements and reads each to its end, also beyond the range. A
 string can't hold a raw newline, so one that isn't closed ends there, and what
@@ -34,12 +35,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from marlspar.session import ship, stored
 
-#: Bytes of a range, and bytes read at once beyond it.
-RANGE, MORE = 8 << 20, 1 << 20
+#: Bytes of a range, bytes of a task's ranges, and bytes read at once beyond a range.
+RANGE, TASK, MORE = 1 << 20, 8 << 20, 64 << 10
+#: Bytes of texts that are given out at once.
+GIVEN = 1 << 20
 
 _QUOTE, _BACKSLASH, _NEWLINE, _COLON = b'"\\\n:'
 _BLANK = np.isin(np.arange(256), list(b" \t\r\n,"))
-_STEP = np.zeros(256, np.int64)
+_STEP = np.zeros(256, np.int8)
 _STEP[list(b"{[")], _STEP[list(b"}]")] = 1, -1
 
 
@@ -80,18 +83,18 @@ class Scan:
 def scanned(buf: np.ndarray, inside: bool, depth: int, slashes: int) -> Scan:
     """slashes: backslashes that stand right before the bytes."""
     n = len(buf)
-    place = np.arange(n)
-    other = np.where(buf == _BACKSLASH, -1 - slashes, place)
+    place = np.arange(n, dtype=np.int32)
+    other = np.where(buf == _BACKSLASH, np.int32(-1 - slashes), place)
     last_other = np.maximum.accumulate(other) if n else other
-    run = place - 1 - np.r_[-1 - slashes, last_other[:-1]][:n]  # backslashes before each byte
-    quotes = np.cumsum((buf == _QUOTE) & (run % 2 == 0))
+    run = place - 1 - np.r_[np.int32(-1 - slashes), last_other[:-1]][:n]  # backslashes before each byte
+    quotes = np.cumsum((buf == _QUOTE) & (run % 2 == 0), dtype=np.int32)
     newline = buf == _NEWLINE
-    restart = np.maximum.accumulate(np.where(newline, place, -1)) if n else place
-    since = quotes - np.where(restart >= 0, quotes[restart], 0) + np.where(restart >= 0, 0, int(inside))
+    restart = np.maximum.accumulate(np.where(newline, place, np.int32(-1))) if n else place
+    since = quotes - np.where(restart >= 0, quotes[restart], np.int32(-int(inside)))
     after = since % 2 == 1
     outside = ~np.r_[inside, after[:-1]][:n]
-    deep = depth + np.cumsum(np.where(outside, _STEP[buf], 0))
-    return Scan(deep, np.r_[depth, deep[:-1]][:n], outside, bool(after[-1]) if n else inside)
+    deep = np.int32(depth) + np.cumsum(np.where(outside, _STEP[buf], np.int8(0)), dtype=np.int32)
+    return Scan(deep, np.r_[np.int32(depth), deep[:-1]][:n], outside, bool(after[-1]) if n else inside)
 
 
 def _slashes_before(file, begin: int) -> int:
@@ -151,6 +154,22 @@ def _key_before(file, colon: int) -> str | None:
         size *= 8
 
 
+def _to_its_end(file, head: bytes, place: int, size: int, inside: bool, depth: int, at: int, an_object: bool) -> tuple[bytes, bool]:
+    """An element that goes on beyond its range, which ends at ``place`` in the given state."""
+    text, closed, step, slashes = [head], False, MORE, 0
+    while place < size and not closed:
+        file.seek(place)
+        more = file.read(min(step, size - place))
+        last = len(text[-1]) - len(text[-1].rstrip(b"\\"))
+        slashes = last + (slashes if last == len(text[-1]) else 0)
+        t = scanned(np.frombuffer(more, np.uint8), inside, depth, slashes)
+        stop = np.flatnonzero(t.outside & (t.depth == at) & (t.before == at + 1))
+        closed = bool(len(stop))
+        text.append(more[: stop[0] + 1] if closed else more)
+        place, inside, depth, step = place + len(more), t.inside_after, int(t.depth[-1]), min(2 * step, RANGE)
+    return b"".join(text), closed and an_object
+
+
 def _object_rows(level: int | None, encoding: str):
     """Objects that begin in each range: file, range, number in it, position, text; of level 2 the keys of the outer object, too (``name``)."""
     schema = pa.schema([("file", pa.string()), ("begin", pa.int64()), ("nth", pa.int32()), ("position", pa.int64()), ("text", pa.string()), ("name", pa.string()), ("sound", pa.bool_())])
@@ -168,38 +187,40 @@ def _object_rows(level: int | None, encoding: str):
             opens = np.flatnonzero(s.outside & (_STEP[buf] == 1) & (s.before == at))
             closes = np.flatnonzero(s.outside & (s.depth == at) & (s.before == at + 1))
             ends = np.searchsorted(closes, opens)
-            found: list[tuple[int, bytes, bool]] = []
-            for begin, e in zip(opens.tolist(), ends.tolist()):
-                an_object = buf[begin] == ord("{")
-                if at == 0 and not an_object:
-                    continue
-                if e < len(closes):
-                    found.append((begin, data[begin : closes[e] + 1], an_object))
-                    continue
-                text, inside, depth = [data[begin:]], s.inside_after, int(s.depth[-1])
-                place, closed = row["end"], False
-                while place < size and not closed:
-                    file.seek(place)
-                    more = file.read(min(MORE, size - place))
-                    some = np.frombuffer(more, np.uint8)
-                    tail = b"".join(text[-1:])
-                    t = scanned(some, inside, depth, len(tail) - len(tail.rstrip(b"\\")))
-                    stop = np.flatnonzero(t.outside & (t.depth == at) & (t.before == at + 1))
-                    closed = bool(len(stop))
-                    text.append(more[: stop[0] + 1] if closed else more)
-                    place, inside, depth = place + len(more), t.inside_after, int(t.depth[-1])
-                found.append((begin, b"".join(text), closed and an_object))
+            strays = np.empty((0, 2), np.int64)
             if level != 2:  # there, other values than arrays of objects stand between
                 stray = (s.before == at) & (s.depth == at) & ~(s.outside & _BLANK[buf])
                 if row["begin"] == 0 and data.startswith(b"\xEF\xBB\xBF"):
                     stray[:3] = False
-                edges = np.flatnonzero(np.diff(np.r_[False, stray, False].astype(np.int8)))
-                found += [(a, data[a:b], False) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-            for nth, (begin, text, sound) in enumerate(sorted(found)):
-                yield {"nth": nth, "position": row["begin"] + begin, "text": text.decode(encoding, "replace"), "sound": bool(sound)}
-            if level == 2:
-                for colon in np.flatnonzero(s.outside & (buf == _COLON) & (s.before == 1)).tolist():
-                    yield {"position": row["begin"] + colon, "name": _key_before(file, row["begin"] + colon)}
+                strays = np.flatnonzero(np.diff(np.r_[False, stray, False].astype(np.int8))).reshape(-1, 2)
+            inside, depth = s.inside_after, int(s.depth[-1])
+            marks = np.flatnonzero(s.outside & (buf == _COLON) & (s.before == 1)) if level == 2 else []
+            del s
+
+            def element(begin: int, e: int) -> tuple[bytes, bool] | None:
+                an_object = buf[begin] == ord("{")
+                if at == 0 and not an_object:
+                    return None
+                if e < len(closes):
+                    return data[begin : closes[e] + 1], an_object
+                return _to_its_end(file, data[begin:], row["end"], size, inside, depth, at, an_object)
+
+            nth = 0
+            # Strays and elements in their order; a text is cut when its turn comes.
+            order = np.argsort(np.r_[opens, strays[:, 0]], kind="stable").tolist()
+            for i in order:
+                if i < len(opens):
+                    begin = int(opens[i])
+                    found = element(begin, int(ends[i]))
+                else:
+                    begin, end = strays[i - len(opens)].tolist()
+                    found = data[begin:end], False
+                if found is None:
+                    continue
+                yield {"nth": nth, "position": row["begin"] + begin, "text": found[0].decode(encoding, "replace"), "sound": bool(found[1])}
+                nth += 1
+            for colon in marks:
+                yield {"position": row["begin"] + int(colon), "name": _key_before(file, row["begin"] + int(colon))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +229,7 @@ def _object_rows(level: int | None, encoding: str):
                 for x in of_range(row):
                     rows.append({"file": row["file"], "begin": row["begin"], **x})
                     held += len(x.get("text") or "")
-                    if held > 4 << 20:
+                    if held > GIVEN or len(rows) >= 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, held = [], 0
                 if rows:
@@ -228,7 +249,7 @@ def objects(spark: SparkSession, paths: Sequence[str], key: str | None = None, e
     step = F.lit(size)
     begins = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)).alias("begin"))
     ranges = begins.select("file", "begin", F.least("size", F.col("begin") + step).alias("end"))
-    tasks = max(1, min(10_000, sum(-(-n // size) for _, n in listed(spark, paths))))
+    tasks = max(1, min(10_000, sum(-(-n // max(size, TASK)) for _, n in listed(spark, paths))))
     sums = ranges.repartition(tasks, "file", "begin").mapInArrow(_sum_rows, "file string, begin long, end long, inside boolean, then_inside boolean, deeper long, first string")
     entered = sums.groupBy("file").applyInPandas(_chained, "file string, begin long, end long, inside boolean, depth long, first string")
     columns = "file string, begin long, nth int, position long, text string, name string, sound boolean"

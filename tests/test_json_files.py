@@ -2,7 +2,11 @@
 
 import json
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from marlspar.schema import strings
@@ -98,3 +102,32 @@ def test_a_failed_write_leaves_what_is_there(spark, tmp_path):
         sinks.json_arrays(spark.range(5).selectExpr("id AS k", "assert_true(id < 3) AS v"), path, "k", files=1)
     assert readers.json_array(spark, path, strings("k")).count() == 5
     assert not [f for f in (tmp_path / "out").iterdir() if "staged" in f.name]
+
+
+def test_what_a_scan_holds_does_not_follow_the_file(tmp_path):
+    """A file of many ranges takes the memory of one, and a task gives out texts as it comes to them."""
+    (tmp_path / "a.json").write_text("[" + ",\n".join(json.dumps({"k": f"{i:08}" * 20}) for i in range(60000)) + "]")
+    size = (tmp_path / "a.json").stat().st_size
+    begins = range(0, size, json_files.RANGE)
+    ranges = [{"file": str(tmp_path / "a.json"), "begin": b, "end": min(size, b + json_files.RANGE)} for b in begins]
+    tracemalloc.start()
+    sums = pd.concat([b.to_pandas() for b in json_files._sum_rows(iter([pa.RecordBatch.from_pylist(ranges)]))])
+    entered = pa.RecordBatch.from_pandas(json_files._chained(sums))
+    n = sum(sum(b.column("sound").to_pylist()) for b in json_files._object_rows(None, "utf-8")(iter([entered])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60000 and peak < 100e6  # workers with ranges of 8 MB grew to 900 MB
+
+
+def test_an_element_over_many_ranges_that_ends_in_backslashes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_files, "MORE", 4)
+    rows = [{"k": "a" * 40 + "\\" * n, "v": "x"} for n in range(1, 12)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    size, text = (tmp_path / "a.json").stat().st_size, (tmp_path / "a.json").read_bytes()
+    with open(tmp_path / "a.json", "rb") as file:
+        begin = text.index(b"{")
+        for cut in range(begin + 45, text.index(b"}") + 1):
+            head = text[begin:cut]
+            s = json_files.scanned(np.frombuffer(text[:cut], np.uint8), False, 0, 0)
+            found, sound = json_files._to_its_end(file, head, cut, size, s.inside_after, int(s.depth[-1]), 1, True) if int(s.depth[-1]) > 1 else (head, True)
+            assert sound and json.loads(found) == rows[0]
