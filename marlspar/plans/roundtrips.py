@@ -18,7 +18,7 @@ from marlspar.plans import catalog, flows
 from marlspar.plans.catalog import EXP_TEXT
 from marlspar.plans.registry import query
 from marlspar.schema import RAW
-from marlspar.session import scratch, table
+from marlspar.session import scratch, spread, table
 from marlspar.sources import captured, json_files, readers, sinks, tables
 from marlspar.streaming import dialogue, streams
 
@@ -466,7 +466,7 @@ FROM part WHERE p_partkey % 5 > 0"""
 )
 def card_parts(spark, sf_dir):
     """Cards of several parts with fallback class names; a card without a link is skipped."""
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CARD).alias("html"))
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(_CARD).alias("html"))
     parts = {"title": html.Part("h3", ("title-new", "title", "title-old")), "link": html.Part("a", ("link",), "href"), "place": html.Part(None, ("place",))}
     return html.card_rows(pages, "html", ["p_partkey"], html.Part("li", ("card",)), parts, ("title", "link"))
 
@@ -474,7 +474,7 @@ def card_parts(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'here' ELSE 'Not available' END AS place FROM part")
 def text_of_class(spark, sf_dir):
     """The first element of a class, or a sentinel."""
-    return table(spark, sf_dir, "part").select("p_partkey", html.text_of_class("place")(F.expr(_CARD)).alias("place"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html.text_of_class("place")(F.expr(_CARD)).alias("place"))
 
 
 @query("SELECT p_partkey, p_type AS bare, concat(p_brand, ' ', p_type) AS joined FROM part")
@@ -528,7 +528,7 @@ CASE p_partkey % 4 WHEN 0 THEN 'Failed to load job description' WHEN 1 THEN 'Job
 )
 def linkedin_recipe(spark, sf_dir):
     """Cards of result pages, the first three of a search, with the texts of their detail pages."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     results = p.select(F.col("p_size").cast("string").alias("search"), F.col("p_partkey").alias("start"), F.expr(_RESULT_PAGE).alias("html"))
     body = F.concat(F.lit('<div class="'), F.when(F.col("p_partkey") % 4 == 1, "other").otherwise(captured.LINKEDIN_DETAIL), F.lit('"><p>'), "p_name", F.lit("</p> for "), "p_brand", F.lit("</div>"))
     details = p.filter("p_partkey % 4 > 0").select(F.concat(F.lit("https://j/"), "p_partkey").alias("url"), body.alias("html"))

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "marlspar") -> SparkSession:
@@ -56,6 +57,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt out by their keys, before costly work in Python: a short table is one split of one file, and would be one task.
+
+    Call it while rows are short, before what is computed from them.
+    """
+    return df.repartition(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *[F.xxhash64(k) for k in keys])
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch folders made so far; call it once the results have been written."""
     while _folders:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspar.functions import extract, html, text
+from marlspar.plans import roundtrips  # noqa: F401  registers its queries
+from marlspar.plans.registry import QUERIES
+from marlspar.session import spread
 
 
 def one(spark, column, value, kind="string"):
@@ -96,3 +99,21 @@ def test_extractors(spark):
     assert df.select(extract.skills(F.lit("I know Python, c++ and SQLite"), ["sql", "Python", "go"])).first()[0] == ["python"]
     vec = df.select(extract.hashed_embedding(16)("t").alias("v")).collect()
     assert abs(sum(x * x for x in vec[0].v) - 1) < 1e-6 and sum(vec[2].v) == 0
+
+
+def test_the_first_element_is_what_all_elements_begin_with():
+    """Whatever follows the first element, and however it is closed; parsing ends with it."""
+    pages = [
+        '<p class="card">a <b class="card">b</b> c</p><p class="card">d</p>', '<div class="card x">a<br>b', '<div><p class="card">a</div>b</p><i>c</i>', '<img class="card"><p class="card">later</p>',
+        '<p class="c&#97;rd">e</p>', '<p class="other">card</p>', '<script>var p = "</p>"</script><p class=card>f<script>g</script>&amp;h', "", '<p class="card"', '<p class="card"></p><p class="card">x</p>',
+    ]
+    for page in pages:
+        found = html.elements(page, name="card")
+        assert html.first_text(page, "card", "none") == (found[0]["text"] if found else "none"), page
+    assert html.first_text('<p class="card">a</p>' + "<i>x</i>" * 300_000, "card", "none") == "a"
+
+
+def test_short_tables_are_dealt_out_before_parsing(spark, sf_dir):
+    for name in ("text_of_class", "card_parts", "linkedin_recipe"):
+        assert "RepartitionByExpression" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name
+    assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 8
