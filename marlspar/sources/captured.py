@@ -7,15 +7,19 @@ file is opened: they are partition filters of the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspar.functions import html
 from marlspar.operators import ranks
+from marlspar.session import stored
 
 #: Results whose pages are stored together.
 SPAN = 1000
 
+#: Up to so many first rows of a key, Spark drops the others before it deals them out.
+GROUP_LIMIT = 1000
+
 #: The classes of a result page's cards and of a detail page's text, and what stands for a missing one.
 LINKEDIN_CARD = html.Part("div", ("base-card",))
 LINKEDIN_PARTS = {
@@ -49,9 +53,15 @@ def linkedin(results: DataFrame, details: DataFrame, most: int | None = None) ->
     detail page without the text, and one that isn't there, leave a sentence.
     """
     found = html.card_rows(results, "html", ["search", "start"], LINKEDIN_CARD, LINKEDIN_PARTS, tuple(LINKEDIN_PARTS))
-    if most is not None:
+    if most is not None and most <= GROUP_LIMIT:  # each task keeps as many of a search before they are dealt out
+        first = Window.partitionBy("search").orderBy("start", "position")
+        found = found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most)
+    found = stored(found, "cards")  # pages are parsed once
+    if most is not None and most > GROUP_LIMIT:
         found = ranks.ranked(found, ["search"], ["start", "position"], "place").filter(F.col("place") <= most)
+    # Only the detail pages of these are parsed, each once.
+    wanted = details.join(found.select(F.col("link").alias("url")).distinct(), "url", "left_semi")
     text = html.text_of_class(LINKEDIN_DETAIL, NOT_FOUND)(F.coalesce("html", F.lit("")))
-    pages = details.groupBy("url").agg(F.min("html").alias("html")).select(F.col("url").alias("link"), text.alias("text"))
+    pages = wanted.groupBy("url").agg(F.min("html").alias("html")).select(F.col("url").alias("link"), text.alias("text"))
     joined = found.join(pages, "link", "left")
     return joined.select("search", "title", "company", "location", "link", F.coalesce("text", F.lit(NOT_LOADED)).alias("description"))
