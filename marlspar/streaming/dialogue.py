@@ -85,18 +85,18 @@ class Registration(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, message_id long", "text string, mime_type string")
+        self.waiting = handle.getListState("waiting", "at long, message_id long, text string, mime_type string")
         self.state = handle.getValueState("dialogue", "answers string, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        # A call to the store costs more than a message, so all that came is added at once.
+        passed, came = timerValues.getCurrentWatermarkInMs() * 1000, []
         for frame in rows:
-            for number, ts, text, mime in zip(frame["message_id"], frame["ts"], frame["text"], frame["mime_type"]):
-                at = pd.Timestamp(ts).value // 1000
-                if at > passed:
-                    self.waiting.updateValue((at, int(number)), (text, mime))
-                    first = at if first is None else min(first, at)
-        self._wake(first)
+            times = frame["ts"].astype("datetime64[us]").astype("int64")
+            came += [x for x in zip(times.tolist(), frame["message_id"].tolist(), frame["text"], frame["mime_type"]) if x[0] > passed]
+        if came:
+            self.waiting.appendList(came)
+            self._wake(min(x[0] for x in came))
         yield pd.DataFrame(columns=_COLUMNS)
 
     def _wake(self, at: int | None) -> None:
@@ -115,16 +115,18 @@ class Registration(StatefulProcessor):
             if (lost := talk.given_up(at, self.idle * 1e6)) is not None:
                 out.append(_row(key[0], "given up", lost, None, pd.Timestamp(talk.last, unit="us")))
 
-        waiting = sorted(self.waiting.keys())
-        for at, number in waiting:
-            if at > now:
-                self._wake(at)
-                break
-            text, mime = self.waiting.getValue((at, number))
-            self.waiting.removeKey((at, number))
+        waiting = {(at, number): (text, mime) for at, number, text, mime in self.waiting.get()}  # of the same message, the last
+        later = sorted(place for place in waiting if place[0] > now)
+        for at, number in sorted(waiting.keys() - later):
+            text, mime = waiting[at, number]
             give_up(at)
             if done := talk.heard(at, text, mime):
                 out.append(_row(key[0], *done, pd.Timestamp(at, unit="us")))
+        if later:
+            self.waiting.put([(*place, *waiting[place]) for place in later])
+            self._wake(later[0][0])
+        else:
+            self.waiting.clear()
         give_up(now)
         if talk.answers is None:
             self.state.clear()

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marlspar.streaming import dialogue, streams
@@ -95,3 +96,51 @@ def test_a_stream_out_of_order_equals_the_fold(spark, tmp_path):
         stream = spark.readStream.schema(dialogue.MESSAGE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
         out = streams.to_table(dialogue.registrations_stream(stream, "20 minutes", IDLE), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert got(out.filter(F.col("chat_id") >= 0)) == fold(rows, datetime(2029, 1, 1))
+
+
+class Store:
+    """A chat's state and timers, which counts the calls."""
+
+    def __init__(self):
+        self.rows, self.value, self.calls, self.timers = [], None, 0, []
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + list(rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Times:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_calls_to_the_store_do_not_follow_the_messages():
+    """Messages of a batch are added in one call and taken in another, the last of those with the same time and number."""
+    waiting, talk = Store(), Store()
+    talk.get, talk.update = lambda: None, lambda row: talk.timers.append(row)
+    chat = dialogue.Registration(IDLE)
+    chat.handle, chat.waiting, chat.state = waiting, waiting, talk
+    texts = ["/start", *[f"a{i}" for i in range(300)]]
+    frame = pd.DataFrame({"message_id": range(301), "ts": [START + timedelta(seconds=i) for i in range(301)], "text": texts, "mime_type": [None] * 301})
+    at = int((START - datetime(1970, 1, 1)).total_seconds() * 1000)
+    list(chat.handleInputRows((1,), iter([frame, frame.assign(text="again").tail(1)]), Times(at - 1)))
+    list(chat.handleExpiredTimer((1,), Times(at + 200_000), Times(at + 200_000)))
+    assert waiting.calls == 3 and len(waiting.rows) == 100 and waiting.rows[-1][2] == "again"
+    assert talk.timers[0][0] == '["a0", "a1", "a2", "a3"]'
