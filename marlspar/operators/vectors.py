@@ -101,13 +101,14 @@ def nearest_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
     rings = blocks.groupBy("pivot", "ring").agg(F.min("near"), F.max("far"), F.sum("n")).collect()  # PIVOTS * RINGS rows at most
     sent = spark.sparkContext.broadcast(np.array(rings, np.float64))
 
+    # Every group takes the blocks once, so there are no more groups than tasks at a time; ranges of queries aren't equal, so they are aimed below the most.
     n = searched.count()
-    size = max(BLOCK_QUERIES, min(GROUP_QUERIES, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    size = max(BLOCK_QUERIES, min(GROUP_QUERIES * 3 // 4, -(-n // spark.sparkContext.defaultParallelism)))
     tasks = max(1, -(-n // size))
     near = searched.select("query_no", "query").mapInArrow(_placed(pivots, ["query_no", "query"], "query"), "query_no long, query array<double>, pivot int, distance double")
     near = near.repartitionByRange(tasks, "pivot", "query_no").sortWithinPartitions("pivot", "query_no")  # queries that want the same blocks
     columns = "group long, pivot int, ring int, least double, query_nos array<long>, queries binary"
-    groups = stored(near.mapInArrow(_wanted_groups(pivots, sent, k, size, tasks), columns), "groups")
+    groups = stored(near.mapInArrow(_wanted_groups(pivots, sent, k, GROUP_QUERIES, tasks), columns), "groups")
     asking = groups.filter("pivot IS NULL").selectExpr(
         "group", "-1D AS least", "query_nos", "queries", "CAST(NULL AS int) AS pivot", "CAST(NULL AS double) AS near", "CAST(NULL AS double) AS far",
         "CAST(NULL AS array<long>) AS places", f"CAST(NULL AS array<{item}>) AS items", "CAST(NULL AS binary) AS vectors",
@@ -224,16 +225,17 @@ def _wanted_rows(pivots, rings, k: int):
     return run
 
 
-def _wanted_groups(pivots, rings, k: int, size: int, tasks: int):
-    """For groups of queries: a row with them all, and a row for each ring that one of them may need, with the mean of their least distances to it."""
+def _wanted_groups(pivots, rings, k: int, most: int, tasks: int):
+    """For groups of at most so many queries: a row with them all, and a row for each ring that one of them may need, with the mean of their least distances to it."""
     schema = pa.schema([("group", pa.int64()), ("pivot", pa.int32()), ("ring", pa.int32()), ("least", pa.float64()), ("query_nos", pa.list_(pa.int64())), ("queries", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, ring = rings.value[:, 0].astype(int), rings.value[:, 1].astype(int)
         group = TaskContext.get().partitionId()  # further groups of a task lie a number of tasks apart
         for batch in batches:
-            for begin in range(0, batch.num_rows, size):
-                some = batch.slice(begin, size)
+            each = -(-batch.num_rows // max(1, -(-batch.num_rows // most)))  # equal parts, without a short rest
+            for begin in range(0, batch.num_rows, max(1, each)):
+                some = batch.slice(begin, each)
                 q = _matrix(some.column("query"))
                 needed, least = np.zeros(len(pivot), bool), np.zeros(len(pivot))
                 for at in range(0, len(q), BLOCK_QUERIES):

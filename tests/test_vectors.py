@@ -106,3 +106,23 @@ def test_lists_carry_what_users_need_and_are_a_row_a_query(spark, monkeypatch):
     lists = recommend.recommended_lists(users, jobs, k=7)
     docs = recommend.documents_of_lists(lists, lambda x: x["vec_id"].cast("string"), ["vec_id"])
     assert sorted((r.chat_id, [int(d.page_content) for d in r.job_recommendation]) for r in docs.collect()) == [x for x in expected if x[1]]
+
+
+def test_blocks_go_once_to_as_few_groups_as_there_are_tasks():
+    """Ranges of queries aren't equal: one that holds a few more than the others is still one group, and one that holds too many makes equal ones."""
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    rings = np.array([(0, 1, 0.0, 9.0, 50), (0, 2, 9.0, 20.0, 50)])
+    sizes = {}
+    for n in (70, 81, 100, 101):
+        q = np.linspace(0, 1, n)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([[x, 0.0] for x in q])], names=["query_no", "query"])
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(vectors.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+            found = [row for b in vectors._wanted_groups(Sent(np.zeros((1, 2))), Sent(rings), 5, 100, 8)(iter([batch])) for row in b.to_pylist()]
+        sizes[n] = [len(row["query_nos"]) for row in found if row["query_nos"]]
+        assert sorted({row["group"] for row in found}) == [3 + 8 * i for i in range(len(sizes[n]))]
+    assert sizes == {70: [70], 81: [81], 100: [100], 101: [51, 50]}
