@@ -71,6 +71,15 @@ def nearest_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
 
     Items and queries without a vector go.
     """
+    mine, lists = shared_lists(items, queries, k, id_column, vector, query_vector)
+    return mine.join(lists, "query_no").drop("query_no")
+
+
+def shared_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column: str = "vec_id", vector: str = "embedding", query_vector: str = "query") -> tuple[DataFrame, DataFrame]:
+    """What ``nearest_lists`` joins: the queries' columns but the vector, and ``query_no``; and a row for each vector, ``query_no`` and ``items``.
+
+    The numbers of vectors hold for this search alone.
+    """
     spark = items.sparkSession
     ship(spark)
     carried = [c for c in items.columns if c not in (id_column, vector)]
@@ -87,9 +96,10 @@ def nearest_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
     count = max(1, min(PIVOTS, numbered.count() // ITEMS_PER_PIVOT))
     chosen = [r[0] for r in numbered.orderBy(F.xxhash64("id"), "id").select("vector").limit(count).collect()]
     others = [F.col(f"`{c}`") for c in queries.columns if c != query_vector]
+    mine = asked.select(*others, *marks).join(searched.select("_mark", "_other_mark", "query_no"), ["_mark", "_other_mark"]).select(*others, "query_no")
     if not chosen:
-        schema = queries.select(*others).withColumn("items", F.array(F.struct(F.lit(0.0).alias("d2"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema["item"].dataType]))).schema
-        return spark.createDataFrame([], schema)
+        entry = F.struct(F.lit(0.0).alias("d2"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema["item"].dataType])
+        return mine, searched.limit(0).select("query_no", F.array(entry).alias("items"))
     pivots = spark.sparkContext.broadcast(np.array(chosen))  # count vectors
     placed = numbered.select("place", "item", "vector").mapInArrow(_placed(pivots, ["place", "item", "vector"], "vector"), f"place long, item {item}, vector array<double>, pivot int, distance double")
     ordered = placed.repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance")
@@ -119,10 +129,8 @@ def nearest_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
     dealt = asking.unionByName(met).repartitionById(tasks, F.col("group").cast("int")).sortWithinPartitions("group", "least")
     best = dealt.mapInArrow(_best_of_groups(pivots, k, single), f"query_no long, items array<{item}>, d2 array<double>")
     best = best.select("query_no", F.arrays_zip("items", "d2").alias("zipped"))
-    numbers = searched.select("_mark", "_other_mark", "query_no")
-    mine = asked.select(*others, *marks).join(numbers, ["_mark", "_other_mark"]).drop("_mark", "_other_mark")
     unzipped = F.transform("zipped", lambda x: F.struct(x["d2"].alias("d2"), *[x["items"][f.name].alias(f.name) for f in items.schema["item"].dataType])).alias("items")
-    return mine.join(best.select("query_no", unzipped), "query_no").select(*others, "items")
+    return mine, best.select("query_no", unzipped)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

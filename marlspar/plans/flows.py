@@ -43,11 +43,10 @@ def recommend_and_page(users: DataFrame, jobs: DataFrame, start: int = 0, k: int
 
 def update(users: DataFrame, jobs: DataFrame, path: str, start: int = 0, k: int = recommend.K) -> DataFrame:
     """Recommend anew to the users, overwrite what is stored for them (with nothing, where nothing fits), and give back the page of what is stored."""
-    from marlspar.sources import sinks, tables
+    from marlspar.sources import recommended
 
-    version = sinks.upsert_by_key(recommend.recommend(users, jobs, k), path, keys=users.select("chat_id"))
-    stored = tables.read(users.sparkSession, path, version).join(users.select("chat_id").distinct(), "chat_id", "left_semi")
-    return recommend.page(stored, start)
+    version = recommended.store(users, jobs, path, k)
+    return recommend.page(recommended.read(users.sparkSession, path, version, users), start)
 
 
 def mail(requests: DataFrame, recommended: DataFrame, users: DataFrame, kind: str = "cold_mail") -> DataFrame:

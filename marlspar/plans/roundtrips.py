@@ -19,7 +19,7 @@ from marlspar.plans.catalog import EXP_TEXT
 from marlspar.plans.registry import query
 from marlspar.schema import RAW
 from marlspar.session import scratch, spread, table
-from marlspar.sources import captured, json_files, readers, sinks, tables
+from marlspar.sources import captured, json_files, readers, recommended, sinks, tables
 from marlspar.streaming import dialogue, streams
 
 #: A part as a posting, in SQL that Spark and DuckDB both read.
@@ -374,7 +374,7 @@ def updated_recommendations(spark, sf_dir):
     flows.update(users, jobs, path)
     nobody = jobs.withColumn("yoe", F.struct(F.lit(900.0).alias("lo"), F.lit(999.0).alias("hi")))
     flows.update(users.filter("chat_id % 3 = 0"), nobody, path)
-    return recommend.page(tables.read(spark, path), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
+    return recommend.page(recommended.read(spark, path), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
 _PEOPLE = {

@@ -38,11 +38,18 @@ def _files(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
     hadoop, fs = _files(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
 
 
+def modified(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last written to, in seconds."""
+    hadoop, fs = _files(spark, path)
+    return fs.getFileStatus(hadoop).getModificationTime() / 1000
+
+
 def _text(spark: SparkSession, path: str) -> str:
     hadoop, fs = _files(spark, path)
     stream = fs.open(hadoop)
@@ -54,7 +61,7 @@ def _text(spark: SparkSession, path: str) -> str:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions that can be read, in order."""
-    return [int(n.removesuffix(".json")) for n in _names(spark, f"{path}/{LOG}") if n.endswith(".json")]
+    return [int(n.removesuffix(".json")) for n in names(spark, f"{path}/{LOG}") if n.endswith(".json")]
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
@@ -115,7 +122,7 @@ def _staged(df: DataFrame, path: str, bucket) -> dict[str, list[str]]:
     """Write rows by their buckets beside the table; the folders of each bucket that has any."""
     spark, folder = df.sparkSession, f"{DATA}/{uuid.uuid4().hex}"
     df.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{path}/{folder}")
-    return {n.removeprefix(f"{BUCKET}="): [f"{folder}/{n}"] for n in _names(spark, f"{path}/{folder}") if n.startswith(f"{BUCKET}=")}
+    return {n.removeprefix(f"{BUCKET}="): [f"{folder}/{n}"] for n in names(spark, f"{path}/{folder}") if n.startswith(f"{BUCKET}=")}
 
 
 def upsert(
@@ -195,11 +202,10 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1, idle_seconds: float =
         delete(spark, f"{path}/{LOG}/{version:020d}.json")
     named = {f for v in there[-keep:] for some in manifest(spark, path, v)["folders"].values() for f in some}
     gone = 0
-    for folder in _names(spark, f"{path}/{DATA}"):
-        hadoop, fs = _files(spark, f"{path}/{DATA}/{folder}")
-        if time.time() - fs.getFileStatus(hadoop).getModificationTime() / 1000 < idle_seconds:
+    for folder in names(spark, f"{path}/{DATA}"):
+        if time.time() - modified(spark, f"{path}/{DATA}/{folder}") < idle_seconds:
             continue
-        for name in _names(spark, f"{path}/{DATA}/{folder}"):
+        for name in names(spark, f"{path}/{DATA}/{folder}"):
             if name.startswith(f"{BUCKET}=") and f"{DATA}/{folder}/{name}" not in named:
                 delete(spark, f"{path}/{DATA}/{folder}/{name}")
                 gone += 1
