@@ -253,13 +253,18 @@ def _by_first(percent: int):
     bounds = level_bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by entry and node: (pivot, node, most words of its class) for each line behind the first of its length class or the class before."""
+        """From rows sorted by entry: (pivot, node, most words of its class) for each line behind the first of its length class or the class before.
+
+        The first is the least node of an entry in the batch where the entry begins, so that lines which share several entries mostly share the first.
+        """
         last = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # entries and first lines of the last two classes
         for batch in gathered(batches, 1 << 16):
             entry, node = (np.r_[x, batch.column(c).to_numpy()] for x, c in zip(last, ("entry", "node")))
             begin = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
             count = np.diff(np.r_[begin, len(entry)])
-            head, key = node[begin], entry[begin]
+            head, key = np.minimum.reduceat(node, begin) if len(begin) else node, entry[begin]
+            told_before = begin < len(last[0])  # further lines of an entry come to the first that it has
+            head[told_before] = node[begin[told_before]]
             # Entries differ in their last bits alone where only the length class does.
             follows = np.r_[False, (key[1:] - key[:-1] == 1) & (key[1:] >> LEVEL_BITS == key[:-1] >> LEVEL_BITS)]
             before = np.where(follows, np.r_[0, head[:-1]], head)
@@ -273,7 +278,7 @@ def _by_first(percent: int):
             once = np.r_[True, (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])][: len(pivots)]
             words = bounds[np.minimum(level[told][once] + 1, len(bounds) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(pivots[once]), pa.array(nodes[once]), pa.array(words)], names=["pivot", "node", "words"])
-            last = [x[begin[-2:]] for x in (entry, node)]
+            last = [key[-2:], head[-2:]]
 
     return run
 
@@ -474,7 +479,7 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = stored(lines.groupBy("node", "low").agg(F.min(place).alias("first")), "firsts")
 
     rows = docs.select("text").mapInArrow(_entry_rows(percent), "entry long, node long")
-    rows = rows.repartition(F.shiftright("entry", LEVEL_BITS)).sortWithinPartitions("entry", "node")
+    rows = rows.repartition(F.shiftright("entry", LEVEL_BITS)).sortWithinPartitions("entry")  # by one number, which is a radix sort
     dealt = rows.mapInArrow(_by_first(percent), "pivot long, node long, words long")
     dealt = stored(dealt.distinct(), "dealt")
     firsts_of = dealt.groupBy("pivot").agg(F.max("words").alias("words")).select("pivot", F.col("pivot").alias("node"), "words")
