@@ -117,3 +117,21 @@ def test_short_tables_are_dealt_out_before_parsing(spark, sf_dir):
     for name in ("text_of_class", "card_parts", "linkedin_recipe"):
         assert "RepartitionByExpression" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name
     assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 8
+
+
+def test_cards_are_found_in_batches_and_only_where_they_may_be(spark, monkeypatch):
+    """No call a page from the plan, keys of any type, several batches a task; a page without a required class isn't parsed."""
+    parts = {"title": html.Part("h3", ("new", "old")), "link": html.Part("a", ("link",), "href"), "any": html.Part("b")}
+    card = html.Part("li", ("card",))
+    whole = '<ul><li class="card"><h3 class="old">t<b>1</b></h3><a class="link" href="/x">go</a><li class="card big"><h3 class="new">in</h3><a class="l&#105;nk" href="/y"></li></ul>'
+    pages = [whole, None, "", whole.replace("li", "p"), whole.replace("link", "other"), whole.replace("l&#105;nk", "q"), '<li class="card"><a class="link" href="/z"><h3 class="old">x</h3>', whole * 3]
+    rows = [([str(i)], {"n": i}, p) for i, p in enumerate(pages)] * 3
+    df = spark.createDataFrame(rows, "k array<string>, m struct<n long>, html string").coalesce(1)
+    expected = [(k, m["n"], n, *found.values()) for k, m, p in rows for n, found in enumerate(html.parted(p, card, parts)) if found["title"] is not None and found["link"] is not None]
+    monkeypatch.setattr(html, "GIVEN_ROWS", 2)
+    got = html.card_rows(df, "html", ["k", "m"], card, parts, ("title", "link"))
+    assert sorted(map(repr, expected)) == sorted(repr((r.k, r.m.n, r.position, r.title, r.link, r.any)) for r in got.collect()) and len(expected) == 33
+    for plan in (got, html.cards(df, "html", ["k"], name="card")):
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "PythonUDTF" not in plan
+    assert not html._might_have("<p class='a'>", ("b", "d")) and html._might_have("&#98;", ("b",)) and html._might_have("", ())
