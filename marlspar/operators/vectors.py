@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marlspar.session import ship, stored
 
 #: Pivots, at most, and items for each, at least; rings of distance around a pivot.
 PIVOTS, ITEMS_PER_PIVOT, RINGS = 64, 4096, 16
 #: Bytes of a block of items (in doubles), queries of a block, of a group that one task searches, and distances that are held at once.
-BLOCK_BYTES, BLOCK_QUERIES, GROUP_QUERIES, HELD = 4 << 20, 512, 8192, 1 << 21
+BLOCK_BYTES, BLOCK_QUERIES, GROUP_QUERIES, HELD = 4 << 20, 512, 8192, 1 << 19
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -127,10 +128,8 @@ def shared_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
     met = wanted.join(blocks.select("pivot", "ring", "near", "far", "places", "items", "vectors"), ["pivot", "ring"])
     met = met.selectExpr("group", "least", "CAST(NULL AS array<long>) AS query_nos", "CAST(NULL AS binary) AS queries", "pivot", "near", "far", "places", "items", "vectors")
     dealt = asking.unionByName(met).repartitionById(tasks, F.col("group").cast("int")).sortWithinPartitions("group", "least")
-    best = dealt.mapInArrow(_best_of_groups(pivots, k, single), f"query_no long, items array<{item}>, d2 array<double>")
-    best = best.select("query_no", F.arrays_zip("items", "d2").alias("zipped"))
-    unzipped = F.transform("zipped", lambda x: F.struct(x["d2"].alias("d2"), *[x["items"][f.name].alias(f.name) for f in items.schema["item"].dataType])).alias("items")
-    return mine, best.select("query_no", unzipped)
+    entry = StructType([StructField("d2", DoubleType()), *items.schema["item"].dataType]).simpleString()
+    return mine, dealt.mapInArrow(_best_of_groups(pivots, k, single), f"query_no long, items array<{entry}>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,6 +141,16 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * (q @ x.T), 0), 6)
 
 
+def _pair_distances(q: np.ndarray, row: np.ndarray, x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, rounded to 6 decimals."""
+    d = np.empty(len(row))
+    for at in range(0, len(row), 4096):
+        apart = q[row[at : at + 4096]]
+        apart -= x[column[at : at + 4096]]
+        np.einsum("ij,ij->i", apart, apart, out=d[at : at + 4096])
+    return np.round(d, 6)
+
+
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - pivots) ** 2).sum(axis=2))
 
@@ -258,58 +267,103 @@ def _wanted_groups(pivots, rings, k: int, most: int, tasks: int):
     return run
 
 
-def _kept(held: np.ndarray, places: np.ndarray, d: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row's best and the new distances, as many as there were best, ties by place. Infinite ones stand for none."""
-    k = held.shape[1]
-    both = np.concatenate([held, d], axis=1)
-    last = np.partition(both, k - 1, axis=1)[:, k - 1 : k]
-    stay, tied = both < last, both == last
+def _kept(d: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's distances the k least, ties by place. Infinite ones stand for none."""
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    stay, tied = d < last, d == last
     room = k - stay.sum(axis=1)
     for row in np.flatnonzero((tied.sum(axis=1) > room) & np.isfinite(last[:, 0])).tolist():
         at = np.flatnonzero(tied[row])
-        of = np.where(at < k, places[row, np.minimum(at, k - 1)], new[np.maximum(at - k, 0)])
-        tied[row, at[np.argsort(of)[room[row] :]]] = False
+        tied[row, at[np.argsort(places[row, at])[room[row] :]]] = False
     endless = np.flatnonzero(np.isinf(last[:, 0]))
     tied[endless] &= np.cumsum(tied[endless], axis=1) <= room[endless, None]
     row, at = np.nonzero(stay | tied)
-    kept = np.where(at < k, places[row, np.minimum(at, k - 1)], new[np.maximum(at - k, 0)])
-    return both[row, at].reshape(-1, k), kept.reshape(-1, k)
+    return d[row, at].reshape(-1, k), places[row, at].reshape(-1, k)
 
 
 class _Group:
-    """Queries of a group and their k best so far. Blocks come one after the other."""
+    """Queries of a group and their best so far, k at least and half as many again before they are cut. Blocks come one after the other.
+
+    A product in single precision, of vectors as they lie around the block's pivot,
+    leaves out what is farther than a query's k known ones by more than its error
+    can be; what it lets through, some of thousands, is measured in double.
+    """
 
     def __init__(self, numbers: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
-        self.numbers, self.q, self.k = numbers, q, k
+        self.numbers, self.q, self.pivots, self.k = numbers, q, pivots, k
         self.to_pivots = np.concatenate([_to_pivots(q[i : i + 1024], pivots) for i in range(0, len(q), 1024)])
-        self.d, self.places = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        self.d, self.places = np.full((len(q), k + -(-k // 2)), np.inf), np.full((len(q), k + -(-k // 2)), -1)
+        self.filled, self.last = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
         self.seen: list[tuple[np.ndarray, pa.Array]] = []
 
     def meet(self, pivot: int, near: float, far: float, places: np.ndarray, items: pa.Array, x: np.ndarray) -> None:
         to = self.to_pivots[:, pivot]
         least = np.maximum(0, np.maximum(near - to, to - far))
-        rows = np.flatnonzero(least**2 <= self.d.max(axis=1) * (1 + 1e-9) + 1e-5)
+        rows = np.flatnonzero(least**2 <= self.last * (1 + 1e-9) + 1e-5)
         if not len(rows):
             return
         self.seen.append((places, items))
+        around = x - self.pivots[pivot]
+        squares = (around * around).sum(axis=1)
+        reach = (np.sqrt(squares.max()) + to) ** 2  # no distance is above, nor a term of the product
+        kind = np.float32 if reach[rows].max() < 1e37 else np.float64
+        right = np.concatenate([-2 * around, squares[:, None]], axis=1).astype(kind).T
+        margin = np.finfo(kind).eps * (x.shape[1] + 16) * reach + 1e-6 + 1e-9 * np.minimum(reach, self.last)
         most = max(1, HELD // (len(x) + self.k))
         for begin in range(0, len(rows), most):
             some = rows[begin : begin + most]
-            self.d[some], self.places[some] = _kept(self.d[some], self.places[some], _distances(self.q[some], x), places)
+            mine = self.q[some] - self.pivots[pivot]
+            product = np.concatenate([mine, np.ones((len(some), 1))], axis=1).astype(kind) @ right  # squared distances, less those to the pivot
+            limit = self.last[some] - (mine * mine).sum(axis=1) + margin[some]
+            new = np.flatnonzero(np.isinf(limit))
+            if len(new) and len(x) > self.k:
+                limit[new] = np.partition(product[new], self.k - 1, axis=1)[:, self.k - 1] + 2 * margin[some[new]]
+            row, column = np.divmod(np.flatnonzero(product <= limit.astype(kind)[:, None]), len(x))
+            if len(row):
+                self._add(some, row, places[column], _pair_distances(self.q, some[row], x, column))
+
+    def _add(self, some: np.ndarray, row: np.ndarray, places: np.ndarray, d: np.ndarray) -> None:
+        """Distances by the number of their row in some, in order of it."""
+        fits = d <= self.last[some[row]]
+        row, places, d = row[fits], places[fits], d[fits]
+        count = np.bincount(row, minlength=len(some))
+        nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        total = self.filled[some] + count
+        cut = (total > self.d.shape[1]) | (np.isinf(self.last[some]) & (total >= self.k))
+        stays = ~cut[row]
+        to = some[row[stays]]
+        at = self.filled[to] + nth[stays]
+        self.d[to, at], self.places[to, at] = d[stays], places[stays]
+        self.filled[some] = np.where(cut, self.k, total)
+        over = np.flatnonzero(cut)
+        if not len(over):
+            return
+        width, number = int(count[over].max()), np.cumsum(cut) - 1
+        new_d, new_places = np.full((len(over), width), np.inf), np.full((len(over), width), -1)
+        at = number[row[~stays]], nth[~stays]
+        new_d[at], new_places[at] = d[~stays], places[~stays]
+        over = some[over]
+        best, of = _kept(np.concatenate([self.d[over], new_d], axis=1), np.concatenate([self.places[over], new_places], axis=1), self.k)
+        self.d[over, : self.k], self.places[over, : self.k] = best, of
+        self.d[over, self.k :] = np.inf
+        self.last[over] = best.max(axis=1)
 
     def lists(self) -> Iterator[pa.RecordBatch]:
-        known = np.concatenate([p for p, _ in self.seen]) if self.seen else np.empty(0, np.int64)
-        items = pa.concat_arrays([i for _, i in self.seen]) if self.seen else None
+        if not self.seen:
+            return
+        known = np.concatenate([p for p, _ in self.seen])
+        items = pa.concat_arrays([i for _, i in self.seen])
         order = np.argsort(known)
-        for begin in range(0, len(self.q) if items is not None else 0, BLOCK_QUERIES):
+        known = known[order]
+        for begin in range(0, len(self.q), BLOCK_QUERIES):
             d, places = self.d[begin : begin + BLOCK_QUERIES], self.places[begin : begin + BLOCK_QUERIES]
-            by = np.lexsort((places, d), axis=1)
+            by = np.lexsort((places, d), axis=1)[:, : self.k]
             d, places = np.take_along_axis(d, by, 1), np.take_along_axis(places, by, 1)
             there = np.isfinite(d)
             offsets = pa.array(np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32))
-            at = order[np.searchsorted(known, places[there], sorter=order)]
-            columns = [pa.array(self.numbers[begin : begin + BLOCK_QUERIES]), pa.ListArray.from_arrays(offsets, items.take(pa.array(at))), pa.ListArray.from_arrays(offsets, pa.array(d[there]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_no", "items", "d2"])
+            found = items.take(pa.array(order[np.searchsorted(known, places[there])]))
+            entries = pa.StructArray.from_arrays([pa.array(d[there]), *found.flatten()], names=["d2", *[f.name for f in found.type]])
+            yield pa.RecordBatch.from_arrays([pa.array(self.numbers[begin : begin + BLOCK_QUERIES]), pa.ListArray.from_arrays(offsets, entries)], names=["query_no", "items"])
 
 
 def _best_of_groups(pivots, k: int, single: bool):

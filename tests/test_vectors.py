@@ -126,3 +126,31 @@ def test_blocks_go_once_to_as_few_groups_as_there_are_tasks():
         sizes[n] = [len(row["query_nos"]) for row in found if row["query_nos"]]
         assert sorted({row["group"] for row in found}) == [3 + 8 * i for i in range(len(sizes[n]))]
     assert sizes == {70: [70], 81: [81], 100: [100], 101: [51, 50]}
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-3, 3e6), (3e20, 0.0), (1e-30, 0.0)])
+def test_few_pairs_are_measured_in_double_and_none_is_lost(monkeypatch, scale, offset):
+    """Single precision leaves most pairs out, also far from the origin and above its range; ties that fill more than is held are told apart by place."""
+    measured = []
+    keep = getattr(vectors, "_pair_distances", None)
+    monkeypatch.setattr(vectors, "_pair_distances", lambda q, row, x, column: measured.append(len(row)) or keep(q, row, x, column), raising=False)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16)) * scale + offset
+    x[2000:2060] = x[7]  # more than is held of the best
+    q, k = np.concatenate([x[:40], rng.normal(size=(40, 16)) * scale + offset]), 20
+    pivots = x[[5, 1000]]
+    d = np.sqrt(((x[:, None] - pivots) ** 2).sum(axis=2))
+    group = vectors._Group(np.arange(len(q)), q, pivots, k)
+    for pivot in (1, 0):
+        mine = np.flatnonzero(d.argmin(axis=1) == pivot)
+        mine = mine[np.argsort(d[mine, pivot])]
+        for some in np.array_split(mine, 12):
+            group.meet(pivot, d[some[0], pivot], d[some[-1], pivot], some[::-1], pa.StructArray.from_arrays([pa.array(some[::-1])], names=["vec_id"]), x[some[::-1]])
+    got = [row["items"] for batch in group.lists() for row in batch.to_pylist()]
+    for n, items in enumerate(got):
+        exact = np.round(((x - q[n]) ** 2).sum(axis=1), 6)
+        order = np.lexsort((np.arange(len(x)), exact))[:k]
+        assert [i["vec_id"] for i in items] == order.tolist()
+        assert np.allclose([i["d2"] for i in items], exact[order], rtol=1e-12, atol=1e-6)
+    if scale in (1.0, 3e20):
+        assert 0 < sum(measured) < len(x) * len(q) / 10
