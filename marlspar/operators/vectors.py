@@ -16,7 +16,7 @@ from marlspar.session import ship, stored
 #: Pivots, at most, and items for each, at least; rings of distance around a pivot.
 PIVOTS, ITEMS_PER_PIVOT, RINGS = 64, 4096, 16
 #: Bytes of a block of items (in doubles), queries of a block, of a group that one task searches, and distances that are held at once.
-BLOCK_BYTES, BLOCK_QUERIES, GROUP_QUERIES, HELD = 4 << 20, 512, 8192, 1 << 19
+BLOCK_BYTES, BLOCK_QUERIES, GROUP_QUERIES, HELD = 4 << 20, 512, 16384, 1 << 19
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -113,9 +113,7 @@ def shared_lists(items: DataFrame, queries: DataFrame, k: int = 500, id_column:
     sent = spark.sparkContext.broadcast(np.array(rings, np.float64))
 
     # Every group takes the blocks once, so there are no more groups than tasks at a time; ranges of queries aren't equal, so they are aimed below the most.
-    n = searched.count()
-    size = max(BLOCK_QUERIES, min(GROUP_QUERIES * 3 // 4, -(-n // spark.sparkContext.defaultParallelism)))
-    tasks = max(1, -(-n // size))
+    tasks = _group_count(searched.count(), spark.sparkContext.defaultParallelism)
     near = searched.select("query_no", "query").mapInArrow(_placed(pivots, ["query_no", "query"], "query"), "query_no long, query array<double>, pivot int, distance double")
     near = near.repartitionByRange(tasks, "pivot", "query_no").sortWithinPartitions("pivot", "query_no")  # queries that want the same blocks
     columns = "group long, pivot int, ring int, least double, query_nos array<long>, queries binary"
@@ -242,6 +240,12 @@ def _wanted_rows(pivots, rings, k: int):
     return run
 
 
+def _group_count(n: int, parallel: int) -> int:
+    """As many groups of n queries as tasks at a time, or a multiple where they would be too large, or fewer where they would be short."""
+    rounds = max(1, -(-n // (GROUP_QUERIES * 3 // 4 * parallel)))
+    return max(1, min(rounds * parallel, -(-n // BLOCK_QUERIES)))
+
+
 def _wanted_groups(pivots, rings, k: int, most: int, tasks: int):
     """For groups of at most so many queries: a row with them all, and a row for each ring that one of them may need, with the mean of their least distances to it."""
     schema = pa.schema([("group", pa.int64()), ("pivot", pa.int32()), ("ring", pa.int32()), ("least", pa.float64()), ("query_nos", pa.list_(pa.int64())), ("queries", pa.binary())])

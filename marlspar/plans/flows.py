@@ -46,7 +46,7 @@ def update(users: DataFrame, jobs: DataFrame, path: str, start: int = 0, k: int
     from marlspar.sources import recommended
 
     version = recommended.store(users, jobs, path, k)
-    return recommend.page(recommended.read(users.sparkSession, path, version, users), start)
+    return recommend.page(recommended.read(users.sparkSession, path, version, users, start + recommend.PAGE), start)
 
 
 def mail(requests: DataFrame, recommended: DataFrame, users: DataFrame, kind: str = "cold_mail") -> DataFrame:

@@ -374,7 +374,7 @@ def updated_recommendations(spark, sf_dir):
     flows.update(users, jobs, path)
     nobody = jobs.withColumn("yoe", F.struct(F.lit(900.0).alias("lo"), F.lit(999.0).alias("hi")))
     flows.update(users.filter("chat_id % 3 = 0"), nobody, path)
-    return recommend.page(recommended.read(spark, path), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
+    return recommend.page(recommended.read(spark, path, most=recommend.PAGE), 0).select("chat_id", "vec_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
 _PEOPLE = {

@@ -43,13 +43,14 @@ def store(users: DataFrame, jobs: DataFrame, path: str, k: int = recommend.K) ->
     return tables.upsert(named, f"{path}/{USERS}", keys=users.select("chat_id"))
 
 
-def read(spark: SparkSession, path: str, version: int | None = None, chats: DataFrame | None = None) -> DataFrame:
-    """What is stored, as the rows of ``recommend.recommend``; chats: of these chat_ids alone."""
+def read(spark: SparkSession, path: str, version: int | None = None, chats: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """What is stored, as the rows of ``recommend.recommend``; chats: of these chat_ids alone; most: of each the first ranks alone."""
     named = tables.read(spark, f"{path}/{USERS}", version)
     if chats is not None:
         named = named.join(chats.select("chat_id").distinct(), "chat_id", "left_semi")
     lists = _runs(spark, path, LISTS)
-    rows = recommend.rows_of_lists(recommend.banded_lists(named.join(lists, ["run", "query_no"]), "run"), "run")
+    banded = recommend.banded_lists(named.join(lists, ["run", "query_no"]), "run")
+    rows = recommend.rows_of_lists(banded if most is None else banded.withColumn("items", F.slice("items", 1, most)), "run")
     if JOBS not in tables.names(spark, path):
         return rows.drop("run")
     return rows.join(_runs(spark, path, JOBS), ["run", "vec_id"]).drop("run")

@@ -43,3 +43,13 @@ def test_users_are_replaced_also_by_nothing_and_runs_that_nobody_names_go(spark,
     gone = spark.createDataFrame([(0, 1.0, None)], "chat_id long, years double, query array<double>")
     flows.update(gone, _jobs(spark), path, k=3)  # no vector, so nothing is stored
     assert recommended.read(spark, path).filter("chat_id = 0").count() == 0
+
+
+def test_a_page_makes_rows_of_what_it_shows_and_cuts_each_band_once(spark, tmp_path):
+    users, jobs, path = _users(spark), _jobs(spark), str(tmp_path / "found")
+    recommended.store(users, jobs, path, k=20)
+    first = recommended.read(spark, path, most=3)
+    assert sorted(first.collect()) == sorted(recommended.read(spark, path).filter("rank <= 3").collect())
+    for df in (recommend.recommend(users, jobs.drop("title"), k=7), recommended.read(spark, path)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("filter(items") == 1

@@ -154,3 +154,10 @@ def test_few_pairs_are_measured_in_double_and_none_is_lost(monkeypatch, scale, o
         assert np.allclose([i["d2"] for i in items], exact[order], rtol=1e-12, atol=1e-6)
     if scale in (1.0, 3e20):
         assert 0 < sum(measured) < len(x) * len(q) / 10
+
+
+def test_groups_fill_their_rounds_and_are_as_large_as_they_may_be(monkeypatch):
+    """No round of tasks is left half empty, and blocks, which go to every group, go to as few as hold the queries."""
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 10)
+    monkeypatch.setattr(vectors, "GROUP_QUERIES", 400)  # 300 are aimed at
+    assert [vectors._group_count(n, 4) for n in (0, 5, 25, 39, 1200, 1201, 2401)] == [1, 1, 3, 4, 4, 8, 12]
